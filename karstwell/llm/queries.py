@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from karstwell.llm.knn import exact_topk, forest_search
+from karstwell.llm.mixing import mix_sources
 from karstwell.llm.neardup import near_duplicates
-
-WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-
+from karstwell.llm.packing import pack_documents
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
@@ -17,8 +18,28 @@ def op2_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_read(spark, folder, "documents"), shingle=3, percent=85)
 
 
+def op6_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(_read(spark, folder, "documents"))
+
+
+def op8_forest_search(spark: SparkSession, folder: str) -> DataFrame:
+    return forest_search(_read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_topk(_read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(_read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op2_minhash_neardup": op2_minhash_neardup,
+    "op6_pack_sequences": op6_pack_sequences,
+    "op8_forest_search": op8_forest_search,
+    "op9_exact_topk": op9_exact_topk,
+    "op10_mix_sources": op10_mix_sources,
 }
 
 SQL = {
@@ -28,7 +49,7 @@ WITH RECURSIVE w AS (
   FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS g
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS g
   FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
@@ -36,5 +57,44 @@ l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id, doc_id AS seen FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.seen)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, w.doc_id = m.component_id AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
+""",
+    "op9_exact_topk": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+""",
+    "op10_mix_sources": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS n, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w
+  FROM d GROUP BY source),
+-- Sources reach three times their size in the order of size by weight; each is full if its share of what is left is larger.
+o AS (
+  SELECT *, (SELECT sum(size) FROM d) - 3 * coalesce(sum(n) OVER before, 0) AS left_n,
+    (SELECT sum(w) FROM s) - coalesce(sum(w) OVER before, 0) AS left_w
+  FROM s WINDOW before AS (ORDER BY n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, left_n * w > 3 * n * left_w AS is_full FROM o),
+p AS (
+  SELECT (SELECT sum(size) FROM d) - 3 * coalesce(sum(n) FILTER (WHERE is_full), 0) AS left_n,
+    (SELECT sum(w) FROM s) - coalesce(sum(w) FILTER (WHERE is_full), 0) AS left_w
+  FROM f),
+t AS (
+  SELECT f.source, f.n, CASE WHEN is_full THEN CAST(3 * n AS DOUBLE) ELSE CAST(p.left_n * w AS DOUBLE) / CAST(p.left_w AS DOUBLE) END AS target
+  FROM f, p),
+k AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE least(3, CAST(floor(target / n) AS BIGINT)) END AS whole FROM t),
+g AS (SELECT source, h, sum(size) AS size FROM d GROUP BY source, h),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h) AS after FROM g)
+SELECT d.doc_id, d.size, k.n AS source_size, k.target,
+  CAST(d.size * (k.whole + CASE WHEN 2 * c.after - c.size < 2 * (k.target - k.whole * k.n) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source JOIN c ON c.source IS NOT DISTINCT FROM d.source AND c.h = d.h
 """,
 }
