@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karstwell.llm.knn import exact_topk, forest_search
+from karstwell.llm.lines import dedup_lines
 from karstwell.llm.mixing import mix_sources
 from karstwell.llm.neardup import near_duplicates
 from karstwell.llm.packing import pack_documents
+from karstwell.llm.substrings import remove_repeats
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
@@ -18,6 +20,14 @@ def op2_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_read(spark, folder, "documents"), shingle=3, percent=85)
 
 
+def op3_line_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_lines(_read(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op4_superkmer_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(_read(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(_read(spark, folder, "documents"))
 
@@ -36,6 +46,8 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_minhash_neardup": op2_minhash_neardup,
+    "op3_line_windows": op3_line_windows,
+    "op4_superkmer_substrings": op4_superkmer_substrings,
     "op6_pack_sequences": op6_pack_sequences,
     "op8_forest_search": op8_forest_search,
     "op9_exact_topk": op9_exact_topk,
@@ -57,6 +69,32 @@ l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id, doc_id AS seen FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.seen)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, w.doc_id = m.component_id AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
+""",
+    "op3_line_windows": r"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+w AS (SELECT doc_id, i AS pos, array_to_string(ls[i:i + 2], chr(10)) AS g FROM l, unnest(range(1, len(ls) - 1)) AS t(i)),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, pos) AS nth, count(*) OVER (PARTITION BY g) AS times
+  FROM w WHERE regexp_matches(g, '\S')),
+c AS (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p, nth = 1 AS is_first FROM n WHERE times > 1),
+r AS (SELECT doc_id, p FROM c GROUP BY doc_id, p HAVING NOT bool_or(is_first)),
+k AS (
+  SELECT l.doc_id, string_agg(ls[i], chr(10) ORDER BY i) FILTER (WHERE r.p IS NULL) AS left_over, count(r.p) AS gone
+  FROM l, unnest(range(1, len(ls) + 1)) AS t(i) LEFT JOIN r ON r.doc_id = l.doc_id AND r.p = i GROUP BY l.doc_id)
+SELECT l.doc_id, CASE WHEN k.gone > 0 THEN coalesce(k.left_over, '') ELSE l.text END AS text,
+  CAST(CASE WHEN coalesce(length(l.text), 0) = 0 THEN 0 ELSE len(ls) END AS BIGINT) AS n_lines, CAST(coalesce(k.gone, 0) AS BIGINT) AS n_removed
+FROM l LEFT JOIN k USING (doc_id)
+""",
+    "op4_superkmer_substrings": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS s FROM w, unnest(range(1, len(ws) - 48)) AS t(i)),
+f AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM g JOIN f USING (s) WHERE least < doc_id),
+k AS (
+  SELECT w.doc_id, string_agg(ws[i], ' ' ORDER BY i) FILTER (WHERE c.p IS NULL) AS kept, count(c.p) AS gone
+  FROM w, unnest(range(1, len(ws) + 1)) AS t(i) LEFT JOIN c ON c.doc_id = w.doc_id AND c.p = i GROUP BY w.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(k.gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
 """,
     "op9_exact_topk": r"""
 WITH v AS (
