@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karstwell.llm.knn import exact_topk, forest_search
+from karstwell.llm.language import identify_languages
 from karstwell.llm.lines import dedup_lines
 from karstwell.llm.mixing import mix_sources
 from karstwell.llm.neardup import near_duplicates
 from karstwell.llm.packing import pack_documents
+from karstwell.llm.pii import pseudonymise
 from karstwell.llm.substrings import remove_repeats
+from karstwell.llm.toxicity import score_toxicity
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def held_out() -> Column:
+    """Whether a document is in the fold that nothing is learned from; a null doc_id isn't."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    found = identify_languages(_read(spark, folder, "documents"), learn=~held_out())
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_read(spark, folder, "documents"), shingle=3, percent=85)
 
@@ -28,10 +41,20 @@ def op4_superkmer_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(_read(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score_toxicity(_read(spark, folder, "documents"), _read(spark, folder, "labels"), learn=~held_out(), threshold=0.3)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(_read(spark, folder, "documents"))
 
 
+def op7_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    """The key is for demonstration; in production it comes from a secret store."""
+    return pseudonymise(_read(spark, folder, "documents"), key="demonstration key").select("doc_id", "text", "n_private")
+
+
 def op8_forest_search(spark: SparkSession, folder: str) -> DataFrame:
     return forest_search(_read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -45,10 +68,13 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_minhash_neardup": op2_minhash_neardup,
     "op3_line_windows": op3_line_windows,
     "op4_superkmer_substrings": op4_superkmer_substrings,
+    "op5_toxicity": op5_toxicity,
     "op6_pack_sequences": op6_pack_sequences,
+    "op7_pseudonyms": op7_pseudonyms,
     "op8_forest_search": op8_forest_search,
     "op9_exact_topk": op9_exact_topk,
     "op10_mix_sources": op10_mix_sources,
