@@ -59,34 +59,53 @@ class Tokenizer:
 
         self.base = Base.from_file(path)
         self.model = self.base.model
-        self.known: dict[bytes, tuple[int, ...]] = {}
-        self.units: dict[str, tuple[int, ...]] = {}
-
-    def _unit(self, unit: str) -> tuple[int, ...]:
-        ids = self.units.get(unit)
-        if ids is None:
-            letters = unit if unit.isascii() else unit.encode().decode("latin-1").translate(_LETTERS)
-            ids = self.units[unit] = tuple([t.id for t in self.model.tokenize(letters)])
+        self._reset()
+
+    def _reset(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.units: dict[str, list[int]] = {}
+        self.flat = np.zeros(0, np.uint32)
+        self.first = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+
+    def _unit(self, unit: str) -> list[int]:
+        letters = unit if unit.isascii() else unit.encode().decode("latin-1").translate(_LETTERS)
+        ids = self.units[unit] = [t.id for t in self.model.tokenize(letters)]
         return ids
 
     def _learn(self, words: list[bytes]) -> None:
-        other = []
-        for raw in words:
+        """Appends the ids of words that are not known yet."""
+        units, marks = self.units.get, string.punctuation
+        ids: list[list[int]] = []
+        other: list[int] = []
+        for i, raw in enumerate(words):
             word = raw.decode("utf-8", "replace")
-            if not word.isascii():
+            if word.isascii():
+                word = word.lower()
+            else:
                 word = unicodedata.normalize("NFC", word)
                 # each letter by itself: no rule for a final sigma
                 word = "".join(map(str.lower, word)) if "\u03a3" in word else word.lower()
+            stem = word.rstrip(marks)
+            if not stem.isalpha():
+                other.append(i)
+                ids.append([])
+            elif len(stem) == len(word):
+                ids.append(units(stem) or self._unit(stem))
             else:
-                word = word.lower()
-            stem = word.rstrip(string.punctuation)
-            if stem.isalpha():
-                self.known[raw] = self._unit(stem) + self._unit(word[len(stem) :]) if len(stem) < len(word) else self._unit(stem)
-            else:
-                other.append(raw)
+                tail = word[len(stem) :]
+                ids.append((units(stem) or self._unit(stem)) + (units(tail) or self._unit(tail)))
         if other:
-            found = self.base.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
-            self.known.update(zip(other, (tuple(e.ids) for e in found), strict=True))
+            found = self.base.encode_batch_fast([words[i].decode("utf-8", "replace") for i in other], add_special_tokens=False)
+            for i, e in zip(other, found, strict=True):
+                ids[i] = e.ids
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        n = len(self.size)
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, flat])
 
     def ids(self, text: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids, each row's followed by ``end``, and the rows' offsets."""
@@ -94,17 +113,13 @@ class Tokenizer:
         distinct, codes = words.coded()
         distinct = distinct.to_pylist()
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            self.units.clear()
-        known = self.known
-        new = [w for w in distinct if w not in known]
-        if new:
+            self._reset()
+        found = list(map(self.known.get, distinct))
+        if new := [w for w, at in zip(distinct, found, strict=True) if at is None]:
             self._learn(new)
-        each = [known[w] for w in distinct]
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter(chain.from_iterable(each), np.uint32, int(size.sum()))
-        first = np.cumsum(size) - size
-        n = size[codes] if len(codes) else np.zeros(0, np.int64)
+            found = list(map(self.known.get, distinct))
+        at = np.fromiter(found, np.int64, len(found))[codes] if found else np.zeros(0, np.int64)
+        n = self.size[at]
         # word i's ids go behind those of the words before it and the end ids of the rows before its own
         total = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=total[1:])
@@ -112,8 +127,7 @@ class Tokenizer:
         out = np.full(int(row_end[-1]) if len(row_end) else 0, end, np.uint32)
         keep = np.ones(len(out), bool)
         keep[row_end - 1] = False
-        source = np.repeat(first[codes] - total[:-1], n) + np.arange(int(total[-1])) if len(n) else np.zeros(0, np.int64)
-        out[keep] = flat[source]
+        out[keep] = self.flat[np.repeat(self.first[at] - total[:-1], n) + np.arange(int(total[-1]))]
         return out, np.concatenate([[0], row_end])
 
 
@@ -186,7 +200,7 @@ def _run(path: str, capacity: int, end: int):
             return pa.record_batch(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for part, text in slices(batch, limit=1 << 20):
+            for part, text in slices(batch):
                 flat, offsets = tokenizer.ids(text, end)
                 docs.append((part.column("doc_id").cast(pa.int64()), offsets))
                 ids.append(flat)
