@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from karstwell.plans import search  # noqa: F401
+from karstwell.plans._register import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
