@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from karstwell.plans import scalars, search  # noqa: F401
+from karstwell.plans import joins, scalars, search  # noqa: F401
 from karstwell.plans._register import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
