@@ -158,9 +158,13 @@ def json_field(metadata: Column, path: str) -> Column:
 
 
 def search_text(markdown: Column) -> Column:
-    """Markdown without fences, code, links, images, marks; white space as single spaces."""
-    steps = ((r"(?s)```.*?```", " "), (r"`([^`]*)`", "$1"), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^#+\s*", ""), (r"[*_>|~]", " "), (r"\s+", " "))
-    return strip(reduce(lambda c, s: F.regexp_replace(c, *s), steps, markdown))
+    """Markdown as plain text for an index: no code blocks, images, tags and line marks, links as their words, single spaces."""
+    out = F.regexp_replace(markdown, r"(?s)```.*?```|!\[[^\]]*\]\([^)]+\)", " ")
+    out = F.regexp_replace(F.regexp_replace(out, r"`([^`]+)`", "$1"), r"\[([^\]]+)\]\([^)]+\)", "$1")
+    out = F.regexp_replace(out, r"<[^>]+>", " ")
+    for mark in (r"#+\s*", r"[-*+]\s+", r"\d+\.\s+", r">\s?"):
+        out = F.regexp_replace(out, r"(?m)^\s*" + mark, "")
+    return strip(F.regexp_replace(out, r"\s+", " "))
 
 
 def model_key(provider: Column, model: Column) -> Column:
@@ -169,7 +173,7 @@ def model_key(provider: Column, model: Column) -> Column:
 
 def url_filename(url: Column) -> Column:
     """A safe name of at most 100 characters: the URL's letters and the first eight digits of its SHA-1."""
-    safe = F.regexp_replace(F.regexp_replace(url, "^https?://", ""), r"[^A-Za-z0-9.-]+", "_")
+    safe = F.regexp_replace(F.regexp_replace(url, "^https?://", ""), r"[^\p{L}\p{N}_.-]", "_")
     return F.concat(F.substring(safe, 1, 91), F.lit("_"), F.substring(F.sha1(url), 1, 8))
 
 

@@ -68,14 +68,14 @@ def simple_paragraphs(files: DataFrame) -> DataFrame:
 
 
 def embedding_text(path: Column, language: Column, code: Column, *, target: Column | None = None, constants: Column | None = None) -> Column:
-    """Header lines and code: path and language, a link target, the first five constants."""
+    """A header line before the code: path and language, a link target, the first five constants and how many more."""
     parts = [F.concat(F.lit("# "), path, F.lit(" ("), language, F.lit(")"))]
     if target is not None:
         parts.append(F.when(target.isNotNull(), F.concat(F.lit("[target: "), target, F.lit("]"))))
     if constants is not None:
-        more = F.when(F.size(constants) > 5, F.concat(F.lit(" +"), (F.size(constants) - 5).cast("string"), F.lit(" more"))).otherwise("")
-        parts.append(F.when(F.size(constants) > 0, F.concat(F.lit("[constants: "), F.array_join(F.slice(constants, 1, 5), ", "), more, F.lit("]"))))
-    return F.concat_ws("\n", *parts, code)
+        more = F.when(F.size(constants) > 5, F.concat(F.lit(", +"), (F.size(constants) - 5).cast("string"), F.lit(" more"))).otherwise("")
+        parts.append(F.when(F.size(constants) > 0, F.concat(F.lit("["), F.array_join(F.slice(constants, 1, 5), ", "), more, F.lit("]"))))
+    return F.concat(F.concat_ws(" ", *parts), F.lit("\n"), code)
 
 
 def _gap(x: Column) -> Column:
@@ -148,8 +148,8 @@ def summaries(chunks: DataFrame, limit: int, length: int) -> DataFrame:
 
 
 def points_of_interest(files: DataFrame, limit: int) -> DataFrame:
-    """Distinct lines without list marks in order, ``limit`` for each file."""
-    point = F.trim(F.regexp_extract("line", r"^\s*(?:[-*]|\d+[.)])?\s*(.*)$", 1))
+    """Distinct items of bullet and numbered lists in order, ``limit`` for each file."""
+    point = F.trim(F.regexp_extract("line", r"^\s*(?:[-*] |\d[^.]*\.|\d[^)]*\))(.*)$", 1))
     first = _lines(files).where(F.col("line").rlike(r"\S")).select("file_id", "at", point.alias("point")).where(F.length("point") > 0).groupBy("file_id", "point").agg(F.min("at").alias("at"))
     n = F.row_number().over(Window.partitionBy("file_id").orderBy("at"))
     return first.withColumn("ordinal", n.cast("long")).where(F.col("ordinal") <= limit).select("file_id", "ordinal", "point")

@@ -118,7 +118,8 @@ def sharing_entities(facts: DataFrame) -> DataFrame:
     return e.withColumnRenamed("fact_id", "a").join(other, "entity").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-NEGATION = r"(?i)\b(not|never|no|cannot|isn't|doesn't|don't|won't|without)\b"
+#: Fixed value: words that make a statement exclude others.
+NEGATION = r"(?i)\b(never|always|cannot|must not|does not|is not|are not|no longer|impossible|forbidden|prohibited)\b"
 
 
 def conflicts(facts: DataFrame) -> DataFrame:

@@ -194,11 +194,13 @@ def augmentation_budget(hits: Column, symbols: Column) -> tuple[Column, Column]:
 
 
 def normalize_url(url: Column) -> Column:
-    """Lower-case scheme and host, without fragment and trailing slash."""
+    """A key for equal pages: host in lower case, no fragment, no slashes at the path's end (but one for the root)."""
     base = F.regexp_replace(url, "#.*$", "")
     head = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1)
     rest = F.substring(base, F.length(head) + 1, F.lit(1 << 30))
-    return F.concat(F.lower(head), F.regexp_replace(rest, r"/+$", ""))
+    query = F.regexp_extract(rest, r"(\?.*)$", 1)
+    path = F.regexp_replace(F.regexp_extract(rest, r"^([^?]*)", 1), "/+$", "")
+    return F.concat(F.lower(head), F.when(F.length(path) > 0, path).otherwise("/"), query)
 
 
 def interleave(results: DataFrame, limit: int) -> DataFrame:

@@ -151,12 +151,13 @@ def n29(spark, folder):
     return C.summaries(T.chunks(spark, folder), 5, 200)
 
 
-@query("n30_points", r""", n AS (SELECT file_id, start_line, trim(regexp_extract(code, '^\s*(?:[-*]|\d+[.)])?\s*(.*)$', 1)) AS point FROM chunks),
+@query("n30_points", r""", n AS (SELECT file_id, start_line, trim(regexp_extract(CASE WHEN start_line % 2 = 0 THEN '- ' ELSE '1. ' END || code, '^\s*(?:[-*] |\d[^.]*\.|\d[^)]*\))(.*)$', 1)) AS point FROM chunks WHERE start_line % 3 <> 0),
   f AS (SELECT file_id, point, min(start_line) AS pos FROM n WHERE point <> '' GROUP BY file_id, point),
   k AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS k FROM f)
   SELECT file_id, k AS ordinal, point FROM k WHERE k <= 8""")
 def n30(spark, folder):
-    return C.points_of_interest(T.files(spark, folder), 8)
+    marked = F.transform(F.split("text", "\n", -1), lambda l, i: F.concat(F.when((i + 1) % 3 == 0, "").when((i + 1) % 2 == 0, "- ").otherwise("1. "), F.regexp_replace(l, r"^\s*(?=[-*] |\d)", "")))
+    return C.points_of_interest(T.files(spark, folder).select("file_id", F.array_join(marked, "\n").alias("text")), 8)
 
 
 @query("n31_operational_point", "SELECT doc_id, CASE WHEN contains(lower(text), 'the') THEN [left(text, 20), lang] ELSE ['Setup and run', left(text, 20)] END AS points FROM documents", views=False)
@@ -166,9 +167,9 @@ def n31(spark, folder):
     return d
 
 
-@query("n34_search_text", r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[`\[\]#]', '', 'g'), '[*_>|~]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM documents", views=False)
+@query("n34_search_text", r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[`\[\]#<>*+-]|[0-9]', '', 'g'), '\s+', ' ', 'g')) AS plain FROM documents", views=False)
 def n34(spark, folder):
-    return _docs(spark, folder).select("doc_id", X.search_text(F.regexp_replace("text", r"[`\[\]#]", "")).alias("plain"))
+    return _docs(spark, folder).select("doc_id", X.search_text(F.concat(F.lit("## "), F.regexp_replace("text", r"[`\[\]#<>*+-]|[0-9]", ""), F.lit("\n> "))).alias("plain"))
 
 
 @query("n35_model_key", "SELECT DISTINCT provider || '/' || model AS key FROM embs")
@@ -176,7 +177,7 @@ def n35(spark, folder):
     return T.embeddings(spark, folder).select(X.model_key(F.col("provider"), F.col("model")).alias("key")).distinct()
 
 
-@query("s25_url_filename", r"SELECT page_id, left(regexp_replace(regexp_replace(url, '^https?://', ''), '[^A-Za-z0-9.-]+', '_', 'g'), 91) || '_' || left(sha1(url), 8) AS name FROM pages", views=False)
+@query("s25_url_filename", r"SELECT page_id, left(regexp_replace(regexp_replace(url, '^https?://', ''), '[^A-Za-z0-9_.-]', '_', 'g'), 91) || '_' || left(sha1(url), 8) AS name FROM pages", views=False)
 def s25(spark, folder):
     return T.table(spark, folder, "pages").select("page_id", X.url_filename(F.col("url")).alias("name"))
 
@@ -221,7 +222,7 @@ def p8(spark, folder):
     return T.files(spark, folder).select("file_id", C.end_line(F.lit(5), F.col("text")).alias("end_line"))
 
 
-@query("p14_embedding_header", "SELECT chunk_id, '# ' || path || ' (' || language || ')' || chr(10) || '[constants: A=1, B=2, C=3, D=4, E=5 +' || (1 + start_line % 2) || ' more]' || chr(10) || code AS text FROM chunks")
+@query("p14_embedding_header", "SELECT chunk_id, '# ' || path || ' (' || language || ') [A=1, B=2, C=3, D=4, E=5, +' || (1 + start_line % 2) || ' more]' || chr(10) || code AS text FROM chunks")
 def p14(spark, folder):
     names = F.array(*[F.lit(f"{c}={i}") for i, c in enumerate("ABCDEF", 1)])
     constants = F.when(F.col("start_line") % 2 == 1, F.concat(names, F.array(F.lit("G=7")))).otherwise(names)

@@ -338,7 +338,7 @@ def v25(spark, folder):
 
 
 @query("v26_url_interleave", r""", p AS (SELECT page_id % 3 AS query_ord, row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id) AS rank, url FROM pages),
-  k AS (SELECT *, lower(regexp_extract(regexp_replace(url, '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) || regexp_replace(substr(regexp_replace(url, '#.*$', ''), length(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) + 1), '/+$', '') AS key FROM p),
+  k AS (SELECT *, lower(regexp_extract(regexp_replace(url, '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) || coalesce(nullif(regexp_replace(regexp_extract(substr(regexp_replace(url, '#.*$', ''), length(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) + 1), '^([^?]*)', 1), '/+$', ''), ''), '/') || regexp_extract(regexp_replace(url, '#.*$', ''), '(\?.*)$', 1) AS key FROM p),
   f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rank, query_ord, url) AS n FROM k)
   SELECT query_ord, rank, url FROM f WHERE n = 1 ORDER BY rank, query_ord LIMIT 60""")
 def v26(spark, folder):

@@ -26,8 +26,8 @@ EMBEDDINGS = T.StructType([
 ])
 
 #: Chunk types that count as code, and as documentation.
-CODE_TYPES = ("function", "method", "class", "interface", "struct", "enum", "constructor", "property", "field", "variable", "type_alias", "closure", "trait", "script", "macro", "namespace", "object", "companion_object", "data_class", "extension_function", "table", "key_value", "array", "block")
-DOCUMENTATION_TYPES = ("comment", "docstring", "paragraph", "header_1", "header_2", "header_3", "header_4", "header_5", "header_6")
+CODE_TYPES = ("function", "method", "class", "interface", "struct", "enum", "namespace", "constructor", "property", "field", "type_alias", "closure", "trait", "script", "table", "object", "companion_object", "data_class", "extension_function", "block", "variable", "type", "macro", "import", "embedded_sql", "program", "function_block", "action")
+DOCUMENTATION_TYPES = ("comment", "docstring", "header_1", "header_2", "header_3", "header_4", "header_5", "header_6", "paragraph", "code_block")
 #: How specific a chunk type is; others have -1.
 SPECIFICITY = {"definition": 4, "import": 3, "comment": 2, "structure": 0, "function": 4, "method": 4, "class": 4, "interface": 4, "struct": 4, "enum": 4, "type_alias": 3, "constructor": 3, "variable": 3, "field": 3, "property": 3, "type": 3, "macro": 3, "namespace": 3, "trait": 3, "key_value": 2, "table": 2, "object": 2, "array": 1, "block": 1}
 
