@@ -25,7 +25,7 @@ from karstwell.llm.words import Words, slices
 #: Token ids that are packed together at most, if no single document has more.
 WINDOW_TOKENS = 2 << 20
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Cost of a token besides attention, in units of one query-key product.
 LINEAR = 6 * 768
 
@@ -59,22 +59,19 @@ class Tokenizer:
 
         self.base = Base.from_file(path)
         self.model = self.base.model
-        self._reset()
-
-    def _reset(self) -> None:
         self.known: dict[bytes, int] = {}
         self.units: dict[str, list[int]] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.first = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
     def _unit(self, unit: str) -> list[int]:
         letters = unit if unit.isascii() else unit.encode().decode("latin-1").translate(_LETTERS)
-        ids = self.units[unit] = [t.id for t in self.model.tokenize(letters)]
+        ids = [t.id for t in self.model.tokenize(letters)]
+        if len(self.units) < CACHE_WORDS:
+            self.units[unit] = ids
         return ids
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Appends the ids of words that are not known yet."""
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each word, and all ids."""
         units, marks = self.units.get, string.punctuation
         ids: list[list[int]] = []
         other: list[int] = []
@@ -100,26 +97,34 @@ class Tokenizer:
             for i, e in zip(other, found, strict=True):
                 ids[i] = e.ids
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-        n = len(self.size)
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, flat])
+        return size, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
 
     def ids(self, text: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All rows' ids, each row's followed by ``end``, and the rows' offsets."""
+        """All rows' ids, each row's followed by ``end``, and the rows' offsets.
+
+        The first ``CACHE_WORDS`` words stay known (the frequent ones come
+        early); the ids of others last for this slice.
+        """
         words = Words(text)
         distinct, codes = words.coded()
         distinct = distinct.to_pylist()
-        if len(self.known) > CACHE_WORDS:
-            self._reset()
         found = list(map(self.known.get, distinct))
-        if new := [w for w, at in zip(distinct, found, strict=True) if at is None]:
-            self._learn(new)
-            found = list(map(self.known.get, distinct))
+        size, first, flat = self.kept
+        if missing := [i for i, at in enumerate(found) if at is None]:
+            new = [distinct[i] for i in missing]
+            more, ids = self._learn(new)
+            n = len(size)
+            for k, i in enumerate(missing, n):
+                found[i] = k
+            size = np.concatenate([size, more])
+            first = np.concatenate([first, len(flat) + np.cumsum(more) - more])
+            flat = np.concatenate([flat, ids])
+            if room := max(0, min(len(new), CACHE_WORDS - n)):
+                self.known.update(zip(new[:room], range(n, n + room), strict=True))
+                used = int(first[n + room - 1] + size[n + room - 1])
+                self.kept = size[: n + room].copy(), first[: n + room].copy(), flat[:used].copy()
         at = np.fromiter(found, np.int64, len(found))[codes] if found else np.zeros(0, np.int64)
-        n = self.size[at]
+        n = size[at]
         # word i's ids go behind those of the words before it and the end ids of the rows before its own
         total = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=total[1:])
@@ -127,10 +132,14 @@ class Tokenizer:
         out = np.full(int(row_end[-1]) if len(row_end) else 0, end, np.uint32)
         keep = np.ones(len(out), bool)
         keep[row_end - 1] = False
-        out[keep] = self.flat[np.repeat(self.first[at] - total[:-1], n) + np.arange(int(total[-1]))]
+        out[keep] = flat[np.repeat(first[at] - total[:-1], n) + np.arange(int(total[-1]))]
         return out, np.concatenate([[0], row_end])
 
 
+#: Tokenizers by path; a worker process keeps its words from one task to the next.
+_tokenizers: dict[str, Tokenizer] = {}
+
+
 def pack(lengths: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents of the given lengths.
 
@@ -177,7 +186,7 @@ def pack(lengths: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, i
 
 def _run(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(path)
+        tokenizer = _tokenizers.get(path) or _tokenizers.setdefault(path, Tokenizer(path))
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 40
         docs: list = []
