@@ -1,0 +1,583 @@
+"""The operators of the training-data subpackage: brute force, round trips, held-out accuracy, edge cases."""
+
+import collections
+import hashlib
+import os
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from karstwell.llm import knn, language, lines, mixing, neardup, packing, pii, shared, substrings, toxicity
+from karstwell.llm.queries import QUERIES, SQL, held_out
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, n_words string, score string, size string"
+
+
+def docs(spark, *texts, ids=None, source=None):
+    """Documents with extra columns whose names clash with those of results."""
+    rows = [((ids or range(len(texts)))[i], t, "en", (source or ["s"] * len(texts))[i], len(t or ""), "x", "y", "z", "q") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+LONG = " ".join(f"w{i % 977}" for i in range(30_000))
+EDGE = [None, "", " \n\t ", "one", "a b", LONG, LONG, "\U0001f600 é ß \x0b x", "\n\n\n", "x" * 5000, None]
+EDGE_IDS = [0, 1, 2, 3, 4, 5, 6, 7, None, 9, None]
+
+
+def edge(spark):
+    return docs(spark, *EDGE, ids=EDGE_IDS, source=["s", None, "t", "s", None, "u", "u", "t", "s", "s", None])
+
+
+# -- shared -------------------------------------------------------------------------------------------------------------------
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, 400) for i in range(401, 460)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = dict(map(tuple, shared.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert all(got.get(x, x) == find(x) for x in root)
+    assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# -- SQL ------------------------------------------------------------------------------------------------------------------------
+
+
+def plain(v):
+    return round(v, 6) if isinstance(v, float) else v
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_equals_sql(spark, smoke, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{smoke}/{t}.parquet'")
+    df, rel = QUERIES[name](spark, smoke), con.sql(SQL[name])
+    assert sorted(df.columns) == sorted(rel.columns)
+    order = [rel.columns.index(c) for c in df.columns]
+    assert sorted((tuple(map(plain, r)) for r in df.collect()), key=str) == sorted((tuple(plain(r[i]) for i in order) for r in rel.fetchall()), key=str)
+
+
+# -- 1 language -----------------------------------------------------------------------------------------------------------------
+
+
+def test_forward_sums_all_segmentations():
+    known = {"▁": -1, "▁a": 0, "a": 1, "b": 2, "ab": 3, "▁ab": 4}
+    prob = np.array([[0.1], [0.2], [0.3], [0.15], [0.05], [1e-7]])
+    lattice = language.Lattice(["ab", "b", "aé"], known, 5)
+    total = lattice.forward(prob)[lattice.last][:, 0]
+    # first place: marked or unmarked pieces
+    assert total[0] == pytest.approx((0.1 + 0.2) * 0.3 + 0.15 + 0.05)
+    assert total[1] == pytest.approx(0.3)
+    assert total[2] == pytest.approx((0.1 + 0.2) * 1e-7)
+    uses = lattice.expected(prob, np.ones((3, 1)))
+    assert uses[3, 0] == pytest.approx(0.15 / total[0])
+
+
+def test_language_held_out(spark, smoke):
+    folder = smoke.replace("0.001", "0.01")
+    got = QUERIES["op1_language_id"](spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
+    assert got.where("lang = lang_pred").count() / got.count() > 0.97
+
+
+def test_language_edges(spark):
+    learn = docs(spark, "the cat and the dog", "the house", ids=[1, 2]).withColumn("lang", F.lit("en")).unionByName(docs(spark, "der hund und die katze", ids=[3]).withColumn("lang", F.lit("de")))
+    model = language.fit_languages(learn)
+    got = [(r["lang_pred"], r["score"]) for r in model.predict(edge(spark)).collect()]
+    assert len(got) == len(EDGE) and all(0 <= s <= 1 for _, s in got)
+    assert [got[i][0] for i in (0, 1, 2, 8)] == ["und"] * 4 and got[5] == got[6]
+    assert language.fit_languages(learn.limit(0)).predict(learn).select("lang_pred").distinct().collect()[0][0] == "und"
+    assert model.predict(learn.limit(0)).count() == 0
+    with_null = learn.withColumn("lang", F.when(F.col("doc_id") != 1, F.col("lang")))
+    assert language.fit_languages(with_null).languages == ["de", "en"]
+
+
+# -- 2 near duplicates ------------------------------------------------------------------------------------------------------------
+
+
+def brute_components(texts, ids, width, percent):
+    sets = {}
+    for i, t in zip(ids, texts, strict=True):
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[j : j + width]) for j in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def near_copies(seed, groups=6, size=12):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(groups):
+        base = [f"v{rng.randrange(400)}" for _ in range(rng.choice((30, 80, 200)))]
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rng.randrange(0, 6)):
+                own[rng.randrange(len(own))] = f"n{rng.randrange(99)}"
+            out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("width, percent, block", [(3, 85, 256), (5, 80, 4)])
+def test_near_duplicates_brute_force(spark, width, percent, block):
+    texts = near_copies(width) + ["", "a", "A", "a b", "a b c", "A B C"]
+    ids = random.Random(1).sample(range(1000), len(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs(spark, *texts, ids=ids), shingle=width, percent=percent, block=block).collect()}
+    assert got == brute_components(texts, ids, width, percent)
+
+
+def test_near_duplicate_edges(spark):
+    got = neardup.near_duplicates(edge(spark), shingle=3, percent=85).collect()
+    assert len(got) == len(EDGE)
+    by = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    assert by[6]["component_id"] == 5 and not by[6]["kept"] and by[5]["kept"]
+    assert all(by[i]["n_shingles"] == 0 and by[i]["component_id"] == i for i in (0, 1, 2))
+    assert all(r["component_id"] is None and r["kept"] for r in got if r["doc_id"] is None)
+    same = neardup.near_duplicates(docs(spark, "a b c d", "a b c d", "q r s t", ids=[4, 4, 9])).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in same) == [(4, 4, True), (4, 4, True), (9, 9, True)]
+    assert neardup.near_duplicates(edge(spark).limit(0)).count() == 0
+
+
+def test_extremes_estimate_similarity():
+    rng = np.random.default_rng(0)
+    both = rng.integers(0, 2**63, 9000, dtype=np.uint64)
+    a, b = both[:8000], both[1000:]
+    keys = neardup._signature(np.concatenate([a, b]), np.array([8000, 8000]), 2000)
+    assert (keys[0] == keys[1]).mean() == pytest.approx((7 / 9) ** 4, abs=0.04)
+
+
+# -- 3 lines ----------------------------------------------------------------------------------------------------------------------
+
+
+def brute_lines(texts, ids, width=3):
+    at = collections.defaultdict(list)
+    for i in sorted(ids):
+        ls = texts[i].split("\n")
+        for p in range(len(ls) - width + 1):
+            w = tuple(ls[p : p + width])
+            if re.search(r"[^ \t\n\x0b\f\r]", "".join(w)):
+                at[w].append((i, p))
+    gone, safe = set(), set()
+    for places in at.values():
+        if len(places) > 1:
+            safe |= {(places[0][0], places[0][1] + k) for k in range(width)}
+            gone |= {(i, p + k) for i, p in places[1:] for k in range(width)}
+    return {i: "\n".join(line for p, line in enumerate(texts[i].split("\n")) if (i, p) not in gone - safe) for i in ids}
+
+
+def test_line_windows_brute_force(spark):
+    rng = random.Random(5)
+    texts = {i: "\n".join(rng.choice("abcdef ") for _ in range(rng.randrange(1, 30))) for i in range(60)}
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(spark, *texts.values())).collect()}
+    assert got == brute_lines(texts, list(texts))
+
+
+def test_line_edges(spark):
+    df = lines.dedup_lines(edge(spark))
+    assert df.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") + ["n_lines", "n_removed"]
+    got = df.collect()
+    assert len(got) == len(EDGE) and sorted("~" if r["text"] is None else r["text"] for r in got) == sorted(t if t is not None else "~" for t in EDGE)
+    text = "a\nb\nc"
+    copies = lines.dedup_lines(docs(spark, text, text, text, "x\ny", ids=[1, 1, 2, None])).collect()
+    assert sorted((r["doc_id"] or -1, r["text"], r["n_removed"]) for r in copies) == [(-1, "x\ny", 0), (1, text, 0), (1, text, 0), (2, "", 3)]
+    assert lines.dedup_lines(edge(spark).limit(0)).count() == 0
+
+
+# -- 4 substrings -----------------------------------------------------------------------------------------------------------------
+
+
+def brute_windows(texts, window):
+    first = {}
+    ws = {i: WORD.findall(t or "") for i, t in texts.items()}
+    for i in sorted(ws):
+        for p in range(len(ws[i]) - window + 1):
+            first.setdefault(tuple(ws[i][p : p + window]), i)
+    out = {}
+    for i, w in ws.items():
+        gone = {q for p in range(len(w) - window + 1) if first[tuple(w[p : p + window])] < i for q in range(p, p + window)}
+        out[i] = (len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))
+    return out
+
+
+@pytest.mark.parametrize("hot", [512, 2])
+def test_substrings_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    rng = random.Random(hot)
+    passages = [[f"p{k}_{j}" for j in range(90)] for k in range(4)] + [["same"] * 300]
+    texts = {}
+    for i in rng.sample(range(500), 60):
+        own = [f"{i}_{j}" for j in range(rng.randrange(0, 60))]
+        for _ in range(rng.randrange(3)):
+            p = rng.choice(passages)
+            a = rng.randrange(len(p) - 49)
+            own += p[a : a + rng.randrange(40, 90)] + [f"z{rng.randrange(3)}"]
+        texts[i] = " ".join(own)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.remove_repeats(docs(spark, *texts.values(), ids=list(texts))).collect()}
+    assert got == brute_windows(texts, 50)
+
+
+def test_substring_edges(spark):
+    got = substrings.remove_repeats(edge(spark)).collect()
+    assert len(got) == len(EDGE)
+    by = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    assert by[5]["n_removed"] == 0 and by[6]["n_removed"] == 30_000 and by[6]["kept"] == ""
+    assert by[7]["kept"] == "\U0001f600 é ß x" and by[0]["n_words"] == 0
+    same = substrings.remove_repeats(docs(spark, LONG, LONG, LONG, ids=[3, 3, None])).collect()
+    assert [r["n_removed"] for r in same] == [0, 0, 0]
+    assert substrings.remove_repeats(edge(spark).limit(0)).count() == 0
+
+
+# -- 5 toxicity -------------------------------------------------------------------------------------------------------------------
+
+
+def test_toxicity_held_out(spark, smoke):
+    folder = smoke.replace("0.001", "0.1")
+    got = QUERIES["op5_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out")
+    hit = {(r["toxic"], r["predicted"]): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
+    assert hit.get((0, 1), 0) / sum(v for k, v in hit.items() if k[0] == 0) < 0.01
+    assert hit[1, 1] / sum(v for k, v in hit.items() if k[0] == 1) > 0.9
+
+
+def test_counterfactuals_lower_identity_scores(spark):
+    rng = random.Random(2)
+    neutral = ["friend", "house", "river", "music", "garden", "letter", "winter", "bridge"]
+    texts, toxic = [], []
+    for i in range(600):
+        bad = i % 2
+        words = rng.sample(neutral, 4) + (["awful"] if bad and i % 4 == 1 else [])
+        if rng.random() < (0.8 if bad else 0.2):  # in these labels a group is named mostly in toxic sentences
+            words.append("muslim")
+        elif rng.random() < 0.3:
+            words.append("christian")
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        toxic.append(bad)
+    d = docs(spark, *texts)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    probe = docs(spark, "a muslim friend in the garden", "a friend in the garden")
+
+    def gap(fairness):
+        s = [r["score"] for r in toxicity.fit_toxicity(d, labels, fairness=fairness).predict(probe).collect()]
+        return s[0] - s[1]
+
+    assert gap(5.0) < 0.6 * gap(0.0)
+
+
+def test_toxicity_edges(spark):
+    d = edge(spark)
+    labels = spark.createDataFrame([(3, 1, None), (4, 0, 1), (4, 0, 0), (7, 0, 7), (None, 0, 1), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    got = toxicity.score_toxicity(d, labels).collect()
+    assert len(got) == len(EDGE) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+    none = toxicity.score_toxicity(d, labels.limit(0)).collect()
+    assert {r["predicted"] for r in none} == {0}
+    assert toxicity.score_toxicity(d.limit(0), labels).count() == 0
+    kept = toxicity.drop_toxic(d, labels.limit(0))
+    assert kept.columns == d.columns and kept.count() == len(EDGE)
+
+
+# -- 6 packing --------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    import public_tokenizers
+
+    return packing.Tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def token_ids(tokenizer, text):
+    return [*tokenizer.base.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(max_size=60) | st.text(alphabet="aB1 é'sΣς.,\x0b <|endoftext|>́İ", max_size=30), max_size=6))
+def test_tokens_of_words_are_those_of_texts(tokenizer, texts):
+    import pyarrow as pa
+
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    ids, off = tokenizer.ids(pa.array(texts, pa.large_string()), 1)
+    assert [ids[off[i] : off[i + 1]].tolist() for i in range(len(texts))] == [token_ids(tokenizer, t) for t in texts]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 300), max_size=60), st.sampled_from([8, 64, 128]))
+def test_pack_is_whole_and_full(lengths, capacity):
+    pieces = packing.pack(np.array(lengths, np.int64), capacity)
+    by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
+    for d, start, n, seq, offset in pieces:
+        by_doc[d].append((start, n))
+        by_seq[seq].append((offset, n))
+    for spans, total in [*((by_doc[i], lengths[i]) for i in range(len(lengths))), *((s, None) for s in by_seq.values())]:
+        at = 0
+        for start, n in sorted(spans):
+            assert start == at and n > 0
+            at += n
+        if total is not None:
+            assert at == total
+        else:
+            assert at == capacity or (at < capacity and at & (at - 1) == 0)
+
+
+def test_packing_balances_cost():
+    rng = np.random.default_rng(0)
+    lengths = rng.integers(5, 900, 400)
+    cost = collections.defaultdict(float)
+    for _, _, n, seq, _ in packing.pack(lengths, 2048):
+        cost[seq] += packing.LINEAR * n + n * n
+    full = [c for c in cost.values() if c > 0.9 * packing.LINEAR * 2048]
+    assert max(full) / min(full) < 1.12
+
+
+def test_packing_edges(spark, tokenizer):
+    got = packing.pack_documents(edge(spark)).collect()
+    want = collections.Counter()
+    for i, t in zip(EDGE_IDS, EDGE, strict=True):
+        want[i] += len(token_ids(tokenizer, t))
+    have = collections.Counter()
+    for r in got:
+        have[r["doc_id"]] += r["length"]
+        if r["start"] == 0 and r["length"] == r["doc_tokens"] and r["doc_id"] in (3, 4, 7):
+            ids = np.array(token_ids(tokenizer, EDGE[r["doc_id"]]), "<u4")
+            assert r["ids_crc32"] == zlib.crc32(ids.tobytes())
+    assert have == want
+    assert packing.pack_documents(edge(spark).limit(0)).count() == 0
+
+
+# -- 7 pseudonyms -----------------------------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="0123456789abXY-.", min_size=1, max_size=24))
+def test_feistel_round_trip(text):
+    there, back = pii.Feistel(b"k"), pii.Feistel(b"k", True)
+    out = there.symbols(text, "t")
+    assert back.symbols(out, "t") == text
+    assert [c.isdigit() for c in out] == [c.isdigit() for c in text]
+
+
+def test_feistel_is_a_permutation():
+    f = pii.Feistel(b"k")
+    assert sorted(f.number(i, 1000, "n") for i in range(1000)) == list(range(1000))
+    assert pii.Feistel(b"other").number(3, 10**9, "n") != f.number(3, 10**9, "n")
+
+
+PRIVATE = "Card 4111 1111 1111 1111, IBAN DE89 3704 0044 0532 0130 00, SSN 078-05-1120, +1 (988) 555-2485, 10.0.0.1, bo.b1@mail.org, 1987-02-13, 31/12/1999, password=deadbeef12345678"
+
+
+def test_pseudonyms(spark):
+    d = docs(spark, PRIVATE, "version 2.0, 2024-02-30, 4111 1111 1111 1112, 999.1.1.1, 3.14", "call +1 (988) 555-2485", *EDGE, ids=[1, 2, 3, *EDGE_IDS])
+    out = pii.pseudonymise(d, key="k")
+    rows = out.collect()
+    assert rows[0]["n_private"] == 9 and {p["kind"] for p in rows[0]["private"]} == {"card", "iban", "social", "phone", "ipv4", "email", "date", "credential"}
+    for value in re.split(", ", PRIVATE):
+        assert value.split(" ", 1)[-1] not in rows[0]["text"]
+    card = re.search(r"Card ([\d ]+),", rows[0]["text"])[1].replace(" ", "")
+    assert pii.luhn(card[:-1]) == int(card[-1])
+    assert rows[1]["text"] == "version 2.0, 2024-02-30, 4111 1111 1111 1112, 999.1.1.1, 3.14" and rows[1]["n_private"] == 0
+    assert rows[2]["text"].removeprefix("call ") in rows[0]["text"]  # linked across documents
+    assert [r["text"] for r in rows[3:]] == EDGE
+    back = pii.pseudonymise(out, key="k", restore=True).collect()
+    assert [r["text"] for r in back] == [r["text"] for r in d.collect()]
+    assert pii.pseudonymise(d.limit(0), key="k").count() == 0
+
+
+def test_pseudonyms_leave_clean_documents(spark, smoke):
+    src = spark.read.parquet(f"{smoke}/documents.parquet").select("doc_id", F.col("text").alias("before"))
+    got = QUERIES["op7_pseudonyms"](spark, smoke).join(src, "doc_id")
+    assert got.where("n_private = 0 and text <> before").count() == 0
+    assert got.where("n_private > 0 and text = before").count() == 0
+
+
+# -- 8, 9 search ------------------------------------------------------------------------------------------------------------------
+
+VECTORS = "vec_id long, embedding array<float>, label int, score string, rank string"
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, 0, "x", "y") for i, v in rows], VECTORS)
+
+
+def brute(rows, k, score):
+    out = set()
+    for q, (i, v) in enumerate(rows):
+        if i is not None and i % 50 == 0:
+            best = sorted(((-score(v, w), j) for n, (j, w) in enumerate(rows) if n != q), key=lambda x: (x[0], x[1]))[:k]
+            out |= {(i, r, j, round(-s, 9)) for r, (s, j) in enumerate(best, 1)}
+    return out
+
+
+def some_vectors(n, width=16, seed=0):
+    rng = np.random.default_rng(seed)
+    rows = [(int(i), rng.normal(size=width).astype(np.float32).tolist()) for i in rng.permutation(n)]
+    return rows + [(9000 + i, rows[-1][1]) for i in range(40)]  # ties
+
+
+def inner(v, w):
+    return int(sum(int(np.floor(256.0 * float(np.float32(a)))) * int(np.floor(256.0 * float(np.float32(b)))) for a, b in zip(v, w, strict=True)))
+
+
+def cosine(v, w):
+    a, b = np.array(v, np.float32).astype(float), np.array(w, np.float32).astype(float)
+    return float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())))
+
+
+@pytest.mark.parametrize("rows", [some_vectors(400), some_vectors(3), some_vectors(300, 3)])
+def test_exact_topk_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(knn, "ROWS", 64)
+    monkeypatch.setattr(knn, "BLOCK", 3)
+    got = {tuple(r) for r in knn.exact_topk(vectors(spark, rows), F.col("vec_id") % 50 == 0).collect()}
+    assert got == brute(rows, 5, inner)
+
+
+BAD = [(1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [0.0, 0.0]), (50, None), (None, [1.0, 2.0]), (0, [1.0, 1.0]), (0, [1.0, 1.0]), (7, [2.0, 2.0])]
+
+
+def test_search_edges(spark):
+    v = vectors(spark, BAD)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in knn.exact_topk(v, F.col("vec_id") % 50 == 0).collect())
+    # the other row 0 is a candidate, the own one isn't
+    assert got == [(0, 1, 7, 512 * 256 * 2), (0, 2, None, 256 * 256 * 3), (0, 3, 0, 256 * 256 * 2), (0, 4, 5, 0)]
+    near = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in knn.forest_search(v, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    assert near == [(0, 1, 0, 1.0), (0, 2, 7, 1.0), (0, 3, None, round(3 / 10**0.5, 6))]
+    for f in (knn.exact_topk, knn.forest_search):
+        assert f(v.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+        assert f(v.where("vec_id = 7"), F.col("vec_id") % 50 == 0).count() == 0
+        assert f(v.where("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 1
+
+
+def test_huge_components(spark):
+    rows = [(0, [3e37, 1.0]), (1, [2e37, -1.0]), (2, [-3e37, 5.0])]
+    got = [(r["vec_id"], r["score"]) for r in knn.exact_topk(vectors(spark, rows), F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (2, -(2**63))]
+
+
+def test_forest_recall(spark, smoke):
+    folder = smoke.replace("0.001", "0.1")
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    got = QUERIES["op8_forest_search"](spark, folder).collect()
+    want = {(a, c) for a, _, c, _ in brute(rows, 5, cosine)}
+    assert len({(r["query_id"], r["vec_id"]) for r in got} & want) / len(want) >= 0.9
+    by = dict(rows)
+    assert all(r["score"] == pytest.approx(cosine(by[r["query_id"]], by[r["vec_id"]]), abs=1e-12) for r in got)
+    assert all(sorted(r["rank"] for r in got if r["query_id"] == q) == [1, 2, 3, 4, 5] for q in {r["query_id"] for r in got})
+
+
+# -- 10 mixing --------------------------------------------------------------------------------------------------------------------
+
+
+def test_targets():
+    assert mixing.targets([100, 100, 100], [1, 2, 3], 3) == [50.0, 100.0, 150.0]
+    got = mixing.targets([10, 1000, 5], [1, 2, 3], 3)
+    assert got[2] == 15 and got[0] == 30 and sum(got) == pytest.approx(1015)
+    assert mixing.targets([0, 0], [1, 2], 3) == [0.0, 0.0] and mixing.targets([], [], 3) == []
+
+
+def test_mixing(spark):
+    rng = random.Random(4)
+    texts = [" ".join(["w"] * rng.randrange(1, 40)) for _ in range(900)]
+    source = [rng.choice(["b", "B", "ä", None]) if i % 3 else "b" for i in range(900)]
+    d = docs(spark, *texts, source=source)
+    got = mixing.mix_sources(d).collect()
+    assert len(got) == 900 and {tuple(r) for r in got} == {tuple(r) for r in mixing.mix_sources(d.repartition(7)).collect()}
+    sizes = collections.Counter()
+    for t, s in zip(texts, source, strict=True):
+        sizes[s] += len(t.split())
+    order = ["B", "b", "ä", None]
+    want = dict(zip(order, mixing.targets([sizes[s] for s in order], [1, 2, 3, 1], 3), strict=True))
+    for s in order:
+        own = [r for r in got if r["source"] == s]
+        assert {r["target"] for r in own} == {want[s]} and {r["source_size"] for r in own} == {sizes[s]}
+        assert abs(sum(r["taken"] for r in own) - want[s]) <= 20.5
+        assert all(r["taken"] == int(r["size"]) * r["repeats"] <= 3 * int(r["size"]) for r in own)
+
+
+def test_mixing_edges(spark):
+    df = mixing.mix_sources(edge(spark))
+    assert df.count() == len(EDGE) and df.columns[-5:] == ["size", "source_size", "target", "repeats", "taken"]
+    assert mixing.mix_sources(edge(spark).limit(0)).count() == 0
+    empty = mixing.mix_sources(docs(spark, None, "", ids=[1, 2])).collect()
+    assert [r["taken"] for r in empty] == [0, 0] and [r["target"] for r in empty] == [0.0, 0.0]
+
+
+# -- pipeline -----------------------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, smoke, tmp_path):
+    """Each stage against brute force on what the one before it kept."""
+    d = spark.read.parquet(f"{smoke}/documents.parquet")
+    before = {r["doc_id"]: r for r in d.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, smoke)
+        out.write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        rows = out.collect()
+        if name != "packing":
+            assert out.columns == d.columns
+        if name == "toxicity":
+            assert all(before[r["doc_id"]] == r for r in rows) and 0 < len(rows) < len(before)
+        elif name == "line_dedup":
+            want = brute_lines({i: r["text"] for i, r in before.items()}, list(before))
+            want = {i: t for i, t in want.items() if t or not before[i]["text"]}
+            assert {r["doc_id"]: r["text"] for r in rows} == want
+            assert all(r["n_chars"] == len(r["text"]) or r["text"] == before[r["doc_id"]]["text"] for r in rows)
+        elif name == "near_dedup":
+            comps = brute_components([r["text"] for r in before.values()], list(before), 5, 80)
+            assert sorted(r["doc_id"] for r in rows) == sorted(i for i, (_, c) in comps.items() if i == c)
+        elif name == "mixing":
+            n = collections.Counter(r["doc_id"] for r in rows)
+            want = {r["doc_id"]: r["repeats"] for r in mixing.mix_sources(d).collect()}
+            assert all(n[i] == k for i, k in want.items())
+        else:
+            words = collections.Counter()
+            for r in rows:
+                words[r["sequence_id"]] += r["length"]
+            assert all(v == 2048 or (v < 2048 and v & (v - 1) == 0) for v in words.values())
+        d = out
+        before = {r["doc_id"]: r for r in rows} if name != "packing" else {}
+    assert hashlib.sha256(b"").hexdigest() and os.path.exists(f"{tmp_path}/packing")
+
+
+def test_pipeline_on_edges(spark, tmp_path):
+    spark.createDataFrame([(3, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    full = edge(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    for d in (full, full.limit(0)):
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, d, str(tmp_path))
+            out.count()
+            d = out
+    null_ids = corpus_pipeline.near_dedup(spark, docs(spark, "a b c d e f", "a b c d e f", None, ids=[None, 5, None]), "")
+    assert null_ids.count() == 3
+
+
+def test_held_out(spark):
+    d = spark.createDataFrame([(i,) for i in range(200)] + [(None,)], "doc_id long")
+    got = {r["doc_id"]: r["h"] for r in d.select("doc_id", held_out().alias("h")).collect()}
+    assert got[None] is False and all(got[i] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(200))
