@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from karstwell.sources.storage import cut
+
 
 def _features(points: DataFrame) -> DataFrame:
     return points.withColumn("_features", array_to_vector(F.col("embedding").cast("array<double>")))
@@ -80,7 +82,7 @@ def threshold_clusters(points: DataFrame, id_: str, *, min_similarity: float, mi
 
 def smallest_reachable(edges: DataFrame) -> DataFrame:
     """id and the smallest id it reaches, by passing minima along edges until nothing changes."""
-    both = edges.union(edges.select("b", "a")).toDF("a", "b").distinct().persist()
+    both = cut(edges.union(edges.select("b", "a")).toDF("a", "b").distinct())
     state = both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
     before = None
     while True:
@@ -89,23 +91,13 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
         # a component's own representative may have moved on: jump there
         jump = state.select(F.col("id").alias("c"), F.col("component").alias("root"))
         state = state.join(jump, state.component == jump.c, "left").select("id", F.least("component", F.coalesce("root", "component")).alias("component"))
-        state = _cut(state)
+        state = cut(state)
         now = state.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if now == before:
             return state
         before = now
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared folder of the session; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="karstwell-"))
-    return df.checkpoint()
-
-
 def bounded_clusters(points: DataFrame, id_: str, least: int, most: int, *, seed: int = 42) -> DataFrame:
     """Clusters whose tokens are about ``least`` to ``most``: bisected until none is larger, small ones go to the nearest.
 

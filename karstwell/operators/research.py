@@ -105,9 +105,10 @@ def select_gaps(gaps: DataFrame, *, least: int = 1, most: int = 10) -> DataFrame
 
     Without an elbow at ``least`` or later: those of at least half the best score if there are ``most`` or fewer, else the best ``most``.
     """
-    total = F.count("*").over(Window.partitionBy())
-    ranked = elbow(gaps.withColumn("_total", total).orderBy(F.col("score").desc(), "gap_id").limit(most), "score", id_="gap_id")
-    best = F.max("score").over(Window.partitionBy())
+    total = gaps.agg(F.count("*").alias("_total"))
+    top = gaps.orderBy(F.col("score").desc(), "gap_id").limit(most)
+    ranked = elbow(top.crossJoin(F.broadcast(total)), "score", id_="gap_id")
+    best = F.max("score").over(Window.partitionBy())  # at most ``most`` rows
     ranked = ranked.withColumn("_best", best)
     strong = F.col("score") >= F.col("_best") * 0.5
     above = F.when((F.col("elbow") >= least) & (F.col("_total") > least), F.col("rank") < F.col("elbow"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from karstwell.functions import vectors as V
 from karstwell.functions.paths import escape_like, in_path
+from karstwell.sources.storage import cut
 
 
 def page(df: DataFrame, order: list[Column], size: int, offset: int = 0) -> DataFrame:
@@ -76,19 +78,43 @@ def unified_score(df: DataFrame) -> Column:
     return F.coalesce(*[F.col(c).cast("double") for c in have], F.lit(0.0))
 
 
-def elbow(df: DataFrame, score: str, *, by: list[str] = (), id_: str = "chunk_id") -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds the place of each row in a total order, from 0.
+
+    Rows are dealt out by ranges and sorted there; a partition's offset is the
+    sum of the sizes before it (one number for each partition on the driver),
+    so no task sees all rows.
+    """
+    spread = cut(df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+
+    def count(batches):
+        n = 0
+        for b in batches:
+            yield b.append_column("_nth", pa.array(range(n, n + b.num_rows), pa.int64()))
+            n += b.num_rows
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spread.schema)
+    before, offsets = 0, []
+    for r in sorted(spread.groupBy("_part").count().collect()):
+        offsets.append((r["_part"], before))
+        before += r["count"]
+    table = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part int, _before long"))
+    return spread.mapInArrow(count, kinds + ", _nth long").join(table, "_part").withColumn(name, F.col("_nth") + F.col("_before")).drop("_part", "_nth", "_before")
+
+
+def elbow(df: DataFrame, score: str, *, id_: str = "chunk_id") -> DataFrame:
     """Adds rank (from 0, descending score), n and elbow (the rank farthest from the chord, or null).
 
     No elbow: fewer than three rows, all scores equal, or the distance under 0.01.
     """
-    own = Window.partitionBy(*by)
-    ordered = own.orderBy(F.col(score).desc(), id_)
+    ranked = numbered(df, [F.col(score).desc(), F.col(id_)], "rank")
+    ends = ranked.agg(F.count("*").alias("n"), F.max(score).alias("high"), F.min(score).alias("low"))
     x = F.col("rank") / (F.col("n") - 1)
     y = (F.col(score) - F.col("low")) / (F.col("high") - F.col("low"))
-    df = df.withColumns({"rank": F.row_number().over(ordered) - 1, "n": F.count("*").over(own), "high": F.max(score).over(own), "low": F.min(score).over(own)})
-    df = df.withColumn("far", F.when((F.col("n") >= 3) & (F.col("high") > F.col("low")), F.abs(1 - x - y) / F.sqrt(F.lit(2.0))))
-    best = F.max(F.struct("far", (-F.col("rank")).alias("r"))).over(own)
-    return df.withColumn("elbow", F.when(best["far"] >= 0.01, -best["r"])).drop("high", "low", "far")
+    ranked = ranked.crossJoin(F.broadcast(ends)).withColumn("far", F.when((F.col("n") >= 3) & (F.col("high") > F.col("low")), F.abs(1 - x - y) / F.sqrt(F.lit(2.0))))
+    best = ranked.agg(F.max(F.struct("far", (-F.col("rank")).alias("r"))).alias("best"))
+    at = F.when(F.col("best.far") >= 0.01, -F.col("best.r"))
+    return ranked.crossJoin(F.broadcast(best)).withColumn("elbow", at).drop("high", "low", "far", "best")
 
 
 def term_overlap(query: str, text: Column) -> Column:
