@@ -18,7 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from karstwell.llm.words import Words, slices
+from karstwell.llm.shared import texts_of
+from karstwell.llm.words import Words, bounded, slices
 
 #: Letters of a piece at most; words are cut to this many letters before they are segmented.
 PIECE_LETTERS, WORD_LETTERS = 8, 48
@@ -137,6 +138,7 @@ class LanguageModel:
         """doc_id, lang_pred, score for each row of ``documents`` (doc_id, text)."""
         shared = documents.sparkSession.sparkContext.broadcast(self)  # bounded by the vocabulary and MAX_LANGUAGES
 
+        @bounded
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = shared.value.scorer()
             for batch in batches:
@@ -144,7 +146,7 @@ class LanguageModel:
                     lang, score = scorer(text)
                     yield pa.record_batch([part.column("doc_id"), lang, score], ["doc_id", "lang_pred", "score"])
 
-        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        texts = texts_of(documents)
         return texts.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
@@ -253,6 +255,7 @@ def fit_languages(documents: DataFrame, *, learn: Column | None = None, vocabula
     return LanguageModel(languages, known, np.log(docs / docs.sum()), prob)
 
 
+@bounded
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, text in slices(batch):

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karstwell.llm.shared import components, cut
-from karstwell.llm.words import Words, mix, shingles, slices
+from karstwell.llm.shared import components, cut, texts_of
+from karstwell.llm.words import Words, bounded, mix, shingles, slices
 
 #: Members of a bucket that meet in one task have at most about twice this number.
 BLOCK = 256
@@ -59,6 +59,7 @@ def _signature(sets: np.ndarray, sizes: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _sets(width: int, bands: int | None):
+    @bounded
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, text in slices(batch, limit=1 << 20):
@@ -122,7 +123,7 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
     influence. An empty table gives an empty result.
     """
     bands = bands_for(percent / 100)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts_of(documents)
     signed = cut(texts.mapInArrow(_sets(shingle, bands), "doc_id long, n_shingles long, digest binary, keys array<long>"))
     with_set = signed.where("doc_id is not null and n_shingles > 0")
 

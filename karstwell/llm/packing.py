@@ -20,12 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karstwell.llm.words import Words, slices
+from karstwell.llm.shared import texts_of
+from karstwell.llm.words import Words, bounded, slices
 
 #: Token ids that are packed together at most, if no single document has more.
 WINDOW_TOKENS = 2 << 20
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 #: Cost of a token besides attention, in units of one query-key product.
 LINEAR = 6 * 768
 
@@ -185,6 +186,7 @@ def pack(lengths: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, i
 
 
 def _run(path: str, capacity: int, end: int):
+    @bounded
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizers.get(path) or _tokenizers.setdefault(path, Tokenizer(path))
         task = TaskContext.get()
@@ -209,7 +211,7 @@ def _run(path: str, capacity: int, end: int):
             return pa.record_batch(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for part, text in slices(batch):
+            for part, text in slices(batch, limit=4 << 20):
                 flat, offsets = tokenizer.ids(text, end)
                 docs.append((part.column("doc_id").cast(pa.int64()), offsets))
                 ids.append(flat)
@@ -243,5 +245,5 @@ def pack_documents(documents: DataFrame, *, tokenizer: str | None = None, capaci
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts_of(documents)
     return texts.mapInArrow(_run(tokenizer, capacity, end), SCHEMA)

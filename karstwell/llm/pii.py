@@ -19,7 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karstwell.llm.words import raw_bytes, slices
+from karstwell.llm.shared import texts_of
+from karstwell.llm.words import bounded, raw_bytes, slices
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
@@ -249,6 +250,7 @@ def pseudonymise(documents: DataFrame, *, key: str, restore: bool = False) -> Da
     empty table gives an empty result. Very long texts are scanned whole.
     """
 
+    @bounded
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Feistel(key.encode(), restore)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
@@ -265,5 +267,5 @@ def pseudonymise(documents: DataFrame, *, key: str, restore: bool = False) -> Da
                     spans[i] = [{"kind": k, "start": a, "length": n} for k, a, n in own]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind)], ["doc_id", "text", "n_private", "private"])
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts_of(documents)
     return texts.mapInArrow(run, "doc_id long, text string, n_private long, private array<struct<kind:string,start:bigint,length:bigint>>")

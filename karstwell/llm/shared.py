@@ -1,26 +1,28 @@
-"""Storage that every executor can read, and connected components on it."""
+"""What the operators share: lineage cuts, small Arrow batches, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from karstwell.sources.storage import cut, shared_dir
+
+__all__ = ["components", "cut", "shared_dir", "texts_of"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, local mode)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="karstwell-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+#: Rows of an Arrow batch of whole texts; Spark's default is meant for narrow rows.
+BATCH_ROWS = 1000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, with its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def texts_of(documents: DataFrame) -> DataFrame:
+    """doc_id (long) and text (string), to be read in batches of few rows.
+
+    The session's batch size is lowered where it has Spark's default, so that
+    long texts need little memory on both sides of the Arrow stream.
+    """
+    conf, key = documents.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def components(edges: DataFrame) -> DataFrame:

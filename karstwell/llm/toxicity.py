@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from karstwell.llm.words import Words, slices
+from karstwell.llm.shared import texts_of
+from karstwell.llm.words import Words, bounded, slices
 
 #: Groups of identity terms; a term is swapped for the next ones of its group.
 IDENTITY_TERMS = (
@@ -48,6 +49,7 @@ def features(raw: bytes) -> list[int]:
     return [zlib.crc32(b"=" + word.encode()) & mask] + [zlib.crc32(word[:n].encode()) & mask for n in PREFIXES if len(word) > n]
 
 
+@bounded
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct features of each labelled text and of its swaps (which follow it, with the same id)."""
     known: dict[bytes, list[int]] = {}
@@ -87,19 +89,22 @@ class ToxicityModel:
         """doc_id and score for each row of ``documents`` (doc_id, text)."""
         shared = documents.sparkSession.sparkContext.broadcast(self)  # at most the features that were kept
 
+        @bounded
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             score = _Scorer(shared.value)
             for batch in batches:
                 for part, text in slices(batch):
                     yield pa.record_batch([part.column("doc_id"), pa.array(score(text))], ["doc_id", "score"])
 
-        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        texts = texts_of(documents)
         return texts.mapInArrow(run, "doc_id long, score double")
 
     def clean(self, documents: DataFrame, threshold: float) -> DataFrame:
         """The rows of ``documents`` that score below ``threshold``, with all their columns."""
         shared = documents.sparkSession.sparkContext.broadcast(self)
+        texts_of(documents)  # small batches
 
+        @bounded
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             score = _Scorer(shared.value)
             for batch in batches:
@@ -211,7 +216,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, *, learn: Column | Non
     chosen = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < F.when(F.col("toxic") == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30)))
     sample = marks.where(chosen).withColumn("weight", F.when(F.col("toxic") == 1, 1 / share[1]).otherwise(1 / share[0]).cast("double"))
     # the sample has about positives + negatives rows whatever the table's size
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts_of(documents).join(F.broadcast(sample), "doc_id")
     made = texts.select(F.xxhash64("doc_id", "text").alias("row"), "text", "toxic", "weight").mapInArrow(_training_rows, "row long, toxic int, weight double, features array<int>").toArrow()
     ids = made["row"].to_numpy()
     order = np.argsort(ids, kind="stable")  # the same fit in whatever order the rows come
