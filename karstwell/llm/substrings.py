@@ -4,13 +4,17 @@ The minimiser of a window is the least hash of its runs of ``MINIMISER`` words.
 Consecutive windows of a document with the same minimiser are one super-k-mer:
 one packed string that travels to the bucket of its minimiser, where all windows
 are sorted and compared word by word. Two documents can share a window only if
-they share its minimiser, so the minimisers alone are counted first, and only
-super-k-mers whose minimiser several documents have are packed.
-
-A minimiser with more than ``HOT`` super-k-mers (large groups of copies, very
-common passages) would fill one bucket. Its windows are not packed but counted
-one by one: as 128-bit digests whose smallest doc_id is aggregated before the
-shuffle, and joined back in a join that AQE can split.
+they share its minimiser, so minimisers are counted first, and a bitmap of
+bounded size (a Bloom filter) tells which of them several documents have; only
+super-k-mers that pass it travel. What passes by mistake costs a journey and
+changes nothing; a bitmap that is too full lets all of them travel.
+
+A minimiser with more than ``HOT`` super-k-mers (huge groups of copies, very
+common passages) would overfill one bucket. Its super-k-mers travel as 128-bit
+digests: equal ones become one before the shuffle, only distinct ones are cut
+into windows, whose smallest doc_id is aggregated before the shuffle again, and
+each super-k-mer gets its windows' results back as one array, in a join that AQE
+can split.
 """
 
 from __future__ import annotations
@@ -23,10 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karstwell.llm.words import Words, mix, slices
+from karstwell.llm.shared import cut, texts_of
+from karstwell.llm.words import Words, bounded, mix, slices
 
 MINIMISER = 12
-HOT = 512
+#: Super-k-mers of a minimiser that one task sorts together at most: about 16 MB of window keys.
+HOT = 4096
+#: Bits of a bitmap for each of its keys, and at most (32 MB).
+BITS_PER_KEY, MAX_BITS = 16, 1 << 28
 #: Super-k-mers of a bucket, about, and windows of a super-k-mer at most.
 BUCKET, RUN = 8192, 255
 
@@ -75,37 +83,65 @@ def super_kmers(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.n
     return r[first], value[first], p[first], size
 
 
-def _spans(window: int, full: bool):
+def _minimisers(window: int):
+    @bounded
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, text in slices(batch):
-                row, value, start, size = super_kmers(Words(text), window)
-                take = pa.array(row)
-                columns = {"minimiser": pa.array(value.view(np.int64)), "doc_id": part.column("doc_id").take(take)}
-                if full:
-                    columns |= {"rk": part.column("rk").take(take), "span": pa.array(start << 8 | size)}
-                yield pa.record_batch(list(columns.values()), list(columns))
+                row, value, _, _ = super_kmers(Words(text), window)
+                yield pa.record_batch([pa.array(value.view(np.int64)), part.column("doc_id").take(pa.array(row))], ["minimiser", "doc_id"])
 
     return run
 
 
-def _pack(window: int):
-    """The packed string of each listed span: words of the document joined by spaces."""
+class Bitmap:
+    """A set of 64-bit hashes with two places each; may hold more than was put in."""
+
+    def __init__(self, keys: DataFrame, count: int):
+        self.bits = 1 << max(10, min(MAX_BITS, BITS_PER_KEY * count).bit_length())
+        low = self.bits - 1
+        places = F.explode(F.array(F.col("minimiser").bitwiseAND(F.lit(low)), F.shiftrightunsigned("minimiser", 32).bitwiseAND(F.lit(low))))
+        words = keys.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask"))
+        found = words.toArrow()  # a row for each 64 bits at most
+        self.words = np.zeros(self.bits // 64, np.uint64)
+        self.words[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for place in (hashes, hashes >> np.uint64(32)):
+            place = place & np.uint64(self.bits - 1)
+            out &= (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
 
+def _pack(window: int, shared, hot):
+    """The packed strings (words joined by spaces) of super-k-mers in ``shared``; of those in ``hot``, also a digest."""
+
+    @bounded
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, text in slices(batch, limit=1 << 20):
+            for part, text in slices(batch):
                 words = Words(text)
-                ids, keys = part.column("doc_id").to_pylist(), part.column("rk").to_pylist()
-                out: list[tuple] = []
-                for i, spans in enumerate(part.column("spans").to_pylist()):
-                    first = words.row_start[i]
-                    for s in spans:
-                        start, size = s["span"] >> 8, s["span"] & 255
-                        a, b = first + start, first + start + size + window - 1
-                        packed = words.data[words.start[a] : words.end[b - 1]].tobytes()
-                        out.append((s["minimiser"], ids[i], keys[i], start, packed))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["minimiser", "doc_id", "rk", "start", "packed"])
+                row, value, start, size = super_kmers(words, window)
+                chosen = shared.value.has(value)
+                is_hot = np.zeros(len(value), bool)
+                if hot is not None:
+                    is_hot = hot.value.has(value) & chosen
+                pick = np.flatnonzero(chosen)
+                # one run of single spaces between words, whatever stood in the text
+                lengths = np.zeros(len(words) + 1, np.int64)
+                np.cumsum(words.end - words.start + 1, out=lengths[1:])
+                joined = np.full(int(lengths[-1]), 0x20, np.uint8)
+                inside = np.ones(len(joined), bool)
+                inside[lengths[1:] - 1] = False
+                joined[inside] = words.data[words.solid]
+                joined = joined.tobytes()
+                first = words.row_start[row[pick]] + start[pick]
+                begin, end = lengths[first], lengths[first + size[pick] + window - 1] - 1
+                packed = [joined[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
+                kmer = [hashlib.blake2b(p, digest_size=16).digest() if h else None for p, h in zip(packed, is_hot[pick].tolist(), strict=True)]
+                take = pa.array(row[pick])
+                yield pa.RecordBatch.from_arrays([pa.array(value[pick].view(np.int64)), part.column("doc_id").take(take), part.column("rk").take(take), pa.array(start[pick]), pa.array(packed, pa.binary()), pa.array(kmer, pa.binary())], ["minimiser", "doc_id", "rk", "start", "packed", "kmer"])
 
     return run
 
@@ -148,26 +184,22 @@ def _count(window: int):
     return run
 
 
-def _single(window: int):
-    """The windows of the listed spans, one by one, as digests."""
+def _windows(window: int):
+    """Digests of the windows of packed strings."""
 
+    @bounded
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, text in slices(batch, limit=1 << 20):
-                words = Words(text)
-                ids, keys = part.column("doc_id").to_pylist(), part.column("rk").to_pylist()
-                out: list[tuple] = []
-                for i, spans in enumerate(part.column("spans").to_pylist()):
-                    first = words.row_start[i]
-                    for s in spans:
-                        start, size = s["span"] >> 8, s["span"] & 255
-                        own = [words.data[x:y].tobytes() for x, y in zip(words.start[first + start : first + start + size + window - 1], words.end[first + start : first + start + size + window - 1], strict=True)]
-                        out += [(hashlib.blake2b(b" ".join(own[j : j + window]), digest_size=16).digest(), ids[i], keys[i], start + j) for j in range(size)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int64()))], ["digest", "doc_id", "rk", "a"])
+            out: list[tuple] = []
+            for kmer, doc, packed in zip(*(batch.column(c).to_pylist() for c in ("kmer", "doc_id", "packed")), strict=True):
+                words = packed.split(b" ")
+                out += [(kmer, hashlib.blake2b(b" ".join(words[j : j + window]), digest_size=16).digest(), doc, j) for j in range(len(words) - window + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.int64()))], ["kmer", "digest", "doc_id", "nth"])
 
     return run
 
 
+@bounded
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, text in slices(batch):
@@ -185,6 +217,17 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
+def _hot_ranges(packed: DataFrame, window: int) -> DataFrame:
+    """Covered ranges of super-k-mers of hot minimisers, as an array for each."""
+    distinct = packed.groupBy("kmer").agg(F.min("doc_id").alias("doc_id"), F.first("packed").alias("packed"))
+    single = distinct.mapInArrow(_windows(window), "kmer binary, digest binary, doc_id long, nth long")
+    least = single.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    windows = single.join(least, "digest").groupBy("kmer").agg(F.collect_list(F.struct("nth", "least")).alias("windows"))  # RUN at most
+    late = F.filter("windows", lambda w: w["least"] < F.col("doc_id"))
+    late = F.transform(late, lambda w: F.struct((F.col("start") + w["nth"]).alias("a"), (F.col("start") + w["nth"] + window).alias("b")))
+    return packed.select("kmer", "doc_id", "rk", "start").join(windows, "kmer").select("doc_id", "rk", late.alias("ranges")).where(F.size("ranges") > 0)
+
+
 def remove_repeats(documents: DataFrame, *, window: int = 50) -> DataFrame:
     """Removes words covered by a ``window``-word sequence that also starts in a document with a smaller doc_id.
 
@@ -199,22 +242,22 @@ def remove_repeats(documents: DataFrame, *, window: int = 50) -> DataFrame:
     Rows with the same doc_id never remove words from each other. An empty table
     gives an empty result.
     """
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts_of(documents).fillna("", ["text"])
     known = texts.where("doc_id is not null").withColumn("rk", F.xxhash64("doc_id", "text"))
-    # The same columns and filter in each join below, so that the texts are shuffled once and the exchange is reused.
-    shared = known.mapInArrow(_spans(window, False), "minimiser long, doc_id long").groupBy("minimiser").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("n")).where("x < y").select("minimiser", (F.col("n") > HOT).alias("hot"))
-    spans = known.mapInArrow(_spans(window, True), "minimiser long, doc_id long, rk long, span long").join(shared, "minimiser")
-    listed = spans.groupBy("doc_id", "rk", "hot").agg(F.collect_list(F.struct("minimiser", "span")).alias("spans"))
-
-    cold = known.join(listed.where("not hot").drop("hot"), ["doc_id", "rk"]).mapInArrow(_pack(window), "minimiser long, doc_id long, rk long, start long, packed binary")
-    buckets = max(1, -(-documents.count() * 4 // BUCKET))
+    sc = documents.sparkSession.sparkContext
+    counted = known.mapInArrow(_minimisers(window), "minimiser long, doc_id long").groupBy("minimiser").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("n"))
+    shared = cut(counted.where("x < y").select("minimiser", "n"))
+    keys, hot_keys, travellers = shared.agg(F.count("*"), F.count_if(F.col("n") > HOT), F.coalesce(F.sum("n"), F.lit(0))).first()
+    in_shared = sc.broadcast(Bitmap(shared, keys))
+    in_hot = sc.broadcast(Bitmap(shared.where(F.col("n") > HOT), hot_keys)) if hot_keys else None
+    packed = known.mapInArrow(_pack(window, in_shared, in_hot), "minimiser long, doc_id long, rk long, start long, packed binary, kmer binary")
+    buckets = max(1, -(-travellers // BUCKET))
+    cold = packed.where("kmer is null").drop("kmer")
     ranges = cold.groupBy(F.pmod(F.xxhash64("minimiser"), F.lit(buckets)).alias("bucket")).applyInArrow(_count(window), "doc_id long, rk long, a long, b long")
-
-    single = known.join(listed.where("hot").drop("hot"), ["doc_id", "rk"]).mapInArrow(_single(window), "digest binary, doc_id long, rk long, a long")
-    least = single.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    late = single.join(least, "digest").where("least < doc_id").select("doc_id", "rk", "a", (F.col("a") + window).alias("b"))
-
-    gone = ranges.unionByName(late).groupBy("doc_id", "rk").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    found = ranges.select("doc_id", "rk", F.array(F.struct("a", "b")).alias("ranges"))
+    if hot_keys:
+        found = found.unionByName(_hot_ranges(packed.where("kmer is not null"), window))
+    gone = found.groupBy("doc_id", "rk").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     nothing = texts.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("ranges"))
     every = known.join(gone, ["doc_id", "rk"], "left").select("doc_id", "text", "ranges").unionByName(nothing)
     return every.mapInArrow(_cut_out, "doc_id long, n_words long, n_removed long, kept string")
