@@ -54,7 +54,7 @@ def mix_sources(documents: DataFrame, *, cycle: tuple[int, ...] = (1, 2, 3), cap
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     place = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
     rows = documents.withColumns({"size": size, "_h": place, "_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_none": F.col("source").isNull()})
-    narrow = cut(rows.groupBy("_none", "_source", "_h").agg(F.sum("size").alias("size")))
+    narrow = cut(rows.select("_none", "_source", "_h", "size"))
     totals = narrow.groupBy("_none", "_source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
