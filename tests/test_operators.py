@@ -342,3 +342,40 @@ def test_generations(spark):
     m = spark.createDataFrame([("delete", "a", 1, 1), ("change", "a", 2, 2), ("delete", "b", 3, 3), ("delete", "b", 3, 4)], "operation string, path string, generation long, seq long")
     assert [r[0] for r in rows(L.without_stale_deletes(m).select("seq"))] == [2, 3, 4]
     assert rows(L.coalesced(m)) == [("change", "a", 2, 2), ("delete", "a", 1, 1), ("delete", "b", 3, 3)]
+
+
+def test_windowed_streams(spark, tmp_path):
+    src = str(tmp_path / "in")
+    batch = events(spark, ("a", "m", 0.0), ("a", "m", 0.3), ("a", "m", 5.0), ("b", "m", 100.0), ("z", "m", 9000.0))
+    batch.write.parquet(src)
+
+    def drain(make, name):
+        stream = spark.readStream.schema(batch.schema).parquet(src)
+        q = make(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name)
+
+    # append mode emits what the watermark has passed: all but the last event's window
+    got = rows(drain(lambda s: L.debounced_stream(s, 0.5, "1 minute"), "sessions").select("path", "events"))
+    assert got == [("a", 1), ("a", 2), ("b", 1)]
+    peaks = drain(lambda s: L.pressure_stream(s, 30, 30), "pressure").groupBy("path").agg(F.max("events").alias("n"))
+    assert rows(peaks) == [("a", 3), ("b", 1)]
+
+
+def test_admission_and_state(spark):
+    e = events(spark, ("src/a", "m", 0), ("node_modules/b", "m", 1))
+    assert [r[0] for r in rows(L.admitted(e, ["**/node_modules/**"]).select("path"))] == ["src/a"]
+    assert [r["state"] for r in L.pressure(events(spark, *[("a", "m", i / 10) for i in range(25)])).orderBy("seq").collect()][18:20] == ["normal", "elevated"]
+
+
+def test_snapshots(spark):
+    b = spark.createDataFrame([("a", 1.0, 5), ("b", 1.0, 5), ("c", 1.0, 5)], "path string, mtime double, size int")
+    a = spark.createDataFrame([("a", 1.0, 5), ("b", 2.0, 5), ("d", 1.0, 1)], "path string, mtime double, size int")
+    assert rows(L.snapshot_diff(b, a)) == [("b", "modified"), ("c", "deleted"), ("d", "created")]
+
+
+def test_numbered_is_a_total_order(spark):
+    df = spark.createDataFrame([((i * 7919) % 1000, i) for i in range(1000)], "k long, v long")
+    got = S.numbered(df, [F.col("k").desc(), F.col("v")], "n").orderBy("n").collect()
+    assert [r["n"] for r in got] == list(range(1000)) and [r["k"] for r in got] == sorted((r["k"] for r in got), reverse=True)
+    assert S.numbered(df.limit(0), [F.col("k")], "n").count() == 0
