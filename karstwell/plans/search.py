@@ -251,8 +251,8 @@ def v14(spark, folder):
     return S.multi_hop(e, _vector(spark, folder, 1), (F.col("chunk_id") * 37 % 101) / 100.0, max_rounds=1).select("chunk_id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
-@query("v15_rerank", f""", h AS (SELECT file_id AS chunk_id, {COS.format(8)} AS s, text FROM embs JOIN files ON file_id = chunk_id)
-  SELECT chunk_id, round(CASE WHEN chunk_id % 3 = 0 THEN len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '[^0-9A-Za-z_]+')), ['and', 'the', 'thing'])) / 3.0 ELSE s END, 6) AS rerank_score FROM h""")
+@query("v15_rerank", f""", h AS (SELECT chunk_id, {COS.format(8)} AS s, text FROM embs LEFT JOIN files ON file_id = chunk_id)
+  SELECT chunk_id, round(CASE WHEN chunk_id % 3 = 0 AND text IS NOT NULL THEN len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '[^0-9A-Za-z_]+')), ['and', 'the', 'thing'])) / 3.0 ELSE s END, 6) AS rerank_score FROM h""")
 def v15(spark, folder):
     hits = S.semantic(T.embeddings(spark, folder), _vector(spark, folder, 8)).select("chunk_id", F.col("similarity").alias("rerank_score"))
     text = T.files(spark, folder).select(F.col("file_id").alias("chunk_id"), "text")
