@@ -154,22 +154,23 @@ def _train(sets: list[np.ndarray], y: np.ndarray, weight: np.ndarray, group: np.
     """Proximal gradient with momentum. ``group``: rows of one sentence; its first row is the labelled one."""
     labelled = np.append(True, group[1:] != group[:-1])
     size = np.array([len(s) for s in sets])
-    row = np.repeat(np.arange(len(sets)), size)
-    cols = np.concatenate(sets) if size.sum() else np.zeros(0, np.int32)
-    used, inverse = np.unique(cols, return_inverse=True)
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), size)
+    cols = np.concatenate(sets)
     n1, n0 = max(1, (y[labelled] == 1).sum()), max(1, (y[labelled] == 0).sum())
+    width, bad = 1 << BITS, y[row] == 1
     first = labelled[row]
-    d1 = np.bincount(inverse[first & (y[row] == 1)], minlength=len(used)) / n1
-    d0 = np.bincount(inverse[first & (y[row] == 0)], minlength=len(used)) / n0
-    often = np.bincount(inverse[first], minlength=len(used)) >= 3
-    strength = np.where(often, np.abs(d1 - d0) / np.sqrt(d1 + d0 + 1e-9), -1)
-    order = np.lexsort((used, -strength))[:kept]
-    order = order[strength[order] > 0]
-    place = np.full(len(used), -1)
-    place[order] = np.arange(len(order))
-    col = place[inverse]
+    d1 = np.bincount(cols[first & bad], minlength=width)
+    d0 = np.bincount(cols[first & ~bad], minlength=width)
+    often = np.flatnonzero(d1 + d0 >= 3)
+    d1, d0 = d1[often] / n1, d0[often] / n0
+    strength = np.abs(d1 - d0) / np.sqrt(d1 + d0)
+    order = np.lexsort((often, -strength))[:kept]
+    used = often[order[strength[order] > 0]]
+    place = np.full(width, -1, np.int32)
+    place[used] = np.arange(len(used))
+    col = place[cols]
     row, col = row[col >= 0], col[col >= 0]
-    m = len(order)
+    m = len(used)
     total = weight[labelled].sum()
     own = weight * labelled / total
     anchor = np.flatnonzero(labelled)[np.cumsum(labelled) - 1]
@@ -191,7 +192,7 @@ def _train(sets: list[np.ndarray], y: np.ndarray, weight: np.ndarray, group: np.
         new_t = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, u = new + (t - 1) / new_t * (new - w), new_b + (t - 1) / new_t * (new_b - b)
         w, b, t = new, new_b, new_t
-    return b, {int(used[order[i]]): float(w[i]) for i in np.flatnonzero(w)}
+    return b, {int(used[i]): float(w[i]) for i in np.flatnonzero(w)}
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, *, learn: Column | None = None, positives: int = 4000, negatives: int = 6000, kept: int = 8192, l1: float = 0.01, fairness: float = 1.0, rounds: int = 250) -> ToxicityModel:
