@@ -185,7 +185,7 @@ def _count(window: int):
 
 
 def _windows(window: int):
-    """Digests of the windows of packed strings."""
+    """Digests of the distinct windows of packed strings, with their places (a string may repeat itself)."""
 
     @bounded
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +193,11 @@ def _windows(window: int):
             out: list[tuple] = []
             for kmer, doc, packed in zip(*(batch.column(c).to_pylist() for c in ("kmer", "doc_id", "packed")), strict=True):
                 words = packed.split(b" ")
-                out += [(kmer, hashlib.blake2b(b" ".join(words[j : j + window]), digest_size=16).digest(), doc, j) for j in range(len(words) - window + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.int64()))], ["kmer", "digest", "doc_id", "nth"])
+                places: dict[bytes, list[int]] = {}
+                for j in range(len(words) - window + 1):
+                    places.setdefault(hashlib.blake2b(b" ".join(words[j : j + window]), digest_size=16).digest(), []).append(j)
+                out += [(kmer, digest, doc, at) for digest, at in places.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())))], ["kmer", "digest", "doc_id", "places"])
 
     return run
 
@@ -220,11 +223,11 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _hot_ranges(packed: DataFrame, window: int) -> DataFrame:
     """Covered ranges of super-k-mers of hot minimisers, as an array for each."""
     distinct = packed.groupBy("kmer").agg(F.min("doc_id").alias("doc_id"), F.first("packed").alias("packed"))
-    single = distinct.mapInArrow(_windows(window), "kmer binary, digest binary, doc_id long, nth long")
+    single = distinct.mapInArrow(_windows(window), "kmer binary, digest binary, doc_id long, places array<long>")
     least = single.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    windows = single.join(least, "digest").groupBy("kmer").agg(F.collect_list(F.struct("nth", "least")).alias("windows"))  # RUN at most
+    windows = single.join(least, "digest").groupBy("kmer").agg(F.collect_list(F.struct("places", "least")).alias("windows"))  # RUN places at most
     late = F.filter("windows", lambda w: w["least"] < F.col("doc_id"))
-    late = F.transform(late, lambda w: F.struct((F.col("start") + w["nth"]).alias("a"), (F.col("start") + w["nth"] + window).alias("b")))
+    late = F.transform(F.flatten(F.transform(late, lambda w: w["places"])), lambda p: F.struct((F.col("start") + p).alias("a"), (F.col("start") + p + window).alias("b")))
     return packed.select("kmer", "doc_id", "rk", "start").join(windows, "kmer").select("doc_id", "rk", late.alias("ranges")).where(F.size("ranges") > 0)
 
 
