@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,21 +84,15 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     sum of the sizes before it (one number for each partition on the driver),
     so no task sees all rows.
     """
-    spread = cut(df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
-
-    def count(batches):
-        n = 0
-        for b in batches:
-            yield b.append_column("_nth", pa.array(range(n, n + b.num_rows), pa.int64()))
-            n += b.num_rows
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spread.schema)
+    # the id holds the partition and the row's place in it
+    spread = cut(df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part, nth = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     before, offsets = 0, []
-    for r in sorted(spread.groupBy("_part").count().collect()):
-        offsets.append((r["_part"], before))
+    for r in sorted(spread.groupBy(part.alias("part")).count().collect()):
+        offsets.append((r["part"], before))
         before += r["count"]
-    table = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part int, _before long"))
-    return spread.mapInArrow(count, kinds + ", _nth long").join(table, "_part").withColumn(name, F.col("_nth") + F.col("_before")).drop("_part", "_nth", "_before")
+    table = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part long, _before long"))
+    return spread.withColumn("_part", part).join(table, "_part").withColumn(name, nth + F.col("_before")).drop("_part", "_id", "_before")
 
 
 def elbow(df: DataFrame, score: str, *, id_: str = "chunk_id") -> DataFrame:
