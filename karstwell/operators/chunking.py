@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -171,7 +172,9 @@ PIECE = "file_id long, name string, concept string, content string, start_line i
 
 
 def fits(text: str, share: float = 1.0) -> bool:
-    return len(re.sub(r"\s", "", text)) <= MAX_CHARS * share and max(1, len(text) // 3) * bool(text) <= MAX_TOKENS * share
+    if len(text) <= MAX_CHARS * share:
+        return True
+    return len(text) // 3 <= MAX_TOKENS * share and len("".join(text.split())) <= MAX_CHARS * share
 
 
 def split_chunk(name: str, text: str, start: int, end: int) -> list[tuple[str, str, int, int]]:
@@ -190,21 +193,26 @@ def split_chunk(name: str, text: str, start: int, end: int) -> list[tuple[str, s
 
 def _cut(name: str, text: str, start: int, end: int) -> list[tuple[str, str, int, int]]:
     out, at, span = [], 0, end - start + 1
+    ink = [0, *accumulate(not c.isspace() for c in text)]  # so that each test is two look-ups
+
+    def fit(size: int) -> bool:
+        return ink[at + size] - ink[at] <= MAX_CHARS and size // 3 <= MAX_TOKENS
+
     while at < len(text):
-        rest = text[at:]
-        size = len(rest)
-        if not fits(rest):
-            window = min(SEARCH_WINDOW, len(rest))
+        left = len(text) - at
+        size = left
+        if not fit(left):
+            window = min(SEARCH_WINDOW, left)
             # a separator at the very start is no place to cut
-            places = (rest.rfind(s, 0, window) for s in SEPARATORS)
-            size = next((p + 1 for p in places if p > 0 and fits(rest[: p + 1])), 0)
+            places = (text.rfind(s, at, at + window) - at for s in SEPARATORS)
+            size = next((p + 1 for p in places if p > 0 and fit(p + 1)), 0)
             if not size:
                 size = window
-                while not fits(rest[:size]) and size > MIN_CHARS:
+                while not fit(size) and size > MIN_CHARS:
                     size //= 2
         first = min(end, start + int(at / len(text) * span))
         last = max(first, min(end, start + int(at / len(text) * span) + max(1, int(size / len(text) * span)) - 1))
-        out.append((f"{name}_part{len(out) + 1}", rest[:size], first, last))
+        out.append((f"{name}_part{len(out) + 1}", text[at : at + size], first, last))
         at += size
     return out
 
