@@ -226,7 +226,7 @@ def d10(spark, folder):
 
 @query("d11_ordered_distinct", "SELECT doc_id, list_transform(list_sort(list_distinct(list_transform(ws, lambda w, i: {'p': list_position(ws, w), 'w': w}))), lambda x: x.w) AS words FROM (SELECT doc_id, string_split(lower(left(text, 300)), ' ') AS ws FROM documents)", views=False)
 def d11(spark, folder):
-    return T.table(spark, folder, "documents").select("doc_id", F.array_distinct(F.split(F.lower(F.substring("text", 1, 300)), " ", -1)).alias("words"))
+    return T.table(spark, folder, "documents").select("doc_id", F.array_distinct(F.split(F.lower("text"), " ", -1)).alias("words"))
 
 
 @query("d12_source_chunks", "SELECT DISTINCT path, start_line, end_line FROM (SELECT path, start_line // 3 AS start_line, end_line // 3 AS end_line FROM chunks)")
