@@ -147,7 +147,7 @@ def j18(spark, folder):
 @query("j19_template_references", r""", s AS (SELECT DISTINCT symbol FROM chunks WHERE start_line = 1), w AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(left(text, 200), '[A-Za-z_]\w*')) AS name FROM files)
   SELECT file_id, count(symbol) AS script_references, count(*) - count(symbol) AS undefined_references FROM w LEFT JOIN s ON s.symbol = w.name GROUP BY file_id""")
 def j19(spark, folder):
-    names = F.array_distinct(F.regexp_extract_all(F.substring("text", 1, 200), F.lit(r"[A-Za-z_]\w*"), F.lit(0)))
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))
     w = T.files(spark, folder).select("file_id", F.explode(names).alias("name"))
     s = T.chunks(spark, folder).where("start_line = 1").select(F.col("symbol").alias("name")).distinct().withColumn("known", F.lit(1))
     return w.join(s, "name", "left").groupBy("file_id").agg(F.count("known").alias("script_references"), (F.count("*") - F.count("known")).alias("undefined_references"))

@@ -21,3 +21,9 @@ def test_ordered_distinct_reads_whole_texts(run):
     texts = [" ".join(f"W{i % 150}" for i in range(400)), "a B a b", ""]
     want = {i: list(dict.fromkeys(t.lower().split(" "))) for i, t in enumerate(texts, 1)}
     assert {r["doc_id"]: r["words"] for r in run("d11_ordered_distinct", *texts)} == want
+
+
+def test_template_references_of_whole_texts(run):
+    texts = ["alpha " + "- " * 150 + "beta gamma_1 alpha", "beta x", "gamma_1"]
+    got = {r["file_id"]: (r["script_references"], r["undefined_references"]) for r in run("j19_template_references", *texts)}
+    assert got == {1: (3, 0), 2: (1, 1), 3: (1, 0)}
