@@ -27,3 +27,8 @@ def test_template_references_of_whole_texts(run):
     texts = ["alpha " + "- " * 150 + "beta gamma_1 alpha", "beta x", "gamma_1"]
     got = {r["file_id"]: (r["script_references"], r["undefined_references"]) for r in run("j19_template_references", *texts)}
     assert got == {1: (3, 0), 2: (1, 1), 3: (1, 0)}
+
+
+def test_row_rules_of_every_line(run):
+    got = {r["chunk_id"] - (1 << 24): r["fault"] for r in run("f21_row_rules", "\n".join("abcdefghijklmno"))}
+    assert got == {1: "start_line", 2: "start_line", 3: None, 4: None, 5: None, 6: None, 7: "end_line", 8: "order", 9: "order", 10: "order", 11: "order", 12: "order", 13: "order", 14: "end_line", 15: "order"}
