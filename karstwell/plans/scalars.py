@@ -21,7 +21,7 @@ def _first_line(col="text"):
 @query("n1_slug", """SELECT doc_id, CASE WHEN length(s) > 24 THEN regexp_replace(left(s, 24), '-+$', '') ELSE s END AS slug
   FROM (SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'topic') AS s FROM documents)""", views=False)
 def n1(spark, folder):
-    return _docs(spark, folder).select("doc_id", X.slug(F.substring("text", 1, 60), max_length=24, ascii_only=True).alias("slug"))
+    return _docs(spark, folder).select("doc_id", X.slug(F.col("text"), max_length=24, ascii_only=True).alias("slug"))
 
 
 @query("n2_scope_label", "SELECT path, replace(path, '/', '_') AS label FROM files")
@@ -80,7 +80,7 @@ def n9(spark, folder):
 @query("n11_verbosity", "SELECT doc_id, '|' || substr(text, 1, 100) || '|' || substr(text, 101, 100) AS text FROM documents", views=False)
 def n11(spark, folder):
     """Phrases put into the texts are removed again."""
-    t = F.concat(F.lit("It's worth noting that |"), F.substring("text", 1, 100), F.lit("please note that |"), F.substring("text", 101, 100))
+    t = F.concat(F.lit("It's worth noting that |"), F.substring("text", 1, 100), F.lit("please note that |"), F.substr("text", F.lit(101)))
     return _docs(spark, folder).select("doc_id", X.remove_verbosity(t).alias("text"))
 
 
@@ -100,7 +100,7 @@ def n16(spark, folder):
 
 @query("n18_fact_id", "SELECT doc_id, left(sha256(left(text, 80) || ':' || source || ':' || doc_id), 12) AS fact_id FROM documents", views=False)
 def n18(spark, folder):
-    return _docs(spark, folder).select("doc_id", X.fact_id(F.substring("text", 1, 80), F.col("source"), F.col("doc_id").cast("string")).alias("fact_id"))
+    return _docs(spark, folder).select("doc_id", X.fact_id(F.col("text"), F.col("source"), F.col("doc_id").cast("string")).alias("fact_id"))
 
 
 @query("n19_llm_tokens", "SELECT doc_id, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens FROM documents", views=False)

@@ -49,7 +49,7 @@ def f4(spark, folder):
 
 @query("f5_escape_like", r"SELECT doc_id, regexp_replace(left(text, 80), '([\\%_\[])', '\\\1', 'g') AS escaped FROM documents", views=False)
 def f5(spark, folder):
-    return T.table(spark, folder, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 80), r"([\\%_\[])", r"\\$1").alias("escaped"))
+    return T.table(spark, folder, "documents").select("doc_id", F.regexp_replace("text", r"([\\%_\[])", r"\\$1").alias("escaped"))
 
 
 @query("f6_path_filter", r"""SELECT page_id, CASE WHEN regexp_matches(p, '\.\.|[~*?\[\]]') OR length(n) = 0 THEN NULL

@@ -1,5 +1,8 @@
 """Queries read whole texts and tables: what lies behind a prefix, a filter or the first round is in the result."""
 
+import hashlib
+import re
+
 import pytest
 
 from karstwell.plans.registry import QUERIES
@@ -32,3 +35,26 @@ def test_template_references_of_whole_texts(run):
 def test_row_rules_of_every_line(run):
     got = {r["chunk_id"] - (1 << 24): r["fault"] for r in run("f21_row_rules", "\n".join("abcdefghijklmno"))}
     assert got == {1: "start_line", 2: "start_line", 3: None, 4: None, 5: None, 6: None, 7: "end_line", 8: "order", 9: "order", 10: "order", 11: "order", 12: "order", 13: "order", 14: "end_line", 15: "order"}
+
+
+LONG = "# " * 60 + "100%_[x]\\ Whole text\n" + "word " * 40 + "end"
+
+
+def test_escape_like_of_whole_texts(run):
+    got = {r["doc_id"]: r["escaped"] for r in run("f5_escape_like", LONG, "a_b")}
+    assert got == {1: re.sub(r"([\\%_\[])", r"\\\1", LONG), 2: r"a\_b"}
+
+
+def test_slug_of_whole_texts(run):
+    got = {r["doc_id"]: r["slug"] for r in run("n1_slug", LONG, "#" * 99, "A b", "#" * 70 + "x")}
+    assert got == {1: "100-x-whole-text-word-wo", 2: "topic", 3: "a-b", 4: "x"}
+
+
+def test_verbosity_of_whole_texts(run):
+    got = {r["doc_id"]: r["text"] for r in run("n11_verbosity", LONG + " It's worth noting that this stays.", "short", "")}
+    assert got == {1: f"|{LONG[:100]}|{LONG[100:]} this stays.", 2: "|short|", 3: "||"}
+
+
+def test_fact_id_of_whole_texts(run):
+    got = {r["doc_id"]: r["fact_id"] for r in run("n18_fact_id", LONG, LONG + ".")}
+    assert got == {i: hashlib.sha256(f"{t}:src0:{i}".encode()).hexdigest()[:12] for i, t in ((1, LONG), (2, LONG + "."))}
