@@ -246,9 +246,9 @@ def v13(spark, folder):
   u AS (SELECT chunk_id, rr FROM s UNION SELECT chunk_id, rr FROM n WHERE k <= 30)
   SELECT chunk_id, round(rr, 6) AS rerank_score FROM u ORDER BY rr DESC, chunk_id LIMIT 10""")
 def v14(spark, folder):
-    """One round, with a score by id in place of a model's."""
+    """Rounds until the ranking stops to improve, with a score by id in place of a model's."""
     e = T.embeddings(spark, folder)
-    return S.multi_hop(e, _vector(spark, folder, 1), (F.col("chunk_id") * 37 % 101) / 100.0, max_rounds=1).select("chunk_id", F.round("rerank_score", 6).alias("rerank_score"))
+    return S.multi_hop(e, _vector(spark, folder, 1), (F.col("chunk_id") * 37 % 101) / 100.0).select("chunk_id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 @query("v15_rerank", f""", h AS (SELECT chunk_id, {COS.format(8)} AS s, text FROM embs LEFT JOIN files ON file_id = chunk_id)

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from karstwell.plans.registry import QUERIES
@@ -58,3 +59,35 @@ def test_verbosity_of_whole_texts(run):
 def test_fact_id_of_whole_texts(run):
     got = {r["doc_id"]: r["fact_id"] for r in run("n18_fact_id", LONG, LONG + ".")}
     assert got == {i: hashlib.sha256(f"{t}:src0:{i}".encode()).hexdigest()[:12] for i, t in ((1, LONG), (2, LONG + "."))}
+
+
+def brute_hops(vectors, score, rounds):
+    """The search from vector 1 in plain Python; also the number of rounds that brought rows."""
+    unit = {i: v / np.linalg.norm(v) for i, v in vectors.items()}
+    near = lambda i, n, but: sorted((c for c in unit if c not in but), key=lambda c: (-float(unit[c] @ unit[i]), c))[:n]
+    best = lambda: sorted(held, key=lambda c: (-score(c), c))[:5]
+    held, n = set(near(1, 30, ())), 0
+    while n < rounds:
+        top = best()
+        if len(held) >= 500 or sum(score(c) > 0 for c in top) < 5:
+            break
+        new = {c for i in top for c in near(i, 20 if n else 30, (i,))} - held
+        if not new:
+            break
+        held |= set(sorted(new)[: 500 - len(held)])
+        n += 1
+        # a score by id never drops
+        if score(best()[-1]) < 0.3:
+            break
+    return [(c, score(c)) for c in sorted(held, key=lambda c: (-score(c), c))[:10]], n
+
+
+def test_multi_hop_goes_on_after_the_first_round(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.normal(size=8).astype("float32").astype(float) for i in range(600)}
+    rows = [(i, v.tolist(), i % 3) for i, v in vectors.items()]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [(r["chunk_id"], r["rerank_score"]) for r in QUERIES["v14_multi_hop"](spark, str(tmp_path)).collect()]
+    want, rounds = brute_hops(vectors, lambda c: c * 37 % 101 / 100, 10**9)
+    assert rounds > 1 and want != brute_hops(vectors, lambda c: c * 37 % 101 / 100, 1)[0]
+    assert got == want
