@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, local mode)."""
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one in local mode; on a cluster ValueError,
+    since no other machine would see it.
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="karstwell-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -20,3 +26,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, with its lineage cut; lost executors cost nothing of it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever it is stored."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
