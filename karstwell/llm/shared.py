@@ -1,30 +1,52 @@
-"""What the operators share: lineage cuts, small Arrow batches, connected components."""
+"""What the operators share: lineage cuts, rows kept aside, bitmaps, connected components."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karstwell.sources.storage import cut, shared_dir
 
-__all__ = ["components", "cut", "shared_dir", "texts_of"]
-
-#: Rows of an Arrow batch of whole texts; Spark's default is meant for narrow rows.
-BATCH_ROWS = 1000
+__all__ = ["Bitmap", "aside", "components", "cut", "shared_dir", "texts_of"]
 
 
 def texts_of(documents: DataFrame) -> DataFrame:
-    """doc_id (long) and text (string), to be read in batches of few rows.
-
-    The session's batch size is lowered where it has Spark's default, so that
-    long texts need little memory on both sides of the Arrow stream.
-    """
-    conf, key = documents.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, str(BATCH_ROWS))
+    """doc_id (long) and text (string). Spark bounds the bytes of the Arrow batches that Python reads (64 MB)."""
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def aside(documents: DataFrame, **columns: Column) -> DataFrame:
+    """All columns in one struct, ``row``, and ``columns`` beside it, so that no name of the table can clash with a step's own."""
+    return documents.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
+class Bitmap:
+    """A set of 64-bit hashes with two places each, of bounded size; it may hold more than was put in."""
+
+    #: Bits for each key, and at most (32 MB).
+    KEY_BITS, MAX_BITS = 16, 1 << 28
+
+    def __init__(self, hashes: DataFrame, count: int):
+        """``hashes``: one column of longs; ``count``: about how many."""
+        (name,) = hashes.columns
+        self.bits = min(self.MAX_BITS, 1 << max(10, (self.KEY_BITS * count).bit_length()))
+        low = self.bits - 1
+        places = F.explode(F.array(F.col(name).bitwiseAND(F.lit(low)), F.shiftrightunsigned(name, 32).bitwiseAND(F.lit(low))))
+        words = hashes.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("word"))
+        found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask")).toArrow()  # a row for each 64 bits at most
+        self.words = np.zeros(self.bits // 64, np.uint64)
+        self.words[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """For each of some unsigned 64-bit hashes whether it is (or seems) in the set."""
+        out = np.ones(len(hashes), bool)
+        for place in (hashes, hashes >> np.uint64(32)):
+            place = place & np.uint64(self.bits - 1)
+            out &= (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest id reachable from every id that has a link.
 
@@ -41,7 +63,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        pair = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))
+        small = large.join(least, "a").select(F.explode(pair).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         edges = cut(small)
         state, before = _state(edges), state
         if state == before:
