@@ -17,24 +17,28 @@ class Forest:
 
     def __init__(self, sample: np.ndarray, *, trees: int, leaf: int, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.planes: list[np.ndarray] = []
-        self.bias: list[float] = []
+        planes: list[np.ndarray] = []
+        bias: list[float] = []
         self.child: list[list[int]] = []
         self.roots: list[int] = []
         self.leaves = 0
         for _ in range(trees):
-            self.roots.append(self._grow(sample, leaf, rng))
-        width = sample.shape[1] if sample.ndim == 2 else 0
-        self.plane_array = np.array(self.planes).reshape(len(self.planes), width)
-        self.bias_array = np.array(self.bias)
-        self.child_array = np.array(self.child, np.int64).reshape(len(self.child), 2)
-        del self.planes, self.bias
+            self.roots.append(self._grow(sample, leaf, rng, planes, bias))
+        self.planes = np.array(planes).reshape(len(planes), sample.shape[1])
+        self.bias = np.array(bias)
+        self.children = np.array(self.child, np.int64).reshape(len(self.child), 2)
+        #: In how many dimensions the sample spreads (the participation ratio of its variances).
+        self.spread = 1.0
+        if len(sample) > 1:
+            around = sample - sample.mean(axis=0)
+            cov = around.T @ around
+            self.spread = max(1.0, float(np.trace(cov) ** 2 / max(1e-300, (cov * cov).sum())))
 
     def _leaf(self) -> int:
         self.leaves += 1
         return -self.leaves
 
-    def _grow(self, points: np.ndarray, leaf: int, rng) -> int:
+    def _grow(self, points: np.ndarray, leaf: int, rng, planes: list, bias: list) -> int:
         if len(points) <= leaf:
             return self._leaf()
         for _ in range(5):
@@ -45,14 +49,14 @@ class Forest:
                 continue
             normal = normal / size
             along = points @ normal
-            bias = float(np.median(along))
-            right = along > bias
+            middle = float(np.median(along))
+            right = along > middle
             if 0.1 < right.mean() < 0.9:
-                node = len(self.planes)
-                self.planes.append(normal)
-                self.bias.append(bias)
+                node = len(planes)
+                planes.append(normal)
+                bias.append(middle)
                 self.child.append([0, 0])
-                self.child[node] = [self._grow(points[~right], leaf, rng), self._grow(points[right], leaf, rng)]
+                self.child[node] = [self._grow(points[~right], leaf, rng, planes, bias), self._grow(points[right], leaf, rng, planes, bias)]
                 return node
         return self._leaf()
 
@@ -63,24 +67,25 @@ class Forest:
             at = np.full(len(points), root)
             while len(open_ := np.flatnonzero(at >= 0)):
                 node = at[open_]
-                right = np.einsum("ij,ij->i", points[open_], self.plane_array[node]) > self.bias_array[node]
-                at[open_] = self.child_array[node, right.astype(np.int64)]
+                right = np.einsum("ij,ij->i", points[open_], self.planes[node]) > self.bias[node]
+                at[open_] = self.children[node, right.astype(np.int64)]
             out[t] = -1 - at
         return out
 
-    def search(self, point: np.ndarray, sizes: np.ndarray, budget: float) -> list[int]:
-        """Leaves in the order of the shared queue until they hold ``budget`` rows (``sizes``: rows of each leaf)."""
-        margins = (self.plane_array @ point - self.bias_array).tolist()
-        queue = [(-np.inf, root) for root in self.roots]
-        heapq.heapify(queue)
-        found, held, child = [], 0.0, self.child
-        while queue and held < budget:
-            worst, node = heapq.heappop(queue)
+    def search(self, point: np.ndarray, sizes: np.ndarray, least: int, reach: float) -> list[int]:
+        """Leaves in the order of the shared queue: all within ``reach``, and so many that one tree's hold ``least`` rows.
+
+        ``sizes``: rows of each leaf. Leaves of one tree share no rows.
+        """
+        margins = (self.planes @ point - self.bias).tolist()
+        queue = [(0.0, root, tree) for tree, root in enumerate(self.roots)]
+        found, child, held = [], self.child, [0.0] * len(self.roots)
+        while queue and (queue[0][0] <= reach or max(held) < least):
+            worst, node, tree = heapq.heappop(queue)
             while node >= 0:
                 side = margins[node] > 0
-                heapq.heappush(queue, (max(worst, abs(margins[node])), child[node][not side]))
+                heapq.heappush(queue, (max(worst, abs(margins[node])), child[node][not side], tree))
                 node = child[node][side]
-            leaf = -1 - node
-            found.append(leaf)
-            held += sizes[leaf]
+            found.append(-1 - node)
+            held[tree] += sizes[-1 - node]
         return found

@@ -9,10 +9,15 @@ once even if rows repeat.
 
 from __future__ import annotations
 
-from functools import reduce
+import heapq
+import math
+import operator
+from collections.abc import Callable
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +26,14 @@ from karstwell.llm.shared import cut
 
 #: Rows and queries of a cell, about.
 ROWS, BLOCK = 1024, 1024
-#: Dimension segments whose partial scores are the lists of the uniform threshold.
-SEGMENTS = 4
+#: Groups of dimensions whose partial scores are the lists of the uniform threshold.
+SEGMENTS = 2
+#: Entries of a chunk's local list that phase 1 sends for each query, at least.
+HEAD = 16
+#: Sums of products under this number are exact in double precision.
+EXACT = 2.0**53
+
+_LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def _valid(vectors: DataFrame, nonzero: bool) -> DataFrame:
@@ -34,22 +45,18 @@ def _valid(vectors: DataFrame, nonzero: bool) -> DataFrame:
     return rows.where(v.isNotNull() & ok)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    lists = column.combine_chunks()
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of equal length as the rows of a matrix."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks)
     n = len(lists)
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def _entries(table: dict) -> pa.Table:
-    kinds = {"qkey": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "rid": pa.int64(), "own": pa.bool_()}
-    return pa.table({k: pa.array(v, kinds.get(k, pa.float64() if v.dtype.kind == "f" else pa.int64()), mask=None) for k, v in table.items()})
-
-
 def _best(score: np.ndarray, row: np.ndarray, ids: np.ndarray, queries: int, keep: int) -> np.ndarray:
     """Indexes of the ``keep`` best entries of each query: score descending, then id (row: query of the entry)."""
-    order = np.lexsort((ids, -score, row)) if score.dtype.kind == "f" else np.lexsort((ids, ~score, row))
+    order = np.lexsort((ids, -score, row))
     first = np.searchsorted(row[order], np.arange(queries))
     rank = np.arange(len(order)) - first[row[order]]
     return order[rank < keep]
@@ -57,18 +64,18 @@ def _best(score: np.ndarray, row: np.ndarray, ids: np.ndarray, queries: int, kee
 
 def _ids(table: pa.Table, name: str) -> np.ndarray:
     """Ids; a null id counts as the largest."""
-    return table.column(name).combine_chunks().fill_null(np.iinfo(np.int64).max).to_numpy()
+    return table.column(name).combine_chunks().fill_null(_HIGH).to_numpy()
 
 
-def _ranked(entries: DataFrame, k: int, score: str) -> DataFrame:
+def _ranked(entries: DataFrame, k: int, order: list[Column], score: Column) -> DataFrame:
     """The ``k`` best entries of each query without its own."""
-    best = Window.partitionBy("qkey").orderBy(F.col(score).desc(), "vec_id")
+    best = Window.partitionBy("qkey").orderBy(*order, "vec_id")
     top = entries.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
     own = F.row_number().over(Window.partitionBy("qkey", "own").orderBy("rank"))
     left = top.withColumn("nth", own).where(~F.col("own") | (F.col("nth") > 1))
     left = left.withColumn("rank", F.row_number().over(Window.partitionBy("qkey").orderBy("rank"))).where(F.col("rank") <= k)
-    null = F.when(F.col("vec_id") < np.iinfo(np.int64).max, F.col("vec_id"))
-    return left.select("query_id", F.col("rank").cast("int").alias("rank"), null.alias("vec_id"), F.col(score).alias("score"))
+    null = F.when(F.col("vec_id") < _HIGH, F.col("vec_id"))
+    return left.select("query_id", F.col("rank").cast("int").alias("rank"), null.alias("vec_id"), score.alias("score"))
 
 
 def _query_rows(valid: DataFrame, where: Column) -> DataFrame:
@@ -77,62 +84,116 @@ def _query_rows(valid: DataFrame, where: Column) -> DataFrame:
     return chosen.select(F.xxhash64("query_id", "query").alias("qkey"), "query_id", "query").dropDuplicates(["qkey"])
 
 
+def _parts(n: int, size: int) -> int:
+    return max(1, -(-n // size))
+
+
 # -- exact top-k: three-phase uniform threshold ------------------------------------------------------------------------
 
+_ENTRY = pa.schema([("qkey", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("own", pa.bool_()), ("score", pa.int64()), ("beyond", pa.binary())])
+_ENTRY_SQL = "qkey long, query_id long, vec_id long, own boolean, score long, beyond binary"
+_CELL = ["dim", "segment", "chunk", "block"]
+_LIST = pa.schema([("qkey", pa.int64()), *((c, pa.int32()) for c in _CELL), ("rids", pa.list_(pa.int64())), ("parts", pa.list_(pa.float64())), ("whole", pa.bool_())])
+_LIST_SQL = "qkey long, dim int, segment int, chunk int, block int, rids array<long>, parts array<double>, whole boolean"
+
+
+def _segment(column: str) -> Column:
+    """The components of one segment; segments share the dimensions evenly."""
+    edge = lambda s: F.floor(F.col("dim") * s / SEGMENTS).cast("int")
+    first = edge(F.col("segment"))
+    return F.slice(column, first + 1, edge(F.col("segment") + 1) - first)
+
+
+def _lists(keep: int | None) -> Callable:
+    """A chunk's local list for each query: its ``keep`` best entries (phase 1), or those with the cutoff's share (phase 2)."""
+
+    def run(key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
+        nq, n = queries.num_rows, rows.num_rows
+        if not nq or not n:
+            return _LIST.empty_table()
+        part = _matrix(queries.column("q")) @ _matrix(rows.column("v")).T
+        rid = rows.column("rid").to_numpy()
+        if keep is not None:
+            m = min(keep, n)
+            qi, ri = np.repeat(np.arange(nq), m), np.argpartition(-part, m - 1, axis=1)[:, :m].ravel()
+        else:
+            qi, ri = np.nonzero(part * SEGMENTS >= queries.column("tau").to_numpy()[:, None])
+        value = part[qi, ri]
+        order = np.lexsort((-value, qi))
+        at = pa.array(np.searchsorted(qi, np.arange(nq + 1)), pa.int32())
+        columns = [pa.array(queries.column("qkey").to_numpy()), *(pa.array(np.full(nq, k.as_py()), pa.int32()) for k in key)]
+        columns += [pa.ListArray.from_arrays(at, pa.array(rid[ri][order])), pa.ListArray.from_arrays(at, pa.array(value[order]))]
+        return pa.table([*columns, pa.array(np.full(nq, keep is None or n <= keep))], schema=_LIST)
+
+    return run
+
 
-def _integers(x: np.ndarray, scale: float) -> np.ndarray:
-    """floor(scale * x) as float64, which holds it exactly."""
-    return np.floor(x * scale)
+def _resolved(keep: int) -> Callable:
+    """Phase 3: the other parts of the entries that were sent, and each query's best of the chunk."""
+
+    def run(rows: pa.Table, sent: pa.Table) -> pa.Table:
+        if not rows.num_rows or not sent.num_rows:
+            return _ENTRY.empty_table()
+        x, rid = _matrix(rows.column("embedding")), rows.column("rid").to_numpy()
+        order = np.argsort(rid)
+        keys, first, code = np.unique(sent.column("qkey").to_numpy(), return_index=True, return_inverse=True)
+        q = _matrix(sent.column("query").take(pa.array(first)))
+        segments, lists, parts = (sent.column(c).combine_chunks() for c in ("segment", "rids", "parts"))
+        segments, size = segments.to_numpy(), np.diff(lists.offsets.to_numpy())
+        place = order[np.searchsorted(rid[order], lists.flatten().to_numpy())]
+        pair = np.repeat(code, size) * np.int64(len(x)) + place
+        segment, part = np.repeat(segments, size), parts.flatten().to_numpy()
+        pairs = np.unique(pair)
+        qi, ri = pairs // len(x), pairs % len(x)
+        score = np.zeros(len(pairs))
+        for s in range(SEGMENTS):
+            a, b = x.shape[1] * s // SEGMENTS, x.shape[1] * (s + 1) // SEGMENTS
+            value, have = np.zeros(len(pairs)), np.zeros(len(pairs), bool)
+            own = segment == s
+            at = np.searchsorted(pairs, pair[own])
+            value[at], have[at] = part[own], True
+            miss = np.flatnonzero(~have)
+            for i in range(0, len(miss), 1 << 18):
+                m = miss[i : i + (1 << 18)]
+                value[m] = np.einsum("ij,ij->i", q[qi[m], a:b], x[ri[m], a:b])
+            score += value
+        ids, qids = _ids(rows, "vec_id"), sent.column("query_id").to_numpy()[first]
+        best = _best(score, qi, ids[ri], len(q), keep)
+        qi, ri, score = qi[best], ri[best], score[best].astype(np.int64)
+        own = (ids[ri] == qids[qi]) & (rows.column("qkey").to_numpy()[ri] == keys[qi])
+        beyond = pa.array([b""] * len(qi), pa.binary())
+        return pa.table([pa.array(keys[qi]), pa.array(qids[qi]), pa.array(ids[ri]), pa.array(own), pa.array(score), beyond], schema=_ENTRY)
+
+    return run
 
 
-def _dots(a: np.ndarray, b: np.ndarray, safe: bool) -> np.ndarray:
-    """Exact inner products of paired rows of integers; beyond 64 bits the nearest 64-bit number."""
-    if safe:
-        return np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64))
-    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-    return np.array([max(low, min(high, sum(int(x) * int(y) for x, y in zip(p, q, strict=True)))) for p, q in zip(a, b, strict=True)], np.int64)
+def _beyond(value: int) -> bytes:
+    """Bytes that order numbers beyond 64 bits among those that are clamped to the same long."""
+    if _LOW < value <= _HIGH:
+        return b""
+    size = (abs(value).bit_length() + 7) // 8
+    raw = size.to_bytes(4, "big") + abs(value).to_bytes(size, "big")
+    return raw if value > 0 else bytes(255 - b for b in raw) if value < _LOW else b"\xff" * 5
 
 
-def _threshold_cell(scale: float, keep: int, cutoff: bool):
-    """Phase 1 (no cutoff): exact scores of the heads of the segments' lists. Phases 2 and 3: entries that can reach the cutoff."""
+def _whole(scale: float, keep: int) -> Callable:
+    """Exact scores of all pairs of a cell, one of which is far, in whole numbers of any size."""
+
+    def integer(x: float) -> int:
+        y = x * scale
+        return math.floor(y) if math.isfinite(y) else math.floor(Fraction(x) * Fraction(scale))
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        names = ["qkey", "query_id", "vec_id", "own", "score"]
-        nq, nr = queries.num_rows, rows.num_rows
-        if not nq or not nr:
-            return _entries({n: np.zeros(0, np.int64) for n in names})
-        x, q = _integers(_matrix(rows.column("embedding")), scale), _integers(_matrix(queries.column("query")), scale)
-        reach = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1])
-        exact = reach < 2.0**53
-        edges = np.linspace(0, x.shape[1], SEGMENTS + 1).astype(int)
-        if exact:
-            lists = [q[:, a:b] @ x[:, a:b].T for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            if cutoff:
-                tau = queries.column("tau").combine_chunks().fill_null(np.iinfo(np.int64).min // SEGMENTS).to_numpy().astype(np.float64)[:, None]
-                share = tau / SEGMENTS
-                # an entry of that sum has a part of at least a share; parts below it count as a share at most
-                seen = [part * SEGMENTS >= tau for part in lists]
-                bound = sum(np.where(s, part, share) for s, part in zip(seen, lists, strict=True))
-                qi, ri = np.nonzero(reduce(np.logical_or, seen) & (bound >= tau))
-            else:
-                n = min(keep, nr)
-                mask = np.zeros((nq, nr), bool)
-                for part in lists:
-                    np.put_along_axis(mask, np.argpartition(-part, n - 1, axis=1)[:, :n], True, axis=1)
-                qi, ri = np.nonzero(mask)
-        else:  # numbers too large for exact partial sums: every pair is resolved
-            qi, ri = (i.ravel() for i in np.indices((nq, nr)))
-        ids, qids = _ids(rows, "vec_id"), queries.column("query_id").to_numpy()
+        if not rows.num_rows or not queries.num_rows:
+            return _ENTRY.empty_table()
+        x, q = ([[integer(v) for v in r] for r in t.column(c).to_pylist()] for t, c in ((rows, "embedding"), (queries, "query")))
+        ids, keys = _ids(rows, "vec_id").tolist(), rows.column("qkey").to_pylist()
         out = []
-        step = 1 << 18
-        for s in range(0, len(qi), step):
-            a, b = qi[s : s + step], ri[s : s + step]
-            out.append(_dots(q[a], x[b], reach < 2.0**62))
-        score = np.concatenate(out) if out else np.zeros(0, np.int64)
-        best = _best(score, qi, ids[ri], nq, keep)
-        qi, ri, score = qi[best], ri[best], score[best]
-        own = (ids[ri] == qids[qi]) & (_matrix(rows.column("embedding"))[ri] == _matrix(queries.column("query"))[qi]).all(axis=1)
-        return _entries({"qkey": queries.column("qkey").to_numpy()[qi], "query_id": qids[qi], "vec_id": ids[ri], "own": own, "score": score})
+        for own, qkey, query_id in zip(q, queries.column("qkey").to_pylist(), queries.column("query_id").to_pylist(), strict=True):
+            scored = [(sum(map(operator.mul, own, r)), vec_id, key) for r, vec_id, key in zip(x, ids, keys, strict=True)]
+            for score, vec_id, key in heapq.nsmallest(keep, scored, key=lambda e: (-e[0], e[1])):
+                out.append((qkey, query_id, vec_id, vec_id == query_id and key == qkey, max(_LOW, min(_HIGH, score)), _beyond(score)))
+        return pa.table([pa.array([r[c] for r in out], kind.type) for c, kind in enumerate(_ENTRY)], schema=_ENTRY)
 
     return run
 
@@ -142,40 +203,94 @@ def exact_topk(vectors: DataFrame, queries: Column, *, k: int = 5, scale: float
 
     ``vectors``: vec_id, embedding (array of numbers) and other columns
     (ignored). ``queries``: condition on vec_id that marks the query rows.
-    Components become floor(``scale`` * x). The partial scores of
-    ``SEGMENTS`` groups of dimensions are the lists. Phase 1 scores the heads of
-    all lists exactly, which gives each query a safe cutoff; phase 2 takes the
-    entries with a part of at least the cutoff's share; phase 3 resolves those
-    whose upper bound reaches the cutoff.
+    Components become floor(``scale`` * x). The dimensions are dealt to
+    ``SEGMENTS`` segments; the partial scores of one segment for a query are a
+    local list, kept in chunks of rows in partitions of their own.
+
+    Phase 1 gathers the ``HEAD`` best entries of each chunk of each list. The
+    whole scores of the first k + 1 of each list give the query a cutoff that at
+    least k + 1 rows reach. Phase 2 collects every entry with a part of at least
+    the cutoff's share (cutoff / ``SEGMENTS``); a row with no such part stays
+    below the cutoff. Most have been sent in phase 1; only chunks whose last
+    entry sent is not below the share are asked again. Phase 3 looks up the parts
+    that were not sent, by row, and ranks the whole scores.
 
     Returns query_id, rank (from 1), vec_id, score (long), ties to the smaller
     vec_id. Vectors that are null or hold null or non-finite components take no
     part. Only vectors of the same length are compared. Null vec_id: a candidate
     (last among ties), never a query. Repeated rows are candidates of their own;
-    a query leaves out itself once. Repeated query rows give one result. Scores
-    beyond 64 bits become the nearest long. No queries: an empty result.
+    a query leaves out itself once. Repeated query rows give one result. No
+    queries: an empty result. Far rows and queries, with components too large for
+    exact sums in doubles, have no cutoff: they meet all others in whole numbers
+    of any size. Scores beyond 64 bits are ranked before they become the nearest
+    long.
     """
     valid = _valid(vectors, nonzero=False)
-    asked = _query_rows(valid, queries)
-    chunks, blocks = _layout(valid, asked)
-    rows = valid.withColumn("dim", F.size("embedding")).select("vec_id", "embedding", "dim", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(chunks)).cast("int").alias("chunk"))
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    size = F.coalesce(F.array_max(F.transform("embedding", lambda x: F.abs(x * scale))), F.lit(0.0)) + 1
+    far = size * size * F.greatest(F.size("embedding"), F.lit(1)) >= EXACT
+    keyed = valid.select("vec_id", "embedding", F.xxhash64("vec_id", "embedding").alias("qkey"), F.size("embedding").alias("dim"), far.alias("far"))
+    keyed = cut(keyed.withColumn("rid", F.monotonically_increasing_id()))
+    asked = keyed.where(queries & F.col("vec_id").isNotNull()).dropDuplicates(["qkey"])
+    asked = asked.select("qkey", F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.size("embedding").alias("dim"), F.col("far").alias("far"))
+    sent, rows = threshold_lists(keyed, asked, k, scale)
+    entries = sent.groupBy("dim", "chunk", "block").cogroup(rows.groupBy("dim", "chunk", "block"))
+    entries = entries.applyInArrow(lambda s, r: _resolved(k + 1)(r, s), _ENTRY_SQL)
+    if not keyed.where("far").isEmpty():
+        for r, q in ((keyed.where("far"), asked), (keyed.where("not far"), asked.where("far"))):
+            entries = entries.unionByName(_met(r, q, _whole(scale, k + 1)))
+    return _ranked(entries, k, [F.col("score").desc(), F.col("beyond").desc()], F.col("score"))
+
+
+def _met(rows: DataFrame, asked: DataFrame, run: Callable) -> DataFrame:
+    """Chunks of rows and blocks of queries of the same length in cells."""
+    chunks, blocks = _parts(rows.count(), ROWS // 16), _parts(asked.count(), BLOCK // 16)
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.lit(chunks)).cast("int")).withColumn("block", _each(blocks))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("qkey"), F.lit(blocks)).cast("int")).withColumn("chunk", _each(chunks))
     cell = ["dim", "chunk", "block"]
-    entry = "qkey long, query_id long, vec_id long, own boolean, score long"
-
-    def met(queries_: DataFrame, cutoff: bool) -> DataFrame:
-        spread = queries_.withColumns({"dim": F.size("query"), "block": F.pmod("qkey", F.lit(blocks)).cast("int"), "chunk": F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))})
-        return rows.groupBy(cell).cogroup(spread.groupBy(cell)).applyInArrow(_threshold_cell(scale, k + 1, cutoff), entry)
-
-    heads = met(asked, False)
-    place = F.row_number().over(Window.partitionBy("qkey").orderBy(F.col("score").desc(), "vec_id"))
-    # With fewer than k + 1 entries there is no cutoff.
-    tau = heads.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("qkey").agg(F.min("score").alias("low"), F.count("*").alias("n")).select("qkey", F.when(F.col("n") > k, F.col("low")).alias("tau"))
-    return _ranked(met(cut(asked.join(tau, "qkey", "left")), True), k, "score")
-
-
-def _layout(valid: DataFrame, asked: DataFrame) -> tuple[int, int]:
-    return max(1, -(-valid.count() // ROWS)), max(1, -(-asked.count() // BLOCK))
+    return rows.groupBy(cell).cogroup(asked.groupBy(cell)).applyInArrow(run, _ENTRY_SQL)
+
+
+def _each(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def threshold_lists(keyed: DataFrame, asked: DataFrame, k: int, scale: float) -> tuple[DataFrame, DataFrame]:
+    """Phases 1 and 2: the entries that were collected, with their queries, and the rows in the chunks they are from."""
+    y = lambda x: F.floor(x * scale).cast("double")
+    asked = asked.where("not far").withColumn("query", F.transform("query", y)).drop("far")
+    rows = keyed.where("not far").withColumn("embedding", F.transform("embedding", y)).drop("far")
+    chunks, blocks = _parts(rows.count(), ROWS), _parts(asked.count(), BLOCK)
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.lit(chunks)).cast("int"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("qkey"), F.lit(blocks)).cast("int"))
+    pieces = rows.withColumn("block", _each(blocks)).withColumn("segment", _each(SEGMENTS)).select(*_CELL, "rid", _segment("embedding").alias("v"))
+    spread = asked.withColumn("chunk", _each(chunks)).withColumn("segment", _each(SEGMENTS)).select(*_CELL, "qkey", _segment("query").alias("q"))
+    first = cut(pieces.groupBy(_CELL).cogroup(spread.groupBy(_CELL)).applyInArrow(_lists(max(HEAD, k + 1)), _LIST_SQL))
+
+    # the cutoff: the (k + 1)th whole score among the first k + 1 rows of each list; null with fewer rows
+    heads = first.select("qkey", "segment", F.explode(F.slice(F.arrays_zip("parts", "rids"), 1, k + 1)).alias("e"))
+    nth = F.row_number().over(Window.partitionBy("qkey", "segment").orderBy(F.col("e.parts").desc(), "e.rids"))
+    heads = heads.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("qkey", F.col("e.rids").alias("rid")).distinct()
+    whole = F.aggregate(F.zip_with("embedding", "query", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    scored = heads.join(rows.select("rid", "embedding"), "rid").join(asked.select("qkey", "query"), "qkey").select("qkey", whole.alias("score"))
+    place = F.row_number().over(Window.partitionBy("qkey").orderBy(F.col("score").desc()))
+    low = scored.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("qkey").agg(F.min("score").alias("low"), F.count("*").alias("n"))
+    asked = cut(asked.join(low.select("qkey", F.when(F.col("n") > k, F.col("low")).alias("tau")), "qkey", "left"))
+
+    # to all lists goes the cutoff; a chunk of at most k rows has been sent whole
+    tau = F.coalesce("tau", F.lit(-float("inf")))
+    known = first.join(asked.select("qkey", "query_id", "query", tau.alias("tau")), "qkey")
+    short = ~F.col("whole") & (F.element_at("parts", -1) * SEGMENTS >= F.col("tau"))
+    reached = F.filter(F.arrays_zip("rids", "parts"), lambda e: e["parts"] * SEGMENTS >= F.col("tau"))
+    sent = known.where(~short).withColumn("e", reached).where(F.size("e") > 0)
+    sent = sent.select("qkey", "query_id", "query", *_CELL, F.col("e.rids").alias("rids"), F.col("e.parts").alias("parts"))
+    again = cut(known.where(short).select(*_CELL, "qkey", "tau"))
+    if not again.isEmpty():
+        wanted = spread.join(again, [*_CELL, "qkey"])
+        cells = pieces.join(again.select(*_CELL).distinct(), _CELL, "left_semi")
+        more = cells.groupBy(_CELL).cogroup(wanted.groupBy(_CELL)).applyInArrow(_lists(None), _LIST_SQL)
+        more = more.join(asked.select("qkey", "query_id", "query"), "qkey")
+        sent = sent.unionByName(more.select(*sent.columns))
+    return sent, rows.withColumn("block", _each(blocks))
 
 
 # -- approximate search: forest with a shared queue --------------------------------------------------------------------
@@ -197,11 +312,15 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
-def _leaf_cell(keep: int):
+_NEAR = pa.schema([("qkey", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("rid", pa.int64()), ("own", pa.bool_()), ("score", pa.float64())])
+_NEAR_SQL = "qkey long, query_id long, vec_id long, rid long, own boolean, score double"
+
+
+def _leaf_cell(keep: int) -> Callable:
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         nq, nr = queries.num_rows, rows.num_rows
         if not nq or not nr:
-            return _entries({"qkey": np.zeros(0, np.int64), "query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "rid": np.zeros(0, np.int64), "own": np.zeros(0, bool), "score": np.zeros(0)})
+            return _NEAR.empty_table()
         x, q = _matrix(rows.column("embedding")), _matrix(queries.column("query"))
         ids, qids = _ids(rows, "vec_id"), queries.column("query_id").to_numpy()
         rough = _unit(q) @ _unit(x).T
@@ -212,77 +331,121 @@ def _leaf_cell(keep: int):
         best = _best(score, qi, ids[ri], nq, keep)
         qi, ri, score = qi[best], ri[best], score[best]
         own = (ids[ri] == qids[qi]) & (x[ri] == q[qi]).all(axis=1)
-        return _entries({"qkey": queries.column("qkey").to_numpy()[qi], "query_id": qids[qi], "vec_id": ids[ri], "rid": rows.column("rid").to_numpy()[ri], "own": own, "score": score})
+        columns = [queries.column("qkey").to_numpy()[qi], qids[qi], ids[ri], rows.column("rid").to_numpy()[ri], own, score]
+        return pa.table([pa.array(c) for c in columns], schema=_NEAR)
 
     return run
 
 
-def forest_search(vectors: DataFrame, queries: Column, *, k: int = 5, trees: int = 4, leaf: int = 256, sample: int = 20_000, budget: float = 1.25) -> DataFrame:
+class _Index:
+    """A forest for each length of vectors. Leaves are numbered through all of them."""
+
+    def __init__(self, points: dict[int, np.ndarray], trees: int, leaf: int):
+        self.trees, self.leaves = trees, 0
+        self.forests: dict[int, tuple[Forest, int]] = {}
+        for dim, own in sorted(points.items()):
+            forest = Forest(own, trees=trees, leaf=leaf)
+            self.forests[dim] = forest, self.leaves
+            self.leaves += forest.leaves
+
+    def assign(self, batches):
+        """The leaf of each row in each tree."""
+        for b in batches:
+            sizes = np.asarray(pc.list_value_length(b.column("embedding")))
+            for dim in np.unique(sizes).tolist():
+                own = b.filter(pa.array(sizes == dim))
+                forest, first = self.forests[dim]
+                found = forest.assign(_unit(_matrix(own.column("embedding")))) + first
+                at = pa.array(np.arange(own.num_rows + 1) * self.trees, pa.int32())
+                yield own.append_column("leaves", pa.ListArray.from_arrays(at, pa.array(found.T.ravel(), pa.int64())))
+
+    def probe(self, sizes: np.ndarray, chunks: np.ndarray, keep: int, z: float | None) -> Callable:
+        """The cells that a query opens: at first those of its own leaves, then all others within reach."""
+
+        def run(batches):
+            for b in batches:
+                lengths = np.asarray(pc.list_value_length(b.column("query"))).tolist()
+                kth = b.column("kth").to_numpy(zero_copy_only=False) if z is not None else None
+                rows, cells = [], []
+                for i, dim in enumerate(lengths):
+                    forest, first = self.forests[dim]
+                    point = _unit(_matrix(b.column("query").slice(i, 1)))[0]
+                    own = sizes[first : first + forest.leaves]
+                    opened = forest.search(point, own, keep, 0.0)
+                    if z is not None:
+                        # distance of the kth row found, on the unit sphere; the share of it along a plane's normal is about 1 / sqrt(dimensions)
+                        reach = z * math.sqrt(max(0.0, 2 - 2 * kth[i])) / math.sqrt(forest.spread)
+                        opened = set(forest.search(point, own, keep, reach)).difference(opened)
+                    for leaf in opened:
+                        cells += [(leaf + first, c) for c in range(chunks[leaf + first])]
+                        rows += [i] * int(chunks[leaf + first])
+                for s in range(0, len(rows), 20_000):
+                    part = np.array(cells[s : s + 20_000], np.int64)
+                    some = b.select(["qkey", "query_id", "query"]).take(pa.array(rows[s : s + 20_000]))
+                    yield some.append_column("leaf", pa.array(part[:, 0])).append_column("chunk", pa.array(part[:, 1]))
+
+        return run
+
+
+def forest_search(vectors: DataFrame, queries: Column, *, k: int = 5, trees: int = 4, leaf: int = 256, sample: int = 32_768, z: float = 1.0) -> DataFrame:
     """Nearest rows by cosine for each query, through a forest of random-projection trees.
 
     ``vectors``: vec_id, embedding and other columns (ignored). ``queries``:
     condition on vec_id that marks the query rows. The trees are fitted on about
-    ``sample`` vectors chosen by hash, and every row is put in a leaf of each
-    tree. A query opens leaves of all trees in the order of one priority queue
-    until they hold ``budget`` times the number of rows (a row counts once for
-    each tree), and ranks what they hold by exact cosine. Isotropic vectors need
-    a budget of about 1 for a recall of 0.95. Leaves are cut into chunks of
-    about ``ROWS`` rows, so that a leaf full of copies meets in no single task.
-
-    Returns query_id, rank, vec_id, score (double), ties to the smaller vec_id.
-    Vectors that are null, zero or hold null or non-finite components take no
-    part. Only vectors of the commonest length (the smaller among ties) are
-    searched. Null vec_id: a candidate (last among ties), never a query.
-    Repeated rows are candidates of their own; a query leaves out itself once.
-    Repeated query rows give one result. No queries: an empty result.
+    ``sample`` vectors chosen by hash, down to leaves of about ``leaf`` rows of
+    the whole table (or four vectors of the sample), and every row is put in a
+    leaf of each tree. A query first opens its own leaf of each tree. The
+    distance of the k-th row found there is how far the search may have to go:
+    one priority queue of all trees opens further leaves, by the largest margin
+    on the way to them, up to ``z`` standard deviations of such a distance along
+    a plane's normal. So the work follows the data: few leaves where vectors
+    form clusters, most of them where directions are uniform in many dimensions.
+    What the leaves hold is ranked by exact cosine. Leaves are cut into chunks
+    of about ``ROWS`` rows, so that a leaf full of copies meets in no single task.
+
+    Returns query_id, rank, vec_id, score (double), ties to the smaller vec_id:
+    always ``k`` rows if there are so many candidates (one tree's leaves are
+    opened until they hold them). Vectors that are null, zero or hold null or
+    non-finite components take no part. Only vectors of the same length are
+    compared; each length has trees of its own. Null vec_id: a candidate (last
+    among ties), never a query. Repeated rows are candidates of their own; a
+    query leaves out itself once. Repeated query rows give one result. No
+    queries: an empty result.
     """
     valid = _valid(vectors, nonzero=True)
     spark = vectors.sparkSession
-    entry = "qkey long, query_id long, vec_id long, rid long, own boolean, score double"
-    lengths = valid.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    if not lengths:
-        return _ranked(spark.createDataFrame([], entry).drop("rid"), k, "score")
-    dim, n = lengths[0]
-    valid = valid.where(F.size("embedding") == dim)
-    share = min(1.0, sample / n)
-    chosen = valid.where(F.pmod(F.xxhash64(F.lit(5), "vec_id", "embedding"), F.lit(1 << 30)) < int(share * (1 << 30))).select("embedding").toArrow()
-    points = _unit(_matrix(chosen.column("embedding"))) if chosen.num_rows else np.zeros((0, dim))
-    points = points[np.lexsort(points.T)]  # the same trees in whatever order the sample comes
-    # leaves of at least a few rows for small tables, so that the queue has something to choose from
-    forest = Forest(points, trees=trees, leaf=min(leaf, max(8, len(points) // 16)))
-
-    def assign(batches):
-        for b in batches:
-            if b.num_rows:
-                found = forest.assign(_unit(_matrix(pa.chunked_array([b.column("embedding")]))))
-                yield b.append_column("leaves", pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * trees, pa.int32()), pa.array(found.T.ravel(), pa.int64())))
-
-    indexed = cut(valid.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(assign, "vec_id long, embedding array<double>, rid long, leaves array<long>"))
+    counts = {r["dim"]: r["count"] for r in valid.groupBy(F.size("embedding").alias("dim")).count().collect()}
+    n = sum(counts.values())
+    share = min(1.0, sample / max(1, n))
+    chosen = F.pmod(F.xxhash64(F.lit(5), "vec_id", "embedding"), F.lit(1 << 30)) < int(share * (1 << 30))
+    picked = valid.where(chosen).select("embedding").toArrow().column("embedding").combine_chunks()
+    lengths = np.asarray(pc.list_value_length(picked))
+    points = {}
+    for dim in counts:
+        own = picked.filter(pa.array(lengths == dim))
+        own = _unit(_matrix(own)) if len(own) else np.zeros((0, dim))
+        points[dim] = own[np.lexsort(own.T)]  # the same trees in whatever order the sample comes
+    index = _Index(points, trees, max(4, int(leaf * share)))
+
+    indexed = valid.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(index.assign, "vec_id long, embedding array<double>, rid long, leaves array<long>")
+    indexed = cut(indexed)
     rows = indexed.select("vec_id", "embedding", "rid", F.explode("leaves").alias("leaf"))
-    sizes = np.zeros(forest.leaves)
+    sizes = np.zeros(index.leaves)
     for r in rows.groupBy("leaf").count().collect():  # at most trees * sample / 2 leaves
         sizes[r["leaf"]] = r["count"]
     chunks = np.maximum(1, np.ceil(sizes / ROWS)).astype(np.int64)
-
-    def probe(batches):
-        for b in batches:
-            points = _unit(_matrix(pa.chunked_array([b.column("query")]))) if b.num_rows else ()
-            found = [forest.search(p, sizes, budget * n) for p in points]
-            if not found:
-                continue
-            cells = [(leaf, c) for leaves in found for leaf in leaves for c in range(chunks[leaf])]
-            each = [int(chunks[leaves].sum()) for leaves in found]
-            at = pa.array(np.repeat(np.arange(len(found)), each))
-            for s in range(0, len(at), 20_000):
-                some = b.take(at.slice(s, 20_000))
-                part = np.array(cells[s : s + 20_000], np.int64)
-                yield some.append_column("leaf", pa.array(part[:, 0])).append_column("chunk", pa.array(part[:, 1]))
-
     table = F.broadcast(spark.createDataFrame([(i, int(c)) for i, c in enumerate(chunks)], "leaf long, chunks long"))
     placed = rows.join(table, "leaf").withColumn("chunk", F.pmod(F.xxhash64("rid"), "chunks")).drop("chunks")
-    asked = _query_rows(valid, queries).repartition(spark.sparkContext.defaultParallelism * 2, "qkey").mapInArrow(probe, "qkey long, query_id long, query array<double>, leaf long, chunk long")
-    entries = placed.groupBy("leaf", "chunk").cogroup(asked.groupBy("leaf", "chunk")).applyInArrow(_leaf_cell(k + 1), entry)
-    # the same row comes from several trees: at most `trees` times
+    asked = cut(_query_rows(valid, queries).repartition(spark.sparkContext.defaultParallelism * 2, "qkey"))
     best = Window.partitionBy("qkey").orderBy(F.col("score").desc(), "vec_id", "rid")
-    few = entries.withColumn("n", F.row_number().over(best)).where(F.col("n") <= trees * (k + 1))
-    return _ranked(few.dropDuplicates(["qkey", "rid"]), k, "score")
+
+    def met(some: DataFrame, z_: float | None) -> DataFrame:
+        """Each query's best entries; the same row comes from several trees, at most ``trees`` times."""
+        cells = some.mapInArrow(index.probe(sizes, chunks, k + 1, z_), "qkey long, query_id long, query array<double>, leaf long, chunk long")
+        entries = placed.groupBy("leaf", "chunk").cogroup(cells.groupBy("leaf", "chunk")).applyInArrow(_leaf_cell(k + 1), _NEAR_SQL)
+        return entries.withColumn("n", F.row_number().over(best)).where(F.col("n") <= trees * (k + 1)).drop("n").dropDuplicates(["qkey", "rid"])
+
+    near = cut(met(asked, None))
+    kth = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).groupBy("qkey").agg(F.min("score").alias("kth"))
+    far = met(asked.join(kth, "qkey"), z)
+    return _ranked(near.unionByName(far).dropDuplicates(["qkey", "rid"]), k, [F.col("score").desc()], F.col("score"))
