@@ -9,12 +9,15 @@ bounded size (a Bloom filter) tells which of them several documents have; only
 super-k-mers that pass it travel. What passes by mistake costs a journey and
 changes nothing; a bitmap that is too full lets all of them travel.
 
-A minimiser with more than ``HOT`` super-k-mers (huge groups of copies, very
-common passages) would overfill one bucket. Its super-k-mers travel as 128-bit
-digests: equal ones become one before the shuffle, only distinct ones are cut
-into windows, whose smallest doc_id is aggregated before the shuffle again, and
-each super-k-mer gets its windows' results back as one array, in a join that AQE
-can split.
+Buckets are measured in windows. A minimiser with more than a bucket's (huge
+groups of copies, very common passages) would overfill one. Its super-k-mers
+travel as 128-bit digests: equal ones become one before the shuffle, only
+distinct ones are cut into windows, whose smallest doc_id is aggregated before
+the shuffle again, and each super-k-mer gets its windows' results back as one
+array, in a join that AQE can split.
+
+Whole texts are never shuffled but for documents that lose words: a second
+bitmap tells the others apart, which are finished where they are read.
 """
 
 from __future__ import annotations
@@ -27,16 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karstwell.llm.shared import cut, texts_of
+from karstwell.llm.shared import Bitmap, cut, texts_of
 from karstwell.llm.words import Words, bounded, mix, slices
 
 MINIMISER = 12
-#: Super-k-mers of a minimiser that one task sorts together at most: about 16 MB of window keys.
-HOT = 4096
-#: Bits of a bitmap for each of its keys, and at most (32 MB).
-BITS_PER_KEY, MAX_BITS = 16, 1 << 28
-#: Super-k-mers of a bucket, about, and windows of a super-k-mer at most.
-BUCKET, RUN = 8192, 255
+#: Windows of a minimiser that are sorted together at most, and of a bucket, about (3 MB of keys of 50 words).
+HOT = BUCKET = 16_384
+#: Windows of a super-k-mer at most.
+RUN = 255
 
 _K = np.uint64(0xD6E8FEB86659FD93)
 
@@ -88,32 +89,13 @@ def _minimisers(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, text in slices(batch):
-                row, value, _, _ = super_kmers(Words(text), window)
-                yield pa.record_batch([pa.array(value.view(np.int64)), part.column("doc_id").take(pa.array(row))], ["minimiser", "doc_id"])
+                row, value, _, size = super_kmers(Words(text), window)
+                columns = [pa.array(value.view(np.int64)), part.column("doc_id").take(pa.array(row)), pa.array(size, pa.int64())]
+                yield pa.record_batch(columns, ["minimiser", "doc_id", "windows"])
 
     return run
 
 
-class Bitmap:
-    """A set of 64-bit hashes with two places each; may hold more than was put in."""
-
-    def __init__(self, keys: DataFrame, count: int):
-        self.bits = 1 << max(10, min(MAX_BITS, BITS_PER_KEY * count).bit_length())
-        low = self.bits - 1
-        places = F.explode(F.array(F.col("minimiser").bitwiseAND(F.lit(low)), F.shiftrightunsigned("minimiser", 32).bitwiseAND(F.lit(low))))
-        words = keys.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask"))
-        found = words.toArrow()  # a row for each 64 bits at most
-        self.words = np.zeros(self.bits // 64, np.uint64)
-        self.words[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), bool)
-        for place in (hashes, hashes >> np.uint64(32)):
-            place = place & np.uint64(self.bits - 1)
-            out &= (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return out
-
-
 def _pack(window: int, shared, hot):
     """The packed strings (words joined by spaces) of super-k-mers in ``shared``; of those in ``hot``, also a digest."""
 
@@ -204,20 +186,29 @@ def _windows(window: int):
 
 @bounded
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each text without those in its ranges (no such column: all words)."""
     for batch in batches:
         for part, text in slices(batch):
             words = Words(text)
-            counts = words.counts()
-            kept, removed = [], []
-            for i, ranges in enumerate(part.column("ranges").to_pylist()):
-                gone = np.zeros(counts[i] + 1, np.int32)
-                for r in ranges or ():
-                    gone[r["a"]] += 1
-                    gone[r["b"]] -= 1
-                stay = np.flatnonzero(np.cumsum(gone[:-1]) == 0) + words.row_start[i]
-                removed.append(int(counts[i]) - len(stay))
-                kept.append(b" ".join([words.data[x:y].tobytes() for x, y in zip(words.start[stay].tolist(), words.end[stay].tolist(), strict=True)]))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            counts, size = words.counts(), words.end - words.start
+            keep = np.ones(len(words), bool)
+            if "ranges" in part.schema.names:
+                for first, ranges in zip(words.row_start[:-1].tolist(), part.column("ranges").to_pylist(), strict=True):
+                    for r in ranges or ():
+                        keep[first + r["a"] : first + r["b"]] = False
+            row = words.rows()[keep]
+            inner = np.append(row[1:] == row[:-1], False)[: len(row)]  # a space follows
+            own = size[keep] + inner
+            ends = np.cumsum(own)
+            joined = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
+            solid = np.ones(len(joined), bool)
+            solid[ends[inner] - 1] = False
+            joined[solid] = words.data[words.solid][np.repeat(keep, size)]
+            offsets = np.zeros(len(text) + 1, np.int64)
+            np.cumsum(np.bincount(row, own, len(text)).astype(np.int64), out=offsets[1:])
+            kept = pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(offsets), pa.py_buffer(joined)).cast(pa.string())
+            removed = counts - np.bincount(row, minlength=len(text))
+            yield pa.record_batch([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), kept], ["doc_id", "n_words", "n_removed", "kept"])
 
 
 def _hot_ranges(packed: DataFrame, window: int) -> DataFrame:
@@ -248,19 +239,41 @@ def remove_repeats(documents: DataFrame, *, window: int = 50) -> DataFrame:
     texts = texts_of(documents).fillna("", ["text"])
     known = texts.where("doc_id is not null").withColumn("rk", F.xxhash64("doc_id", "text"))
     sc = documents.sparkSession.sparkContext
-    counted = known.mapInArrow(_minimisers(window), "minimiser long, doc_id long").groupBy("minimiser").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("n"))
+    counted = known.mapInArrow(_minimisers(window), "minimiser long, doc_id long, windows long").groupBy("minimiser")
+    counted = counted.agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.sum("windows").alias("n"))
     shared = cut(counted.where("x < y").select("minimiser", "n"))
-    keys, hot_keys, travellers = shared.agg(F.count("*"), F.count_if(F.col("n") > HOT), F.coalesce(F.sum("n"), F.lit(0))).first()
-    in_shared = sc.broadcast(Bitmap(shared, keys))
-    in_hot = sc.broadcast(Bitmap(shared.where(F.col("n") > HOT), hot_keys)) if hot_keys else None
+    hot = F.col("n") > HOT
+    keys, hot_keys, windows = shared.agg(F.count("*"), F.count_if(hot), F.coalesce(F.sum(F.when(~hot, F.col("n"))), F.lit(0))).first()
+    in_shared = sc.broadcast(Bitmap(shared.select("minimiser"), keys))
+    in_hot = sc.broadcast(Bitmap(shared.where(hot).select("minimiser"), hot_keys)) if hot_keys else None
     packed = known.mapInArrow(_pack(window, in_shared, in_hot), "minimiser long, doc_id long, rk long, start long, packed binary, kmer binary")
-    buckets = max(1, -(-travellers // BUCKET))
     cold = packed.where("kmer is null").drop("kmer")
-    ranges = cold.groupBy(F.pmod(F.xxhash64("minimiser"), F.lit(buckets)).alias("bucket")).applyInArrow(_count(window), "doc_id long, rk long, a long, b long")
+    bucket = F.pmod(F.xxhash64("minimiser"), F.lit(_parts(windows))).alias("bucket")
+    ranges = cold.groupBy(bucket).applyInArrow(_count(window), "doc_id long, rk long, a long, b long")
     found = ranges.select("doc_id", "rk", F.array(F.struct("a", "b")).alias("ranges"))
     if hot_keys:
         found = found.unionByName(_hot_ranges(packed.where("kmer is not null"), window))
-    gone = found.groupBy("doc_id", "rk").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    nothing = texts.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("ranges"))
-    every = known.join(gone, ["doc_id", "rk"], "left").select("doc_id", "text", "ranges").unionByName(nothing)
-    return every.mapInArrow(_cut_out, "doc_id long, n_words long, n_removed long, kept string")
+    gone = cut(found.groupBy("doc_id", "rk").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
+    lossy = sc.broadcast(Bitmap(gone.select("rk"), gone.count()))
+    result = "doc_id long, n_words long, n_removed long, kept string"
+    nothing = texts.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("rk"), "text")
+    whole = nothing.unionByName(known.select("doc_id", "rk", "text")).mapInArrow(lambda batches: _cut_out(_chosen(lossy, False)(batches)), result)
+    less = known.mapInArrow(_chosen(lossy, True), known.schema).join(gone, ["doc_id", "rk"], "left")
+    return whole.unionByName(less.select("doc_id", "text", "ranges").mapInArrow(_cut_out, result))
+
+
+def _parts(windows: int) -> int:
+    return max(1, -(-windows // BUCKET))
+
+
+def _chosen(lossy, wanted: bool):
+    """Rows whose key is, or isn't, in a bitmap; a null key isn't."""
+
+    @bounded
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rk = batch.column("rk")
+            has = lossy.value.has(rk.fill_null(0).to_numpy().view(np.uint64)) & rk.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(has == wanted))
+
+    return run
