@@ -8,9 +8,11 @@ in all documents, different ones stay different, and the key restores them.
 
 from __future__ import annotations
 
+import calendar
 import datetime
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -74,13 +76,13 @@ class Feistel:
 
 
 def _digits(text: str) -> str:
-    return re.sub(r"\D", "", text)
+    return re.sub(r"[^0-9]", "", text)
 
 
 def _fill(shape: str, digits: str) -> str:
     """``shape`` with its digits replaced in order."""
     rest = iter(digits)
-    return "".join(next(rest) if c.isdigit() else c for c in shape)
+    return "".join(next(rest) if c in "0123456789" else c for c in shape)
 
 
 def luhn(digits: str) -> int:
@@ -144,26 +146,33 @@ def _iban(text: str, f: Feistel) -> str | None:
     return "".join(c if c == " " else next(rest) for c in text)
 
 
-_DATES = {
-    "date_ymd": lambda g: (int(g[0]), int(g[1]), int(g[2])),
-    "date_dmy": lambda g: (int(g[2]), int(g[1]), int(g[0])),
-}
+def _date(order: str) -> Callable[[str, Feistel], str | None]:
+    """Dates written in ``order`` (of y, m, d), permuted among the dates that are written in as many characters.
 
+    Month-first dates are those that day-first can't be (a day over 12), and
+    stay so; a date of one form never becomes one of another.
+    """
 
-def _date(order: str) -> Callable[[str, Feistel], str | None]:
     def run(text: str, f: Feistel) -> str | None:
-        groups = re.split(r"[-/.]", text)
-        marks = re.findall(r"[-/.]", text)
-        try:
-            day = datetime.date(*_DATES[order](groups))
-        except ValueError:
+        groups, marks = re.split(r"[-/.]", text), re.findall(r"[-/.]", text)
+        value = {k: int(g) for k, g in zip(order, groups, strict=True)}
+        width = {k: len(g) for k, g in zip(order, groups, strict=True)}
+        if not (FIRST_DAY.year <= value["y"] <= LAST_DAY.year and 1 <= value["m"] <= 12):
             return None
-        if not FIRST_DAY <= day <= LAST_DAY:
+        if not 1 <= value["d"] <= calendar.monthrange(value["y"], value["m"])[1]:
+            return None
+
+        def fits(day: datetime.date) -> bool:
+            return all(n < 10 or width[k] == 2 for k, n in (("m", day.month), ("d", day.day))) and (order != "mdy" or day.day > 12)
+
+        day = datetime.date(value["y"], value["m"], value["d"])
+        if not fits(day):
             return None
-        at = f.number((day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, "date")
-        day = FIRST_DAY + datetime.timedelta(at)
-        out = [f"{day.year:04d}", f"{day.month:02d}", f"{day.day:02d}"]
-        out = out if order == "date_ymd" else out[::-1]
+        while True:  # walks on until the result can be written so
+            day = FIRST_DAY + datetime.timedelta(f.number((day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, "date"))
+            if fits(day):
+                break
+        out = [f"{n:0{width[k]}d}" for k, n in ((k, {"y": day.year, "m": day.month, "d": day.day}[k]) for k in order)]
         return out[0] + marks[0] + out[1] + marks[1] + out[2]
 
     return run
@@ -181,18 +190,23 @@ def _credential(text: str, f: Feistel) -> str | None:
     return text[:at] + f.symbols(text[at:], "credential")
 
 
-#: Formats in the order in which they are tried; what one has taken is not seen by the next.
+#: Formats in the order in which they are tried; what one has taken is not seen by the next. Digits are ASCII digits.
 FORMATS: tuple[tuple[str, re.Pattern, Callable[[str, Feistel], str | None]], ...] = (
-    ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), _email),
-    ("credential", re.compile(r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|secret|token|api_key)[ \t]*[=:][ \t]*\"?[0-9a-zA-Z]{12,}\b"), _credential),
-    ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?)\b"), _iban),
-    ("card", re.compile(r"(?<![\d.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\d)"), _card),
-    ("date", re.compile(r"(?<![\d./-])\d{4}([-/.])\d{2}\1\d{2}(?![\d/-])"), _date("date_ymd")),
-    ("date", re.compile(r"(?<![\d./-])\d{2}([-/.])\d{2}\1\d{4}(?![\d/-])"), _date("date_dmy")),
-    ("social", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), _social),
-    ("ipv4", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"), _address),
-    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,12}(?!\d)|(?<![\d(+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])"), _phone),
-)
+    ("email", re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), _email),
+    ("credential", re.compile(
+        r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|secret|token|api_key)[ \t]*[=:][ \t]*\"?[0-9a-zA-Z]{12,}\b"), _credential),
+    ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?)\b"), _iban),
+    ("card", re.compile(
+        r"(?<![0-9.])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])"), _card),
+    ("date", re.compile(r"(?<![0-9./-])[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9/-])"), _date("ymd")),
+    ("date", re.compile(r"(?<![0-9./-])[0-9]{1,2}([-/.])[0-9]{1,2}\1[0-9]{4}(?![0-9/-])"), _date("dmy")),
+    ("date", re.compile(r"(?<![0-9./-])[0-9]{1,2}([-/])[0-9]{2}\1[0-9]{4}(?![0-9/-])"), _date("mdy")),
+    ("social", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), _social),
+    ("ipv4", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"), _address),
+    ("phone", re.compile(
+        r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){5,12}(?![0-9])"
+        r"|(?<![0-9(+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-])"), _phone),
+)
 
 
 #: What every value of every format has.
@@ -207,13 +221,14 @@ def _in_line(text: str, begin: int, end: int, f: Feistel) -> list[tuple[int, int
     for kind, pattern, change in FORMATS:
         if kind == "email" and "@" not in line:
             continue
-        new = []
+        new, starts = [], [x[0] for x in found]
         for m in pattern.finditer(line):
             a, b = begin + m.start(), begin + m.end()
-            if not any(x[0] < b and a < x[1] for x in found) and (to := change(m[0], f)) is not None:
+            at = bisect_right(starts, a)  # what is found lies in order and apart
+            if (not at or found[at - 1][1] <= a) and (at == len(found) or found[at][0] >= b) and (to := change(m[0], f)) is not None:
                 new.append((a, b, kind, to))
-        found += new
-    return sorted(found)
+        found = sorted(found + new)
+    return found
 
 
 def replace_private(text: str, f: Feistel) -> tuple[str, list[tuple[str, int, int]]]:
@@ -238,16 +253,19 @@ def pseudonymise(documents: DataFrame, *, key: str, restore: bool = False) -> Da
 
     ``documents``: doc_id, text and any other columns (ignored). Formats: card
     numbers (Luhn), IBANs (mod 97), social security numbers, phone numbers, IPv4
-    addresses, dates from 1900 to 2099, e-mail names, and credentials
-    (``password=``, ``token=`` and the like, access key ids). Numbers that fail
-    their check stay. ``restore`` undoes it with the same key.
+    addresses, dates from 1900 to 2099 (year first, day first, or month first
+    where that is the only reading; one or two digits), e-mail names, and
+    credentials (``password=``, ``token=`` and the like, access key ids). Digits
+    are ASCII digits. Numbers that fail their check stay. ``restore`` undoes it
+    with the same key.
 
     Returns doc_id, text, n_private, private (array of kind, start, length in
     the characters of the text before).
 
     Null text: null and 0. Text without such data is unchanged. Null doc_id and
     repeated rows are rows like any other; equal texts give equal results. An
-    empty table gives an empty result. Very long texts are scanned whole.
+    empty table gives an empty result. Very long texts and lines are scanned
+    whole, in time about linear in their length.
     """
 
     @bounded
