@@ -29,6 +29,8 @@ WINDOW_TOKENS = 2 << 20
 CACHE_WORDS = 150_000
 #: Cost of a token besides attention, in units of one query-key product.
 LINEAR = 6 * 768
+#: Share of the tokens that may be padding, so that few documents have to be cut.
+SLACK = 0.005
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -141,13 +143,14 @@ class Tokenizer:
 _tokenizers: dict[str, Tokenizer] = {}
 
 
-def pack(lengths: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
+def pack(lengths: np.ndarray, capacity: int, slack: float = SLACK) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents of the given lengths.
 
-    As few sequences as the tokens need. A document longer than ``capacity``
-    fills sequences of its own with all but its last piece. What has no room in
-    any sequence is cut to the largest room. All sequences are full but the
-    last, which is cut into powers of two, so that nothing is padded.
+    A document longer than ``capacity`` fills sequences of its own with all but
+    its last piece. The others share as many sequences as their tokens and at
+    most ``slack`` times as many of padding fill. What has no room in any is cut
+    to the largest room. Where the slack is less than a sequence's rest, the
+    rest is cut into powers of two instead, so that nothing is padded.
     """
     out, rest, sequence = [], [], 0
     for doc, n in enumerate(lengths.tolist()):
@@ -161,8 +164,11 @@ def pack(lengths: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, i
     total = sum(r[0] for r in rest)
     if not total:
         return out
-    full, tail = divmod(total, capacity)
-    room = [capacity] * full + [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if tail >> b & 1]
+    count = int(total * (1 + slack)) // capacity
+    room = [capacity] * count
+    if count * capacity < total:
+        tail = total - count * capacity
+        room += [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if tail >> b & 1]
     room_a = np.array(room, np.int64)
     used = np.zeros(len(room), np.int64)
     cost = np.zeros(len(room), np.float64)
@@ -234,12 +240,14 @@ def pack_documents(documents: DataFrame, *, tokenizer: str | None = None, capaci
     Returns one row for each piece: doc_id, start (the document's ids before
     it), length, ids_crc32 (of its ids as little-endian unsigned 32-bit
     numbers), doc_tokens, sequence_id, offset (its place in the sequence).
-    Sequences are full or have a power of two of tokens; ids are unique, not dense.
+    Sequences have at most ``capacity`` tokens; padding to it, but for those with
+    a power of two, takes at most ``SLACK`` of all. Ids are unique, not dense.
 
     Null or empty text: one piece of length 1, the end id. Null doc_id and rows
     with the same doc_id: packed as documents of their own. Ties in length go in
-    the order of the input. A very long text is a window of its own. An empty
-    table gives an empty result.
+    the order of the input; a window is what a task reads together, so a table
+    that is split otherwise is packed otherwise. A very long text is a window of
+    its own. An empty table gives an empty result.
     """
     if tokenizer is None:
         import public_tokenizers
