@@ -85,13 +85,22 @@ class ToxicityModel:
     weights: dict[int, float]
     trained_on: int
 
+    def scorer(self) -> _Scorer:
+        """A worker process keeps its scorer, and the words that it knows, from one task to the next."""
+        if not hasattr(self, "_scorer"):
+            self._scorer = _Scorer(self)
+        return self._scorer
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_scorer"}
+
     def predict(self, documents: DataFrame) -> DataFrame:
         """doc_id and score for each row of ``documents`` (doc_id, text)."""
         shared = documents.sparkSession.sparkContext.broadcast(self)  # at most the features that were kept
 
         @bounded
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            score = _Scorer(shared.value)
+            score = shared.value.scorer()
             for batch in batches:
                 for part, text in slices(batch):
                     yield pa.record_batch([part.column("doc_id"), pa.array(score(text))], ["doc_id", "score"])
@@ -102,11 +111,10 @@ class ToxicityModel:
     def clean(self, documents: DataFrame, threshold: float) -> DataFrame:
         """The rows of ``documents`` that score below ``threshold``, with all their columns."""
         shared = documents.sparkSession.sparkContext.broadcast(self)
-        texts_of(documents)  # small batches
 
         @bounded
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            score = _Scorer(shared.value)
+            score = shared.value.scorer()
             for batch in batches:
                 for part, text in slices(batch):
                     yield part.filter(pa.array(score(text) < threshold))
@@ -204,7 +212,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, *, learn: Column | Non
     The penalty of a weight's size is ``l1`` over the root of the number of rows;
     ``fairness`` weighs the squared differences between swapped sentences.
     Without rows of both classes the model has no weights, and its score is the
-    share of the class that there is.
+    logistic of 4 (only toxic rows) or of -4.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     if learn is not None:
