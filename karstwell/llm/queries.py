@@ -100,10 +100,12 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(seen) AS component_id
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 w AS (SELECT doc_id, i AS pos, array_to_string(ls[i:i + 2], chr(10)) AS g FROM l, unnest(range(1, len(ls) - 1)) AS t(i)),
 n AS (
-  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, pos) AS nth, count(*) OVER (PARTITION BY g) AS times
-  FROM w WHERE regexp_matches(g, '\S')),
-c AS (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p, nth = 1 AS is_first FROM n WHERE times > 1),
-r AS (SELECT doc_id, p FROM c GROUP BY doc_id, p HAVING NOT bool_or(is_first)),
+  SELECT *, row_number() OVER o AS nth, first_value(doc_id) OVER o AS first_id, count(*) OVER (PARTITION BY g) AS times
+  FROM w WHERE regexp_matches(g, '\S') WINDOW o AS (PARTITION BY g ORDER BY doc_id NULLS LAST, pos)),
+c AS (
+  SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p, nth = 1 AS is_first, doc_id IS DISTINCT FROM first_id AS is_outside
+  FROM n WHERE times > 1),
+r AS (SELECT doc_id, p FROM c GROUP BY doc_id, p HAVING bool_or(is_outside) OR NOT bool_or(is_first)),
 k AS (
   SELECT l.doc_id, string_agg(ls[i], chr(10) ORDER BY i) FILTER (WHERE r.p IS NULL) AS left_over, count(r.p) AS gone
   FROM l, unnest(range(1, len(ls) + 1)) AS t(i) LEFT JOIN r ON r.doc_id = l.doc_id AND r.p = i GROUP BY l.doc_id)
