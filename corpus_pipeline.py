@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karstwell.llm.lines import dedup_lines
 from karstwell.llm.mixing import mix_sources
-from karstwell.llm.neardup import near_duplicates
+from karstwell.llm.neardup import drop_near_duplicates
 from karstwell.llm.packing import pack_documents
 from karstwell.llm.queries import held_out
-from karstwell.llm.shared import shared_dir
+from karstwell.llm.shared import aside, shared_dir
 from karstwell.llm.toxicity import drop_toxic
+from karstwell.sources.storage import remove
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject, unchanged. Nulls and empty texts stay."""
+    """Documents that the classifier does not reject, unchanged.
+
+    Null and empty texts score by the model's bias, and stay unless most labelled
+    documents are toxic. Rows with null doc_id are scored like any other; equal
+    texts stay or go together. No labels: all stay. Empty tables stay empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return drop_toxic(docs, labels, learn=~held_out(), threshold=0.3)
 
@@ -25,34 +31,54 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without later occurrences of three-line windows. A document that had lines and lost all of them goes.
 
-    n_chars follows the text where that changed.
+    Other columns stay as they are, whatever their names; n_chars follows the
+    text where that changed. Null and empty texts stay. Rows with equal doc_id
+    and text are one document: no window of one is later than that of the other.
+    Rows with null doc_id count as the last. An empty table stays empty.
     """
-    done = dedup_lines(docs)
+    done = dedup_lines(aside(docs, doc_id=F.col("doc_id"), text=F.col("text")))
     done = done.where("n_removed = 0 or n_removed < n_lines")
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return done.select(docs.columns)
+    changed = F.col("n_removed") > 0
+    columns = []
+    for c in docs.columns:
+        value = F.col("row")[c]
+        if c.lower() in ("text", "n_chars"):
+            new = F.col("text") if c.lower() == "text" else F.length("text")
+            value = F.when(changed, new).otherwise(value).cast(docs.schema[c].dataType)
+        columns.append(value.alias(c))
+    return done.select(*columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component (five-word shingles, similarity 0.8).
+    """One document of each component stays: that of the smallest doc_id (five-word shingles, similarity 0.8).
 
-    Of rows with the same doc_id one stays (the smallest text); rows with a null doc_id stay.
+    Rows are documents: of rows with one doc_id all stay whose texts differ by
+    more than that. Of rows with equal doc_id and text one stays. Texts without
+    words and rows with null doc_id stay. Columns and texts are unchanged. An
+    empty table stays empty.
     """
-    gone = near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone.hint("merge"), "doc_id", "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text"))
-    return left.withColumn("_nth", nth).where("doc_id is null or _nth = 1").select(docs.columns)
+    return drop_near_duplicates(docs, shingle=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document that is taken n times is n rows."""
-    mixed = mix_sources(docs).where("repeats > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(docs.columns)
+    """The mix: a document that is taken n times is n rows, with unchanged columns.
+
+    Texts without words are taken with the others of their source. A null source
+    is a source. Rows with the same doc_id (also null) are taken alike. An empty
+    table stays empty.
+    """
+    mixed = mix_sources(aside(docs, doc_id=F.col("doc_id"), text=F.col("text"), source=F.col("source")))
+    copies = F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("copy")
+    return mixed.where("repeats > 0").select("row", copies).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
+    """Pieces of all documents in sequences of at most 2048 tokens.
+
+    Null and empty texts are one token, the end id. Rows with null or equal
+    doc_id are documents of their own. Ties in length go in the order in which
+    a task reads them. An empty table gives an empty result.
+    """
     return pack_documents(docs)
 
 
@@ -69,10 +95,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each one's result is written to the shared folder and read by the next."""
+    """All stages on documents; each one's result is written to the shared folder and read by the next.
+
+    A stage's table is deleted once the next one is written. That of the last
+    stage but one is what the result reads, and stays.
+    """
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, f"{folder}/{before}")
+        docs, before = spark.read.parquet(f"{folder}/{name}"), name
     return STAGES[-1][1](spark, docs, sf_dir)
