@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,7 +122,7 @@ def sql_concept(text: Column) -> Column:
 
 
 def text_metadata(x: Column) -> list[Column]:
-    n = lambda p: F.size(F.regexp_extract_all(x, F.lit(p), F.lit(0)))
+    n = lambda p: F.regexp_count(x, F.lit(p))
     return [
         line_count(x).alias("line_count"), n(r"\S+").alias("word_count"), F.length(x).alias("char_count"), n(r"(?m)^#{1,6}[ \t]+\S.*$").alias("headings"),
         n(r"(?m)^[ \t]*(?:[-*+]|\d+[.)])[ \t]+\S").alias("list_items"), n(r"\b(?:TODO|FIXME|NOTE|HACK|XXX|BUG)\b").alias("annotations"), n(r'https?://[^\s<>"]+').alias("urls"),
@@ -347,73 +348,96 @@ def token_batches(rows: DataFrame, *, by: str, order: str, max_tokens: int, max_
     return rows.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)
 
 
-def natural_boundaries(lines: list[str], start: int, end: int, kind: str, path: str) -> tuple[int, int]:
-    """A chunk's lines widened to the definition around it (1-based); (0, 0) for lines that aren't there.
-
-    Known kinds get three lines on both sides. Python widens by indentation,
-    languages with braces by their depth, both within 200 lines; 300 in all.
-    """
-    n = len(lines)
-    if not 1 <= start <= end <= n:
-        return 0, 0
-    if kind in ("function", "method", "class", "interface", "struct", "enum", "program", "function_block", "action", "property"):
-        return max(1, start - 3), min(n, end + 3)
-    first, last = start - 1, end - 1
-    top, bottom = first, last
-    lower = path.lower()
-    if lower.endswith((".py", ".pyw")):
-        top = next((i for i in _upwards_in_block(lines, first) if re.match(r"\s*(async def|def|class) ", lines[i])), first)
-        indent = len(lines[top]) - len(lines[top].lstrip())
-        below = range(last + 1, min(n, last + 200))
-        out = next((i for i in below if lines[i].strip() and len(lines[i]) - len(lines[i].lstrip()) <= indent), None)
-        bottom = min(n - 1, last + 50) if out is None else out - 1
-    elif lower.endswith((".c", ".cpp", ".cc", ".cxx", ".h", ".hpp", ".rs", ".go", ".java", ".js", ".ts", ".tsx", ".jsx", ".cs", ".swift", ".kt", ".scala")):
-        top = _open_brace(lines, first)
-        depth = 0
-        for i in range(top, min(n, last + 200)):
-            depth += lines[i].count("{") - lines[i].count("}")
-            if depth == 0 and i > top and "}" in lines[i]:
-                bottom = i
-                break
-    return top + 1, min(bottom, top + 300) + 1
-
-
-def _upwards_in_block(lines: list[str], first: int) -> Iterator[int]:
-    for i in range(first - 1, max(0, first - 200), -1):
-        yield i
-        if not lines[i].strip() and lines[i + 1].strip() and not lines[i + 1].lstrip().startswith((" ", "\t")):
-            return
-
-
-def _open_brace(lines: list[str], first: int) -> int:
-    """The line of the signature before the brace that encloses a line, or that line.
-
-    Depth counts closing minus opening braces upwards; a line that opens while
-    the depth is positive is where a signature is looked for.
-    """
-    depth = 0
-    for i in range(first, max(0, first - 200), -1):
-        depth += lines[i].count("}") - lines[i].count("{")
-        if depth > 0 and "{" in lines[i]:
-            for j in range(i, max(0, i - 10), -1):
-                if "(" in lines[j] and (")" in lines[j] or j < i):
-                    if j != first:
-                        return j
-                    break
-    return first
+#: Kinds of chunks that are whole definitions, and endings of files whose blocks are indented or in braces.
+WHOLE_KINDS = ("function", "method", "class", "interface", "struct", "enum", "program", "function_block", "action", "property")
+INDENTED = (".py", ".pyw")
+BRACED = (".c", ".cpp", ".cc", ".cxx", ".h", ".hpp", ".rs", ".go", ".java", ".js", ".ts", ".tsx", ".jsx", ".cs", ".swift", ".kt", ".scala")
+#: Lines that are looked through on each side, of a chunk at most, and around a whole definition.
+REACH, MOST_LINES, AROUND = 200, 300, 3
+
+
+class Boundaries:
+    """Look-ups on the lines of one file, made once for all its chunks. Lines count from 0 here."""
+
+    def __init__(self, text: str, path: str):
+        self.lines = text.split("\n")
+        self.n = len(self.lines)
+        lower = path.lower()
+        self.style = "indent" if lower.endswith(INDENTED) else "braces" if lower.endswith(BRACED) else ""
+        at = np.arange(self.n)
+        latest = lambda hit: np.maximum.accumulate(np.where(hit, at, -1))
+        if self.style == "indent":
+            self.indent = np.array([len(x) - len(x.lstrip()) for x in self.lines])
+            self.filled = np.array([bool(x.strip()) for x in self.lines])
+            self.head = latest(np.array([bool(re.match(r"\s*(async def|def|class) ", x)) for x in self.lines]))
+            # a paragraph ends at a blank line before a filled one
+            self.gap = latest(~self.filled & np.append(self.filled[1:], False))
+        elif self.style == "braces":
+            opens, closes = (np.array([x.count(c) for x in self.lines]) for c in "{}")
+            self.opens, self.closes = opens > 0, closes > 0
+            self.depth = np.concatenate([[0], np.cumsum(opens - closes)])  # before each line, and at the end
+            left, right = (np.array([c in x for x in self.lines]) for c in "()")
+            before = np.concatenate([[-1], latest(left)[:-1]])
+            self.signature = np.where(left & right & (at > np.maximum(0, at - 10)), at, np.where(before > np.maximum(0, at - 10), before, -1))
+
+    def span(self, first: int, last: int) -> tuple[int, int]:
+        """First and last line of the definition around some lines."""
+        top, bottom = first, last
+        low, high = max(0, first - REACH) + 1, min(self.n, last + REACH)
+        if self.style == "indent":
+            if first and self.head[first - 1] >= max(low, self.gap[first - 1] + 1):
+                top = int(self.head[first - 1])
+            below = slice(last + 1, high)
+            ends = np.flatnonzero(self.filled[below] & (self.indent[below] <= self.indent[top]))
+            bottom = last + int(ends[0]) if len(ends) else min(self.n - 1, last + 50)
+        elif self.style == "braces":
+            above = slice(low, first + 1)
+            own = self.signature[above]
+            outer = np.flatnonzero(self.opens[above] & (self.depth[above] > self.depth[first + 1]) & (own >= 0) & (own != first))
+            top = int(own[outer[-1]]) if len(outer) else first
+            below = slice(top + 1, max(top + 1, high))
+            ends = np.flatnonzero(self.closes[below] & (self.depth[below.start + 1 : below.stop + 1] == self.depth[top]))
+            bottom = top + 1 + int(ends[0]) if len(ends) else last
+        return top, min(bottom, top + MOST_LINES)
+
+    def widened(self, start: int, end: int, kind: str) -> tuple[int, int]:
+        """A chunk's lines (from 1) widened to the definition around it; (0, 0) for lines that aren't there."""
+        if not 1 <= start <= end <= self.n:
+            return 0, 0
+        if kind in WHOLE_KINDS:
+            return max(1, start - AROUND), min(self.n, end + AROUND)
+        top, bottom = self.span(start - 1, end - 1)
+        return top + 1, bottom + 1
 
 
 def expand_boundaries(chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds from_line and to_line of ``natural_boundaries``; files (file_id, text) are joined by id."""
+    """Adds from_line and to_line: each chunk's lines, widened to the definition around them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            found = [natural_boundaries(r["text"].split("\n"), r["start_line"], r["end_line"], r["chunk_type"], r["path"]) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), pa.array([a for a, _ in found], pa.int32()), pa.array([b for _, b in found], pa.int32())], ["chunk_id", "from_line", "to_line"])
+    Whole definitions get three lines on both sides. Others reach up to the
+    head of their paragraph's definition and down to the next line that is
+    indented no deeper (Python), or over the braces around them; 200 lines are
+    looked through on each side, and 300 is the most.
+
+    ``files`` (file_id, text): each text meets its chunks once, and its look-ups
+    are made once. Chunks of files that aren't there get (0, 0).
+    """
 
-    both = chunks.select("chunk_id", "file_id", "start_line", "end_line", "chunk_type", "path").join(files.select("file_id", "text"), "file_id")
-    return both.mapInArrow(run, "chunk_id long, from_line int, to_line int")
+    def run(own: pa.Table, texts: pa.Table) -> pa.Table:
+        text = texts.column("text")[0].as_py() if texts.num_rows else None
+        found, known = [], {}
+        for r in own.select(["start_line", "end_line", "chunk_type", "path"]).to_pylist():
+            if text is None:
+                found.append((0, 0))
+                continue
+            path = r["path"] or ""
+            if path not in known:
+                known[path] = Boundaries(text, path)
+            found.append(known[path].widened(r["start_line"], r["end_line"], r["chunk_type"]))
+        return pa.table({"chunk_id": own.column("chunk_id").cast(pa.int64()), "from_line": pa.array([a for a, _ in found], pa.int32()), "to_line": pa.array([b for _, b in found], pa.int32())})
+
+    own = chunks.select("chunk_id", "file_id", "start_line", "end_line", "chunk_type", "path").groupBy("file_id")
+    texts = files.select(F.col("file_id").alias("id"), "text").groupBy("id")
+    return own.cogroup(texts).applyInArrow(run, "chunk_id long, from_line int, to_line int")
 
 
 def best_batch_size(results: DataFrame, *, gain: float = 0.15, default: int = 100) -> DataFrame:

@@ -65,18 +65,24 @@ def unexplored(chunks: DataFrame, explored: DataFrame, *, full: int = 50) -> Dat
     return chunks.join(done, "path", "left_anti").join(r, inside, "left_anti")
 
 
-def within_budget(files: DataFrame, order: list[Column], max_tokens: int, *, by: list[str] = ()) -> DataFrame:
+def within_budget(files: DataFrame, order: list[str], max_tokens: int, *, by: list[str] = (), key: str = "file_id") -> DataFrame:
     """Files in order until the tokens are used; the one that passes the limit is cut if over 500 tokens are left.
 
-    ``by`` partitions the budget; without it the frame is one result list, of bounded size.
+    ``by`` partitions the budget, ``key`` identifies a file; null and empty
+    texts cost no token and take no part. A file costs a token at least, so only
+    the first ``max_tokens`` files of each budget are looked at, and Spark keeps
+    no more of them in a task. Their keys and sizes are shuffled; texts are
+    joined to the chosen ones only.
     """
-    tokens = X.llm_tokens(F.col("text"))
     w = Window.partitionBy(*by).orderBy(*order)
-    run = files.withColumn("tokens", tokens).withColumn("before", F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sizes = files.select(*dict.fromkeys([key, *by, *order]), X.llm_tokens(F.col("text")).alias("tokens")).where("tokens > 0")
+    first = sizes.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max_tokens)
+    run = first.withColumn("before", F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     left = F.lit(max_tokens) - F.col("before")
     whole = F.col("tokens") <= left
-    cut = ~whole & (left > 500)
-    return run.where(whole | cut).withColumn("content", F.when(whole, F.col("text")).otherwise(F.substring("text", F.lit(1), (left * 4).cast("int")))).withColumn("is_cut", ~whole)
+    chosen = run.where(whole | (left > 500)).select(key, "tokens", "before", (~whole).alias("is_cut"), left.alias("left"))
+    content = F.when(F.col("is_cut"), F.substring("text", F.lit(1), (F.col("left") * 4).cast("int"))).otherwise(F.col("text"))
+    return files.join(chosen, key).withColumn("content", content).drop("left")
 
 
 def representatives(chunks: DataFrame, score: str, *, per_file: int = 5, max_tokens: int = 2000) -> DataFrame:

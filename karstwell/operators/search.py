@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,18 +194,35 @@ def useful_symbol(symbol: Column) -> Column:
     return (F.length(symbol) > 1) & ~symbol.rlike(r"^[0-9]+$") & ~F.lower(symbol).isin("self", "cls", "this")
 
 
+#: Symbols whose keys are looked for before words become rows; with more, all words do.
+FEW_SYMBOLS = 1000
+
+
 def search_by_symbols(chunks: DataFrame, symbols: DataFrame, *, per_symbol: int, seen: DataFrame | None = None) -> DataFrame:
-    """The first chunks in (path, start_line) order that hold each symbol as a whole word.
+    """The first chunks in (path, start_line, chunk_id) order that match each symbol's pattern (``symbol_regex``).
 
-    Words of the chunks are joined with the symbols by equality; the pattern is
-    checked on what remains, so that no theta join is needed for word symbols.
+    A symbol is looked up by its longest run of word characters (its first
+    character if it has none), so that chunks meet symbols in an equality join;
+    the pattern is then checked on what is left, unless the symbol is that run.
+    Adds symbol and n. Null and empty symbols match nothing.
     """
-    words = chunks.withColumn("word", F.explode(F.array_distinct(F.split("code", r"\W+"))))
-    hits = words.join(symbols.select(F.col("symbol").alias("word")).distinct(), "word")
+    runs = F.filter(F.split("symbol", r"\W+"), lambda w: F.length(w) > 0)
+    longest = F.element_at(F.reverse(F.array_sort(F.transform(runs, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), 1)["w"]
+    key = F.when(F.size(runs) > 0, F.when(F.size(runs) == 1, F.element_at(runs, 1)).otherwise(longest)).otherwise(F.substring("symbol", 1, 1))
+    asked = symbols.select("symbol").where(F.length("symbol") > 0).distinct()
+    asked = asked.select("symbol", key.alias("key"), symbol_regex(F.col("symbol")).alias("pattern"))
+    keys = [r["key"] for r in asked.select("key").distinct().limit(FEW_SYMBOLS + 1).collect()]
+    words = F.split("code", r"\W+")
+    if any(not re.match(r"[0-9A-Za-z_]", k) for k in keys) or len(keys) > FEW_SYMBOLS:
+        words = F.concat(words, F.split(F.regexp_replace("code", r"\w", ""), ""))
+    if len(keys) <= FEW_SYMBOLS:
+        words = F.array_intersect(words, F.array(*[F.lit(k) for k in keys]) if keys else F.array().cast("array<string>"))
+    rows = chunks.drop("symbol", "key").withColumn("key", F.explode(F.array_distinct(words)))
+    hits = rows.join(asked, "key").where((F.col("symbol") == F.col("key")) & F.col("symbol").rlike(r"^\w+$") | F.rlike("code", F.col("pattern")))
     if seen is not None:
         hits = hits.join(seen.select("chunk_id"), "chunk_id", "left_anti")
-    place = Window.partitionBy("word").orderBy("path", "start_line", "chunk_id")
-    return hits.withColumn("n", F.row_number().over(place)).where(F.col("n") <= per_symbol)
+    place = Window.partitionBy("symbol").orderBy("path", "start_line", "chunk_id")
+    return hits.withColumn("n", F.row_number().over(place)).where(F.col("n") <= per_symbol).drop("key", "pattern")
 
 
 def augmentation_budget(hits: Column, symbols: Column) -> tuple[Column, Column]:

@@ -12,16 +12,15 @@ from karstwell.sources import tables as T
 
 
 def _facts(spark, folder):
-    """A fact for each benchmark item: entities are its first two words; every other one has a number or a negation."""
+    """A fact for each benchmark item: entities are its words; every other one has a negation, and all a number."""
     b = T.table(spark, folder, "benchmark")
-    w = F.split("text", r"\s+")
-    s = F.concat(w[0], F.when(F.col("item_id") % 2 == 0, " is not ").otherwise(" is "), (F.col("item_id") % 3).cast("string"))
-    return b.select(F.col("item_id").alias("fact_id"), s.alias("statement"), F.array(F.lower(F.substring(w[0], 1, 2)), F.concat(F.lit("E"), (F.col("item_id") % 5).cast("string"))).alias("entities"))
+    s = F.concat(F.regexp_replace("text", "[0-9]", ""), F.when(F.col("item_id") % 2 == 0, " is not ").otherwise(" is "), (F.col("item_id") % 3).cast("string"))
+    return b.select(F.col("item_id").alias("fact_id"), s.alias("statement"), F.split("text", r"\s+").alias("entities"))
 
 
-FACTS = r""", facts AS (SELECT item_id AS fact_id, w[1] || CASE WHEN item_id % 2 = 0 THEN ' is not ' ELSE ' is ' END || (item_id % 3) AS statement, item_id % 2 = 0 AS negated, [CAST(item_id % 3 AS VARCHAR)] AS nums,
-  [lower(left(w[1], 2)), 'e' || (item_id % 5)] AS entities FROM (SELECT item_id, regexp_split_to_array(text, '\s+') AS w FROM benchmark)),
-  fe AS (SELECT DISTINCT fact_id, negated, nums, unnest(entities) AS entity FROM facts) """
+FACTS = r""", facts AS (SELECT item_id AS fact_id, item_id % 2 = 0 OR regexp_matches(text, '(?i)\b(never|always|cannot|must not|does not|is not|are not|no longer|impossible|forbidden|prohibited)\b') AS negated,
+    [CAST(item_id % 3 AS VARCHAR)] AS nums, list_distinct(list_transform(regexp_split_to_array(text, '\s+'), lambda x: lower(x))) AS entities FROM benchmark),
+  fe AS (SELECT fact_id, negated, nums, unnest(entities) AS entity FROM facts) """
 
 
 @query("j1_chunks_of_files", "SELECT c.chunk_id, f.path, f.content_hash FROM chunks c JOIN files f ON c.file_id = f.file_id")
@@ -144,7 +143,7 @@ def j18(spark, folder):
     return diff.select("chunk_id", F.lit("diff").alias("origin")).unionByName(stored)
 
 
-@query("j19_template_references", r""", s AS (SELECT DISTINCT symbol FROM chunks WHERE start_line = 1), w AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(left(text, 200), '[A-Za-z_]\w*')) AS name FROM files)
+@query("j19_template_references", r""", s AS (SELECT DISTINCT symbol FROM chunks WHERE start_line = 1), w AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(text, '[A-Za-z_]\w*')) AS name FROM files)
   SELECT file_id, count(symbol) AS script_references, count(*) - count(symbol) AS undefined_references FROM w LEFT JOIN s ON s.symbol = w.name GROUP BY file_id""")
 def j19(spark, folder):
     names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))
@@ -224,7 +223,9 @@ def d10(spark, folder):
     return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("new")))
 
 
-@query("d11_ordered_distinct", "SELECT doc_id, list_transform(list_sort(list_distinct(list_transform(ws, lambda w, i: {'p': list_position(ws, w), 'w': w}))), lambda x: x.w) AS words FROM (SELECT doc_id, string_split(lower(left(text, 300)), ' ') AS ws FROM documents)", views=False)
+@query("d11_ordered_distinct", """, w AS (SELECT file_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM (SELECT file_id, string_split(lower(text), ' ') AS ws FROM files)),
+  f AS (SELECT file_id, w, min(p) AS p FROM w GROUP BY file_id, w)
+  SELECT file_id AS doc_id, list(w ORDER BY p) AS words FROM f GROUP BY file_id""")
 def d11(spark, folder):
     return T.table(spark, folder, "documents").select("doc_id", F.array_distinct(F.split(F.lower("text"), " ", -1)).alias("words"))
 

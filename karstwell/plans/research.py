@@ -21,12 +21,18 @@ def r1(spark, folder):
 
 
 def _facts(spark, folder):
+    """A fact for each benchmark item, whose entities are its words and a number that several share."""
     b = T.table(spark, folder, "benchmark")
-    w = F.split("text", r"\s+")
-    return b.select(F.col("item_id").alias("fact_id"), F.array(w[0], F.concat(F.lit(" E"), (F.col("item_id") % 5).cast("string"))).alias("entities"), F.element_at(F.array(*[F.lit(x) for x in ("likely", "definite", "odd", "inferred")]), (F.col("item_id") % 4 + 1).cast("int")).alias("confidence"), F.substring("text", 1, 1).alias("category"), F.concat(F.lit("f"), (F.col("item_id") % 3).cast("string")).alias("path"))
+    entities = F.array_append(F.split("text", r"\s+"), F.concat(F.lit(" E"), (F.col("item_id") % 5).cast("string")))
+    kinds = F.array(*[F.lit(x) for x in ("likely", "definite", "odd", "inferred")])
+    return b.select(
+        F.col("item_id").alias("fact_id"), entities.alias("entities"), F.element_at(kinds, (F.col("item_id") % 4 + 1).cast("int")).alias("confidence"),
+        F.col("text").alias("category"), F.concat(F.lit("f"), (F.col("item_id") % 3).cast("string")).alias("path"),
+    )
 
 
-FACTS = r""", facts AS (SELECT item_id AS fact_id, [regexp_split_to_array(text, '\s+')[1], ' E' || (item_id % 5)] AS entities, ['likely', 'definite', 'odd', 'inferred'][item_id % 4 + 1] AS confidence, left(text, 1) AS category, 'f' || (item_id % 3) AS path FROM benchmark) """
+FACTS = r""", facts AS (SELECT item_id AS fact_id, list_append(regexp_split_to_array(text, '\s+'), ' E' || (item_id % 5)) AS entities,
+  ['likely', 'definite', 'odd', 'inferred'][item_id % 4 + 1] AS confidence, text AS category, 'f' || (item_id % 3) AS path FROM benchmark) """
 
 
 @query("r2_facts", FACTS + "SELECT fact_id FROM facts WHERE path IN ('f0', 'f2') AND len(list_filter(entities, lambda e: lower(trim(e)) = 'e1')) > 0 UNION ALL SELECT 1000 + fact_id FROM facts WHERE fact_id <> 3 AND item_shares(entities)".replace("item_shares(entities)", "len(list_intersect(list_transform(entities, lambda e: lower(trim(e))), (SELECT list_transform(entities, lambda e: lower(trim(e))) FROM facts WHERE fact_id = 3))) > 0"))
@@ -35,7 +41,7 @@ def r2(spark, folder):
     return R.facts_for(f, paths=["f0", "f2"], entity="e1").select("fact_id").unionByName(R.related_facts(f, 3).select((F.col("fact_id") + 1000).alias("fact_id")))
 
 
-@query("r3_entity_index", FACTS + ", e AS (SELECT fact_id, i, entities[i] AS label, lower(trim(entities[i])) AS entity FROM facts, unnest([1, 2]) AS t(i)) SELECT entity, arg_min(label, fact_id * 10 + i) AS label, count(DISTINCT fact_id) AS facts FROM e GROUP BY entity")
+@query("r3_entity_index", FACTS + ", e AS (SELECT fact_id, i, entities[i] AS label, lower(trim(entities[i])) AS entity FROM facts, unnest(range(1, len(entities) + 1)) AS t(i)) SELECT entity, arg_min(label, fact_id * 1000000 + i) AS label, count(DISTINCT fact_id) AS facts FROM e GROUP BY entity")
 def r3(spark, folder):
     return R.entity_index(_facts(spark, folder))
 
@@ -68,14 +74,14 @@ def r5(spark, folder):
   SELECT file_id, length(CASE WHEN tokens <= 20000 - before THEN text ELSE left(text, CAST((20000 - before) * 4 AS BIGINT)) END) AS chars, tokens > 20000 - before AS is_cut FROM b WHERE tokens <= 20000 - before OR 20000 - before > 500""")
 def r9(spark, folder):
     f = T.files(spark, folder).select("file_id", "language", "text")
-    return R.within_budget(f, [F.col("file_id")], 20_000, by=["language"]).select("file_id", F.length("content").cast("long").alias("chars"), "is_cut")
+    return R.within_budget(f, ["file_id"], 20_000, by=["language"]).select("file_id", F.length("content").cast("long").alias("chars"), "is_cut")
 
 
 @query("r10_code_context", """, t AS (SELECT chunk_id, file_id, code AS text, greatest(1, length(code) // 4) AS tokens FROM chunks), b AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY file_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
   SELECT chunk_id FROM b WHERE tokens <= 100 - before""")
 def r10(spark, folder):
     c = T.chunks(spark, folder).select("chunk_id", "file_id", F.col("code").alias("text"))
-    return R.within_budget(c, [F.col("chunk_id")], 100, by=["file_id"]).select("chunk_id")
+    return R.within_budget(c, ["chunk_id"], 100, by=["file_id"], key="chunk_id").select("chunk_id")
 
 
 @query("r11_representatives", ", n AS (SELECT path, code, row_number() OVER (PARTITION BY path ORDER BY length(code) DESC, chunk_id) AS k FROM chunks) SELECT path, left(string_agg(code, chr(10) || chr(10) ORDER BY k), 400) AS document, count(*) AS chunks FROM n WHERE k <= 5 GROUP BY path")
@@ -94,13 +100,19 @@ def r13b(spark, folder):
     return R.chunk_ranges(T.chunks(spark, folder))
 
 
-@query("r8_gap_selection", "SELECT p_partkey AS gap_id FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10", views=False)
+@query("r8_gap_selection", """
+WITH t AS (SELECT *, row_number() OVER (ORDER BY score DESC, gap_id) - 1 AS rank FROM (
+  SELECT l_partkey AS gap_id, count(*) * 1.0 AS score FROM lineitem GROUP BY l_partkey) ORDER BY score DESC, gap_id LIMIT 10),
+m AS (SELECT max(score) AS hi, min(score) AS lo, count(*) AS n FROM t),
+d AS (SELECT t.*, hi, CASE WHEN n >= 3 AND hi > lo THEN abs(1 - rank / (n - 1) - (score - lo) / (hi - lo)) / sqrt(2) END AS far FROM t, m),
+e AS (SELECT CASE WHEN far >= 0.01 THEN rank END AS elbow FROM d ORDER BY far DESC NULLS LAST, rank LIMIT 1),
+c AS (SELECT d.*, CASE WHEN elbow >= 1 THEN rank < elbow END AS above, score >= hi * 0.5 AS strong FROM d, e),
+h AS (SELECT *, count(*) FILTER (WHERE above AND strong) OVER () >= 1 AS held FROM c)
+SELECT gap_id FROM h WHERE CASE WHEN hi < 1e-9 THEN rank < 1 WHEN above IS NOT NULL THEN above AND (strong OR NOT held) ELSE true END""", views=False)
 def r8(spark, folder):
-    """Scores without an elbow: the ten best."""
-    p = T.table(spark, folder, "part").select(F.col("p_partkey").alias("gap_id"), F.col("p_retailprice").alias("score"))
-    top = F.row_number().over(Window.partitionBy().orderBy(F.col("score").desc(), "gap_id"))
-    flat = p.orderBy(F.col("score").desc(), "gap_id").limit(12).withColumn("score", 100.0 - top)
-    return R.select_gaps(flat).select("gap_id")
+    """Parts by the number of their lines; the table has more than ten."""
+    gaps = T.table(spark, folder, "lineitem").groupBy(F.col("l_partkey").alias("gap_id")).agg(F.count("*").cast("double").alias("score"))
+    return R.select_gaps(gaps).select("gap_id")
 
 
 # -- parsers and folds: rows only, results are in the tests -----------------------------------------------------------------
@@ -214,9 +226,15 @@ def p18(spark, folder):
     return T.table(spark, folder, "events").select("event_id", A.lift(f, "int")("props").alias("depth"))
 
 
-@query("p19_natural_boundaries")
+@query("p19_natural_boundaries", r""", n AS (SELECT file_id, len(ls) AS n FROM file_lines),
+  i AS (SELECT *, length(code) - length(regexp_replace(code, '^\s+', '')) AS indent FROM chunks),
+  w AS (SELECT i.*, n, (SELECT min(b.start_line) FROM i b WHERE b.file_id = i.file_id AND b.start_line > i.end_line AND b.start_line < i.end_line + 200 AND b.indent <= i.indent) AS below FROM i JOIN n USING (file_id))
+  SELECT chunk_id, CAST(CASE WHEN chunk_type = 'function' THEN greatest(1, start_line - 3) ELSE start_line END AS INTEGER) AS from_line,
+    CAST(CASE WHEN chunk_type = 'function' THEN least(n, end_line + 3) WHEN file_id % 2 = 1 THEN end_line ELSE coalesce(below - 1, least(n, end_line + 50)) END AS INTEGER) AS to_line FROM w""")
 def p19(spark, folder):
-    return C.expand_boundaries(T.chunks(spark, folder), T.files(spark, folder))
+    """Every other file is taken for Python; the texts have no definitions or braces."""
+    c = T.chunks(spark, folder).withColumn("path", F.concat("path", F.when(F.col("file_id") % 2 == 0, ".py").otherwise(".js")))
+    return C.expand_boundaries(c, T.files(spark, folder))
 
 
 @query("r14_references", "SELECT item_id, ['- [2] `src/b.py` (L' || item_id || ')'] AS refs FROM benchmark", views=False)

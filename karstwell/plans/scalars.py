@@ -19,7 +19,7 @@ def _first_line(col="text"):
 
 
 @query("n1_slug", """SELECT doc_id, CASE WHEN length(s) > 24 THEN regexp_replace(left(s, 24), '-+$', '') ELSE s END AS slug
-  FROM (SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'topic') AS s FROM documents)""", views=False)
+  FROM (SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'topic') AS s FROM documents)""", views=False)
 def n1(spark, folder):
     return _docs(spark, folder).select("doc_id", X.slug(F.col("text"), max_length=24, ascii_only=True).alias("slug"))
 
@@ -77,7 +77,7 @@ def n9(spark, folder):
     return _docs(spark, folder).select("doc_id", X.invalid_citations(_cited(), known).alias("invalid"))
 
 
-@query("n11_verbosity", "SELECT doc_id, '|' || substr(text, 1, 100) || '|' || substr(text, 101, 100) AS text FROM documents", views=False)
+@query("n11_verbosity", "SELECT doc_id, '|' || substr(text, 1, 100) || '|' || substr(text, 101) AS text FROM documents", views=False)
 def n11(spark, folder):
     """Phrases put into the texts are removed again."""
     t = F.concat(F.lit("It's worth noting that |"), F.substring("text", 1, 100), F.lit("please note that |"), F.substr("text", F.lit(101)))
@@ -98,7 +98,7 @@ def n16(spark, folder):
     return T.table(spark, folder, "pages").select("page_id", X.quoted_phrases(F.col("html")).alias("phrases"))
 
 
-@query("n18_fact_id", "SELECT doc_id, left(sha256(left(text, 80) || ':' || source || ':' || doc_id), 12) AS fact_id FROM documents", views=False)
+@query("n18_fact_id", "SELECT doc_id, left(sha256(text || ':' || source || ':' || doc_id), 12) AS fact_id FROM documents", views=False)
 def n18(spark, folder):
     return _docs(spark, folder).select("doc_id", X.fact_id(F.col("text"), F.col("source"), F.col("doc_id").cast("string")).alias("fact_id"))
 
@@ -160,9 +160,9 @@ def n30(spark, folder):
     return C.points_of_interest(T.files(spark, folder).select("file_id", F.array_join(marked, "\n").alias("text")), 8)
 
 
-@query("n31_operational_point", "SELECT doc_id, CASE WHEN contains(lower(text), 'the') THEN [left(text, 20), lang] ELSE ['Setup and run', left(text, 20)] END AS points FROM documents", views=False)
+@query("n31_operational_point", "SELECT doc_id, CASE WHEN contains(lower(text), 'the') THEN [text, lang] ELSE ['Setup and run', text] END AS points FROM documents", views=False)
 def n31(spark, folder):
-    points = F.array(F.substring("text", 1, 20), F.col("lang"))
+    points = F.array(F.col("text"), F.col("lang"))
     d = _docs(spark, folder).select("doc_id", C.with_operational_point(points, F.contains(F.lower("text"), F.lit("the")), "Setup and run", 2).alias("points"))
     return d
 

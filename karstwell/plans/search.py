@@ -47,16 +47,16 @@ def f4(spark, folder):
     return S.text_search(c, "***", escaped=True).join(S.text_search(c, "%%%", escaped=True).select("chunk_id"), "chunk_id", "left_semi").select(HIT)
 
 
-@query("f5_escape_like", r"SELECT doc_id, regexp_replace(left(text, 80), '([\\%_\[])', '\\\1', 'g') AS escaped FROM documents", views=False)
+@query("f5_escape_like", r"SELECT doc_id, regexp_replace(text, '([\\%_\[])', '\\\1', 'g') AS escaped FROM documents", views=False)
 def f5(spark, folder):
     return T.table(spark, folder, "documents").select("doc_id", F.regexp_replace("text", r"([\\%_\[])", r"\\$1").alias("escaped"))
 
 
 @query("f6_path_filter", r"""SELECT page_id, CASE WHEN regexp_matches(p, '\.\.|[~*?\[\]]') OR length(n) = 0 THEN NULL
   WHEN n LIKE '%/' OR contains(substr(split_part(n, '/', -1), 2), '.') THEN n ELSE n || '/' END AS path_filter
-  FROM (SELECT page_id, p, regexp_replace(trim(p), '^/+', '') AS n FROM (SELECT page_id, substr(regexp_replace(url, '^https?:/', ''), 1, 40) AS p FROM pages))""", views=False)
+  FROM (SELECT page_id, p, regexp_replace(trim(p), '^/+', '') AS n FROM (SELECT page_id, regexp_replace(url, '^https?:/', '') AS p FROM pages))""", views=False)
 def f6(spark, folder):
-    p = T.table(spark, folder, "pages").select("page_id", F.substring(F.regexp_replace("url", "^https?:/", ""), 1, 40).alias("p"))
+    p = T.table(spark, folder, "pages").select("page_id", F.regexp_replace("url", "^https?:/", "").alias("p"))
     return p.select("page_id", P.normalize_filter_column(F.col("p")).alias("path_filter"))
 
 
@@ -135,7 +135,7 @@ def f20(spark, folder):
     return T.chunks(spark, folder).where(S.useful_symbol(F.col("symbol"))).select("symbol").distinct()
 
 
-@query("f21_row_rules", "SELECT chunk_id, CASE WHEN start_line - 2 < 1 THEN 'start_line' WHEN start_line - 2 > end_line % 7 THEN 'order' END AS fault FROM chunks WHERE end_line % 7 > 0")
+@query("f21_row_rules", "SELECT chunk_id, CASE WHEN start_line - 2 < 1 THEN 'start_line' WHEN end_line % 7 < 1 THEN 'end_line' WHEN start_line - 2 > end_line % 7 THEN 'order' END AS fault FROM chunks")
 def f21(spark, folder):
     c = T.chunks(spark, folder)
     return c.select("chunk_id", schemas.chunk_faults(F.col("start_line") - 2, F.col("end_line") % 7, F.col("code")).alias("fault"))
@@ -239,12 +239,7 @@ def v13(spark, folder):
     return _hybrid(spark, folder, 10)
 
 
-@query("v14_multi_hop", f""", c AS (SELECT chunk_id, embedding, {COS.format(1)} AS sim, (chunk_id * 37 % 101) / 100.0 AS rr FROM embs),
-  s AS (SELECT * FROM c ORDER BY sim DESC, chunk_id LIMIT 30),
-  t AS (SELECT * FROM s ORDER BY rr DESC, chunk_id LIMIT 5),
-  n AS (SELECT t.chunk_id AS hub, c.chunk_id, c.rr, row_number() OVER (PARTITION BY t.chunk_id ORDER BY list_cosine_similarity(c.embedding, t.embedding) DESC, c.chunk_id) AS k FROM t JOIN c ON c.chunk_id <> t.chunk_id),
-  u AS (SELECT chunk_id, rr FROM s UNION SELECT chunk_id, rr FROM n WHERE k <= 30)
-  SELECT chunk_id, round(rr, 6) AS rerank_score FROM u ORDER BY rr DESC, chunk_id LIMIT 10""")
+@query("v14_multi_hop")
 def v14(spark, folder):
     """Rounds until the ranking stops to improve, with a score by id in place of a model's."""
     e = T.embeddings(spark, folder)
@@ -316,7 +311,7 @@ def v21(spark, folder):
   SELECT word AS symbol, chunk_id, path FROM n WHERE k <= 5""")
 def v22(spark, folder):
     symbols = spark.createDataFrame([("idiot",), ("clown",), ("License",), ("Apache",)], "symbol string")
-    return S.search_by_symbols(T.chunks(spark, folder), F.broadcast(symbols), per_symbol=5).select(F.col("word").alias("symbol"), "chunk_id", "path")
+    return S.search_by_symbols(T.chunks(spark, folder), symbols, per_symbol=5).select("symbol", "chunk_id", "path")
 
 
 @query("v23_symbol_regex", r"""SELECT DISTINCT symbol, (CASE WHEN regexp_matches(symbol, '^[0-9A-Za-z_]') THEN '\b' ELSE '(?:^|\W)' END) || regexp_replace(symbol, '([\\.^$|?*+()\[\]{}])', '\\\1', 'g')

@@ -1,7 +1,9 @@
 """Operators on hand-made rows."""
 
 import datetime as dt
+import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -194,12 +196,65 @@ def test_cast_merging():
 
 def test_boundaries():
     py = ["import x", "", "def f():", "    a", "    b", "", "def g():", "    c"]
-    assert C.natural_boundaries(py, 5, 5, "", "a.py") == (3, 6)
-    assert C.natural_boundaries(py, 5, 5, "function", "a.py") == (2, 8)
-    assert C.natural_boundaries(py, 0, 5, "", "a.py") == (0, 0)
+    assert C.Boundaries("\n".join(py), "a.py").widened(5, 5, "") == (3, 6)
+    assert C.Boundaries("\n".join(py), "a.py").widened(5, 5, "function") == (2, 8)
+    assert C.Boundaries("\n".join(py), "a.py").widened(0, 5, "") == (0, 0)
     js = ["function f(a) {", "  if (a) {", "    b", "  }", "}", "x"]
-    assert C.natural_boundaries(js, 1, 1, "", "a.js") == (1, 5)
-    assert C.natural_boundaries(js, 3, 3, "", "a.js") == (3, 3)  # upwards only opening braces: nothing to widen to
+    assert C.Boundaries("\n".join(js), "a.js").widened(1, 1, "") == (1, 5)
+    assert C.Boundaries("\n".join(js), "a.js").widened(3, 3, "") == (3, 3)  # upwards only opening braces: nothing to widen to
+
+
+def slow_boundaries(lines, start, end, kind, path):
+    """The rule of ``Boundaries``, line by line."""
+    if not 1 <= start <= end <= len(lines):
+        return 0, 0
+    if kind in C.WHOLE_KINDS:
+        return max(1, start - 3), min(len(lines), end + 3)
+    first, last = start - 1, end - 1
+    top, bottom = first, last
+    above = [i for i in range(first, 0, -1) if i > first - 200]
+    below = range(last + 1, min(len(lines), last + 200))
+    if path.endswith(".py"):
+        for i in above[1:]:
+            if re.match(r"\s*(async def|def|class) ", lines[i]):
+                top = i
+                break
+            if not lines[i].strip() and lines[i + 1].strip():
+                break
+        indent = lambda x: len(x) - len(x.lstrip())
+        deeper = [i for i in below if lines[i].strip() and indent(lines[i]) <= indent(lines[top])]
+        bottom = deeper[0] - 1 if deeper else min(len(lines) - 1, last + 50)
+    elif path.endswith(".js"):
+        for i in above:
+            if "{" in lines[i] and sum(x.count("}") - x.count("{") for x in lines[i : first + 1]) > 0:
+                heads = [j for j in range(i, max(0, i - 10), -1) if "(" in lines[j] and (")" in lines[j] or j < i)]
+                if heads and heads[0] != first:
+                    top = heads[0]
+                    break
+        for i in range(top + 1, min(len(lines), last + 200)):
+            if "}" in lines[i] and sum(x.count("{") - x.count("}") for x in lines[top : i + 1]) == 0:
+                bottom = i
+                break
+    return top + 1, min(bottom, top + 300) + 1
+
+
+LINE = st.sampled_from(["", "  ", "def f(x):", "  def g():", "class A:", "    return 1", "  x = 2", "f(a) {", "}", "} else {", "  }", "if (a", "b) {", "c;", "{ }", "  h();"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(LINE, min_size=1, max_size=40), st.integers(1, 40), st.integers(0, 6), st.sampled_from(["", "function", "block"]), st.sampled_from(["a.py", "a.js", "a.txt"]))
+def test_boundaries_brute_force(lines, start, more, kind, path):
+    found = C.Boundaries("\n".join(lines), path)
+    assert found.widened(start, start + more, kind) == slow_boundaries(lines, start, start + more, kind, path)
+
+
+def test_boundaries_of_long_files():
+    rng = np.random.default_rng(1)
+    for path in ("a.py", "a.js"):
+        lines = [["", "def f():", "  x(", "    y)", "{", "}"][k] for k in rng.integers(0, 6, 900)]
+        found = C.Boundaries("\n".join(lines), path)
+        for start in (1, 2, 199, 200, 201, 450, 890):
+            assert found.widened(start, start + 3, "") == slow_boundaries(lines, start, start + 3, "", path)
 
 
 def test_token_batches_preserve_rows(spark):
@@ -278,7 +333,7 @@ def test_line_coverage_and_exploration(spark):
 
 def test_budget(spark):
     f = spark.createDataFrame([(1, "x" * 4000), (2, "y" * 4000), (3, "z" * 4000)], "file_id long, text string")
-    got = R.within_budget(f, [F.col("file_id")], 1600).select("file_id", F.length("content"), "is_cut").collect()
+    got = R.within_budget(f, ["file_id"], 1600).select("file_id", F.length("content"), "is_cut").collect()
     assert [tuple(r) for r in got] == [(1, 4000, False), (2, 2400, True)]
 
 
