@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,7 +25,7 @@ def patch(stored: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Da
 def with_ids(rows: DataFrame, order: list[str], by: str) -> DataFrame:
     """Consecutive ids within each ``by``, above its own range; no order over all rows is needed."""
     n = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return rows.withColumn("chunk_id", F.shiftleft(by, 24) + n)
+    return rows.withColumn("chunk_id", packed_id(F.col(by), n))
 
 
 def upsert_embeddings(stored: DataFrame, new: DataFrame, dims: int) -> DataFrame:
@@ -40,27 +43,72 @@ def delete_files(files: DataFrame, chunks: DataFrame, embeddings: DataFrame, pat
     return files.join(gone, "file_id", "left_anti"), chunks.join(gone, "file_id", "left_anti"), embeddings.join(gone_chunks, "chunk_id", "left_anti")
 
 
-def write_snapshot(df: DataFrame, path: str, *, partition_by: list[str] = ()) -> None:
-    """Writes beside the path and swaps the folders, so that readers see the old or the new table."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    staged, target = f"{path}.staged", jvm.org.apache.hadoop.fs.Path(path)
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(staged)
-    fs = target.getFileSystem(conf)
-    old = jvm.org.apache.hadoop.fs.Path(f"{path}.old")
-    fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staged), target)
-    fs.delete(old, True)
+#: Chunk ids hold the file above this many bits for the place in it.
+PLACE_BITS = 24
+_TABLES = ("files", "chunks", "embeddings")
 
 
-def write_batch(root: str, files: DataFrame, chunks: DataFrame, embeddings: DataFrame, *, new_files: DataFrame, new_chunks: DataFrame, new_embeddings: DataFrame, deleted: DataFrame) -> None:
-    """One writer transaction: deletions, then files with all their chunks, then embeddings; each table is swapped whole."""
+def packed_id(file_id: Column, place: Column) -> Column:
+    """An id of file and place; an error where either does not fit."""
+    fits = (place >= 0) & (place < 1 << PLACE_BITS) & (file_id >= 0) & (file_id < 1 << (63 - PLACE_BITS))
+    return F.when(fits | file_id.isNull() | place.isNull(), F.shiftleft(file_id, PLACE_BITS) + place).otherwise(F.raise_error(F.lit("file or place out of range for an id")).cast("long"))
+
+
+def _path(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The folder that the store's pointer names; None before the first write."""
+    place, fs = _path(spark, f"{root}/current")
+    if not fs.exists(place):
+        return None
+    return spark.read.text(f"{root}/current").first()[0].strip()
+
+
+def read_store(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """files, chunks and embeddings of one version: what the last finished transaction wrote."""
+    version = current_version(spark, root)
+    if version is None:
+        raise FileNotFoundError(f"no store at {root}")
+    return tuple(spark.read.parquet(f"{root}/{version}/{t}") for t in _TABLES)
+
+
+def write_store(root: str, files: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> str:
+    """Writes the three tables as a new version, then points to it; returns its name.
+
+    The pointer is one small file that is replaced in one step, so readers see
+    all tables of the old version or all of the new one, and a crash before that
+    step leaves the old one. The version before stays for readers that hold it;
+    older ones are deleted.
+    """
+    spark = files.sparkSession
+    before, version = current_version(spark, root), f"v-{uuid.uuid4().hex}"
+    for name, df in zip(_TABLES, (files, chunks, embeddings), strict=True):
+        out = df.write.partitionBy("dims") if name == "embeddings" and "dims" in df.columns else df.write
+        out.parquet(f"{root}/{version}/{name}")
+    target, fs = _path(spark, f"{root}/current")
+    staged, _ = _path(spark, f"{root}/current.{version}")
+    stream = fs.create(staged, True)
+    stream.write(bytearray(version.encode()))
+    stream.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    replace = spark.sparkContext._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    replace[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    context.rename(staged, target, replace)
+    top, _ = _path(spark, root)
+    for status in fs.listStatus(top):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(status.getPath(), True)
+    return version
+
+
+def write_batch(root: str, files: DataFrame, chunks: DataFrame, embeddings: DataFrame, *, new_files: DataFrame, new_chunks: DataFrame, new_embeddings: DataFrame, deleted: DataFrame) -> str:
+    """One writer transaction: deletions, then files with all their chunks, then embeddings, as one new version of the store."""
     f, c, e = delete_files(files, chunks, embeddings, deleted.select("path").union(new_files.select("path")).distinct())
-    write_snapshot(f.unionByName(new_files), f"{root}/files")
-    write_snapshot(c.unionByName(new_chunks), f"{root}/chunks")
-    write_snapshot(e.unionByName(new_embeddings), f"{root}/embeddings", partition_by=["dims"])
+    return write_store(root, f.unionByName(new_files), c.unionByName(new_chunks), e.unionByName(new_embeddings))
 
 
 def skip_reason(head: Column, language: Column, size: Column, threshold: int = 20_000) -> Column:
@@ -87,10 +135,32 @@ def language(path: Column, content: Column | None = None) -> Column:
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
 
+#: Characters of a hunk's code; longer ones are split between lines.
+HUNK_CHARS = 10_000
+
+
+def _hunk_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hunks in parts of at most ``HUNK_CHARS`` characters, or of one line."""
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            part: list[str] = []
+            size, begin = 0, r["start_line"]
+            for line in [*r["code"].split("\n"), None]:
+                if part and (line is None or size + len(line) > HUNK_CHARS):
+                    rows.append({**r, "start_line": begin, "end_line": begin + len(part) - 1, "code": "\n".join(part)})
+                    begin, part, size = begin + len(part), [], 0
+                if line is not None:
+                    part.append(line)
+                    size += len(line) + 1
+        yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+
+
 def diff_hunks(diffs: DataFrame) -> DataFrame:
     """Hunks of unified diffs as chunks: diff_id, path, hunk, start_line, end_line, code (context and added lines).
 
-    ``diffs``: diff_id, diff. Headers are carried forward by windows; deleted files and hunks without new lines give nothing.
+    ``diffs``: diff_id, diff. Headers are carried forward by windows; deleted files and hunks without new lines give
+    nothing. A hunk of over ``HUNK_CHARS`` characters becomes several rows, whose lines go on counting.
     """
     w = Window.partitionBy("diff_id").orderBy("at")
     rows = diffs.select("diff_id", F.posexplode(F.split("diff", "\n", -1)).alias("at", "line"))
@@ -102,7 +172,8 @@ def diff_hunks(diffs: DataFrame) -> DataFrame:
     body = rows.withColumn("inside", F.coalesce(in_file, F.lit(False))).where("inside and hunk > 0").where(F.col("line").rlike(r"^[ +]") & (F.col("path") != "/dev/null"))
     parts = body.groupBy("diff_id", "path", "hunk", "begin").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("ls"), F.sum(F.col("line").startswith("+").cast("int")).alias("added"))
     code = F.array_join(F.transform("ls", lambda s: F.substring(s["line"], 2, 1 << 30)), "\n")
-    return parts.where("added > 0").select("diff_id", "path", F.col("hunk").cast("int").alias("hunk"), F.col("begin").alias("start_line"), (F.col("begin") + F.size("ls") - 1).alias("end_line"), code.alias("code"))
+    hunks = parts.where("added > 0").select("diff_id", "path", F.col("hunk").cast("int").alias("hunk"), F.col("begin").alias("start_line"), (F.col("begin") + F.size("ls") - 1).alias("end_line"), code.alias("code"))
+    return hunks.mapInArrow(_hunk_parts, hunks.schema)
 
 
 def commit_range(*, commit: str | None = None, last: int | None = None, range_: str | None = None) -> str | None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from karstwell.operators.ingest import packed_id
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -23,7 +25,7 @@ def line_chunks(files_: DataFrame) -> DataFrame:
     line = (F.col("at") + 1).alias("start_line")
     kind = F.when(F.col("at") == 0, "namespace").when(F.length("code") > 200, "function").when(F.length("code") > 80, "block").otherwise("comment")
     return lines.select(
-        (F.shiftleft("file_id", 24) + F.col("at") + 1).alias("chunk_id"), "file_id", line, line.alias("end_line"), "code", kind.alias("chunk_type"),
+        packed_id(F.col("file_id"), F.col("at") + 1).alias("chunk_id"), "file_id", line, line.alias("end_line"), "code", kind.alias("chunk_type"),
         F.regexp_extract("code", r"^\s*(\S+)", 1).alias("symbol"), "path", "language",
     )
 

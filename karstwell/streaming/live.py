@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from karstwell.functions.paths import excluded
+from karstwell.operators.search import numbered
 
 #: The order in which kinds of work are done.
 PRIORITY = {"delete": 0, "dir_delete": 0, "change": 1, "scan": 1, "dir_index": 1, "embed": 2}
@@ -135,10 +136,78 @@ def live_state(row: DataFrame, stale_seconds: float = 30) -> DataFrame:
     return row.withColumn("state", state)
 
 
+def delete_batches(mutations: DataFrame, most: int = 64) -> DataFrame:
+    """Adds batch to the deletes (operation, seq): runs without another operation between, cut at ``most``; others have null.
+
+    A batch is numbered by the place of its first delete among all mutations in
+    the order of seq. Places are dealt out by ranges, so no task sees all rows.
+    """
+    placed = numbered(mutations, [F.col("seq")], "_place")
+    deletes = numbered(placed.where(F.col("operation") == "delete").select(F.col("_place").alias("_at")), [F.col("_at")], "_nth")
+    # in a run, place and number among the deletes grow alike
+    deletes = deletes.withColumn("_run", F.col("_at") - F.col("_nth"))
+    first = deletes.groupBy("_run").agg(F.min("_nth").alias("_first"), F.min("_at").alias("_begin"))
+    batch = F.col("_begin") + F.floor((F.col("_nth") - F.col("_first")) / most) * most
+    deletes = deletes.join(first, "_run").select("_at", batch.cast("long").alias("batch"))
+    return placed.join(deletes, F.col("_place") == F.col("_at"), "left").drop("_place", "_at")
+
+
+def overflow_bursts(arrivals: DataFrame, *, capacity: int = 1000, drained: int) -> DataFrame:
+    """Bursts in which a bounded queue overflows: queue, burst (from 1), begin, end, dropped; each asks for a resync.
+
+    ``arrivals``: queue, tick, events (one row for each tick with events). A
+    tick takes in its events, drops what passes ``capacity``, and then works off
+    ``drained`` events for each tick until the next one. Ticks without a drop
+    end a burst. One pass over sorted rows; a queue's backlog is all that is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queue, backlog, tick = None, 0, 0
+        for batch in batches:
+            out = []
+            for q, t, n in zip(*(batch.column(c).to_pylist() for c in ("queue", "tick", "events")), strict=True):
+                backlog = 0 if q != queue else max(0, backlog - drained * (t - tick))
+                queue, tick = q, t
+                out.append(max(0, backlog + n - capacity))
+                backlog = min(capacity, backlog + n)
+            yield batch.append_column("dropped", pa.array(out, pa.int64()))
+
+    rows = arrivals.select("queue", F.col("tick").cast("long").alias("tick"), F.col("events").cast("long").alias("events"))
+    folded = rows.repartition("queue").sortWithinPartitions("queue", "tick").mapInArrow(run, "queue string, tick long, events long, dropped long")
+    w = Window.partitionBy("queue").orderBy("tick")
+    calm = F.sum((F.col("dropped") == 0).cast("int")).over(w)
+    bursts = folded.withColumn("calm", calm).where("dropped > 0").groupBy("queue", "calm")
+    bursts = bursts.agg(F.min("tick").alias("begin"), F.max("tick").alias("end"), F.sum("dropped").alias("dropped"))
+    return bursts.select("queue", F.row_number().over(Window.partitionBy("queue").orderBy("begin")).alias("burst"), "begin", "end", "dropped")
+
+
+def retries(failures: DataFrame, *, base: float = 0.1, budget: int = 5) -> DataFrame:
+    """When each failed mutation (path, seq, ts) is tried again: attempt (from 1), delay in seconds, due; null once the budget is spent."""
+    attempt = F.row_number().over(Window.partitionBy("path").orderBy("ts", "seq"))
+    rows = failures.withColumn("attempt", attempt)
+    delay = F.when(F.col("attempt") <= budget, F.lit(base) * F.pow(F.lit(2.0), F.col("attempt") - 1))
+    return rows.withColumn("delay", delay).withColumn("due", F.timestamp_micros(F.unix_micros("ts") + (F.col("delay") * 1e6).cast("long")))
+
+
+def follow_ups(changes: DataFrame, processing: DataFrame) -> DataFrame:
+    """One follow-up for each run of a file in which it changed: path, due (the run's end), generation (the newest seen).
+
+    ``changes``: path, ts, generation. ``processing``: path, started, finished.
+    Changes at the start are part of the run; those up to its end are not.
+    """
+    during = (F.col("c.path") == F.col("p.path")) & (F.col("ts") > F.col("started")) & (F.col("ts") <= F.col("finished"))
+    met = changes.alias("c").join(processing.alias("p"), during).groupBy("p.path", "started", "finished")
+    return met.agg(F.max("generation").alias("generation")).select("path", F.col("finished").alias("due"), "generation")
+
+
 def apply_stream(mutations: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, *, batch: int = 64):
-    """Runs ``apply`` on each micro-batch in priority order; idempotent appliers give exactly-once results."""
+    """Runs ``apply`` on each micro-batch in priority order; idempotent appliers give exactly-once results.
+
+    Deletes come with the number of their batch of at most ``batch``.
+    """
 
     def each(df: DataFrame, epoch: int) -> None:
-        apply(df.orderBy(priority(F.col("event_type")), "seq"), epoch)
+        numbered_ = delete_batches(df.withColumn("operation", F.col("event_type")), batch).drop("operation")
+        apply(numbered_.orderBy(priority(F.col("event_type")), "seq"), epoch)
 
     return mutations.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -134,9 +134,44 @@ def test_write_batch(spark, tmp_path):
     new = (spark.createDataFrame([(2, "b")], files.schema), spark.createDataFrame([(2, 21)], chunks.schema), spark.createDataFrame([(21, 3)], emb.schema))
     for _ in range(2):  # a second run of the same batch changes nothing
         I.write_batch(str(tmp_path), files, chunks, emb, new_files=new[0], new_chunks=new[1], new_embeddings=new[2], deleted=files.where("path = 'a'"))
-        assert rows(spark.read.parquet(f"{tmp_path}/files").select("file_id")) == [(2,), (3,)]
-        assert rows(spark.read.parquet(f"{tmp_path}/chunks").select("chunk_id")) == [(21,), (30,)]
-        assert rows(spark.read.parquet(f"{tmp_path}/embeddings").select("chunk_id", "dims")) == [(21, 3), (30, 2)]
+        f, c, e = I.read_store(spark, str(tmp_path))
+        assert rows(f.select("file_id")) == [(2,), (3,)]
+        assert rows(c.select("chunk_id")) == [(21,), (30,)]
+        assert rows(e.select("chunk_id", "dims")) == [(21, 3), (30, 2)]
+
+
+def test_a_torn_transaction_leaves_the_store_as_it_was(spark, tmp_path):
+    files = spark.createDataFrame([(1, "a")], "file_id long, path string")
+    chunks = spark.createDataFrame([(1, 10)], "file_id long, chunk_id long")
+    emb = spark.createDataFrame([(10, 2)], "chunk_id long, dims int")
+    with pytest.raises(FileNotFoundError):
+        I.read_store(spark, str(tmp_path))
+    first = I.write_store(str(tmp_path), files, chunks, emb)
+    bad = emb.withColumn("dims", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        I.write_store(str(tmp_path), files.limit(0), chunks.limit(0), bad)
+    assert I.current_version(spark, str(tmp_path)) == first and [x.count() for x in I.read_store(spark, str(tmp_path))] == [1, 1, 1]
+    held = I.read_store(spark, str(tmp_path))
+    I.write_store(str(tmp_path), files.limit(0), chunks, emb)
+    assert held[0].count() == 1 and I.read_store(spark, str(tmp_path))[0].count() == 0  # a reader keeps its version
+
+
+def test_ids_out_of_range_are_an_error(spark):
+    good = spark.createDataFrame([(3, 5), (0, 0)], "f long, p long").select(I.packed_id(F.col("f"), F.col("p")))
+    assert rows(good) == [(0,), (3 * 2**24 + 5,)]
+    for f, p in ((1, 2**24), (2**39, 1), (-1, 1)):
+        with pytest.raises(Exception, match="out of range"):
+            spark.createDataFrame([(f, p)], "f long, p long").select(I.packed_id(F.col("f"), F.col("p"))).collect()
+
+
+def test_long_hunks_are_split(spark):
+    body = [f"+line {i} " + "x" * 90 for i in range(300)] + ["+" + "y" * 25_000, "+end"]
+    diff = "\n".join(["diff --git a/f b/f", "--- a/f", "+++ b/f", "@@ -1,0 +7,302 @@", *body])
+    got = I.diff_hunks(spark.createDataFrame([(1, diff)], "diff_id long, diff string")).orderBy("start_line").collect()
+    assert "\n".join(r["code"] for r in got) == "\n".join(x[1:] for x in body)
+    assert got[0]["start_line"] == 7 and got[-1]["end_line"] == 7 + 301
+    assert all(b["start_line"] == a["end_line"] + 1 for a, b in zip(got, got[1:]))
+    assert all(len(r["code"]) <= 10_000 or "\n" not in r["code"] for r in got)
 
 
 def test_mixed_lengths_are_an_error(spark):
