@@ -180,6 +180,38 @@ def parameter_names(metadata: str) -> list[str]:
     return [n.strip() for n in names if isinstance(n, str) and n.strip()]
 
 
+def parameters(metadata: str) -> list[dict]:
+    """name and type of each parameter in a JSON parameters value; a bare name has no type, ``name: type`` has both."""
+    try:
+        value = json.loads(metadata)
+    except ValueError:
+        return []
+    if isinstance(value, list) and any(isinstance(x, dict) for x in value):
+        out = [(x.get("name"), x.get("type")) if isinstance(x, dict) else (x, None) for x in value]
+    else:
+        parts = [name.partition(":") for name in parameter_names(metadata)]
+        out = [(name, kind) for name, _, kind in parts]
+    text = lambda x: x.strip() or None if isinstance(x, str) else None
+    return [{"name": text(name), "type": text(kind)} for name, kind in out if text(name)]
+
+
+#: Tokenizers by path; a worker process keeps them.
+_tokenizers: dict = {}
+
+
+def tokenizer_tokens(path: str) -> Callable[[str], int]:
+    """Counts a text's tokens by a tokenizers file (no special tokens)."""
+
+    def run(text: str) -> int:
+        if path not in _tokenizers:
+            from tokenizers import Tokenizer
+
+            _tokenizers[path] = Tokenizer.from_file(path)
+        return len(_tokenizers[path].encode(text, add_special_tokens=False).ids)
+
+    return run
+
+
 def parse_fact(item: dict, sources: list[str]) -> dict | None:
     """statement, file_path, lines, url, section of one extracted fact; null if it names no usable source or place."""
     statement = (item.get("statement") or "").strip()

@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from karstwell.operators.search import numbered
 from karstwell.sources.storage import cut
 
 
@@ -16,13 +17,19 @@ def _features(points: DataFrame) -> DataFrame:
     return points.withColumn("_features", array_to_vector(F.col("embedding").cast("array<double>")))
 
 
-def kmeans(points: DataFrame, clusters: int, *, seed: int = 42) -> DataFrame:
-    """Adds cluster_id; no more clusters than points, and no points is an error."""
+def kmeans(points: DataFrame, clusters: int, *, seed: int = 42, starts: int = 10) -> DataFrame:
+    """Adds cluster_id; the best of ``starts`` fits by cost. No more clusters than points, and no points is an error."""
     n = points.count()
     if not n:
         raise ValueError("no points")
-    model = KMeans(k=max(1, min(clusters, n)), seed=seed, featuresCol="_features", predictionCol="cluster_id", maxIter=20).fit(_features(points)) if n > 1 else None
-    return points.withColumn("cluster_id", F.lit(0)) if model is None else model.transform(_features(points)).drop("_features")
+    k = max(1, min(clusters, n))
+    if k == 1:
+        return points.withColumn("cluster_id", F.lit(0))
+    ready = _features(points).persist()
+    fits = (KMeans(k=k, seed=seed + i, featuresCol="_features", predictionCol="cluster_id", maxIter=20).fit(ready) for i in range(starts))
+    best = min(fits, key=lambda m: m.summary.trainingCost)
+    ready.unpersist()
+    return best.transform(_features(points)).drop("_features")
 
 
 def token_kmeans(points: DataFrame, budget: int = 50_000) -> DataFrame:
@@ -53,105 +60,282 @@ def reassign_outliers(points: DataFrame, id_: str, *, max_clusters: int = 10_000
     return points.crossJoin(table).withColumn("label", F.when(F.col("label") < 0, nearest).otherwise(F.col("label"))).drop("cs")
 
 
-def threshold_clusters(points: DataFrame, id_: str, *, min_similarity: float, min_size: int, block: int = 512) -> DataFrame:
-    """Connected components of pairs with at least ``min_similarity`` (single linkage cut), small ones -1.
+#: Points of a density clustering at most: it compares all pairs, and its tree is built in one place.
+MOST_POINTS = 200_000
+#: Points of a cell, and edges that one task thins out together, about.
+CELL, EDGES = 512, 1 << 20
 
-    An approximation of density clustering. Pairs are compared in blocks of
-    bounded size; only pairs over the threshold leave a task.
+
+def _spanning(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (a, b, distance) of a minimum spanning tree of the rows."""
+    n = len(x)
+    near, by = np.full(n, np.inf), np.zeros(n, np.int64)
+    out = np.zeros(n, bool)
+    at, a, b, w = 0, [], [], []
+    for _ in range(n - 1):
+        out[at] = True
+        d = np.sqrt(((x - x[at]) ** 2).sum(axis=1))
+        closer = (d < near) & ~out
+        near[closer], by[closer] = d[closer], at
+        at = int(np.argmin(np.where(out, np.inf, near)))
+        a.append(by[at])
+        b.append(at)
+        w.append(near[at])
+    return np.array(a, np.int64), np.array(b, np.int64), np.array(w, float)
+
+
+class _Sets:
+    """Union-find."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        path = []
+        while (up := self.root.setdefault(x, x)) != x:
+            path.append(x)
+            x = up
+        for p in path:
+            self.root[p] = x
+        return x
+
+
+def _thinned(table: pa.Table) -> pa.Table:
+    """The edges of a minimum spanning forest of some edges."""
+    sets, keep = _Sets(), []
+    a, b, w = (table.column(c).to_numpy() for c in ("a", "b", "w"))
+    for i in np.lexsort((b, a, w)).tolist():
+        x, y = sets.find(int(a[i])), sets.find(int(b[i]))
+        if x != y:
+            sets.root[x] = y
+            keep.append(i)
+    return table.select(["a", "b", "w"]).take(pa.array(keep, pa.int64()))
+
+
+def stable_clusters(edges: list[tuple[float, int, int]], ids: list[int], least: int) -> dict[int, int]:
+    """The label (smallest id) of each point in a cluster of most excess of mass; ``edges``: a spanning tree by distance.
+
+    Merging along the edges makes a binary tree. Read from its top, a part of
+    under ``least`` points falls out of its cluster, and two larger ones are new
+    clusters. A cluster's mass is the sum over its points of how far past its own
+    birth they stay, in inverse distances; it is taken unless the clusters below
+    it have more together. The whole set is no cluster. Other points have no label.
     """
-    n = points.count()
-    blocks = max(1, -(-n // block))
-    rows = points.select(F.col(id_).alias("id"), F.col("embedding").cast("array<double>").alias("v")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.select("id", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sets = _Sets()
+    size = {i: 1 for i in ids}
+    node = {i: i for i in ids}
+    below: dict[int, tuple[int, int, float]] = {}
+    top, fresh = None, max(ids, default=0) + 1
+    for w, a, b in sorted(edges):
+        x, y = sets.find(a), sets.find(b)
+        below[fresh] = node[x], node[y], w
+        size[fresh] = size[node[x]] + size[node[y]]
+        sets.root[x] = y
+        node[y] = top = fresh
+        fresh += 1
+
+    def points(n: int) -> list[int]:
+        out, todo = [], [n]
+        while todo:
+            n = todo.pop()
+            if n in below:
+                todo += below[n][:2]
+            else:
+                out.append(n)
+        return out
+
+    if top is None:
+        return {}
+    # clusters: birth, mass, members, clusters below
+    births, mass, members, children = {0: 0.0}, {0: 0.0}, {0: []}, {0: []}
+    todo = [(top, 0)]
+    while todo:
+        n, c = todo.pop()
+        if n not in below:
+            members[c].append(n)
+            continue
+        left, right, w = below[n]
+        density = 1 / w if w > 0 else 1e300
+        big = [x for x in (left, right) if size[x] >= least]
+        if len(big) == 2:
+            for x in big:
+                new = len(births)
+                births[new], mass[new], members[new], children[new] = density, 0.0, [], []
+                children[c].append(new)
+                mass[c] += size[x] * (density - births[c])
+                todo.append((x, new))
+        else:
+            for x in (left, right):
+                if x in big:
+                    todo.append((x, c))
+                else:
+                    mass[c] += size[x] * (density - births[c])
+                    members[c] += points(x)
+    best, taken = dict(mass), set()
+    for c in sorted(births, reverse=True):
+        under = sum(best[k] for k in children[c])
+        if c and (not children[c] or mass[c] >= under):
+            taken.add(c)
+        else:
+            best[c] = under
+    label = {}
+    todo = [(0, None)]
+    while todo:
+        c, of = todo.pop()
+        of = c if of is None and c in taken else of
+        if of is not None:
+            label.setdefault(of, []).extend(members[c])
+        todo += [(k, of) for k in children[c]]
+    return {p: min(own) for own in label.values() for p in own}
+
+
+def density_clusters(points: DataFrame, id_: str, *, min_cluster_size: int, most: int = MOST_POINTS) -> DataFrame:
+    """Adds label: hierarchical density clusters by excess of mass (the smallest id of each), -1 for noise.
 
-    def links(table: pa.Table) -> pa.Table:
+    Distances are Euclidean, and a point's own density counts from itself, so
+    that the tree is that of a minimum spanning tree. Trees of all pairs of
+    blocks are made where the points are; their edges hold the whole tree, and
+    are thinned out in tasks of bounded size until at most some times the number
+    of points are left, from which the clusters are read on the driver. Over
+    ``most`` points: ValueError. Null and empty vectors are noise.
+    """
+    least = max(2, min_cluster_size)
+    rows = points.select(F.col(id_).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where(F.size("v") > 0)
+    n = rows.count()
+    if n > most:
+        raise ValueError(f"more than {most} points")
+    blocks = max(1, -(-n // CELL))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    # a lone block meets itself
+    other = F.sequence(F.lit(0), F.lit(blocks - 1)) if blocks == 1 else F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: o != F.col("own"))
+    rows = rows.withColumn("other", F.explode(other)).select("id", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def trees(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        x = np.array(table.column("v").to_pylist(), float).reshape(len(ids), -1)
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-        a, b = np.nonzero(np.triu(x @ x.T >= min_similarity, 1))
-        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
-
-    found = rows.groupBy("i", "j").applyInArrow(links, "a long, b long").distinct()
-    joined = smallest_reachable(found)
-    labelled = points.join(joined, points[id_] == joined["id"], "left").withColumn("component", F.coalesce("component", F.col(id_)))
-    size = F.count("*").over(Window.partitionBy("component"))
-    return labelled.withColumn("label", F.when(size >= min_size, F.col("component")).otherwise(-1)).drop("id", "component")
-
-
-def smallest_reachable(edges: DataFrame) -> DataFrame:
-    """id and the smallest id it reaches, by passing minima along edges until nothing changes."""
-    both = cut(edges.union(edges.select("b", "a")).toDF("a", "b").distinct())
-    state = both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
-    before = None
-    while True:
-        near = both.join(state, both.b == state.id).groupBy("a").agg(F.min("component").alias("m"))
-        state = state.join(near, state.id == near.a, "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
-        # a component's own representative may have moved on: jump there
-        jump = state.select(F.col("id").alias("c"), F.col("component").alias("root"))
-        state = state.join(jump, state.component == jump.c, "left").select("id", F.least("component", F.coalesce("root", "component")).alias("component"))
-        state = cut(state)
-        now = state.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            return state
-        before = now
+        order = np.argsort(ids)
+        a, b, w = _spanning(np.array(table.column("v").to_pylist(), float)[order])
+        return pa.table({"a": pa.array(ids[order][a], pa.int64()), "b": pa.array(ids[order][b], pa.int64()), "w": pa.array(w, pa.float64())})
+
+    edges = cut(rows.groupBy("i", "j").applyInArrow(trees, "a long, b long, w double"))
+    while (count := edges.count()) > EDGES:
+        groups = -(-count // EDGES)
+        thinner = edges.groupBy(F.pmod(F.xxhash64("a", "b", "w"), F.lit(groups)).alias("g")).applyInArrow(_thinned, "a long, b long, w double")
+        edges = cut(thinner)
+        if groups > 1 and edges.count() > 0.9 * count:
+            break
+    found = _thinned(edges.toArrow())
+    tree = list(zip(found.column("w").to_pylist(), found.column("a").to_pylist(), found.column("b").to_pylist(), strict=True))
+    ids = sorted({x for _, a, b in tree for x in (a, b)})
+    labels = points.sparkSession.createDataFrame(list(stable_clusters(tree, ids, least).items()), "_point long, label long")
+    return points.drop("label").join(labels, F.col(id_) == F.col("_point"), "left").withColumn("label", F.coalesce("label", F.lit(-1).cast("long"))).drop("_point")
+
+
+def _sizes(points: DataFrame) -> dict[int, int]:
+    return {r["cluster_id"]: r["t"] for r in points.groupBy("cluster_id").agg(F.sum("tokens").alias("t")).collect()}
+
+
+def _dealt(points: DataFrame, id_: str, bins: dict[int, int], fresh: int) -> DataFrame:
+    """Rows of each cluster of ``bins`` in as many new clusters: descending tokens go back and forth over them."""
+    for c, n in bins.items():
+        own = numbered(points.where(F.col("cluster_id") == c).select(F.col(id_).alias("_point"), "tokens"), [F.col("tokens").desc(), F.col("_point")], "_nth")
+        turn = F.col("_nth") % (2 * n)
+        place = F.when(turn < n, turn).otherwise(2 * n - 1 - turn)
+        points = points.join(own.select("_point", place.alias("_bin")), F.col(id_) == F.col("_point"), "left")
+        points = cut(points.withColumn("cluster_id", F.when(F.col("_bin") > 0, F.col("_bin") + fresh - 1).otherwise(F.col("cluster_id")).cast("int")).drop("_point", "_bin"))
+        fresh += n - 1
+    return points
 
 
 def bounded_clusters(points: DataFrame, id_: str, least: int, most: int, *, seed: int = 42) -> DataFrame:
-    """Clusters whose tokens are about ``least`` to ``most``: bisected until none is larger, small ones go to the nearest.
+    """Clusters whose tokens are about ``least`` to ``most``: too large ones are bisected, small ones go to the nearest.
 
-    The loop is over clusters, not points; only their sizes and centroids are on the driver.
+    A cluster that bisecting does not divide (copies of one vector) is dealt out
+    by descending tokens. The loops are over clusters, not points, of which
+    there are about all tokens by ``most``; their sizes and centroids are on the
+    driver. A single point may have more tokens than ``most``.
     """
-    tokens = points.agg(F.sum("tokens")).first()[0] or 0
-    k = max(1, -(-tokens // most))
-    model = BisectingKMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster_id").fit(_features(points)) if k > 1 else None
-    out = points.withColumn("cluster_id", F.lit(0)) if model is None else model.transform(_features(points)).drop("_features")
-    sizes = {r["cluster_id"]: r["t"] for r in out.groupBy("cluster_id").agg(F.sum("tokens").alias("t")).collect()}
-    # still too large: equal shares by hash
-    parts = {c: -(-t // most) for c, t in sizes.items() if t > most}
-    if parts:
-        share = F.coalesce(*[F.when(F.col("cluster_id") == c, F.pmod(F.xxhash64(id_), F.lit(n))) for c, n in parts.items()], F.lit(0))
-        out = out.withColumn("cluster_id", (F.col("cluster_id") * (1 + max(parts.values())) + share).cast("int"))
-    sizes = {r["cluster_id"]: r["t"] for r in out.groupBy("cluster_id").agg(F.sum("tokens").alias("t")).collect()}
+    out = points.withColumn("cluster_id", F.lit(0))
+    sizes, done = _sizes(out), set()
+    while large := {c: t for c, t in sizes.items() if t > most and c not in done}:
+        for c, t in large.items():
+            own = out.where(F.col("cluster_id") == c)
+            parts = min(-(-t // most), own.count())
+            fresh = max(sizes) + 1
+            if parts < 2:
+                done.add(c)
+                continue
+            model = BisectingKMeans(k=parts, seed=seed, featuresCol="_features", predictionCol="_part").fit(_features(own))
+            moved = model.transform(_features(out)).drop("_features")
+            new = F.when(F.col("_part") > 0, F.col("_part") + fresh - 1).otherwise(F.lit(c))
+            moved = cut(moved.withColumn("cluster_id", F.when(F.col("cluster_id") == c, new).otherwise(F.col("cluster_id")).cast("int")).drop("_part"))
+            after = _sizes(moved)
+            if after.get(c, 0) == t:  # not divided
+                moved, _ = _dealt(out, id_, {c: parts}, fresh), done.add(c)
+                after = _sizes(moved)
+                done |= set(after) - set(sizes)
+            out, sizes = moved, after
     small = sorted((c for c, t in sizes.items() if t < least), key=lambda c: (sizes[c], c))
-    if small and len(sizes) > 1:
-        centre = {r["cluster_id"]: np.array(r["centroid"]) for r in centroids(out, "cluster_id").collect()}
-        goes: dict[int, int] = {}
-        for c in small:
-            others = [d for d in sizes if d != c and d not in goes and sizes[d] + sizes[c] <= most]
-            if sizes[c] < least and others:
-                to = min(others, key=lambda d: (float(np.linalg.norm(centre[c] - centre[d])), d))
-                goes[c] = to
-                sizes[to] += sizes[c]
-        for c in list(goes):
-            while goes[c] in goes:
-                goes[c] = goes[goes[c]]
-        if goes:
-            out = out.replace(goes, subset=["cluster_id"])
-    return out
-
-
-def average_linkage(points: DataFrame, by: str, id_: str, cut: float) -> DataFrame:
-    """Agglomerative clusters of each small group: average cosine distance, merged below ``cut``. Adds cluster_id (the smallest id)."""
+    if not small or len(sizes) < 2:
+        return out
+    centre = {r["cluster_id"]: np.array(r["centroid"]) for r in centroids(out, "cluster_id").collect()}
+    goes: dict[int, int] = {}
+    for c in small:
+        others = [d for d in sizes if d != c and d not in goes and sizes[d] + sizes[c] <= most]
+        if sizes[c] < least and others:
+            far = np.linalg.norm(np.stack([centre[d] for d in others]) - centre[c], axis=1)
+            goes[c] = others[int(np.lexsort((others, far))[0])]
+            sizes[goes[c]] += sizes[c]
+    for c in list(goes):
+        while goes[c] in goes:
+            goes[c] = goes[goes[c]]
+    table = F.broadcast(out.sparkSession.createDataFrame([*goes.items()] or [(-1, -1)], "cluster_id int, _to int"))  # a row for each small cluster
+    return out.join(table, "cluster_id", "left").withColumn("cluster_id", F.coalesce("_to", "cluster_id")).drop("_to")
+
+
+#: Members of a group whose average linkage is computed at most: a task holds their distances.
+MOST_LINKED = 4096
+
+
+def average_linkage(points: DataFrame, by: str, id_: str, cut: float, *, most: int = MOST_LINKED) -> DataFrame:
+    """Agglomerative clusters of each group: average cosine distance, merged below ``cut``. Adds cluster_id (the smallest id).
+
+    Chains of nearest neighbours find the merges in time quadratic in a group.
+    A group of over ``most`` members is an error: it holds what one report asks.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column(id_).to_numpy()
+        if len(ids) > most:
+            raise ValueError(f"a group has more than {most} members")
         order = np.argsort(ids)
         x = np.array(table.column("embedding").to_pylist(), float)[order]
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         d = 1 - x @ x.T
         np.fill_diagonal(d, np.inf)
-        size, root = np.ones(len(ids)), np.arange(len(ids))
-        while len(ids) > 1:
-            i, j = divmod(int(np.argmin(d)), len(ids))
-            if not d[i, j] < cut:
-                break
-            i, j = min(i, j), max(i, j)
-            d[i] = d[:, i] = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
-            d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
-            size[i] += size[j]
-            root[root == j] = i
-        return pa.table({id_: pa.array(ids[order], pa.int64()), "cluster_id": pa.array(ids[order][root], pa.int64())})
+        size, open_ = np.ones(len(ids)), np.ones(len(ids), bool)
+        merges, chain = [], []
+        while open_.sum() > 1:
+            if not chain:
+                chain.append(int(np.argmax(open_)))
+            at = chain[-1]
+            to = int(np.argmin(d[at]))
+            if len(chain) > 1 and d[at, chain[-2]] <= d[at, to]:
+                to = chain[-2]  # two that are each other's nearest
+                chain = chain[:-2]
+                i, j = min(at, to), max(at, to)
+                merges.append((d[i, j], i, j))
+                d[i] = d[:, i] = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
+                d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
+                size[i] += size[j]
+                open_[j] = False
+            else:
+                chain.append(to)
+        root = _Sets()
+        for w, i, j in merges:
+            if w < cut:
+                a, b = sorted((root.find(i), root.find(j)))
+                root.root[b] = a
+        of = np.array([root.find(i) for i in range(len(ids))], np.int64)
+        return pa.table({id_: pa.array(ids[order], pa.int64()), "cluster_id": pa.array(ids[order][of], pa.int64())})
 
     return points.select(by, id_, "embedding").groupBy(by).applyInArrow(run, f"{id_} long, cluster_id long")

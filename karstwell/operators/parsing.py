@@ -101,7 +101,7 @@ def markdown(text: str) -> list[Concept]:
 def json(text: str) -> list[Concept]:
     """The members of the outermost object or array."""
     out: list[Concept] = []
-    depth, line, begin, name, n = 0, 1, 0, "", 0
+    depth, line, last, begin, name, n = 0, 1, 1, 0, "", 0
     token = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],\n]|[^\s{}\[\],"]+')
     for m in token.finditer(text):
         t = m[0]
@@ -113,7 +113,7 @@ def json(text: str) -> list[Concept]:
             if depth < 0:
                 raise ValueError("unbalanced")
             if depth == 0 and begin:
-                out.append((name, "DEFINITION", begin, line))
+                out.append((name, "DEFINITION", begin, last))
                 begin = 0
         elif t == "," and depth == 1:
             if begin:

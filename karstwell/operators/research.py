@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from karstwell.functions import text as X
-from karstwell.operators.search import elbow
+from karstwell.operators.search import elbow, multi_hop, numbered, page, semantic
+from karstwell.sources.storage import cut
 
 
 def constants_from_metadata(chunks: DataFrame, order: list[str]) -> DataFrame:
@@ -122,3 +123,102 @@ def select_gaps(gaps: DataFrame, *, least: int = 1, most: int = 10) -> DataFrame
     held = F.col("_held")
     picked = F.when(F.col("_total") <= least, True).when(F.col("_best") < 1e-9, F.col("rank") < least).when(above.isNotNull(), above & (strong | ~held)).when(F.col("_total") <= most, strong | (F.col("rank") < least)).otherwise(True)
     return ranked.where(picked).select(*gaps.columns)
+
+
+def breadth_first(seeds: DataFrame, follow_ups: DataFrame, *, levels: int, keep: int = 3) -> DataFrame:
+    """node and level of a level-by-level traversal: of each node its ``keep`` best follow-ups that were not met on levels before.
+
+    ``seeds``: node. ``follow_ups``: node, next, score (what a model, or any
+    scorer, proposes). A node that several name on one level is met once. One
+    join and one limited window a level; levels are few.
+    """
+    met = cut(seeds.select("node").distinct().withColumn("level", F.lit(0)))
+    last = met
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.col("score").desc(), "next"))
+    for level in range(1, levels + 1):
+        near = follow_ups.select("node", "next", "score").join(last.select("node"), "node")
+        fresh = near.join(met.select(F.col("node").alias("next")), "next", "left_anti")
+        last = cut(fresh.withColumn("_n", place).where(F.col("_n") <= keep).select(F.col("next").alias("node")).distinct().withColumn("level", F.lit(level)))
+        if last.isEmpty():
+            break
+        met = met.unionByName(last)
+    return met
+
+
+def explore_depth(embeddings: DataFrame, files: DataFrame, covered: DataFrame, *, files_kept: int = 5, queries: int = 2, size: int = 10) -> DataFrame:
+    """Further chunks around the best files of what is covered: chunk_id, similarity, path (the file that asked), query.
+
+    ``embeddings``: chunk_id, embedding, dims; ``files``: chunk_id, path;
+    ``covered``: chunk_id, score. The ``files_kept`` files of the best mean score
+    ask with the vectors of their ``queries`` best chunks, one after the other;
+    what is covered or was found before is left out. At most files_kept *
+    queries scans, and as many times ``size`` ids on the driver.
+    """
+    scored = covered.select("chunk_id", "score").join(files.select("chunk_id", "path"), "chunk_id")
+    top = scored.groupBy("path").agg(F.avg("score").alias("mean")).orderBy(F.col("mean").desc(), "path").limit(files_kept)
+    nth = F.row_number().over(Window.partitionBy("path").orderBy(F.col("score").desc(), "chunk_id"))
+    asked = scored.join(F.broadcast(top), "path").withColumn("query", nth).where(F.col("query") <= queries)
+    asked = asked.join(embeddings.select("chunk_id", "embedding"), "chunk_id").orderBy(F.col("mean").desc(), "path", "query").collect()
+    left = embeddings.join(covered.select("chunk_id"), "chunk_id", "left_anti")
+    seen: list[int] = []
+    out: list[tuple] = []
+    for r in asked:
+        found = semantic(left.where(~F.col("chunk_id").isin(seen)) if seen else left, r["embedding"])
+        for hit in page(found.select("chunk_id", "similarity"), [F.col("similarity").desc(), F.col("chunk_id")], size).collect():
+            seen.append(hit["chunk_id"])
+            out.append((hit["chunk_id"], float(hit["similarity"]), r["path"], r["query"]))
+    return embeddings.sparkSession.createDataFrame(out, "chunk_id long, similarity double, path string, query int")
+
+
+def rerank_in_batches(documents: DataFrame, score: Column, *, key: str, order: list[str], size: int = 64) -> DataFrame:
+    """Adds batch (from 0, of ``size`` documents in order) and rerank_score; ties and batches do not change a score.
+
+    ``score`` reads the document; a document that gets none has 0. Batches are
+    what one call of a model takes; places are dealt out by ranges.
+    """
+    places = numbered(documents.select(*dict.fromkeys([key, *order])), [F.col(c) for c in order], "_place")
+    batch = places.select(key, F.floor(F.col("_place") / size).cast("int").alias("batch"))
+    return documents.join(batch, key).withColumn("rerank_score", F.coalesce(score, F.lit(0.0)))
+
+
+def file_tree_lines(paths: DataFrame) -> DataFrame:
+    """The lines of a drawn tree for each group (group, path): group, node (the path so far), line. Sorted by node, they are the tree.
+
+    Every part of a path is a row, so no task holds a whole tree; siblings are in
+    the order of their names, directories end in a slash.
+    """
+    parts = F.split("path", "/")
+    steps = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.slice(parts, 1, n))
+    nodes = paths.select("group", F.explode(steps).alias("node")).distinct()
+    above = lambda n: F.slice(n, 1, F.size(n) - 1)
+    siblings = nodes.groupBy("group", above(F.col("node")).alias("parent")).agg(F.max("node").alias("last"))
+    marked = nodes.withColumn("parent", above(F.col("node"))).join(siblings, ["group", "parent"])
+    below = siblings.select("group", F.col("parent").alias("node"), F.lit(True).alias("is_folder"))
+    marked = marked.select("group", "node", (F.col("node") == F.col("last")).alias("is_last")).join(below, ["group", "node"], "left")
+    marked = cut(marked)
+    # what is drawn before a line depends on whether each folder on the way is the last of its siblings
+    way = marked.withColumn("step", F.explode(F.sequence(F.lit(1), F.size("node")))).withColumn("at", F.slice("node", F.lit(1), F.col("step")))
+    flags = marked.select("group", F.col("node").alias("at"), F.col("is_last").alias("at_last"))
+    inner = F.when(F.col("step") < F.size("node"), F.when(F.col("at_last"), "    ").otherwise("│   ")).otherwise(F.when(F.col("at_last"), "└── ").otherwise("├── "))
+    drawn = way.join(flags, ["group", "at"]).groupBy("group", "node", "is_folder").agg(F.array_sort(F.collect_list(F.struct("step", inner.alias("mark")))).alias("marks"))
+    head = F.array_join(F.transform("marks", lambda m: m["mark"]), "")
+    return drawn.select("group", "node", F.concat(head, F.element_at("node", -1), F.when(F.col("is_folder"), "/").otherwise("")).alias("line"))
+
+
+def investigate(embeddings: DataFrame, chunks: DataFrame, vector: list[float], rerank: Column, *, max_tokens: int = 20_000, page_size: int = 10) -> dict[str, DataFrame]:
+    """What a report is written from, in the order of the steps: found, files, context and citations.
+
+    Rows are found over several hops, extended by the depth around the best
+    files, ranked by file, cut to a token budget and numbered for citation. The
+    writing itself needs a language model and is the caller's. ``chunks``:
+    chunk_id, path, start_line, end_line, code; of the same ids as ``embeddings``.
+    """
+    found = multi_hop(embeddings, vector, rerank, page_size=page_size).withColumnRenamed("rerank_score", "score")
+    more = explore_depth(embeddings, chunks, found.select("chunk_id", "score"), size=page_size)
+    pool = cut(found.select("chunk_id", "score").unionByName(more.select("chunk_id", F.col("similarity").alias("score"))))
+    own = chunks.join(pool, "chunk_id")
+    files = own.groupBy("path").agg(F.avg("score").alias("score"), F.count("*").alias("chunks"))
+    documents = representatives(own, "score").join(files.select("path", "score"), "path")
+    ranked = documents.select("path", (-F.col("score")).alias("rank"), F.col("document").alias("text"))
+    context = within_budget(ranked, ["rank", "path"], max_tokens, key="path")
+    return {"found": pool, "files": files, "context": context, "citations": reference_map(context)}

@@ -160,3 +160,9 @@ def gap_scores(gaps: DataFrame) -> DataFrame:
 def insert_batch_size(rows: DataFrame, column: str, budget_bytes: int = 4 << 20) -> DataFrame:
     """Rows of an insert for a budget of bytes, 1,000 to 20,000."""
     return rows.agg(F.greatest(F.lit(1000), F.least(F.lit(20_000), F.floor(F.lit(budget_bytes) / F.greatest(F.lit(1.0), F.avg(F.octet_length(column)))))).cast("int").alias("batch_size"))
+
+
+def score_changes(rounds: DataFrame) -> DataFrame:
+    """chunk_id, round and the score's change since the round before; rows (chunk_id, round, score) without one are left out."""
+    before = rounds.select("chunk_id", (F.col("round") + 1).alias("round"), F.col("score").alias("_before"))
+    return rounds.join(before, ["chunk_id", "round"]).select("chunk_id", "round", (F.col("score") - F.col("_before")).alias("change"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from karstwell.plans import joins, research, scalars, search, stats  # noqa: F401
+from karstwell.plans import coverage, joins, research, scalars, search, stats  # noqa: F401
 from karstwell.plans._register import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

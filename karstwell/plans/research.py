@@ -183,12 +183,6 @@ def n27(spark, folder):
     return T.table(spark, folder, "events").select("event_id", A.lift(A.json_text, "string")(t).alias("json"))
 
 
-@query("n32_file_tree")
-def n32(spark, folder):
-    g = T.files(spark, folder).groupBy("language").agg(F.collect_list("path").alias("paths"))
-    return g.select("language", A.lift(lambda p: A.file_tree(list(p)), "string")("paths").alias("tree"))
-
-
 @query("n33_strip_references", "SELECT item_id, trim(text) AS text FROM benchmark", views=False)
 def n33(spark, folder):
     t = F.concat(F.trim("text"), F.lit("\n\n---\n\n## Sources\n- [1] x"))

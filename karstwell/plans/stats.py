@@ -193,7 +193,7 @@ def k1(spark, folder):
 
 @query("k2_density_clusters")
 def k2(spark, folder):
-    return K.threshold_clusters(T.table(spark, folder, "embeddings"), "vec_id", min_similarity=0.45, min_size=2).select("vec_id", "label")
+    return K.density_clusters(T.table(spark, folder, "embeddings"), "vec_id", min_cluster_size=2).select("vec_id", "label")
 
 
 @query("k4_bounded_clusters")
@@ -210,5 +210,7 @@ def k5(spark, folder):
 
 @query("k6_average_linkage")
 def k6(spark, folder):
-    e = T.table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
-    return K.average_linkage(e, "label", "vec_id", 0.75)
+    """Groups of up to 64 neighbouring ids of one label, as the few queries of a report are."""
+    group = F.concat_ws("/", F.col("label").cast("string"), F.floor(F.col("vec_id") / 64).cast("string"))
+    e = T.table(spark, folder, "embeddings").select("vec_id", "embedding", group.alias("report"))
+    return K.average_linkage(e, "report", "vec_id", 0.75)

@@ -352,8 +352,56 @@ def test_clusters(spark):
     assert sum(sizes) == 100_000 and max(sizes) <= 50_000
     lonely = spark.createDataFrame([(1, [1.0, 0.0], -1), (2, [0.0, 1.0], -1)], "vec_id long, embedding array<float>, label int")
     assert {r["label"] for r in K.reassign_outliers(lonely, "vec_id").collect()} == {0}
-    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51)], "a long, b long")
-    assert {r["component"] for r in K.smallest_reachable(edges).collect()} == {0, 50}
+    same = spark.createDataFrame([(i, [1.0, 1.0], 10_000 + i) for i in range(9)], "vec_id long, embedding array<float>, tokens long")  # can't be bisected
+    dealt = K.bounded_clusters(same, "vec_id", 15_000, 35_000).groupBy("cluster_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in dealt) == 9 and max(r["t"] for r in dealt) <= 35_000
+
+
+def test_spanning_tree():
+    x = np.random.default_rng(0).normal(size=(40, 3))
+    a, b, w = K._spanning(x)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    order = sorted((d[i, j], i, j) for i in range(40) for j in range(i))
+    sets, want = K._Sets(), 0.0
+    for v, i, j in order:
+        if sets.find(i) != sets.find(j):
+            sets.root[sets.find(i)] = sets.find(j)
+            want += v
+    assert w.sum() == pytest.approx(want) and len(a) == 39
+
+
+def test_density_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    blobs = [(10 * k + c + rng.normal(scale=0.3, size=2)) for k, c in ((0, np.array([0, 0])), (1, np.array([0, 5])), (2, np.array([5, 0]))) for _ in range(30)]
+    noise = [rng.uniform(-60, 60, 2) for _ in range(6)]
+    rows_ = [(i, [float(v) for v in p]) for i, p in enumerate([*blobs, *noise])]
+    pts = spark.createDataFrame([*rows_, (900, None), (901, [])], "vec_id long, embedding array<double>")
+    want = None
+    for cell, edges in ((512, 1 << 20), (16, 1 << 20), (16, 200)):  # however the trees are cut up
+        monkeypatch.setattr(K, "CELL", cell)
+        monkeypatch.setattr(K, "EDGES", edges)
+        got = dict(map(tuple, K.density_clusters(pts, "vec_id", min_cluster_size=10).select("vec_id", "label").collect()))
+        want = want or got
+        assert got == want
+    assert all(sum(want[i] == 30 * k for i in range(30 * k, 30 * k + 30)) >= 27 for k in range(3))
+    assert want[900] == want[901] == -1 and sum(want[90 + i] == -1 for i in range(6)) >= 4
+    assert K.density_clusters(pts.limit(0), "vec_id", min_cluster_size=5).count() == 0
+    with pytest.raises(ValueError):
+        K.density_clusters(pts, "vec_id", min_cluster_size=5, most=10)
+
+
+def test_average_linkage_brute_force(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(25, 4))
+    got = dict(map(tuple, K.average_linkage(spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "g long, vec_id long, embedding array<double>"), "g", "vec_id", 0.6).collect()))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    groups = [[i] for i in range(25)]
+    while len(groups) > 1:
+        far, a, b = min((np.mean([1 - u[i] @ u[j] for i in p for j in q]), m, n) for m, p in enumerate(groups) for n, q in enumerate(groups) if m < n)
+        if far >= 0.6:
+            break
+        groups[a] += groups.pop(b)
+    assert got == {i: min(g) for g in groups for i in g}
 
 
 # -- research -----------------------------------------------------------------------------------------------------------------
