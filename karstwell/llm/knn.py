@@ -29,7 +29,7 @@ ROWS, BLOCK = 1024, 1024
 #: Groups of dimensions whose partial scores are the lists of the uniform threshold.
 SEGMENTS = 2
 #: Entries of a chunk's local list that phase 1 sends for each query, at least.
-HEAD = 16
+HEAD = 48
 #: Sums of products under this number are exact in double precision.
 EXACT = 2.0**53
 
