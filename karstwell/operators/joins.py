@@ -56,14 +56,15 @@ def orphans(stored: DataFrame, current: DataFrame, excluded: Column) -> DataFram
 def chunk_diff(existing: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
     """unchanged and deleted rows of ``existing`` and added rows of ``new``, by normalised code within ``by``.
 
-    Copies of a content all get the state of the content; unchanged ones are the existing copies.
+    Copies of a content all get the state of the content; unchanged ones are the
+    existing copies. Both tables meet in one shuffle: a window over each content
+    tells on which sides it is.
     """
-    key = [*by, "_key"]
-    e = existing.withColumn("_key", F.md5(X.normalize_content(F.col("code"))))
-    n = new.withColumn("_key", F.md5(X.normalize_content(F.col("code"))))
-    old = e.join(n.select(key).distinct().withColumn("_in", F.lit(True)), key, "left").withColumn("state", F.when(F.col("_in"), "unchanged").otherwise("deleted"))
-    added = n.join(e.select(key), key, "left_anti").withColumn("state", F.lit("added"))
-    return old.drop("_in", "_key").unionByName(added.drop("_key"))
+    both = existing.withColumn("_old", F.lit(True)).unionByName(new.withColumn("_old", F.lit(False)))
+    same = Window.partitionBy(*by, F.md5(X.normalize_content(F.col("code"))))
+    rows = both.withColumns({"_in_old": F.max("_old").over(same), "_in_new": F.max(~F.col("_old")).over(same)})
+    state = F.when(~F.col("_old"), "added").when(F.col("_in_new"), "unchanged").otherwise("deleted")
+    return rows.where("_old or not _in_old").withColumn("state", state).drop("_old", "_in_old", "_in_new")
 
 
 def best_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -110,26 +111,44 @@ def merge_lists(base: DataFrame, new: DataFrame, score: str = "score") -> DataFr
 def sharing_entities(facts: DataFrame) -> DataFrame:
     """Pairs a < b of facts (fact_id, entities) that name the same entity, with the number of those.
 
-    An entity that very many facts share makes as many pairs as they have; callers bound
-    entities (see ``conflicts``), or ask for one fact's relations.
+    The pairs are the result, so it has as many rows as they are; ``entity_members``
+    gives the same relation in the size of the input. AQE can split the join of an
+    entity that very many facts name.
     """
-    e = facts.select("fact_id", F.explode(F.array_distinct(F.transform("entities", lambda x: F.lower(X.strip(x))))).alias("entity"))
+    e = entity_members(facts)
     other = e.select(F.col("fact_id").alias("b"), "entity")
     return e.withColumnRenamed("fact_id", "a").join(other, "entity").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def entity_members(facts: DataFrame) -> DataFrame:
+    """entity (normalised) and fact_id, once for each fact that names it: the relation of facts without its pairs."""
+    return facts.select("fact_id", F.explode(F.array_distinct(F.transform("entities", lambda x: F.lower(X.strip(x))))).alias("entity"))
+
+
 #: Fixed value: words that make a statement exclude others.
 NEGATION = r"(?i)\b(never|always|cannot|must not|does not|is not|are not|no longer|impossible|forbidden|prohibited)\b"
 
 
 def conflicts(facts: DataFrame) -> DataFrame:
-    """Pairs a < b of facts on one entity of which one is negated, or whose numbers differ. Columns: fact_id, statement, entities."""
+    """Pairs a < b of facts on one entity of which one is negated, or whose numbers differ. Columns: fact_id, statement, entities.
+
+    Facts that say alike on an entity (negation and numbers) are one class;
+    classes are compared, and only those that conflict are opened into facts, so
+    no pair is made that is not in the result.
+    """
     numbers = F.array_sort(F.array_distinct(F.regexp_extract_all("statement", F.lit(r"\b(\d+(?:\.\d+)?)\b"), F.lit(1))))
-    e = facts.select("fact_id", F.col("statement").rlike(NEGATION).alias("negated"), numbers.alias("numbers"), F.explode(F.array_distinct(F.transform("entities", lambda x: F.lower(X.strip(x))))).alias("entity"))
-    a = e.select("entity", F.col("fact_id").alias("a"), F.col("negated").alias("na"), F.col("numbers").alias("xa"))
-    b = e.select("entity", F.col("fact_id").alias("b"), F.col("negated").alias("nb"), F.col("numbers").alias("xb"))
-    reason = F.when(F.col("na") != F.col("nb"), "negation").when((F.size("xa") > 0) & (F.size("xb") > 0) & (F.col("xa") != F.col("xb")), "numbers")
-    return a.join(b, "entity").where("a < b").select("entity", "a", "b", reason.alias("reason")).where("reason is not null")
+    said = facts.select("fact_id", F.col("statement").rlike(NEGATION).alias("negated"), numbers.alias("numbers"))
+    e = entity_members(facts).join(said, "fact_id")
+    classes = e.select("entity", "negated", "numbers").distinct()
+    a = classes.select("entity", F.col("negated").alias("na"), F.col("numbers").alias("xa"))
+    b = classes.select("entity", F.col("negated").alias("nb"), F.col("numbers").alias("xb"))
+    numbered = (F.size("xa") > 0) & (F.size("xb") > 0) & (F.col("xa") != F.col("xb"))
+    reason = F.when(F.col("na") != F.col("nb"), "negation").when(numbered, "numbers")
+    apart = a.join(b, "entity").withColumn("reason", reason).where("reason is not null")
+    first = e.select("entity", F.col("negated").alias("na"), F.col("numbers").alias("xa"), F.col("fact_id").alias("a"))
+    second = e.select("entity", F.col("negated").alias("nb"), F.col("numbers").alias("xb"), F.col("fact_id").alias("b"))
+    opened = apart.join(first, ["entity", "na", "xa"]).join(second, ["entity", "nb", "xb"])
+    return opened.where("a < b").select("entity", "a", "b", "reason")
 
 
 def imports_of(edges: DataFrame, files: DataFrame, chunks: DataFrame, limit: int = 10) -> DataFrame:

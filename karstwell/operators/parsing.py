@@ -197,7 +197,7 @@ def braces(text: str) -> list[Concept]:
                 continue
             begin = i
             # a head that began on the lines before
-            while loose and loose[-1] == begin - 1 and not lines[begin - 2].rstrip().endswith((";", "}", ",")):
+            while loose and loose[-1] == begin - 1 and not lines[begin - 2].rstrip().endswith((";", "}")):
                 begin = loose.pop()
         depth = max(0, depth + opens - closes)
         if depth == 0:
