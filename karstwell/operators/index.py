@@ -41,6 +41,7 @@ def build_index(embeddings: DataFrame, path: str, *, lists: int | None = None, s
     else:
         valid = valid.withColumn("list", F.lit(0))
     valid.write.mode("overwrite").partitionBy("list").parquet(f"{path}/lists")
+    valid.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")  # an empty index has no lists to tell them
 
 
 def search_index(spark: SparkSession, path: str, vector: list[float], *, size: int, probes: int = 8, offset: int = 0, threshold: float | None = None) -> DataFrame:
@@ -52,7 +53,8 @@ def search_index(spark: SparkSession, path: str, vector: list[float], *, size: i
     centres = sorted(spark.read.parquet(f"{path}/centres").collect(), key=lambda r: r["list"])
     q = np.array(vector, float)
     near = sorted(centres, key=lambda r: (-float(np.dot(r["centre"], q)) if r["centre"] else 0.0, r["list"]))[:probes]
-    rows = spark.read.parquet(f"{path}/lists").where(F.col("list").isin([r["list"] for r in near])).where(F.col("dims") == len(vector))
+    columns = spark.read.parquet(f"{path}/columns").schema
+    rows = spark.read.schema(columns).parquet(f"{path}/lists").where(F.col("list").isin([r["list"] for r in near])).where(F.col("dims") == len(vector))
     rows = rows.withColumn("similarity", V.cosine_literal(F.col("embedding"), [float(x) for x in vector]))
     rows = rows if threshold is None else rows.where(F.col("similarity") >= threshold)
     return page(rows.drop("list"), [F.col("similarity").desc(), F.col("chunk_id")], size, offset)
