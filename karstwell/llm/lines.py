@@ -39,9 +39,10 @@ def dedup_lines(documents: DataFrame, *, window: int = 3) -> DataFrame:
     documents share meets in no single task.
     """
     kept_columns = [c for c in documents.columns if c.lower() not in ("n_lines", "n_removed")]
-    text = F.col("text").cast("string")
-    keyed = aside(documents, doc_id=F.col("doc_id"), text=text, key=F.xxhash64("doc_id", "text"))
-    lines = F.split("text", "\n", -1)
+    # the text is in the row alone, so that it is shuffled once
+    keyed = aside(documents, doc_id=F.col("doc_id"), key=F.xxhash64("doc_id", "text"))
+    text = F.col("row")["text"].cast("string")
+    lines = F.split(text, "\n", -1)
     at = F.sequence(F.lit(0), F.size("lines") - window)
     joined = F.transform(at, lambda i: F.array_join(F.slice("lines", i + 1, window), "\n"))
     split = keyed.select("doc_id", "key", lines.alias("lines")).where(F.size("lines") >= window)
@@ -62,7 +63,7 @@ def dedup_lines(documents: DataFrame, *, window: int = 3) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("key") == F.col("other_key"))
     out = keyed.join(covered, same, "left").withColumn("lines", lines)
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.element_at("lines", i + 1))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size("lines")).cast("long")
+    n_lines = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.size("lines")).cast("long")
+    text = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n"))
     columns = [text.alias(c) if c.lower() == "text" else F.col("row")[c].alias(c) for c in kept_columns]
     return out.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -870,7 +870,7 @@ def test_columns_of_any_name_pass_unchanged(spark, tmp_path):
         out = f(d)
         assert set(out.columns) == set(d.columns) | added
         assert all(mine(r, added) for r in out.collect()) and out.count() == len(EDGE)
-    spark.createDataFrame([(3, 0, 1), (4, 0, 0), (7, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, 0, int(i == 3)) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, d, str(tmp_path))
         rows = out.collect()
