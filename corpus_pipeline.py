@@ -12,7 +12,7 @@ from karstwell.llm.mixing import mix_sources
 from karstwell.llm.neardup import drop_near_duplicates
 from karstwell.llm.packing import pack_documents
 from karstwell.llm.queries import held_out
-from karstwell.llm.shared import aside, shared_dir
+from karstwell.llm.shared import shared_dir
 from karstwell.llm.toxicity import drop_toxic
 from karstwell.sources.storage import remove
 
@@ -36,19 +36,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and text are one document: no window of one is later than that of the other.
     Rows with null doc_id count as the last. An empty table stays empty.
     """
-    done = dedup_lines(aside(docs, doc_id=F.col("doc_id"), text=F.col("text")))
+    done = dedup_lines(_kept(docs, "doc_id", "text"))
     done = done.where("n_removed = 0 or n_removed < n_lines")
     changed = F.col("n_removed") > 0
     columns = []
     for c in docs.columns:
-        value = F.col("row")[c]
-        if c.lower() in ("text", "n_chars"):
-            new = F.col("text") if c.lower() == "text" else F.length("text")
-            value = F.when(changed, new).otherwise(value).cast(docs.schema[c].dataType)
-        columns.append(value.alias(c))
+        value = F.col("text") if c.lower() == "text" else F.col("row")[c]
+        if c.lower() == "n_chars":
+            value = F.when(changed, F.length("text")).otherwise(value)
+        columns.append(value.cast(docs.schema[c].dataType).alias(c))
     return done.select(*columns)
 
 
+def _kept(docs: DataFrame, *names: str) -> DataFrame:
+    """What a stage reads, and all other columns in the struct ``row``; a text is not carried twice."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]
+    return docs.select(F.struct(*others).alias("row"), *names)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that of the smallest doc_id (five-word shingles, similarity 0.8).
 
@@ -67,9 +72,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     is a source. Rows with the same doc_id (also null) are taken alike. An empty
     table stays empty.
     """
-    mixed = mix_sources(aside(docs, doc_id=F.col("doc_id"), text=F.col("text"), source=F.col("source")))
-    copies = F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("copy")
-    return mixed.where("repeats > 0").select("row", copies).select("row.*")
+    mixed = mix_sources(_kept(docs, "doc_id", "text", "source")).where("repeats > 0")
+    copies = mixed.select("row", "text", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("copy"))
+    return copies.select(*[F.col("text") if c.lower() == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
