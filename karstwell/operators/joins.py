@@ -155,3 +155,37 @@ def imports_of(edges: DataFrame, files: DataFrame, chunks: DataFrame, limit: int
     """Chunks of the first ``limit`` imported files, with a score of 0.3. edges: from_path, to_path."""
     targets = edges.select(F.col("to_path").alias("path")).distinct().join(files.select("path", "file_id"), "path").orderBy("path").limit(limit)
     return chunks.join(F.broadcast(targets.select("file_id")), "file_id").withColumn("rerank_score", F.lit(0.3))
+
+
+def shadowed(stored: DataFrame, diff: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of a diff, and stored rows that none of them stands for; origin tells which. Both have the same columns."""
+    rest = stored.join(diff.select(*key), key, "left_anti").select(*diff.columns)
+    return diff.withColumn("origin", F.lit("diff")).unionByName(rest.withColumn("origin", F.lit("stored")))
+
+
+def template_references(templates: DataFrame, symbols: DataFrame) -> DataFrame:
+    """file_id, script_references and undefined_references: distinct names of a template (file_id, text) with and without a symbol."""
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))
+    used = templates.select("file_id", F.explode(names).alias("symbol"))
+    known = used.join(symbols.select("symbol").distinct().withColumn("known", F.lit(1)), "symbol", "left").groupBy("file_id")
+    return known.agg(F.count("known").alias("script_references"), (F.count("*") - F.count("known")).alias("undefined_references"))
+
+
+def union_new(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """All rows of ``base`` and those of ``new`` with other keys."""
+    return base.unionByName(new.join(base.select(key), key, "left_anti").select(*base.columns))
+
+
+def common_and_new(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Distinct rows of ``old`` that ``new`` has too (side: both) or not (side: new)."""
+    return old.intersect(new).withColumn("side", F.lit("both")).unionByName(old.subtract(new).withColumn("side", F.lit("new")))
+
+
+def ordered_distinct(items: Column) -> Column:
+    """The distinct items of an array in the order of their first places."""
+    return F.array_distinct(items)
+
+
+def source_chunks(chunks: DataFrame) -> DataFrame:
+    """Each place (path, start_line, end_line) once."""
+    return chunks.select("path", "start_line", "end_line").dropDuplicates()

@@ -44,7 +44,8 @@ def s5(spark, folder):
     return T.files(spark, folder).where(P.included(F.col("path"), ["**/*7.txt", "src1/**", "**/doc_?.txt"])).select("path")
 
 
-@query("s7_glob_classes", """SELECT * FROM (VALUES ('**/*.py', 'extension'), ('*.TXT', 'extension'), ('**/Makefile', 'name'), ('src/**/*.js', 'other'), ('**/test_*', 'other')) AS v("glob", kind)
+@query("s7_glob_classes", """SELECT * FROM (VALUES ('**/*.py', 'extension'), ('*.TXT', 'extension'), ('**/Makefile', 'name'), ('src/**/*.js', 'other'), ('**/test_*', 'other'))
+  AS v("glob", kind)
   WHERE (SELECT count(*) FROM documents) >= 0""", views=False)
 def s7(spark, folder):
     globs = ["**/*.py", "*.TXT", "**/Makefile", "src/**/*.js", "**/test_*"]
@@ -96,7 +97,8 @@ def s18(spark, folder):
     return I.union_all(counts)
 
 
-@query("s22_commit_ranges", "SELECT * FROM (VALUES ('commit', 'abc^..abc'), ('last', 'HEAD~3..HEAD'), ('range', 'a..b')) AS v(selector, commits) WHERE (SELECT count(*) FROM documents) >= 0", views=False)
+@query("s22_commit_ranges", """SELECT * FROM (VALUES ('commit', 'abc^..abc'), ('last', 'HEAD~3..HEAD'), ('range', 'a..b')) AS v(selector, commits) WHERE (SELECT count(*)
+  FROM documents) >= 0""", views=False)
 def s22(spark, folder):
     rows = [("commit", I.commit_range(commit="abc")), ("last", I.commit_range(last=3)), ("range", I.commit_range(range_="a..b"))]
     return spark.createDataFrame(rows, "selector string, commits string")
@@ -151,7 +153,7 @@ def p5(spark, folder):
     return pieces.groupBy("file_id").agg(F.sum("ink").cast("long").alias("ink"), F.bool_and("fits").alias("fits")).where("ink > 0")
 
 
-@query("p6_emergency_split", f"SELECT file_id, {INK.format('text')} AS ink, md5(regexp_replace(text, chr(10), ' ', 'g')) AS whole FROM files WHERE {INK.format('text')} > 0")
+@query("p6_emergency_split", f"""SELECT file_id, {INK.format('text')} AS ink, md5(regexp_replace(text, chr(10), ' ', 'g')) AS whole FROM files WHERE {INK.format('text')} > 0""")
 def p6(spark, folder):
     """Texts on one line are cut at separators; the pieces, in order, are the text."""
     f = T.files(spark, folder)
@@ -162,7 +164,8 @@ def p6(spark, folder):
     return g.select("file_id", C.non_whitespace(F.col("whole")).cast("long").alias("ink"), F.md5("whole").alias("whole")).where("ink > 0")
 
 
-@query("p11_revalidated", f"SELECT CAST(sum(CASE WHEN {INK.format('text')} > 1200 OR greatest(1, length(text) // 3) > 6000 THEN 1 ELSE 0 END) AS BIGINT) AS too_large, CAST(0 AS BIGINT) AS left_over FROM files")
+@query("p11_revalidated", f"""SELECT CAST(sum(CASE WHEN {INK.format('text')} > 1200 OR greatest(1, length(text) // 3) > 6000 THEN 1 ELSE 0 END) AS BIGINT) AS too_large, CAST(0
+  AS BIGINT) AS left_over FROM files""")
 def p11(spark, folder):
     """Stored chunks that a parser left too large, and how many are left after they were split again."""
     f = T.files(spark, folder).select("file_id", F.lit("t").alias("name"), F.lit("BLOCK").alias("concept"), F.col("text").alias("content"), F.lit(1).alias("start_line"), C.line_count(F.col("text")).alias("end_line"))
@@ -170,9 +173,11 @@ def p11(spark, folder):
     return large(f, "too_large").crossJoin(large(C.split_chunks(f), "left_over"))  # two single rows
 
 
-@query("p13_token_shards", """, c AS (SELECT label AS cluster_id, vec_id, 1000 + (vec_id * 7919) % 9000 AS tokens, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+@query("p13_token_shards", """, c AS (SELECT label AS cluster_id, vec_id, 1000 + (vec_id * 7919) % 9000 AS tokens, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k
+  FROM embeddings),
   r AS (SELECT cluster_id, vec_id, k, tokens AS held, 0 AS shard FROM c WHERE k = 1 UNION ALL
-    SELECT c.cluster_id, c.vec_id, c.k, CASE WHEN held + c.tokens > 40000 THEN c.tokens ELSE held + c.tokens END, CASE WHEN held + c.tokens > 40000 THEN shard + 1 ELSE shard END
+    SELECT c.cluster_id, c.vec_id, c.k, CASE WHEN held + c.tokens > 40000 THEN c.tokens ELSE held + c.tokens END, CASE
+  WHEN held + c.tokens > 40000 THEN shard + 1 ELSE shard END
     FROM r JOIN c ON c.cluster_id = r.cluster_id AND c.k = r.k + 1)
   SELECT vec_id, CAST(shard AS INTEGER) AS shard FROM r""")
 def p13(spark, folder):
@@ -185,7 +190,8 @@ SPEC = "CASE chunk_type WHEN 'function' THEN 4 WHEN 'namespace' THEN 3 WHEN 'com
 
 
 @query("d3b_kept_duplicates", rf""", l AS (SELECT *, CASE file_id % 4 WHEN 0 THEN 'vue' WHEN 1 THEN 'haskell' ELSE 'text' END AS lang FROM chunks),
-  k AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(code, '^\s+|\s+$', '', 'g') ORDER BY {SPEC} DESC, end_line - start_line, chunk_id) AS n FROM l WHERE lang = 'text')
+  k AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(code, '^\s+|\s+$', '', 'g') ORDER BY {SPEC} DESC, end_line - start_line, chunk_id)
+  AS n FROM l WHERE lang = 'text')
   SELECT chunk_id FROM l WHERE lang <> 'text' UNION ALL SELECT chunk_id FROM k WHERE n = 1""")
 def d3b(spark, folder):
     """Languages that need their duplicates keep them; lines do not nest."""
@@ -208,7 +214,8 @@ def n21(spark, folder):
     return T.table(spark, folder, "documents").select("doc_id", A.lift(count, "int")("text").alias("tokens"))
 
 
-@query("n25_parsed_facts", "SELECT doc_id, text AS statement, source AS file_path, CAST(doc_id + 1 AS INTEGER) AS start_line, CAST(doc_id + 3 AS INTEGER) AS end_line FROM documents WHERE trim(text) <> ''", views=False)
+@query("n25_parsed_facts", """SELECT doc_id, text AS statement, source AS file_path, CAST(doc_id + 1 AS INTEGER) AS start_line, CAST(doc_id + 3 AS INTEGER) AS end_line
+  FROM documents WHERE trim(text) <> ''""", views=False)
 def n25(spark, folder):
     kind = "struct<file_path:string,start_line:int,end_line:int>"
     parse = lambda statement, source, i: json.dumps(A.parse_fact({"statement": statement, "source": source, "location": f"L{i + 1}-L{i + 3}"}, [source]))
@@ -217,9 +224,13 @@ def n25(spark, folder):
     return d.select("doc_id", F.col("text").alias("statement"), fact.alias("f")).where("f is not null").select("doc_id", "statement", "f.*")
 
 
-@query("n32_tree_lines", """, p AS (SELECT language AS g, string_split(path, '/') AS s FROM files), n AS (SELECT DISTINCT g, s[1:i] AS node FROM p, unnest(range(1, len(s) + 1)) AS t(i)),
-  m AS (SELECT g, node[1:len(node) - 1] AS parent, max(node) AS last FROM n GROUP BY 1, 2), x AS (SELECT n.g, n.node, n.node = m.last AS is_last, EXISTS (SELECT 1 FROM m b WHERE b.g = n.g AND b.parent = n.node) AS is_folder FROM n JOIN m ON m.g = n.g AND m.parent = n.node[1:len(n.node) - 1])
-  SELECT x.g AS language, array_to_string(x.node, '/') AS node, string_agg(CASE WHEN len(a.node) < len(x.node) THEN CASE WHEN a.is_last THEN '    ' ELSE '│   ' END ELSE CASE WHEN a.is_last THEN '└── ' ELSE '├── ' END END, '' ORDER BY len(a.node))
+@query("n32_tree_lines", """, p AS (SELECT language AS g, string_split(path, '/') AS s FROM files), n AS (SELECT DISTINCT g, s[1:i] AS node FROM p, unnest(range(1, len(s) + 1))
+  AS t(i)),
+  m AS (SELECT g, node[1:len(node) - 1] AS parent, max(node) AS last FROM n GROUP BY 1, 2), x AS (SELECT n.g, n.node, n.node = m.last
+  AS is_last, EXISTS (SELECT 1 FROM m b WHERE b.g = n.g AND b.parent = n.node) AS is_folder FROM n JOIN m ON m.g = n.g
+  AND m.parent = n.node[1:len(n.node) - 1])
+  SELECT x.g AS language, array_to_string(x.node, '/') AS node, string_agg(CASE WHEN len(a.node) < len(x.node) THEN CASE WHEN a.is_last THEN '    '
+  ELSE '│   ' END ELSE CASE WHEN a.is_last THEN '└── ' ELSE '├── ' END END, '' ORDER BY len(a.node))
     || x.node[len(x.node)] || CASE WHEN x.is_folder THEN '/' ELSE '' END AS line
   FROM x JOIN x a ON a.g = x.g AND a.node = x.node[1:len(a.node)] GROUP BY x.g, x.node, x.is_folder""")
 def n32(spark, folder):
@@ -237,7 +248,8 @@ def _ops(spark, folder):
     return T.mutations(spark, folder).select(kind.alias("operation"), "path", "seq", "ts")
 
 
-@query("t7_delete_batches", OPS + """, o AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS place FROM m), d AS (SELECT *, place - row_number() OVER (ORDER BY seq) AS run FROM o WHERE operation = 'delete'),
+@query("t7_delete_batches", OPS + """, o AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS place FROM m), d AS (SELECT *, place - row_number() OVER (ORDER BY seq) AS run FROM o
+  WHERE operation = 'delete'),
   n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY seq) - 1 AS k, min(place) OVER (PARTITION BY run) AS first FROM d)
   SELECT seq, CAST(first + k // 2 * 2 AS BIGINT) AS batch FROM n UNION ALL SELECT seq, NULL FROM m WHERE operation <> 'delete'""")
 def t7(spark, folder):
@@ -261,7 +273,8 @@ def t9(spark, folder):
     return L.overflow_bursts(ticks, capacity=4, drained=1)
 
 
-@query("t11_retries", """SELECT seq, k AS attempt, CASE WHEN k <= 5 THEN round(0.1 * pow(2, k - 1), 6) END AS delay, CASE WHEN k <= 5 THEN epoch_us(ts) + CAST(100000 * pow(2, k - 1) AS BIGINT) END AS due FROM (
+@query("t11_retries", """SELECT seq, k AS attempt, CASE WHEN k <= 5 THEN round(0.1 * pow(2, k - 1), 6) END AS delay, CASE WHEN k <= 5 THEN epoch_us(ts) +
+  CAST(100000 * pow(2, k - 1) AS BIGINT) END AS due FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY ts, seq) AS INTEGER) AS k FROM mutations WHERE event_type = 'purchase')""")
 def t11(spark, folder):
     r = L.retries(T.mutations(spark, folder).where("event_type = 'purchase'"))
@@ -269,7 +282,8 @@ def t11(spark, folder):
 
 
 @query("t12_follow_ups", """, p AS (SELECT path, epoch_us(ts) AS started, epoch_us(ts) + 43200000000 AS finished FROM mutations WHERE seq % 10 = 0)
-  SELECT p.path, finished AS due, max(m.seq) AS generation FROM p JOIN mutations m ON m.path = p.path AND epoch_us(m.ts) > started AND epoch_us(m.ts) <= finished GROUP BY p.path, started, finished""")
+  SELECT p.path, finished AS due, max(m.seq) AS generation FROM p JOIN mutations m ON m.path = p.path AND epoch_us(m.ts) > started
+  AND epoch_us(m.ts) <= finished GROUP BY p.path, started, finished""")
 def t12(spark, folder):
     """Every tenth event is worked on for half a day."""
     m = T.mutations(spark, folder)
@@ -293,15 +307,18 @@ def v9(spark, folder):
     return found.select("chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("w5_score_changes", "SELECT a.l_orderkey AS chunk_id, a.l_linenumber AS round, round(a.l_discount - b.l_discount, 6) AS change FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber + 1", views=False)
+@query("w5_score_changes", """SELECT a.l_orderkey AS chunk_id, a.l_linenumber AS round, round(a.l_discount - b.l_discount, 6) AS change FROM lineitem a
+  JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber + 1""", views=False)
 def w5(spark, folder):
     rounds = T.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").alias("round"), F.col("l_discount").alias("score"))
     return A_.score_changes(rounds).select("chunk_id", "round", F.round("change", 6).alias("change"))
 
 
 @query("r6_breadth_first", """WITH f AS (SELECT DISTINCT l_suppkey AS node, l_partkey AS next, l_partkey % 17 AS score FROM lineitem), s AS (SELECT 1 AS node UNION ALL SELECT 2),
-  a AS (SELECT DISTINCT next AS node FROM (SELECT f.*, row_number() OVER (PARTITION BY f.node ORDER BY score DESC, next) AS k FROM f JOIN s USING (node) WHERE next NOT IN (SELECT node FROM s)) WHERE k <= 3),
-  b AS (SELECT DISTINCT next AS node FROM (SELECT f.*, row_number() OVER (PARTITION BY f.node ORDER BY score DESC, next) AS k FROM f JOIN a USING (node) WHERE next NOT IN (SELECT node FROM s UNION SELECT node FROM a)) WHERE k <= 3)
+  a AS (SELECT DISTINCT next AS node FROM (SELECT f.*, row_number() OVER (PARTITION BY f.node ORDER BY score DESC, next) AS k FROM f
+  JOIN s USING (node) WHERE next NOT IN (SELECT node FROM s)) WHERE k <= 3),
+  b AS (SELECT DISTINCT next AS node FROM (SELECT f.*, row_number() OVER (PARTITION BY f.node ORDER BY score DESC, next) AS k FROM f
+  JOIN a USING (node) WHERE next NOT IN (SELECT node FROM s UNION SELECT node FROM a)) WHERE k <= 3)
   SELECT node, 0 AS level FROM s UNION ALL SELECT node, 1 FROM a UNION ALL SELECT node, 2 FROM b""", views=False)
 def r6(spark, folder):
     """From suppliers to parts, which are taken for suppliers again."""

@@ -29,7 +29,8 @@ def j1(spark, folder):
     return T.chunks(spark, folder).select("chunk_id", "file_id").join(f, "file_id").select("chunk_id", F.col("file_path").alias("path"), "content_hash")
 
 
-@query("j2_embeddings_chunks_files", "SELECT e.chunk_id, e.model, c.symbol, f.path FROM embs e JOIN files f ON f.file_id = e.chunk_id JOIN chunks c ON c.file_id = f.file_id AND c.start_line = 1")
+@query("j2_embeddings_chunks_files", """SELECT e.chunk_id, e.model, c.symbol, f.path FROM embs e JOIN files f ON f.file_id = e.chunk_id JOIN chunks c ON c.file_id = f.file_id
+  AND c.start_line = 1""")
 def j2(spark, folder):
     c = T.chunks(spark, folder).where("start_line = 1").select("file_id", "symbol")
     f = T.files(spark, folder).select("file_id", "path")
@@ -40,7 +41,8 @@ def _doc_chunks(spark, folder):
     return T.files(spark, folder).select(F.col("file_id").alias("chunk_id"), F.col("text").alias("code"))
 
 
-@query("j3_missing_embeddings", "SELECT file_id AS chunk_id FROM files WHERE NOT EXISTS (SELECT 1 FROM embs WHERE embs.chunk_id = file_id AND provider = 'fake' AND model = 'model_3')")
+@query("j3_missing_embeddings", """SELECT file_id AS chunk_id FROM files WHERE NOT EXISTS (SELECT 1 FROM embs WHERE embs.chunk_id = file_id AND provider = 'fake'
+  AND model = 'model_3')""")
 def j3(spark, folder):
     return J.without_embedding(_doc_chunks(spark, folder), T.embeddings(spark, folder), "fake", "model_3").select("chunk_id")
 
@@ -56,19 +58,22 @@ def j5(spark, folder):
     return T.embeddings(spark, folder).select("chunk_id").join(ids, "chunk_id", "left_semi").distinct()
 
 
-@query("j6_line_range_overlap", "SELECT a.chunk_id FROM chunks a WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = a.file_id AND a.start_line <= 6 + l.toxic AND a.end_line >= 3 + l.quality)")
+@query("j6_line_range_overlap", """SELECT a.chunk_id FROM chunks a WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = a.file_id AND a.start_line <= 6 + l.toxic
+  AND a.end_line >= 3 + l.quality)""")
 def j6(spark, folder):
     r = T.table(spark, folder, "labels").select(F.col("doc_id").alias("file_id"), (F.col("quality") + 3).alias("low"), (F.col("toxic") + 6).alias("high"))
     return J.in_ranges(T.chunks(spark, folder), r).select("chunk_id")
 
 
-@query("j7_chunk_context", "SELECT DISTINCT b.chunk_id FROM chunks a JOIN chunks b ON a.file_id = b.file_id AND b.start_line <= a.end_line + 2 AND b.end_line >= greatest(1, a.start_line - 2) WHERE contains(a.code, 'License')")
+@query("j7_chunk_context", """SELECT DISTINCT b.chunk_id FROM chunks a JOIN chunks b ON a.file_id = b.file_id AND b.start_line <= a.end_line + 2
+  AND b.end_line >= greatest(1, a.start_line - 2) WHERE contains(a.code, 'License')""")
 def j7(spark, folder):
     c = T.chunks(spark, folder)
     return J.context_of(c, c.where(F.contains("code", F.lit("License"))), 2).select("chunk_id")
 
 
-@query("j8_window_expansion", """, h AS (SELECT * FROM chunks WHERE contains(code, 'idiot')), s AS (SELECT file_id, greatest(1, min(start_line) - 3) AS low, max(end_line) + 3 AS high FROM h GROUP BY file_id)
+@query("j8_window_expansion", """, h AS (SELECT * FROM chunks WHERE contains(code, 'idiot')), s AS (SELECT file_id, greatest(1, min(start_line) - 3) AS low, max(end_line) + 3 AS high
+  FROM h GROUP BY file_id)
   SELECT c.chunk_id FROM chunks c JOIN s ON c.file_id = s.file_id AND c.start_line <= high AND c.end_line >= low WHERE c.chunk_id NOT IN (SELECT chunk_id FROM h)""")
 def j8(spark, folder):
     c = T.chunks(spark, folder)
@@ -89,7 +94,8 @@ def j10(spark, folder):
     return J.changes(f.where(k != 0), now)
 
 
-@query("j11_chunk_diff", r""", o AS (SELECT file_id, chunk_id, start_line, regexp_replace(code, '^\s+|\s+$', '', 'g') AS k FROM chunks), e AS (SELECT * FROM o WHERE start_line % 5 <> 0), n AS (SELECT * FROM o WHERE start_line % 4 <> 0)
+@query("j11_chunk_diff", r""", o AS (SELECT file_id, chunk_id, start_line, regexp_replace(code, '^\s+|\s+$', '', 'g') AS k FROM chunks), e AS (SELECT * FROM o
+  WHERE start_line % 5 <> 0), n AS (SELECT * FROM o WHERE start_line % 4 <> 0)
   SELECT chunk_id, CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.file_id = e.file_id AND n.k = e.k) THEN 'unchanged' ELSE 'deleted' END AS state FROM e
   UNION ALL SELECT chunk_id, 'added' FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE n.file_id = e.file_id AND n.k = e.k)""")
 def j11(spark, folder):
@@ -97,7 +103,8 @@ def j11(spark, folder):
     return J.chunk_diff(c.where("start_line % 5 <> 0"), c.where("start_line % 4 <> 0"), ["file_id"]).select("chunk_id", "state")
 
 
-@query("j12_overlapping_definitions", "SELECT a.chunk_id, b.chunk_id AS other FROM chunks a JOIN chunks b ON a.file_id = b.file_id AND a.start_line <= b.end_line + 1 AND a.end_line + 1 >= b.start_line AND a.chunk_type = 'block' AND b.chunk_type = 'function'")
+@query("j12_overlapping_definitions", """SELECT a.chunk_id, b.chunk_id AS other FROM chunks a JOIN chunks b ON a.file_id = b.file_id AND a.start_line <= b.end_line + 1
+  AND a.end_line + 1 >= b.start_line AND a.chunk_type = 'block' AND b.chunk_type = 'function'""")
 def j12(spark, folder):
     c = T.chunks(spark, folder)
     a = c.where("chunk_type = 'block'").select("file_id", "chunk_id", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
@@ -119,12 +126,13 @@ def j14(spark, folder):
     return T.files(spark, folder).select("file_id", "path").join(ids, "file_id")
 
 
-@query("j15_related_facts", FACTS + "SELECT a.fact_id AS a, b.fact_id AS b, count(*) AS shared FROM fe a JOIN fe b ON a.entity = b.entity AND a.fact_id < b.fact_id GROUP BY 1, 2")
+@query("j15_related_facts", FACTS + """SELECT a.fact_id AS a, b.fact_id AS b, count(*) AS shared FROM fe a JOIN fe b ON a.entity = b.entity AND a.fact_id < b.fact_id GROUP BY 1, 2""")
 def j15(spark, folder):
     return J.sharing_entities(_facts(spark, folder))
 
 
-@query("j16_fact_conflicts", FACTS + "SELECT a.entity, a.fact_id AS a, b.fact_id AS b, CASE WHEN a.negated <> b.negated THEN 'negation' ELSE 'numbers' END AS reason FROM fe a JOIN fe b ON a.entity = b.entity AND a.fact_id < b.fact_id WHERE a.negated <> b.negated OR a.nums <> b.nums")
+@query("j16_fact_conflicts", FACTS + """SELECT a.entity, a.fact_id AS a, b.fact_id AS b, CASE WHEN a.negated <> b.negated THEN 'negation' ELSE 'numbers' END AS reason FROM fe a
+  JOIN fe b ON a.entity = b.entity AND a.fact_id < b.fact_id WHERE a.negated <> b.negated OR a.nums <> b.nums""")
 def j16(spark, folder):
     return J.conflicts(_facts(spark, folder))
 
@@ -135,21 +143,18 @@ def j17(spark, folder):
     return T.files(spark, folder).where(F.col("path").startswith("src1")).join(seen, "file_id", "left_anti").select("path")
 
 
-@query("j18_diff_shadowing", "SELECT chunk_id, 'diff' AS origin FROM chunks WHERE start_line % 3 = 0 UNION ALL SELECT c.chunk_id, 'stored' FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM chunks d WHERE d.start_line % 3 = 0 AND d.path = c.path AND d.start_line = c.start_line)")
+@query("j18_diff_shadowing", """SELECT chunk_id, 'diff' AS origin FROM chunks WHERE start_line % 3 = 0 UNION ALL SELECT c.chunk_id, 'stored' FROM chunks c WHERE NOT EXISTS (SELECT 1
+  FROM chunks d WHERE d.start_line % 3 = 0 AND d.path = c.path AND d.start_line = c.start_line)""")
 def j18(spark, folder):
     c = T.chunks(spark, folder).select("chunk_id", "path", "start_line")
-    diff = c.where("start_line % 3 = 0")
-    stored = c.join(diff.select("path", "start_line"), ["path", "start_line"], "left_anti").select("chunk_id", F.lit("stored").alias("origin"))
-    return diff.select("chunk_id", F.lit("diff").alias("origin")).unionByName(stored)
+    return J.shadowed(c, c.where("start_line % 3 = 0"), ["path", "start_line"]).select("chunk_id", "origin")
 
 
-@query("j19_template_references", r""", s AS (SELECT DISTINCT symbol FROM chunks WHERE start_line = 1), w AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(text, '[A-Za-z_]\w*')) AS name FROM files)
+@query("j19_template_references", r""", s AS (SELECT DISTINCT symbol FROM chunks WHERE start_line = 1), w AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(text, '[A-Za-z_]\w*'))
+  AS name FROM files)
   SELECT file_id, count(symbol) AS script_references, count(*) - count(symbol) AS undefined_references FROM w LEFT JOIN s ON s.symbol = w.name GROUP BY file_id""")
 def j19(spark, folder):
-    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))
-    w = T.files(spark, folder).select("file_id", F.explode(names).alias("name"))
-    s = T.chunks(spark, folder).where("start_line = 1").select(F.col("symbol").alias("name")).distinct().withColumn("known", F.lit(1))
-    return w.join(s, "name", "left").groupBy("file_id").agg(F.count("known").alias("script_references"), (F.count("*") - F.count("known")).alias("undefined_references"))
+    return J.template_references(T.files(spark, folder), T.chunks(spark, folder).where("start_line = 1"))
 
 
 @query("d1_normalize_content", r"SELECT doc_id, md5(regexp_replace(replace(text, chr(13), chr(10)), '^\s+|\s+$', '', 'g')) AS hash FROM documents", views=False)
@@ -160,7 +165,8 @@ def d1(spark, folder):
 
 
 SPEC = "CASE chunk_type WHEN 'function' THEN 4 WHEN 'namespace' THEN 3 WHEN 'comment' THEN 2 WHEN 'block' THEN 1 END"
-DEDUP = rf""", k AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(code, '^\s+|\s+$', '', 'g') ORDER BY {SPEC} DESC, end_line - start_line, chunk_id) AS n FROM chunks), x AS (SELECT * FROM k WHERE n = 1) """
+DEDUP = rf""", k AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(code, '^\s+|\s+$', '', 'g') ORDER BY {SPEC} DESC, end_line - start_line, chunk_id)
+  AS n FROM chunks), x AS (SELECT * FROM k WHERE n = 1) """
 
 
 @query("d2_dedup_exact", DEDUP + "SELECT chunk_id FROM x")
@@ -168,7 +174,9 @@ def d2(spark, folder):
     return J.dedup_exact(T.chunks(spark, folder)).select("chunk_id")
 
 
-@query("d3_dedup_chunks", DEDUP + "SELECT chunk_id FROM x b WHERE language <> 'haskell' AND NOT (chunk_type = 'block' AND EXISTS (SELECT 1 FROM x o WHERE o.file_id = b.file_id AND o.chunk_type IN ('function', 'namespace') AND o.start_line <= b.end_line AND o.end_line >= b.start_line AND length(trim(o.code)) > length(trim(b.code)) AND contains(o.code, trim(b.code))))")
+@query("d3_dedup_chunks", DEDUP + """SELECT chunk_id FROM x b WHERE language <> 'haskell' AND NOT (chunk_type = 'block' AND EXISTS (SELECT 1 FROM x o WHERE o.file_id = b.file_id
+  AND o.chunk_type IN ('function', 'namespace') AND o.start_line <= b.end_line AND o.end_line >= b.start_line
+  AND length(trim(o.code)) > length(trim(b.code)) AND contains(o.code, trim(b.code))))""")
 def d3(spark, folder):
     return J.dedup_chunks(T.chunks(spark, folder)).select("chunk_id")
 
@@ -185,14 +193,16 @@ def d5(spark, folder):
     return J.best_by(T.table(spark, folder, "conversations").select(F.col("conv_id").alias("id"), "turn", "text"), ["id"], [F.col("turn")])
 
 
-@query("d6_dedup_keep_best", "SELECT l_orderkey AS chunk_id, l_linenumber AS ordinal, l_extendedprice AS score FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) = 1", views=False)
+@query("d6_dedup_keep_best", """SELECT l_orderkey AS chunk_id, l_linenumber AS ordinal, l_extendedprice AS score FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey
+  ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) = 1""", views=False)
 def d6(spark, folder):
     l = T.table(spark, folder, "lineitem")
     order = [F.col("l_extendedprice").desc(), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")]
     return J.best_by(l, ["l_orderkey"], order).select(F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").alias("ordinal"), F.col("l_extendedprice").alias("score"))
 
 
-@query("d7_merge_lists", "SELECT o_orderkey AS chunk_id, CASE WHEN o_orderkey % 2 = 0 THEN greatest(o_totalprice, 150000.0) ELSE o_totalprice END AS score FROM orders", views=False)
+@query("d7_merge_lists", """SELECT o_orderkey AS chunk_id, CASE WHEN o_orderkey % 2 = 0 THEN greatest(o_totalprice, 150000.0) ELSE o_totalprice END AS score
+  FROM orders""", views=False)
 def d7(spark, folder):
     o = T.table(spark, folder, "orders")
     base = o.select(F.col("o_orderkey").alias("chunk_id"), F.col("o_totalprice").alias("score"))
@@ -201,7 +211,8 @@ def d7(spark, folder):
 
 
 @query("d8_merge_branches", """, m AS (SELECT chunk_id, greatest(max(CASE WHEN b = 0 THEN s END), max(CASE WHEN b = 1 THEN s END)) AS score FROM (
-  SELECT doc_id AS chunk_id, 0 AS b, toxic * 1.0 AS s FROM labels UNION ALL SELECT vec_id, 1, label / 10.0 FROM embeddings) GROUP BY chunk_id) SELECT chunk_id, round(score, 6) AS score FROM m""")
+  SELECT doc_id AS chunk_id, 0 AS b, toxic * 1.0 AS s FROM labels UNION ALL SELECT vec_id, 1, label / 10.0 FROM embeddings) GROUP BY chunk_id)
+  SELECT chunk_id, round(score, 6) AS score FROM m""")
 def d8(spark, folder):
     a = T.table(spark, folder, "labels").select(F.col("doc_id").alias("chunk_id"), F.col("toxic").cast("double").alias("rerank_score"), F.lit(None).cast("double").alias("similarity"))
     b = T.table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit(None).cast("double").alias("rerank_score"), (F.col("label") / 10).alias("similarity"))
@@ -209,31 +220,33 @@ def d8(spark, folder):
     return J.merge_lists(a, b).select("chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("d9_union_new", "SELECT chunk_id, 'semantic' AS origin FROM embs UNION ALL SELECT file_id, 'regex' FROM files WHERE contains(text, 'License') AND file_id NOT IN (SELECT chunk_id FROM embs)")
+@query("d9_union_new", """SELECT chunk_id, 'semantic' AS origin FROM embs UNION ALL SELECT file_id, 'regex' FROM files WHERE contains(text, 'License')
+  AND file_id NOT IN (SELECT chunk_id FROM embs)""")
 def d9(spark, folder):
     s = T.embeddings(spark, folder).select("chunk_id", F.lit("semantic").alias("origin"))
     r = T.files(spark, folder).where(F.contains("text", F.lit("License"))).select(F.col("file_id").alias("chunk_id"), F.lit("regex").alias("origin"))
-    return s.unionByName(r.join(s.select("chunk_id"), "chunk_id", "left_anti"))
+    return J.union_new(s, r, "chunk_id")
 
 
-@query("d10_set_operations", ", a AS (SELECT symbol FROM chunks WHERE start_line % 2 = 0), b AS (SELECT symbol FROM chunks WHERE start_line % 2 = 1) SELECT symbol, 'both' AS side FROM (SELECT symbol FROM a INTERSECT SELECT symbol FROM b) UNION ALL SELECT symbol, 'new' FROM (SELECT symbol FROM a EXCEPT SELECT symbol FROM b)")
+@query("d10_set_operations", """, a AS (SELECT symbol FROM chunks WHERE start_line % 2 = 0), b AS (SELECT symbol FROM chunks WHERE start_line % 2 = 1) SELECT symbol, 'both' AS side
+  FROM (SELECT symbol FROM a INTERSECT SELECT symbol FROM b) UNION ALL SELECT symbol, 'new' FROM (SELECT symbol FROM a EXCEPT SELECT symbol FROM b)""")
 def d10(spark, folder):
     c = T.chunks(spark, folder)
     a, b = (c.where(f"start_line % 2 = {k}").select("symbol") for k in (0, 1))
-    return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("new")))
+    return J.common_and_new(a, b)
 
 
 @query("d11_ordered_distinct", """, w AS (SELECT file_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM (SELECT file_id, string_split(lower(text), ' ') AS ws FROM files)),
   f AS (SELECT file_id, w, min(p) AS p FROM w GROUP BY file_id, w)
   SELECT file_id AS doc_id, list(w ORDER BY p) AS words FROM f GROUP BY file_id""")
 def d11(spark, folder):
-    return T.table(spark, folder, "documents").select("doc_id", F.array_distinct(F.split(F.lower("text"), " ", -1)).alias("words"))
+    return T.table(spark, folder, "documents").select("doc_id", J.ordered_distinct(F.split(F.lower("text"), " ", -1)).alias("words"))
 
 
 @query("d12_source_chunks", "SELECT DISTINCT path, start_line, end_line FROM (SELECT path, start_line // 3 AS start_line, end_line // 3 AS end_line FROM chunks)")
 def d12(spark, folder):
     c = T.chunks(spark, folder).select("path", F.floor(F.col("start_line") / 3).cast("int").alias("start_line"), F.floor(F.col("end_line") / 3).cast("int").alias("end_line"))
-    return c.dropDuplicates(["path", "start_line", "end_line"])
+    return J.source_chunks(c)
 
 
 @query("d13_ledger_constants", "SELECT path, symbol AS name, code AS value FROM chunks QUALIFY row_number() OVER (PARTITION BY path, symbol ORDER BY start_line) = 1")
@@ -248,7 +261,8 @@ def s6(spark, folder):
     return T.files(spark, folder).where(~excluded(F.col("path"), ["**/src0/**", "**/es/**"])).select("path")
 
 
-@query("s10_language", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'objc' WHEN 2 THEN 'matlab' WHEN 3 THEN 'makefile' ELSE 'unknown' END AS language FROM pages", views=False)
+@query("s10_language", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'objc' WHEN 2 THEN 'matlab' WHEN 3 THEN 'makefile' ELSE 'unknown' END AS language
+  FROM pages""", views=False)
 def s10(spark, folder):
     k = F.col("page_id") % 5
     path = F.concat(F.lit("a/b"), F.when(k == 0, ".PY").when(k < 3, ".m").when(k == 3, "/Makefile").otherwise("/x.unknown"))
@@ -256,7 +270,8 @@ def s10(spark, folder):
     return T.table(spark, folder, "pages").select("page_id", I.language(path, content).alias("language"))
 
 
-@query("s12_skip_reason", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'binary' WHEN doc_id % 4 = 1 THEN 'unsupported' WHEN doc_id % 4 = 2 AND n_chars > 2000 THEN 'large_config' END AS skip_reason FROM documents", views=False)
+@query("s12_skip_reason", """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'binary' WHEN doc_id % 4 = 1 THEN 'unsupported' WHEN doc_id % 4 = 2
+  AND n_chars > 2000 THEN 'large_config' END AS skip_reason FROM documents""", views=False)
 def s12(spark, folder):
     k = F.col("doc_id") % 4
     head = F.when(k == 0, F.concat(F.lit("a\0"), "text")).otherwise(F.col("text"))
@@ -277,7 +292,8 @@ def s14(spark, folder):
     return I.upsert(f.where("file_id % 6 <> 0"), new, ["path"])
 
 
-@query("s15_partial_update", "SELECT file_id, CASE WHEN file_id % 3 = 0 THEN size * 2 ELSE size END AS size, CASE WHEN file_id % 3 = 1 THEN 'xx' ELSE language END AS language FROM files")
+@query("s15_partial_update", """SELECT file_id, CASE WHEN file_id % 3 = 0 THEN size * 2 ELSE size END AS size, CASE WHEN file_id % 3 = 1 THEN 'xx' ELSE language END AS language
+  FROM files""")
 def s15(spark, folder):
     f = T.files(spark, folder).select("file_id", "size", "language")
     k = F.col("file_id") % 3
@@ -285,7 +301,8 @@ def s15(spark, folder):
     return I.patch(f, new, "file_id", ["size", "language"])
 
 
-@query("s16_insert_chunks", "SELECT conv_id AS file_id, turn, conv_id * 16777216 + row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS chunk_id FROM conversations", views=False)
+@query("s16_insert_chunks", """SELECT conv_id AS file_id, turn, conv_id * 16777216 + row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS chunk_id
+  FROM conversations""", views=False)
 def s16(spark, folder):
     c = T.table(spark, folder, "conversations").select(F.col("conv_id").alias("file_id"), "turn", "role", "text")
     return I.with_ids(c, ["turn", "role", "text"], "file_id").select("file_id", "turn", "chunk_id")
@@ -298,7 +315,9 @@ def s17(spark, folder):
     return I.upsert_embeddings(e, new, 64).select("chunk_id", "model", F.round(F.col("embedding")[0].cast("double"), 6).alias("head"))
 
 
-@query("s19_cascade_delete", ", g AS (SELECT file_id FROM files WHERE path LIKE 'src3/%') SELECT (SELECT count(*) FROM files WHERE file_id NOT IN (FROM g)) AS files, (SELECT count(*) FROM chunks WHERE file_id NOT IN (FROM g)) AS chunks, (SELECT count(*) FROM embs WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE file_id IN (FROM g))) AS embeddings")
+@query("s19_cascade_delete", """, g AS (SELECT file_id FROM files WHERE path LIKE 'src3/%') SELECT (SELECT count(*) FROM files WHERE file_id NOT IN (FROM g))
+  AS files, (SELECT count(*) FROM chunks WHERE file_id NOT IN (FROM g)) AS chunks, (SELECT count(*) FROM embs WHERE chunk_id NOT IN (SELECT chunk_id
+  FROM chunks WHERE file_id IN (FROM g))) AS embeddings""")
 def s19(spark, folder):
     f = T.files(spark, folder).select("file_id", "path")
     left = I.delete_files(f, T.chunks(spark, folder).select("file_id", "chunk_id"), T.embeddings(spark, folder).select("chunk_id"), f.where(F.col("path").startswith("src3/")))
@@ -312,7 +331,8 @@ def s20(spark, folder):
     return c.join(c.where("start_line > 4").select("chunk_id"), "chunk_id", "left_anti").select("chunk_id")
 
 
-@query("s21_diff_hunks", """SELECT doc_id AS diff_id, source || '.txt' AS path, CAST(1 AS INTEGER) AS hunk, CAST(10 AS INTEGER) AS start_line, CAST(10 + len(ls) AS INTEGER) AS end_line, 'context' || chr(10) || array_to_string(ls, chr(10)) AS code
+@query("s21_diff_hunks", """SELECT doc_id AS diff_id, source || '.txt' AS path, CAST(1 AS INTEGER) AS hunk, CAST(10 AS INTEGER) AS start_line, CAST(10 + len(ls) AS INTEGER)
+  AS end_line, 'context' || chr(10) || array_to_string(ls, chr(10)) AS code
   FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents)
   UNION ALL SELECT doc_id, source || '.txt', 2, 40, 40, 'more' FROM documents""", views=False)
 def s21(spark, folder):

@@ -13,7 +13,8 @@ from karstwell.sources import tables as T
 from karstwell.streaming import live as L
 
 
-@query("r1_constants", "SELECT path, symbol AS name, code AS value, 'str' AS type FROM chunks QUALIFY row_number() OVER (PARTITION BY path, symbol ORDER BY start_line) = 1")
+@query("r1_constants", """SELECT path, symbol AS name, code AS value, 'str' AS type FROM chunks QUALIFY row_number() OVER (PARTITION BY path, symbol
+  ORDER BY start_line) = 1""")
 def r1(spark, folder):
     c = T.chunks(spark, folder)
     meta = F.to_json(F.struct(F.array(F.struct(F.col("symbol").alias("name"), F.col("code").alias("value"), F.lit("str").alias("type"))).alias("constants")))
@@ -41,12 +42,14 @@ def r2(spark, folder):
     return R.facts_for(f, paths=["f0", "f2"], entity="e1").select("fact_id").unionByName(R.related_facts(f, 3).select((F.col("fact_id") + 1000).alias("fact_id")))
 
 
-@query("r3_entity_index", FACTS + ", e AS (SELECT fact_id, i, entities[i] AS label, lower(trim(entities[i])) AS entity FROM facts, unnest(range(1, len(entities) + 1)) AS t(i)) SELECT entity, arg_min(label, fact_id * 1000000 + i) AS label, count(DISTINCT fact_id) AS facts FROM e GROUP BY entity")
+@query("r3_entity_index", FACTS + """, e AS (SELECT fact_id, i, entities[i] AS label, lower(trim(entities[i])) AS entity FROM facts, unnest(range(1, len(entities) + 1)) AS t(i))
+  SELECT entity, arg_min(label, fact_id * 1000000 + i) AS label, count(DISTINCT fact_id) AS facts FROM e GROUP BY entity""")
 def r3(spark, folder):
     return R.entity_index(_facts(spark, folder))
 
 
-@query("r3_fact_priority", FACTS + "SELECT fact_id, confidence, category FROM facts ORDER BY CASE confidence WHEN 'definite' THEN 1 WHEN 'likely' THEN 2 WHEN 'inferred' THEN 3 ELSE 5 END, category, fact_id LIMIT 25")
+@query("r3_fact_priority", FACTS + """SELECT fact_id, confidence, category FROM facts ORDER BY CASE confidence WHEN 'definite' THEN 1 WHEN 'likely' THEN 2 WHEN 'inferred' THEN 3
+  ELSE 5 END, category, fact_id LIMIT 25""")
 def r3b(spark, folder):
     return R.facts_by_priority(_facts(spark, folder), 25).select("fact_id", "confidence", "category")
 
@@ -59,7 +62,9 @@ def _ranges(spark, folder):
     return c.select(F.concat(F.lit("c"), (F.col("conv_id") % 50).cast("string")).alias("path"), (F.col("turn") * 3 + 1).alias("start_line"), (F.col("turn") * 3 + 1 + F.length("text") % 9).alias("end_line"), "conv_id", "turn")
 
 
-@query("r4_unexplored", RANGES + ", x AS (SELECT * FROM r WHERE turn < 2), d AS (SELECT path FROM (SELECT DISTINCT path, unnest(range(start_line, end_line + 1)) AS l FROM x) GROUP BY path HAVING count(*) > 12) SELECT conv_id, turn FROM r WHERE turn >= 2 AND path NOT IN (FROM d) AND NOT EXISTS (SELECT 1 FROM x WHERE x.path = r.path AND r.start_line >= x.start_line AND r.end_line <= x.end_line)")
+@query("r4_unexplored", RANGES + """, x AS (SELECT * FROM r WHERE turn < 2), d AS (SELECT path FROM (SELECT DISTINCT path, unnest(range(start_line, end_line + 1)) AS l FROM x)
+  GROUP BY path HAVING count(*) > 12) SELECT conv_id, turn FROM r WHERE turn >= 2 AND path NOT IN (FROM d) AND NOT EXISTS (SELECT 1 FROM x
+  WHERE x.path = r.path AND r.start_line >= x.start_line AND r.end_line <= x.end_line)""")
 def r4(spark, folder):
     r = _ranges(spark, folder)
     return R.unexplored(r.where("turn >= 2"), r.where("turn < 2"), full=12).select("conv_id", "turn")
@@ -70,32 +75,38 @@ def r5(spark, folder):
     return R.line_coverage(_ranges(spark, folder)).select("path", F.col("lines").cast("long").alias("lines"))
 
 
-@query("r9_files_in_budget", """, t AS (SELECT file_id, language, text, greatest(1, length(text) // 4) AS tokens FROM files), b AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY language ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
-  SELECT file_id, length(CASE WHEN tokens <= 20000 - before THEN text ELSE left(text, CAST((20000 - before) * 4 AS BIGINT)) END) AS chars, tokens > 20000 - before AS is_cut FROM b WHERE tokens <= 20000 - before OR 20000 - before > 500""")
+@query("r9_files_in_budget", """, t AS (SELECT file_id, language, text, greatest(1, length(text) // 4) AS tokens FROM files), b AS (SELECT *, coalesce(sum(tokens)
+  OVER (PARTITION BY language ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
+  SELECT file_id, length(CASE WHEN tokens <= 20000 - before THEN text ELSE left(text, CAST((20000 - before) * 4 AS BIGINT)) END)
+  AS chars, tokens > 20000 - before AS is_cut FROM b WHERE tokens <= 20000 - before OR 20000 - before > 500""")
 def r9(spark, folder):
     f = T.files(spark, folder).select("file_id", "language", "text")
     return R.within_budget(f, ["file_id"], 20_000, by=["language"]).select("file_id", F.length("content").cast("long").alias("chars"), "is_cut")
 
 
-@query("r10_code_context", """, t AS (SELECT chunk_id, file_id, code AS text, greatest(1, length(code) // 4) AS tokens FROM chunks), b AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY file_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
+@query("r10_code_context", """, t AS (SELECT chunk_id, file_id, code AS text, greatest(1, length(code) // 4) AS tokens FROM chunks), b AS (SELECT *, coalesce(sum(tokens)
+  OVER (PARTITION BY file_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
   SELECT chunk_id FROM b WHERE tokens <= 100 - before""")
 def r10(spark, folder):
     c = T.chunks(spark, folder).select("chunk_id", "file_id", F.col("code").alias("text"))
     return R.within_budget(c, ["chunk_id"], 100, by=["file_id"], key="chunk_id").select("chunk_id")
 
 
-@query("r11_representatives", ", n AS (SELECT path, code, row_number() OVER (PARTITION BY path ORDER BY length(code) DESC, chunk_id) AS k FROM chunks) SELECT path, left(string_agg(code, chr(10) || chr(10) ORDER BY k), 400) AS document, count(*) AS chunks FROM n WHERE k <= 5 GROUP BY path")
+@query("r11_representatives", """, n AS (SELECT path, code, row_number() OVER (PARTITION BY path ORDER BY length(code) DESC, chunk_id) AS k FROM chunks)
+  SELECT path, left(string_agg(code, chr(10) || chr(10) ORDER BY k), 400) AS document, count(*) AS chunks FROM n WHERE k <= 5 GROUP BY path""")
 def r11(spark, folder):
     c = T.chunks(spark, folder).withColumn("score", F.length("code"))
     return R.representatives(c, "score", max_tokens=100)
 
 
-@query("r13_citation_map", ", p AS (SELECT DISTINCT path FROM chunks WHERE contains(code, 'License')) SELECT path, CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS number FROM p")
+@query("r13_citation_map", """, p AS (SELECT DISTINCT path FROM chunks WHERE contains(code, 'License')) SELECT path, CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS number
+  FROM p""")
 def r13(spark, folder):
     return R.reference_map(T.chunks(spark, folder).where(F.contains("code", F.lit("License"))))
 
 
-@query("r13_ranges", ", g AS (SELECT path, list_sort(list(start_line)) AS l FROM chunks GROUP BY path) SELECT path, array_to_string(list_transform(l[1:3], lambda x: 'L' || x || '-' || x), ', ') || CASE WHEN len(l) > 3 THEN ' +' || (len(l) - 3) || ' more' ELSE '' END AS ranges FROM g")
+@query("r13_ranges", """, g AS (SELECT path, list_sort(list(start_line)) AS l FROM chunks GROUP BY path) SELECT path, array_to_string(list_transform(l[1:3], lambda x: 'L'
+  || x || '-' || x), ', ') || CASE WHEN len(l) > 3 THEN ' +' || (len(l) - 3) || ' more' ELSE '' END AS ranges FROM g""")
 def r13b(spark, folder):
     return R.chunk_ranges(T.chunks(spark, folder))
 
@@ -140,7 +151,8 @@ def n7(spark, folder):
     return e.select("event_id", A.lift(A.parameter_names, "array<string>")(meta).alias("names"))
 
 
-@query("n10_sort_citations", "SELECT item_id, text || ' [' || least(item_id % 7, item_id % 5) || '][' || greatest(item_id % 7, item_id % 5) || '] end' AS text FROM benchmark", views=False)
+@query("n10_sort_citations", """SELECT item_id, text || ' [' || least(item_id % 7, item_id % 5) || '][' || greatest(item_id % 7, item_id % 5) || '] end' AS text
+  FROM benchmark""", views=False)
 def n10(spark, folder):
     i = F.col("item_id")
     t = F.concat("text", F.lit(" ["), (i % 7).cast("string"), F.lit("]["), (i % 5).cast("string"), F.lit("] end"))
@@ -202,9 +214,11 @@ def p9(spark, folder):
     return C.chunk_files(T.chunks(spark, folder).select("file_id", F.col("symbol").alias("name"), kind.alias("concept"), F.col("code").alias("content"), "start_line", "end_line"))
 
 
-@query("p12_token_batches", """, RECURSIVE_PLACEHOLDER""".replace(", RECURSIVE_PLACEHOLDER", """, c AS (SELECT file_id, chunk_id, greatest(1, length(code) // 3) AS tokens, row_number() OVER (PARTITION BY file_id ORDER BY chunk_id) AS k FROM chunks),
+@query("p12_token_batches", """, RECURSIVE_PLACEHOLDER""".replace(", RECURSIVE_PLACEHOLDER", """, c AS (SELECT file_id, chunk_id, greatest(1, length(code) // 3)
+  AS tokens, row_number() OVER (PARTITION BY file_id ORDER BY chunk_id) AS k FROM chunks),
   r AS (SELECT file_id, chunk_id, k, tokens AS held, 1 AS n, 0 AS batch FROM c WHERE k = 1 UNION ALL
-    SELECT c.file_id, c.chunk_id, c.k, CASE WHEN held + c.tokens > 200 OR n >= 8 THEN c.tokens ELSE held + c.tokens END, CASE WHEN held + c.tokens > 200 OR n >= 8 THEN 1 ELSE n + 1 END, CASE WHEN held + c.tokens > 200 OR n >= 8 THEN batch + 1 ELSE batch END
+    SELECT c.file_id, c.chunk_id, c.k, CASE WHEN held + c.tokens > 200 OR n >= 8 THEN c.tokens ELSE held + c.tokens END, CASE
+  WHEN held + c.tokens > 200 OR n >= 8 THEN 1 ELSE n + 1 END, CASE WHEN held + c.tokens > 200 OR n >= 8 THEN batch + 1 ELSE batch END
     FROM r JOIN c ON c.file_id = r.file_id AND c.k = r.k + 1)
   SELECT chunk_id, CAST(batch AS INTEGER) AS batch FROM r"""))
 def p12(spark, folder):
@@ -222,7 +236,8 @@ def p18(spark, folder):
 
 @query("p19_natural_boundaries", r""", n AS (SELECT file_id, len(ls) AS n FROM file_lines),
   i AS (SELECT *, length(code) - length(regexp_replace(code, '^\s+', '')) AS indent FROM chunks),
-  w AS (SELECT i.*, n, (SELECT min(b.start_line) FROM i b WHERE b.file_id = i.file_id AND b.start_line > i.end_line AND b.start_line < i.end_line + 200 AND b.indent <= i.indent) AS below FROM i JOIN n USING (file_id))
+  w AS (SELECT i.*, n, (SELECT min(b.start_line) FROM i b WHERE b.file_id = i.file_id AND b.start_line > i.end_line
+  AND b.start_line < i.end_line + 200 AND b.indent <= i.indent) AS below FROM i JOIN n USING (file_id))
   SELECT chunk_id, CAST(CASE WHEN chunk_type = 'function' THEN greatest(1, start_line - 3) ELSE start_line END AS INTEGER) AS from_line,
     CAST(CASE WHEN chunk_type = 'function' THEN least(n, end_line + 3) WHEN file_id % 2 = 1 THEN end_line ELSE coalesce(below - 1, least(n, end_line + 50)) END AS INTEGER) AS to_line FROM w""")
 def p19(spark, folder):
@@ -247,14 +262,16 @@ def t1(spark, folder):
 
 @query("t2_suppressed_duplicates", """, o AS (SELECT seq, path, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY path ORDER BY ts, seq) AS k FROM mutations),
   r AS (SELECT seq, path, k, event_type AS kind, us AS at, true AS passed FROM o WHERE k = 1 UNION ALL
-    SELECT o.seq, o.path, o.k, CASE WHEN r.kind <> o.event_type OR o.us - r.at >= 86400000000 THEN o.event_type ELSE r.kind END, CASE WHEN r.kind <> o.event_type OR o.us - r.at >= 86400000000 THEN o.us ELSE r.at END, r.kind <> o.event_type OR o.us - r.at >= 86400000000
+    SELECT o.seq, o.path, o.k, CASE WHEN r.kind <> o.event_type OR o.us - r.at >= 86400000000 THEN o.event_type ELSE r.kind END, CASE
+  WHEN r.kind <> o.event_type OR o.us - r.at >= 86400000000 THEN o.us ELSE r.at END, r.kind <> o.event_type OR o.us - r.at >= 86400000000
     FROM r JOIN o ON o.path = r.path AND o.k = r.k + 1)
   SELECT seq FROM r WHERE passed""")
 def t2(spark, folder):
     return L.suppress_duplicates(T.mutations(spark, folder), 86_400).select("seq")
 
 
-@query("t3_debounced", """, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 3600000000 THEN 0 ELSE 1 END AS n FROM mutations WINDOW w AS (PARTITION BY path ORDER BY ts, seq)), s AS (SELECT *, sum(n) OVER (PARTITION BY path ORDER BY ts, seq) AS k FROM g)
+@query("t3_debounced", """, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 3600000000 THEN 0 ELSE 1 END AS n FROM mutations WINDOW w AS (PARTITION BY path
+  ORDER BY ts, seq)), s AS (SELECT *, sum(n) OVER (PARTITION BY path ORDER BY ts, seq) AS k FROM g)
   SELECT path, count(*) AS events, epoch_us(max(ts)) + 3600000000 AS fires_at FROM s GROUP BY path, k""")
 def t3(spark, folder):
     return L.debounced(T.mutations(spark, folder), 3600).select("path", "events", F.unix_micros("fires_at").alias("fires_at"))
@@ -283,19 +300,21 @@ def t6(spark, folder):
     return _ops(spark, folder).orderBy(L.priority(F.col("operation")), "seq").select("seq", "operation")
 
 
-@query("t8_pressure", ", p AS (SELECT seq, count(*) OVER (PARTITION BY path ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS events FROM mutations) SELECT seq, events, CASE WHEN events >= 6 THEN 'overloaded' WHEN events >= 4 THEN 'elevated' ELSE 'normal' END AS state FROM p")
+@query("t8_pressure", """, p AS (SELECT seq, count(*) OVER (PARTITION BY path ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS events
+  FROM mutations) SELECT seq, events, CASE WHEN events >= 6 THEN 'overloaded' WHEN events >= 4 THEN 'elevated' ELSE 'normal' END AS state FROM p""")
 def t8(spark, folder):
     return L.pressure(T.mutations(spark, folder), 86_400, elevated=4, overloaded=6).select("seq", "events", "state")
 
 
-@query("t10_snapshot_diff", "SELECT path, CASE file_id % 4 WHEN 0 THEN 'created' WHEN 1 THEN 'deleted' ELSE 'modified' END AS event_type FROM files WHERE file_id % 4 < 3")
+@query("t10_snapshot_diff", """SELECT path, CASE file_id % 4 WHEN 0 THEN 'created' WHEN 1 THEN 'deleted' ELSE 'modified' END AS event_type FROM files WHERE file_id % 4 < 3""")
 def t10(spark, folder):
     f = T.files(spark, folder).select("path", "size", F.lit(1.0).alias("mtime"), (F.col("file_id") % 4).alias("k"))
     after = f.where("k <> 1").withColumn("mtime", F.when(F.col("k") == 2, 2.0).otherwise(F.col("mtime")))
     return L.snapshot_diff(f.where("k <> 0"), after)
 
 
-@query("t13_live_state", "SELECT seq, CASE seq % 6 WHEN 0 THEN 'degraded' WHEN 1 THEN 'uninitialized' WHEN 2 THEN 'busy' WHEN 3 THEN 'idle' WHEN 4 THEN 'stalled' ELSE 'busy' END AS state FROM mutations")
+@query("t13_live_state", """SELECT seq, CASE seq % 6 WHEN 0 THEN 'degraded' WHEN 1 THEN 'uninitialized' WHEN 2 THEN 'busy' WHEN 3 THEN 'idle' WHEN 4 THEN 'stalled'
+  ELSE 'busy' END AS state FROM mutations""")
 def t13(spark, folder):
     k = F.col("seq") % 6
     m = T.mutations(spark, folder).select("seq", (k == 0).alias("has_error"), (k != 1).alias("ready"), (k == 2).cast("int").alias("active"), (k >= 4).cast("int").alias("backlog"), F.col("ts").alias("accepted_at"), F.lit(None).cast("timestamp").alias("progress_at"), (F.col("ts") + F.make_dt_interval(secs=F.when(k == 4, 60.0).otherwise(5.0))).alias("now"))

@@ -19,7 +19,8 @@ def _first_line(col="text"):
 
 
 @query("n1_slug", """SELECT doc_id, CASE WHEN length(s) > 24 THEN regexp_replace(left(s, 24), '-+$', '') ELSE s END AS slug
-  FROM (SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'topic') AS s FROM documents)""", views=False)
+  FROM (SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'topic') AS s
+  FROM documents)""", views=False)
 def n1(spark, folder):
     return _docs(spark, folder).select("doc_id", X.slug(F.col("text"), max_length=24, ascii_only=True).alias("slug"))
 
@@ -30,7 +31,8 @@ def n2(spark, folder):
 
 
 @query("n3_heading", r"""SELECT chunk_id, CASE WHEN length(t) > 80 THEN rtrim(left(t, 77)) || '...' WHEN t = '' THEN 'Point of Interest' ELSE t END AS heading FROM (
-  SELECT chunk_id, trim(CASE WHEN contains(b, ':') THEN split_part(b, ':', 1) WHEN contains(b, ' - ') THEN split_part(b, ' - ', 1) WHEN contains(b, ' — ') THEN split_part(b, ' — ', 1) ELSE b END) AS t
+  SELECT chunk_id, trim(CASE WHEN contains(b, ':') THEN split_part(b, ':', 1) WHEN contains(b, ' - ') THEN split_part(b, ' - ', 1)
+  WHEN contains(b, ' — ') THEN split_part(b, ' — ', 1) ELSE b END) AS t
   FROM (SELECT chunk_id, CASE WHEN start_line % 2 = 0 THEN trim(replace(symbol, '*', '')) ELSE trim(replace(code, '*', '')) END AS b FROM chunks))""")
 def n3(spark, folder):
     c = T.chunks(spark, folder).withColumns({x: F.replace(F.col(x), F.lit("*"), F.lit("")) for x in ("symbol", "code")})
@@ -51,13 +53,15 @@ def n5(spark, folder):
 
 
 @query("n6_split_commas", r"""SELECT doc_id, CASE WHEN len(list_filter(p, lambda x: NOT regexp_matches(trim(x), '^[A-Za-z_$][0-9A-Za-z_$]*$'))) = 0 THEN list_transform(p, lambda x: trim(x)) ELSE [trim(t)] END AS names
-  FROM (SELECT doc_id, t, string_split(t, ',') AS p FROM (SELECT doc_id, replace(lang || ', ' || source || CASE WHEN doc_id % 3 = 0 THEN ', 9x' ELSE '' END, '.', '') AS t FROM documents))""", views=False)
+  FROM (SELECT doc_id, t, string_split(t, ',') AS p FROM (SELECT doc_id, replace(lang || ', ' || source || CASE WHEN doc_id % 3 = 0 THEN ', 9x'
+  ELSE '' END, '.', '') AS t FROM documents))""", views=False)
 def n6(spark, folder):
     t = F.concat("lang", F.lit(", "), "source", F.when(F.col("doc_id") % 3 == 0, ", 9x").otherwise(""))
     return _docs(spark, folder).select("doc_id", X.split_commas(t).alias("names"))
 
 
-@query("n8_display_name", "SELECT chunk_id, chunk_type || ': ' || CASE WHEN start_line % 2 = 0 THEN symbol WHEN length(code) > 50 THEN left(code, 50) || '...' ELSE code END AS name FROM chunks")
+@query("n8_display_name", """SELECT chunk_id, chunk_type || ': ' || CASE WHEN start_line % 2 = 0 THEN symbol WHEN length(code) > 50 THEN left(code, 50) || '...' ELSE code END
+  AS name FROM chunks""")
 def n8(spark, folder):
     symbol = F.when(F.col("start_line") % 2 == 0, F.col("symbol"))
     return T.chunks(spark, folder).select("chunk_id", X.display_name(F.col("chunk_type"), symbol, F.col("code")).alias("name"))
@@ -71,7 +75,8 @@ def _cited():
     return F.concat("text", F.lit(" ["), (d % 7).cast("string"), F.lit("]["), (d % 11).cast("string"), F.lit("] and [3]"))
 
 
-@query("n9_invalid_citations", rf"SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({CITED}, '\[(\d+)\]', 1), lambda x: CAST(x AS INTEGER)), lambda x: x NOT IN (1, 2, 3, 4)))) AS invalid FROM documents", views=False)
+@query("n9_invalid_citations", rf"""SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({CITED}, '\[(\d+)\]', 1), lambda x: CAST(x
+  AS INTEGER)), lambda x: x NOT IN (1, 2, 3, 4)))) AS invalid FROM documents""", views=False)
 def n9(spark, folder):
     known = F.array(*[F.lit(i) for i in (1, 2, 3, 4)])
     return _docs(spark, folder).select("doc_id", X.invalid_citations(_cited(), known).alias("invalid"))
@@ -84,9 +89,11 @@ def n11(spark, folder):
     return _docs(spark, folder).select("doc_id", X.remove_verbosity(t).alias("text"))
 
 
-@query("n12_quality_warnings", """SELECT doc_id, list_filter([CASE WHEN doc_id % 2 = 0 THEN 'placeholder: should specify' END, CASE WHEN length(t) // 4 > 1000 AND len(regexp_extract_all(t, '\\[(\\d+)\\]')) < 5 THEN 'citation_density' END,
+@query("n12_quality_warnings", """SELECT doc_id, list_filter([CASE WHEN doc_id % 2 = 0 THEN 'placeholder: should specify' END, CASE WHEN length(t) // 4 > 1000
+  AND len(regexp_extract_all(t, '\\[(\\d+)\\]')) < 5 THEN 'citation_density' END,
   CASE WHEN greatest(1, length(t) // 4) > 600 THEN 'verbose' END, CASE WHEN doc_id % 3 = 0 THEN 'vague' END], lambda x: x IS NOT NULL) AS warnings
-  FROM (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN ' it should specify this' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN ' about 12' ELSE '' END AS t FROM documents)""", views=False)
+  FROM (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN ' it should specify this' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN ' about 12'
+  ELSE '' END AS t FROM documents)""", views=False)
 def n12(spark, folder):
     d = F.col("doc_id")
     t = F.concat("text", F.when(d % 2 == 0, " it should specify this").otherwise(""), F.when(d % 3 == 0, " about 12").otherwise(""))
@@ -125,13 +132,15 @@ def n22(spark, folder):
     return e.select("event_id", "props", F.element_at(F.from_json("props", "map<string,string>"), key).alias("first"))
 
 
-@query("n24_confidence", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'likely' WHEN event_id % 3 = 1 THEN 'definite' ELSE 'uncertain' END AS confidence FROM events", views=False)
+@query("n24_confidence", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'likely' WHEN event_id % 3 = 1 THEN 'definite' ELSE 'uncertain' END AS confidence
+  FROM events""", views=False)
 def n24(spark, folder):
     i = F.col("event_id") % 3
     return T.table(spark, folder, "events").select("event_id", X.confidence(F.when(i == 0, " Likely ").when(i == 1, "DEFINITE").otherwise(F.col("event_type"))).alias("confidence"))
 
 
-@query("n26_fact_location", "SELECT chunk_id, CASE WHEN start_line % 4 = 0 THEN 'http://x/' || file_id || '#top' WHEN start_line % 4 = 1 THEN path || ':' || start_line || '-' || (end_line + 2) WHEN start_line % 4 = 2 THEN path ELSE path || ':' || start_line END AS location FROM chunks")
+@query("n26_fact_location", """SELECT chunk_id, CASE WHEN start_line % 4 = 0 THEN 'http://x/' || file_id || '#top' WHEN start_line % 4 = 1 THEN path || ':' || start_line || '-'
+  || (end_line + 2) WHEN start_line % 4 = 2 THEN path ELSE path || ':' || start_line END AS location FROM chunks""")
 def n26(spark, folder):
     k = F.col("start_line") % 4
     url = F.when(k == 0, F.concat(F.lit("http://x/"), F.col("file_id").cast("string")))
@@ -151,7 +160,8 @@ def n29(spark, folder):
     return C.summaries(T.chunks(spark, folder), 5, 200)
 
 
-@query("n30_points", r""", n AS (SELECT file_id, start_line, trim(regexp_extract(CASE WHEN start_line % 2 = 0 THEN '- ' ELSE '1. ' END || code, '^\s*(?:[-*] |\d[^.]*\.|\d[^)]*\))(.*)$', 1)) AS point FROM chunks WHERE start_line % 3 <> 0),
+@query("n30_points", r""", n AS (SELECT file_id, start_line, trim(regexp_extract(CASE WHEN start_line % 2 = 0 THEN '- ' ELSE '1. ' END
+  || code, '^\s*(?:[-*] |\d[^.]*\.|\d[^)]*\))(.*)$', 1)) AS point FROM chunks WHERE start_line % 3 <> 0),
   f AS (SELECT file_id, point, min(start_line) AS pos FROM n WHERE point <> '' GROUP BY file_id, point),
   k AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS k FROM f)
   SELECT file_id, k AS ordinal, point FROM k WHERE k <= 8""")
@@ -160,14 +170,14 @@ def n30(spark, folder):
     return C.points_of_interest(T.files(spark, folder).select("file_id", F.array_join(marked, "\n").alias("text")), 8)
 
 
-@query("n31_operational_point", "SELECT doc_id, CASE WHEN contains(lower(text), 'the') THEN [text, lang] ELSE ['Setup and run', text] END AS points FROM documents", views=False)
+@query("n31_operational_point", """SELECT doc_id, CASE WHEN contains(lower(text), 'the') THEN [text, lang] ELSE ['Setup and run', text] END AS points FROM documents""", views=False)
 def n31(spark, folder):
     points = F.array(F.col("text"), F.col("lang"))
     d = _docs(spark, folder).select("doc_id", C.with_operational_point(points, F.contains(F.lower("text"), F.lit("the")), "Setup and run", 2).alias("points"))
     return d
 
 
-@query("n34_search_text", r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[`\[\]#<>*+-]|[0-9]', '', 'g'), '\s+', ' ', 'g')) AS plain FROM documents", views=False)
+@query("n34_search_text", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[`\[\]#<>*+-]|[0-9]', '', 'g'), '\s+', ' ', 'g')) AS plain FROM documents""", views=False)
 def n34(spark, folder):
     return _docs(spark, folder).select("doc_id", X.search_text(F.concat(F.lit("## "), F.regexp_replace("text", r"[`\[\]#<>*+-]|[0-9]", ""), F.lit("\n> "))).alias("plain"))
 
@@ -177,32 +187,40 @@ def n35(spark, folder):
     return T.embeddings(spark, folder).select(X.model_key(F.col("provider"), F.col("model")).alias("key")).distinct()
 
 
-@query("s25_url_filename", r"SELECT page_id, left(regexp_replace(regexp_replace(url, '^https?://', ''), '[^A-Za-z0-9_.-]', '_', 'g'), 91) || '_' || left(sha1(url), 8) AS name FROM pages", views=False)
+@query("s25_url_filename", r"""SELECT page_id, left(regexp_replace(regexp_replace(url, '^https?://', ''), '[^A-Za-z0-9_.-]', '_', 'g'), 91) || '_' || left(sha1(url), 8) AS name
+  FROM pages""", views=False)
 def s25(spark, folder):
     return T.table(spark, folder, "pages").select("page_id", X.url_filename(F.col("url")).alias("name"))
 
 
-@query("s26_render_results", "SELECT chunk_id, '### ' || path || ':' || start_line || '-' || end_line || chr(10) || repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(code, '(`+)', 1), lambda r: length(r))), 0) + 1)) || language || chr(10) || code || chr(10) || repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(code, '(`+)', 1), lambda r: length(r))), 0) + 1)) AS markdown FROM chunks")
+@query("s26_render_results", """SELECT chunk_id, '### ' || path || ':' || start_line || '-' || end_line || chr(10)
+  || repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(code, '(`+)', 1), lambda r: length(r))), 0) + 1)) || language
+  || chr(10) || code || chr(10) || repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(code, '(`+)', 1), lambda r: length(r))), 0) + 1)) AS markdown FROM chunks""")
 def s26(spark, folder):
     return C.render(T.chunks(spark, folder))
 
 
-@query("p1_paragraphs", r""", g AS (SELECT file_id, i, ls[i] AS line, sum(CASE WHEN regexp_matches(ls[i], '\S') THEN 0 ELSE 1 END) OVER (PARTITION BY file_id ORDER BY i) AS g FROM (SELECT file_id, string_split(replace(text, '. ', chr(10) || chr(10)), chr(10)) AS ls FROM files), unnest(range(1, len(ls) + 1)) AS t(i)),
-  p AS (SELECT file_id, min(i) AS start_line, max(i) AS end_line, string_agg(line, chr(10) ORDER BY i) AS content FROM g WHERE regexp_matches(line, '\S') GROUP BY file_id, g)
-  SELECT file_id, 'paragraph_' || start_line AS name, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, content FROM p WHERE length(regexp_replace(content, '\s', '', 'g')) >= 50""")
+@query("p1_paragraphs", r""", g AS (SELECT file_id, i, ls[i] AS line, sum(CASE WHEN regexp_matches(ls[i], '\S') THEN 0 ELSE 1 END) OVER (PARTITION BY file_id ORDER BY i) AS g
+  FROM (SELECT file_id, string_split(replace(text, '. ', chr(10) || chr(10)), chr(10)) AS ls FROM files), unnest(range(1, len(ls) + 1)) AS t(i)),
+  p AS (SELECT file_id, min(i) AS start_line, max(i) AS end_line, string_agg(line, chr(10) ORDER BY i) AS content FROM g
+  WHERE regexp_matches(line, '\S') GROUP BY file_id, g)
+  SELECT file_id, 'paragraph_' || start_line AS name, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, content FROM p
+  WHERE length(regexp_replace(content, '\s', '', 'g')) >= 50""")
 def p1(spark, folder):
     f = T.files(spark, folder).select("file_id", F.regexp_replace("text", r"\. ", "\n\n").alias("text"))
     return C.paragraphs(f, least=50)
 
 
-@query("p2_simple_paragraphs", r""", l AS (SELECT file_id, list_filter(list_transform(regexp_split_to_array(replace(text, '. ', chr(10) || chr(10)), '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM files)
+@query("p2_simple_paragraphs", r""", l AS (SELECT file_id, list_filter(list_transform(regexp_split_to_array(replace(text, '. ', chr(10)
+  || chr(10)), '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM files)
   SELECT file_id, CAST(i AS INTEGER) AS ordinal, ps[i] AS paragraph FROM l, unnest(range(1, len(ps) + 1)) AS t(i)""")
 def p2(spark, folder):
     f = T.files(spark, folder).select("file_id", F.regexp_replace("text", r"\. ", "\n\n").alias("text"))
     return C.simple_paragraphs(f)
 
 
-@query("p3_chunk_metrics", r"SELECT chunk_id, CAST(length(regexp_replace(code, '\s', '', 'g')) AS INTEGER) AS non_whitespace_chars, CAST(length(code) AS INTEGER) AS total_chars, 1 AS lines, CAST(greatest(1, length(code) // 3) AS INTEGER) AS tokens FROM chunks")
+@query("p3_chunk_metrics", r"""SELECT chunk_id, CAST(length(regexp_replace(code, '\s', '', 'g')) AS INTEGER) AS non_whitespace_chars, CAST(length(code) AS INTEGER) AS total_chars, 1
+  AS lines, CAST(greatest(1, length(code) // 3) AS INTEGER) AS tokens FROM chunks""")
 def p3(spark, folder):
     return T.chunks(spark, folder).select("chunk_id", *C.metrics(F.col("code")))
 
@@ -222,15 +240,18 @@ def p8(spark, folder):
     return T.files(spark, folder).select("file_id", C.end_line(F.lit(5), F.col("text")).alias("end_line"))
 
 
-@query("p14_embedding_header", "SELECT chunk_id, '# ' || path || ' (' || language || ') [A=1, B=2, C=3, D=4, E=5, +' || (1 + start_line % 2) || ' more]' || chr(10) || code AS text FROM chunks")
+@query("p14_embedding_header", """SELECT chunk_id, '# ' || path || ' (' || language || ') [A=1, B=2, C=3, D=4, E=5, +' || (1 + start_line % 2) || ' more]' || chr(10) || code AS text
+  FROM chunks""")
 def p14(spark, folder):
     names = F.array(*[F.lit(f"{c}={i}") for i, c in enumerate("ABCDEF", 1)])
     constants = F.when(F.col("start_line") % 2 == 1, F.concat(names, F.array(F.lit("G=7")))).otherwise(names)
     return T.chunks(spark, folder).select("chunk_id", C.embedding_text(F.col("path"), F.col("language"), F.col("code"), constants=constants).alias("text"))
 
 
-@query("p15_embedded_sql", r""", t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'select id, name from users where id = 3' WHEN 1 THEN 'CREATE TABLE t (id INT PRIMARY KEY)' WHEN 2 THEN 'please select a gift from the shop' WHEN 3 THEN 'UPDATE users SET name = 1 WHERE id = 2' ELSE text END AS s FROM documents)
-  SELECT doc_id, CAST(CASE WHEN doc_id % 5 = 0 THEN 0.85 WHEN doc_id % 5 = 1 THEN 0.8 WHEN doc_id % 5 = 2 THEN 0.48 WHEN doc_id % 5 = 3 THEN 0.8 ELSE 0 END AS DOUBLE) AS confidence, CASE WHEN doc_id % 5 = 1 THEN 'definition' WHEN doc_id % 5 IN (0, 3) THEN 'block' END AS concept FROM t""")
+@query("p15_embedded_sql", r""", t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'select id, name from users where id = 3' WHEN 1 THEN 'CREATE TABLE t (id INT PRIMARY KEY)'
+  WHEN 2 THEN 'please select a gift from the shop' WHEN 3 THEN 'UPDATE users SET name = 1 WHERE id = 2' ELSE text END AS s FROM documents)
+  SELECT doc_id, CAST(CASE WHEN doc_id % 5 = 0 THEN 0.85 WHEN doc_id % 5 = 1 THEN 0.8 WHEN doc_id % 5 = 2 THEN 0.48 WHEN doc_id % 5 = 3 THEN 0.8
+  ELSE 0 END AS DOUBLE) AS confidence, CASE WHEN doc_id % 5 = 1 THEN 'definition' WHEN doc_id % 5 IN (0, 3) THEN 'block' END AS concept FROM t""")
 def p15(spark, folder):
     d = _docs(spark, folder)
     k = F.col("doc_id") % 5
@@ -239,7 +260,8 @@ def p15(spark, folder):
     return d.select("doc_id", F.round(C.sql_confidence(F.col("s")), 6).alias("confidence"), C.sql_concept(F.col("s")).alias("concept"))
 
 
-@query("p16_text_metadata", r"""SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS line_count, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS word_count, CAST(length(text) AS INTEGER) AS char_count,
+@query("p16_text_metadata", r"""SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS line_count, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS word_count,
+  CAST(length(text) AS INTEGER) AS char_count,
   CAST(len(regexp_extract_all(text, '(?m)^#{1,6}[ \t]+\S.*$')) AS INTEGER) AS headings, CAST(len(regexp_extract_all(text, '(?m)^[ \t]*(?:[-*+]|\d+[.)])[ \t]+\S')) AS INTEGER) AS list_items,
   CAST(len(regexp_extract_all(text, '\b(?:TODO|FIXME|NOTE|HACK|XXX|BUG)\b')) AS INTEGER) AS annotations, CAST(len(regexp_extract_all(text, 'https?://[^\s<>"]+')) AS INTEGER) AS urls FROM documents""", views=False)
 def p16(spark, folder):
@@ -247,8 +269,11 @@ def p16(spark, folder):
 
 
 @query("p17_markdown_blocks", r""", m AS (SELECT file_id, string_split('# ' || replace(text, '. ', chr(10) || '```' || chr(10)), chr(10)) AS ls FROM files),
-  l AS (SELECT file_id, i, ls[i] AS line, sum(CASE WHEN starts_with(ls[i], '```') THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY i) AS f FROM m, unnest(range(1, len(ls) + 1)) AS t(i))
-  SELECT file_id, CAST(i AS INTEGER) AS line, CASE WHEN f % 2 = 1 OR starts_with(line, '```') THEN 'code' WHEN regexp_matches(line, '^#{1,6}[ \t]') THEN 'header_1' WHEN regexp_matches(line, '^[ \t]*(?:[-*+]|\d+[.)])[ \t]') THEN 'list' WHEN regexp_matches(line, '^[ \t]*\|') THEN 'table' WHEN regexp_matches(line, '\S') THEN 'paragraph' ELSE 'blank' END AS kind FROM l""")
+  l AS (SELECT file_id, i, ls[i] AS line, sum(CASE WHEN starts_with(ls[i], '```') THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY i) AS f
+  FROM m, unnest(range(1, len(ls) + 1)) AS t(i))
+  SELECT file_id, CAST(i AS INTEGER) AS line, CASE WHEN f % 2 = 1 OR starts_with(line, '```') THEN 'code'
+  WHEN regexp_matches(line, '^#{1,6}[ \t]') THEN 'header_1' WHEN regexp_matches(line, '^[ \t]*(?:[-*+]|\d+[.)])[ \t]') THEN 'list'
+  WHEN regexp_matches(line, '^[ \t]*\|') THEN 'table' WHEN regexp_matches(line, '\S') THEN 'paragraph' ELSE 'blank' END AS kind FROM l""")
 def p17(spark, folder):
     f = T.files(spark, folder).select("file_id", F.concat(F.lit("# "), F.regexp_replace("text", r"\. ", "\n```\n")).alias("text"))
     return C.markdown_lines(f)

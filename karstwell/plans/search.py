@@ -23,13 +23,15 @@ def _vector(spark: SparkSession, folder: str, chunk_id: int) -> list[float]:
 HIT = ["chunk_id", "path", "start_line", "code"]
 
 
-@query("f1_regex_search", r"SELECT chunk_id, path, start_line, code FROM chunks WHERE regexp_matches(code, '\b(idiot|scum|trash)\b') AND contains('/' || path, '/en/') ORDER BY path, start_line LIMIT 20 OFFSET 5")
+@query("f1_regex_search", r"""SELECT chunk_id, path, start_line, code FROM chunks WHERE regexp_matches(code, '\b(idiot|scum|trash)\b') AND contains('/' || path, '/en/')
+  ORDER BY path, start_line LIMIT 20 OFFSET 5""")
 def f1(spark: SparkSession, folder: str) -> DataFrame:
     found = S.regex_search(T.chunks(spark, folder), r"\b(idiot|scum|trash)\b", path="en")
     return S.page(found.select(HIT), [F.col("path"), F.col("start_line")], 20, 5)
 
 
-@query("f2_regex_search_unordered", r"SELECT DISTINCT chunk_id, file_id FROM chunks WHERE regexp_matches(code, 'License') AND file_id IN (SELECT file_id FROM files WHERE contains('/' || path, '/src1/'))")
+@query("f2_regex_search_unordered", r"""SELECT DISTINCT chunk_id, file_id FROM chunks WHERE regexp_matches(code, 'License') AND file_id IN (SELECT file_id FROM files WHERE contains('/'
+  || path, '/src1/'))""")
 def f2(spark, folder):
     inside = T.files(spark, folder).where(P.in_path(F.col("path"), "src1")).select("file_id")
     return T.chunks(spark, folder).where(F.col("code").rlike("License")).join(inside, "file_id", "left_semi").select("chunk_id", "file_id").dropDuplicates(["chunk_id"])
@@ -119,23 +121,26 @@ def f17(spark, folder):
     return T.chunks(spark, folder).select("chunk_id", t.isin(*schemas.CODE_TYPES).alias("is_code"), t.isin(*schemas.DOCUMENTATION_TYPES).alias("is_documentation"))
 
 
-@query("f18_size_predicates", "SELECT chunk_id, length(code) < 100 AS is_small, length(code) > 1000 AS is_large, start_line <= 3 AND 3 <= end_line AS has_line, NOT (end_line < 2 OR 4 < start_line) AS overlaps FROM chunks")
+@query("f18_size_predicates", """SELECT chunk_id, length(code) < 100 AS is_small, length(code) > 1000 AS is_large, start_line <= 3 AND 3 <= end_line
+  AS has_line, NOT (end_line < 2 OR 4 < start_line) AS overlaps FROM chunks""")
 def f18(spark, folder):
     s, e, n = F.col("start_line"), F.col("end_line"), F.length("code")
     return T.chunks(spark, folder).select("chunk_id", (n < 100).alias("is_small"), (n > 1000).alias("is_large"), ((s <= 3) & (e >= 3)).alias("has_line"), (~((e < 2) | (s > 4))).alias("overlaps"))
 
 
-@query("f19_excluded_globs", "SELECT file_id FROM files WHERE NOT (list_contains(string_split(path, '/'), 'fr') OR path LIKE 'src1%' OR regexp_matches(path, '^src2/.*7\\.txt$'))")
+@query("f19_excluded_globs", """SELECT file_id FROM files WHERE NOT (list_contains(string_split(path, '/'), 'fr') OR path LIKE 'src1%' OR regexp_matches(path, '^src2/.*7\\.txt$'))""")
 def f19(spark, folder):
     return T.files(spark, folder).where(~P.excluded(F.col("path"), ["**/fr/**", "src1*", "src2/*7.txt"])).select("file_id")
 
 
-@query("f20_symbols", "SELECT DISTINCT symbol FROM chunks WHERE length(symbol) > 1 AND NOT regexp_matches(symbol, '^[0-9]+$') AND lower(symbol) NOT IN ('self', 'cls', 'this')")
+@query("f20_symbols", """SELECT DISTINCT symbol FROM chunks WHERE length(symbol) > 1 AND NOT regexp_matches(symbol, '^[0-9]+$')
+  AND lower(symbol) NOT IN ('self', 'cls', 'this')""")
 def f20(spark, folder):
     return T.chunks(spark, folder).where(S.useful_symbol(F.col("symbol"))).select("symbol").distinct()
 
 
-@query("f21_row_rules", "SELECT chunk_id, CASE WHEN start_line - 2 < 1 THEN 'start_line' WHEN end_line % 7 < 1 THEN 'end_line' WHEN start_line - 2 > end_line % 7 THEN 'order' END AS fault FROM chunks")
+@query("f21_row_rules", """SELECT chunk_id, CASE WHEN start_line - 2 < 1 THEN 'start_line' WHEN end_line % 7 < 1 THEN 'end_line'
+  WHEN start_line - 2 > end_line % 7 THEN 'order' END AS fault FROM chunks""")
 def f21(spark, folder):
     c = T.chunks(spark, folder)
     return c.select("chunk_id", schemas.chunk_faults(F.col("start_line") - 2, F.col("end_line") % 7, F.col("code")).alias("fault"))
@@ -144,7 +149,8 @@ def f21(spark, folder):
 COS = "list_cosine_similarity(embedding, (SELECT embedding FROM embs WHERE chunk_id = {}))"
 
 
-@query("v1_semantic_search", f"SELECT chunk_id, path, round({COS.format(7)}, 6) AS similarity FROM embs JOIN files ON file_id = chunk_id WHERE {COS.format(7)} >= 0.1 AND contains('/' || path, '/en/') ORDER BY {COS.format(7)} DESC, chunk_id LIMIT 10 OFFSET 2")
+@query("v1_semantic_search", f"""SELECT chunk_id, path, round({COS.format(7)}, 6) AS similarity FROM embs JOIN files ON file_id = chunk_id WHERE {COS.format(7)} >= 0.1
+  AND contains('/' || path, '/en/') ORDER BY {COS.format(7)} DESC, chunk_id LIMIT 10 OFFSET 2""")
 def v1(spark, folder):
     hits = S.semantic(T.embeddings(spark, folder), _vector(spark, folder, 7), threshold=0.1)
     f = T.files(spark, folder).where(P.in_path(F.col("path"), "en")).select(F.col("file_id").alias("chunk_id"), "path")
@@ -169,7 +175,7 @@ def v4(spark, folder):
     return S.neighbours(T.embeddings(spark, folder), 3, min_similarity=0.2).select("chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("v5_search_by_vector", f"SELECT chunk_id, round({COS.format(9)}, 6) AS score FROM embs WHERE 1 - {COS.format(9)} <= 0.75 ORDER BY {COS.format(9)} DESC, chunk_id LIMIT 20")
+@query("v5_search_by_vector", f"""SELECT chunk_id, round({COS.format(9)}, 6) AS score FROM embs WHERE 1 - {COS.format(9)} <= 0.75 ORDER BY {COS.format(9)} DESC, chunk_id LIMIT 20""")
 def v5(spark, folder):
     hits = S.semantic(T.embeddings(spark, folder), _vector(spark, folder, 9)).where(1 - F.col("similarity") <= 0.75)
     return S.page(hits, [F.col("similarity").desc(), F.col("chunk_id")], 20).select("chunk_id", F.round("similarity", 6).alias("score"))
@@ -181,7 +187,8 @@ def v6(spark, folder):
     return S.semantic(T.embeddings(spark, folder).join(ids, "chunk_id", "left_semi"), _vector(spark, folder, 5)).select("chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("v7_vector_math", """SELECT a.chunk_id, round(list_inner_product(a.embedding, b.embedding), 6) AS dot, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS cosine,
+@query("v7_vector_math", """SELECT a.chunk_id, round(list_inner_product(a.embedding, b.embedding), 6) AS dot, round(list_cosine_similarity(a.embedding, b.embedding), 6)
+  AS cosine,
   round(list_distance(a.embedding, b.embedding), 6) AS euclidean, round(sqrt(list_inner_product(a.embedding, a.embedding)), 6) AS magnitude
   FROM embs a JOIN embs b ON b.chunk_id = a.chunk_id + 1""")
 def v7(spark, folder):
@@ -191,12 +198,14 @@ def v7(spark, folder):
     return e.join(other, "chunk_id").select("chunk_id", F.round(V.dot(a, b), 6).alias("dot"), F.round(V.cosine(a, b), 6).alias("cosine"), F.round(V.euclidean(a, b), 6).alias("euclidean"), F.round(V.norm(a), 6).alias("magnitude"))
 
 
-@query("v8_matryoshka", "SELECT chunk_id, list_transform(embedding[1:16], lambda x: round(x / sqrt(list_inner_product(embedding[1:16], embedding[1:16])), 6)) AS embedding FROM embs")
+@query("v8_matryoshka", """SELECT chunk_id, list_transform(embedding[1:16], lambda x: round(x / sqrt(list_inner_product(embedding[1:16], embedding[1:16])), 6)) AS embedding
+  FROM embs""")
 def v8(spark, folder):
     return T.embeddings(spark, folder).select("chunk_id", F.transform(V.shorten(F.col("embedding"), 16), lambda x: F.round(x, 6)).alias("embedding"))
 
 
-@query("v10_diff_semantic", f"SELECT chunk_id, round({COS.format(2)}, 6) AS similarity FROM embs JOIN files ON file_id = chunk_id WHERE path LIKE 'src2/%' AND {COS.format(2)} >= 0.05 ORDER BY {COS.format(2)} DESC, chunk_id LIMIT 10")
+@query("v10_diff_semantic", f"""SELECT chunk_id, round({COS.format(2)}, 6) AS similarity FROM embs JOIN files ON file_id = chunk_id WHERE path LIKE 'src2/%'
+  AND {COS.format(2)} >= 0.05 ORDER BY {COS.format(2)} DESC, chunk_id LIMIT 10""")
 def v10(spark, folder):
     diff = T.files(spark, folder).where(F.col("path").startswith("src2/")).select(F.col("file_id").alias("chunk_id"))
     hits = S.semantic(T.embeddings(spark, folder).join(diff, "chunk_id", "left_semi"), _vector(spark, folder, 2), threshold=0.05)
@@ -205,7 +214,8 @@ def v10(spark, folder):
 
 @query("v11_merge_diff_and_stored", f""", hits AS (SELECT chunk_id, chunk_id % 90 AS location, {COS.format(4)} AS s, chunk_id % 10 < 3 AS is_diff FROM embs),
   best AS (SELECT *, row_number() OVER (PARTITION BY location, is_diff ORDER BY s DESC, chunk_id) AS n FROM hits)
-  SELECT chunk_id, is_diff, round(s, 6) AS similarity FROM best b WHERE n = 1 AND s >= 0.1 AND (is_diff OR NOT EXISTS (SELECT 1 FROM hits h WHERE h.is_diff AND h.location = b.location))""")
+  SELECT chunk_id, is_diff, round(s, 6) AS similarity FROM best b WHERE n = 1 AND s >= 0.1 AND (is_diff OR NOT EXISTS (SELECT 1 FROM hits h
+  WHERE h.is_diff AND h.location = b.location))""")
 def v11(spark, folder):
     hits = S.semantic(T.embeddings(spark, folder), _vector(spark, folder, 4)).select("chunk_id", (F.col("chunk_id") % 90).alias("location"), F.col("similarity"), (F.col("chunk_id") % 10 < 3).alias("is_diff"))
     diff, stored = hits.where("is_diff"), hits.where("not is_diff")
@@ -216,7 +226,8 @@ def v11(spark, folder):
 
 HYBRID = f""", s AS (SELECT chunk_id, {COS.format(6)} AS sim, row_number() OVER (ORDER BY {COS.format(6)} DESC, chunk_id) - 1 AS p FROM embs QUALIFY p < 20),
   r AS (SELECT file_id AS chunk_id, row_number() OVER (ORDER BY path) - 1 AS p FROM files WHERE regexp_matches(text, 'License|idiot') QUALIFY p < 20),
-  h AS (SELECT coalesce(s.chunk_id, r.chunk_id) AS chunk_id, CASE WHEN s.chunk_id IS NULL THEN 'regex' WHEN r.chunk_id IS NULL THEN 'semantic' ELSE 'hybrid' END AS search_type,
+  h AS (SELECT coalesce(s.chunk_id, r.chunk_id) AS chunk_id, CASE WHEN s.chunk_id IS NULL THEN 'regex' WHEN r.chunk_id IS NULL THEN 'semantic'
+  ELSE 'hybrid' END AS search_type,
     coalesce((((SELECT count(*) FROM s) - s.p) / (SELECT count(*) FROM s) * 0.3 + sim * 0.7) * 0.7, 0) + coalesce(((SELECT count(*) FROM r) - r.p) / (SELECT count(*) FROM r) * 0.3, 0) AS score
     FROM s FULL JOIN r ON s.chunk_id = r.chunk_id)
   SELECT chunk_id, search_type, round(score, 6) AS combined_score FROM h ORDER BY score DESC, chunk_id LIMIT {{}}"""
@@ -247,7 +258,9 @@ def v14(spark, folder):
 
 
 @query("v15_rerank", f""", h AS (SELECT chunk_id, {COS.format(8)} AS s, text FROM embs LEFT JOIN files ON file_id = chunk_id)
-  SELECT chunk_id, round(CASE WHEN chunk_id % 3 = 0 AND text IS NOT NULL THEN len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '[^0-9A-Za-z_]+')), ['and', 'the', 'thing'])) / 3.0 ELSE s END, 6) AS rerank_score FROM h""")
+  SELECT chunk_id, round(CASE WHEN chunk_id % 3 = 0
+  AND text IS NOT NULL THEN len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '[^0-9A-Za-z_]+')), ['and', 'the', 'thing'])) / 3.0
+  ELSE s END, 6) AS rerank_score FROM h""")
 def v15(spark, folder):
     hits = S.semantic(T.embeddings(spark, folder), _vector(spark, folder, 8)).select("chunk_id", F.col("similarity").alias("rerank_score"))
     text = T.files(spark, folder).select(F.col("file_id").alias("chunk_id"), "text")
@@ -265,7 +278,8 @@ def v16(spark, folder):
     return d.select(F.col("doc_id").alias("chunk_id"), F.round(mean, 6).alias("rerank_score"))
 
 
-ELBOW = f""", h AS (SELECT chunk_id, {COS.format(11)} AS s, row_number() OVER (ORDER BY {COS.format(11)} DESC, chunk_id) - 1 AS rank, count(*) OVER () AS n, max({COS.format(11)}) OVER () AS hi, min({COS.format(11)}) OVER () AS lo FROM embs WHERE chunk_id <> 11),
+ELBOW = f""", h AS (SELECT chunk_id, {COS.format(11)} AS s, row_number() OVER (ORDER BY {COS.format(11)} DESC, chunk_id) - 1 AS rank, count(*) OVER ()
+  AS n, max({COS.format(11)}) OVER () AS hi, min({COS.format(11)}) OVER () AS lo FROM embs WHERE chunk_id <> 11),
   d AS (SELECT *, CASE WHEN n >= 3 AND hi > lo THEN abs(1 - rank / (n - 1) - (s - lo) / (hi - lo)) / sqrt(2) END AS far FROM h),
   e AS (SELECT CASE WHEN far >= 0.01 THEN rank END AS elbow FROM d ORDER BY far DESC, rank LIMIT 1) """
 
@@ -292,14 +306,16 @@ def v19(spark, folder):
     return _elbow(spark, folder).where("rank <= coalesce(elbow, n)").select("chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("v20_unified_score", "SELECT doc_id AS chunk_id, coalesce(CAST(toxic AS DOUBLE), CAST(n_chars AS DOUBLE), 0) AS score FROM documents LEFT JOIN labels USING (doc_id)", views=False)
+@query("v20_unified_score", """SELECT doc_id AS chunk_id, coalesce(CAST(toxic AS DOUBLE), CAST(n_chars AS DOUBLE), 0) AS score FROM documents LEFT
+  JOIN labels USING (doc_id)""", views=False)
 def v20(spark, folder):
     l = T.table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("rerank_score"))
     d = T.table(spark, folder, "documents").select("doc_id", F.col("n_chars").alias("similarity")).join(l, "doc_id", "left")
     return d.select(F.col("doc_id").alias("chunk_id"), S.unified_score(d).alias("score"))
 
 
-@query("v21_regex_budget", "SELECT language, CAST(greatest(20, CAST(floor(n * 0.3) AS INTEGER)) AS INTEGER) AS target, greatest(1, CAST(floor(greatest(20, floor(n * 0.3)) / k) AS INTEGER)) AS per_symbol FROM (SELECT language, count(*) AS n, count(DISTINCT symbol) AS k FROM chunks GROUP BY language)")
+@query("v21_regex_budget", """SELECT language, CAST(greatest(20, CAST(floor(n * 0.3) AS INTEGER)) AS INTEGER) AS target, greatest(1, CAST(floor(greatest(20, floor(n * 0.3)) / k)
+  AS INTEGER)) AS per_symbol FROM (SELECT language, count(*) AS n, count(DISTINCT symbol) AS k FROM chunks GROUP BY language)""")
 def v21(spark, folder):
     n = T.chunks(spark, folder).groupBy("language").agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("k"))
     target, each = S.augmentation_budget(F.col("n"), F.col("k"))
@@ -314,7 +330,8 @@ def v22(spark, folder):
     return S.search_by_symbols(T.chunks(spark, folder), symbols, per_symbol=5).select("symbol", "chunk_id", "path")
 
 
-@query("v23_symbol_regex", r"""SELECT DISTINCT symbol, (CASE WHEN regexp_matches(symbol, '^[0-9A-Za-z_]') THEN '\b' ELSE '(?:^|\W)' END) || regexp_replace(symbol, '([\\.^$|?*+()\[\]{}])', '\\\1', 'g')
+@query("v23_symbol_regex", r"""SELECT DISTINCT symbol, (CASE WHEN regexp_matches(symbol, '^[0-9A-Za-z_]') THEN '\b' ELSE '(?:^|\W)' END)
+  || regexp_replace(symbol, '([\\.^$|?*+()\[\]{}])', '\\\1', 'g')
   || (CASE WHEN regexp_matches(symbol, '[0-9A-Za-z_]$') THEN '\b' ELSE '(?:\W|$)' END) AS pattern FROM chunks""")
 def v23(spark, folder):
     return T.chunks(spark, folder).select("symbol").distinct().select("symbol", S.symbol_regex(F.col("symbol")).alias("pattern"))
@@ -327,13 +344,15 @@ def v24(spark, folder):
     return S.enhance(c).select("chunk_id", "symbol", "line_count", "code_preview", "is_truncated", "file_extension")
 
 
-@query("v25_page_metadata", "SELECT 20 AS offset, 10 AS page_size, count(*) > 30 AS has_more, CASE WHEN count(*) > 30 THEN 30 END AS next_offset, count(*) AS total FROM chunks WHERE contains(code, 'License')")
+@query("v25_page_metadata", """SELECT 20 AS offset, 10 AS page_size, count(*) > 30 AS has_more, CASE WHEN count(*) > 30 THEN 30 END AS next_offset, count(*) AS total FROM chunks
+  WHERE contains(code, 'License')""")
 def v25(spark, folder):
     return S.page_metadata(T.chunks(spark, folder).where(F.contains("code", F.lit("License"))), 10, 20)
 
 
 @query("v26_url_interleave", r""", p AS (SELECT page_id % 3 AS query_ord, row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id) AS rank, url FROM pages),
-  k AS (SELECT *, lower(regexp_extract(regexp_replace(url, '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) || coalesce(nullif(regexp_replace(regexp_extract(substr(regexp_replace(url, '#.*$', ''), length(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) + 1), '^([^?]*)', 1), '/+$', ''), ''), '/') || regexp_extract(regexp_replace(url, '#.*$', ''), '(\?.*)$', 1) AS key FROM p),
+  k AS (SELECT *, lower(regexp_extract(regexp_replace(url, '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1))
+  || coalesce(nullif(regexp_replace(regexp_extract(substr(regexp_replace(url, '#.*$', ''), length(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) + 1), '^([^?]*)', 1), '/+$', ''), ''), '/') || regexp_extract(regexp_replace(url, '#.*$', ''), '(\?.*)$', 1) AS key FROM p),
   f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rank, query_ord, url) AS n FROM k)
   SELECT query_ord, rank, url FROM f WHERE n = 1 ORDER BY rank, query_ord LIMIT 60""")
 def v26(spark, folder):
