@@ -211,11 +211,13 @@ def search_by_symbols(chunks: DataFrame, symbols: DataFrame, *, per_symbol: int,
     key = F.when(F.size(runs) > 0, F.when(F.size(runs) == 1, F.element_at(runs, 1)).otherwise(longest)).otherwise(F.substring("symbol", 1, 1))
     asked = symbols.select("symbol").where(F.length("symbol") > 0).distinct()
     asked = asked.select("symbol", key.alias("key"), symbol_regex(F.col("symbol")).alias("pattern"))
-    keys = [r["key"] for r in asked.select("key").distinct().limit(FEW_SYMBOLS + 1).collect()]
+    some = asked.select("key").limit(FEW_SYMBOLS + 1).collect()
+    few, keys = len(some) <= FEW_SYMBOLS, sorted({r["key"] for r in some})
     words = F.split("code", r"\W+")
-    if any(not re.match(r"[0-9A-Za-z_]", k) for k in keys) or len(keys) > FEW_SYMBOLS:
+    if any(not re.match(r"[0-9A-Za-z_]", k) for k in keys) or not few:
         words = F.concat(words, F.split(F.regexp_replace("code", r"\w", ""), ""))
-    if len(keys) <= FEW_SYMBOLS:
+    if few:
+        asked = F.broadcast(asked)
         words = F.array_intersect(words, F.array(*[F.lit(k) for k in keys]) if keys else F.array().cast("array<string>"))
     rows = chunks.drop("symbol", "key").withColumn("key", F.explode(F.array_distinct(words)))
     hits = rows.join(asked, "key").where((F.col("symbol") == F.col("key")) & F.col("symbol").rlike(r"^\w+$") | F.rlike("code", F.col("pattern")))

@@ -169,8 +169,8 @@ def p6(spark, folder):
 def p11(spark, folder):
     """Stored chunks that a parser left too large, and how many are left after they were split again."""
     f = T.files(spark, folder).select("file_id", F.lit("t").alias("name"), F.lit("BLOCK").alias("concept"), F.col("text").alias("content"), F.lit(1).alias("start_line"), C.line_count(F.col("text")).alias("end_line"))
-    large = lambda df, name: df.agg(F.count_if(C.needs_split(F.col("content"))).alias(name))
-    return large(f, "too_large").crossJoin(large(C.split_chunks(f), "left_over"))  # two single rows
+    both = I.union_all([x.select(C.needs_split(F.col("content")).alias("large"), F.lit(i).alias("pass_")) for i, x in enumerate((f, C.split_chunks(f)))])
+    return both.agg(F.count_if(F.col("large") & (F.col("pass_") == 0)).alias("too_large"), F.count_if(F.col("large") & (F.col("pass_") == 1)).alias("left_over"))
 
 
 @query("p13_token_shards", """, c AS (SELECT label AS cluster_id, vec_id, 1000 + (vec_id * 7919) % 9000 AS tokens, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k
