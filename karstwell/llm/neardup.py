@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from karstwell.llm.shared import Bitmap, aside, components, cut, texts_of
+from karstwell.llm.shared import Bitmap, aside, components, cut, small_batches, texts_of
 from karstwell.llm.words import Words, bounded, mix, shingles, slices
 
 #: Members of a bucket that meet in one task have at most about twice this number.
@@ -319,7 +319,8 @@ def _decided(documents: DataFrame, shingle: int, percent: int, block: int) -> Da
     bands = bands_for(percent / 100)
     texts = texts_of(documents)
     kind = "doc_id long, rk long, n_shingles long, digest binary, keys array<long>, sketch binary"
-    signed = cut(texts.withColumn("rk", F.xxhash64("doc_id", "text")).mapInArrow(_signed(shingle, bands), kind))
+    with small_batches(documents.sparkSession):
+        signed = cut(texts.withColumn("rk", F.xxhash64("doc_id", "text")).mapInArrow(_signed(shingle, bands), kind))
     with_set = signed.where("doc_id is not null and n_shingles > 0")
     first = with_set.groupBy("digest").agg(F.min(F.struct("doc_id", "rk", "n_shingles", "keys", "sketch")).alias("f"))
     mark = F.xxhash64("f.doc_id").alias("mark")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karstwell.llm.shared import texts_of
+from karstwell.llm.shared import cut, small_batches, texts_of
 from karstwell.llm.words import Words, bounded, slices
 
 #: Token ids that are packed together at most, if no single document has more.
@@ -254,4 +254,6 @@ def pack_documents(documents: DataFrame, *, tokenizer: str | None = None, capaci
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     texts = texts_of(documents)
-    return texts.mapInArrow(_run(tokenizer, capacity, end), SCHEMA)
+    # the pieces are narrow; they are computed here, so that texts are read in small batches
+    with small_batches(documents.sparkSession):
+        return cut(texts.mapInArrow(_run(tokenizer, capacity, end), SCHEMA))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karstwell.sources.storage import cut, shared_dir
 
-__all__ = ["Bitmap", "aside", "components", "cut", "shared_dir", "texts_of"]
+__all__ = ["Bitmap", "aside", "components", "cut", "shared_dir", "small_batches", "texts_of"]
 
 
 def texts_of(documents: DataFrame) -> DataFrame:
@@ -16,6 +19,25 @@ def texts_of(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+#: Rows of an Arrow batch of whole texts where a step asks for small ones; Spark's default is meant for narrow rows.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Small Arrow batches for the jobs that run inside; the session's setting is as before afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(min(BATCH_ROWS, int(before or BATCH_ROWS))))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def aside(documents: DataFrame, **columns: Column) -> DataFrame:
     """All columns in one struct, ``row``, and ``columns`` beside it, so that no name of the table can clash with a step's own."""
     return documents.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
