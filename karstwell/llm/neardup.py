@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from karstwell.llm.shared import Bitmap, aside, components, cut, small_batches, texts_of
+from karstwell.llm.shared import Bitmap, aside, components, cut, small_batches, texts_of, tidy
 from karstwell.llm.words import Words, bounded, mix, shingles, slices
 
 #: Members of a bucket that meet in one task have at most about twice this number.
@@ -328,9 +328,13 @@ def _decided(documents: DataFrame, shingle: int, percent: int, block: int) -> Da
 
     search = _Search(texts, nodes, shingle, percent, block, ROWS * bands)
     members = buckets(nodes.select("node", F.explode("keys").alias("key")))
+    tidy(documents.sparkSession)
     near = cut(search.led(members))
+    tidy(documents.sparkSession)
     joined = components(near)
+    tidy(documents.sparkSession)
     late = cut(search.others(members, joined))
+    tidy(documents.sparkSession)
     found = components(near.unionByName(late)) if not late.isEmpty() else joined
 
     # Copies follow the first row of their set, sets the first set of their component.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from karstwell.sources.storage import cut, shared_dir
 
-__all__ = ["Bitmap", "aside", "components", "cut", "shared_dir", "small_batches", "texts_of"]
+__all__ = ["Bitmap", "aside", "components", "cut", "shared_dir", "small_batches", "texts_of", "tidy"]
 
 
 def texts_of(documents: DataFrame) -> DataFrame:
@@ -19,6 +20,12 @@ def texts_of(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has Spark delete shuffle files that no plan refers to any more; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows of an Arrow batch of whole texts where a step asks for small ones; Spark's default is meant for narrow rows.
 BATCH_ROWS = 1000
 
