@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -9,6 +10,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -132,48 +134,92 @@ def language(path: Column, content: Column | None = None) -> Column:
     return F.when((found == "matlab") & objc, "objc").otherwise(found)
 
 
-HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+HUNK = re.compile(r"@@ -[0-9]+(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@")
+_HEADER = ("diff --git ", "index ", "new file", "deleted file", "similarity", "rename ")
 
 
 #: Characters of a hunk's code; longer ones are split between lines.
 HUNK_CHARS = 10_000
+#: Characters of code that are sent on together, about.
+_SENT_CHARS = 1 << 24
 
 
-def _hunk_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hunks in parts of at most ``HUNK_CHARS`` characters, or of one line."""
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            part: list[str] = []
-            size, begin = 0, r["start_line"]
-            for line in [*r["code"].split("\n"), None]:
-                if part and (line is None or size + len(line) > HUNK_CHARS):
-                    rows.append({**r, "start_line": begin, "end_line": begin + len(part) - 1, "code": "\n".join(part)})
-                    begin, part, size = begin + len(part), [], 0
-                if line is not None:
-                    part.append(line)
-                    size += len(line) + 1
-        yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
-
-
-def diff_hunks(diffs: DataFrame) -> DataFrame:
+def _hunks(diff: str) -> Iterator[tuple[str | None, int, int, list[str]]]:
+    """path, hunk, first line and the context and added lines of each hunk that adds some.
+
+    ``--- `` and ``+++ `` lines are a header only as a pair: alone they are a line taken out or added. A pair belongs to
+    a hunk that by its own counts lacks lines of both kinds.
+    """
+    lines = diff.split("\n")
+    path, hunk, begin, body, added, old, new = None, 0, 0, None, False, 0, 0
+
+    def done() -> list:
+        return [(path, hunk, begin, body)] if body is not None and added and path is not None and path != "/dev/null" else []
+
+    for line, after in zip(lines, [*lines[1:], ""], strict=True):
+        start = HUNK.match(line)
+        pair = line.startswith("--- ") and after.startswith("+++ ") and (body is None or old < 1 or new < 1)
+        if start or pair or line.startswith(_HEADER):
+            yield from done()
+            body, added = [] if start else None, False
+            if start:
+                hunk, begin = hunk + 1, int(start[2])
+                old, new = (1 if n is None else int(n) for n in (start[1], start[3]))
+        elif body is None:
+            if line.startswith("+++ "):
+                path = line[4:].removeprefix("b/")
+        elif line[:1] in (" ", "+"):
+            body.append(line[1:])
+            added = added or line[0] == "+"
+            old, new = old - (line[0] == " "), new - 1
+        elif line[:1] == "-":
+            old -= 1
+    yield from done()
+
+
+def _hunk_parts(lines: list[str], begin: int, most: int | None) -> Iterator[tuple[int, int, str]]:
+    """First line, last line and code of parts of at most ``most`` characters, or of one line."""
+    part: list[str] = []
+    size = 0
+    for line in lines:
+        if most is not None and part and size + len(line) > most:
+            yield begin, begin + len(part) - 1, "\n".join(part)
+            begin, part, size = begin + len(part), [], 0
+        part.append(line)
+        size += len(line) + 1
+    yield begin, begin + len(part) - 1, "\n".join(part)
+
+
+def diff_hunks(diffs: DataFrame, *, most: int | None = HUNK_CHARS) -> DataFrame:
     """Hunks of unified diffs as chunks: diff_id, path, hunk, start_line, end_line, code (context and added lines).
 
-    ``diffs``: diff_id, diff. Headers are carried forward by windows; deleted files and hunks without new lines give
-    nothing. A hunk of over ``HUNK_CHARS`` characters becomes several rows, whose lines go on counting.
+    ``diffs``: diff_id (of any type), diff. Each row is a diff of its own, also where ids repeat; deleted files, hunks
+    without new lines and null diffs give nothing. A hunk of over ``most`` characters becomes several rows, whose lines
+    go on counting; None: every hunk is one row.
     """
-    w = Window.partitionBy("diff_id").orderBy("at")
-    rows = diffs.select("diff_id", F.posexplode(F.split("diff", "\n", -1)).alias("at", "line"))
-    path = F.when(F.col("line").startswith("+++ "), F.regexp_replace(F.substring("line", 5, 1 << 30), "^b/", ""))
-    rows = rows.withColumns({"path": F.last(path, True).over(w), "hunk": F.sum(F.col("line").rlike(HUNK).cast("int")).over(w), "begin": F.last(F.when(F.col("line").rlike(HUNK), F.regexp_extract("line", HUNK, 1).cast("int")), True).over(w)})
-    # a file header ends the hunk before it
-    header = F.col("line").rlike(r"^(diff --git |--- |\+\+\+ |index |new file|deleted file|similarity|rename )")
-    in_file = F.last(F.when(header, F.lit(False)).when(F.col("line").rlike(HUNK), F.lit(True)), True).over(w)
-    body = rows.withColumn("inside", F.coalesce(in_file, F.lit(False))).where("inside and hunk > 0").where(F.col("line").rlike(r"^[ +]") & (F.col("path") != "/dev/null"))
-    parts = body.groupBy("diff_id", "path", "hunk", "begin").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("ls"), F.sum(F.col("line").startswith("+").cast("int")).alias("added"))
-    code = F.array_join(F.transform("ls", lambda s: F.substring(s["line"], 2, 1 << 30)), "\n")
-    hunks = parts.where("added > 0").select("diff_id", "path", F.col("hunk").cast("int").alias("hunk"), F.col("begin").alias("start_line"), (F.col("begin") + F.size("ls") - 1).alias("end_line"), code.alias("code"))
-    return hunks.mapInArrow(_hunk_parts, hunks.schema)
+    schema = StructType([diffs.schema["diff_id"], *StructType.fromDDL("path string, hunk int, start_line int, end_line int, code string")])
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at, rows, size = batch.column(0), [], [], 0
+
+            def sent(at: list, rows: list, ids: pa.Array = ids) -> pa.RecordBatch:
+                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *columns], names=schema.names)
+
+            for i, diff in enumerate(batch.column(1)):
+                for path, hunk, begin, lines in _hunks(diff.as_py() or ""):
+                    for part in _hunk_parts(lines, begin, most):
+                        at.append(i)
+                        rows.append((path, hunk, *part))
+                        size += len(part[2])
+                    if size > _SENT_CHARS:
+                        yield sent(at, rows)
+                        at, rows, size = [], [], 0
+            yield sent(at, rows)
+
+    return diffs.select("diff_id", "diff").mapInArrow(run, schema)
 
 
 def commit_range(*, commit: str | None = None, last: int | None = None, range_: str | None = None) -> str | None:

@@ -172,6 +172,14 @@ def test_long_hunks_are_split(spark):
     assert got[0]["start_line"] == 7 and got[-1]["end_line"] == 7 + 301
     assert all(b["start_line"] == a["end_line"] + 1 for a, b in zip(got, got[1:]))
     assert all(len(r["code"]) <= 10_000 or "\n" not in r["code"] for r in got)
+    (whole,) = I.diff_hunks(spark.createDataFrame([(1, diff)], "diff_id long, diff string"), most=None).collect()
+    assert (whole["start_line"], whole["end_line"], whole["code"]) == (7, 7 + 301, "\n".join(x[1:] for x in body))
+
+
+def test_hunks_by_their_counts(spark):
+    diff = "--- a/x\n+++ b/x\n@@ -1,3 +1,3 @@\n a\n--- sql\n+++ more\n b\n--- a/y\n+++ b/y\n@@ -1 +1,2 @@\n c\n+d"
+    got = I.diff_hunks(spark.createDataFrame([(1, diff), (2, None)], "diff_id long, diff string"))
+    assert rows(got) == [(1, "x", 1, 1, 3, "a\n++ more\nb"), (1, "y", 2, 1, 2, "c\nd")]
 
 
 def test_mixed_lengths_are_an_error(spark):

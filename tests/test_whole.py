@@ -3,10 +3,11 @@
 import hashlib
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
-from karstwell.plans.registry import QUERIES
+from karstwell.plans.registry import QUERIES, SQL
 
 
 @pytest.fixture
@@ -91,3 +92,26 @@ def test_multi_hop_goes_on_after_the_first_round(spark, tmp_path):
     want, rounds = brute_hops(vectors, lambda c: c * 37 % 101 / 100, 10**9)
     assert rounds > 1 and want != brute_hops(vectors, lambda c: c * 37 % 101 / 100, 1)[0]
     assert got == want
+
+
+@pytest.fixture
+def equals(spark, tmp_path):
+    """Whether a query on documents (text, source) gives the rows of its SQL."""
+
+    def of(name, *documents):
+        rows = [(i, t, "en", s, len(t or "")) for i, t, s in documents]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+        df = QUERIES[name](spark, str(tmp_path))
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = con.sql(SQL[name])
+        got = sorted((tuple(r[c] for c in want.columns) for r in df.collect()), key=str)
+        assert got and got == sorted(want.fetchall(), key=str)
+
+    return of
+
+
+def test_hunks_of_whole_documents(equals):
+    """Long hunks, lines that look like headers, repeated ids, no text, no source."""
+    long = "\n".join(f"line {i} " + "x" * 90 for i in range(300))
+    equals("s21_diff_hunks", (1, long, "a"), (2, "++ b/x\n-- a/y\n@@ -1 +1 @@\n++ b/z", "a"), (3, "one", "a"), (3, "two\r\n\n", "b"), (4, None, "a"), (5, "x", None), (6, "", "a"))
