@@ -150,8 +150,8 @@ def summaries(chunks: DataFrame, limit: int, length: int) -> DataFrame:
 
 
 def points_of_interest(files: DataFrame, limit: int) -> DataFrame:
-    """Distinct items of bullet and numbered lists in order, ``limit`` for each file."""
-    point = F.trim(F.regexp_extract("line", r"^\s*(?:[-*] |\d[^.]*\.|\d[^)]*\))(.*)$", 1))
+    """Distinct items of bullet and numbered lists in order, ``limit`` for each file. Lines end at line feeds only; an item loses the spaces of any kind around it."""
+    point = F.regexp_replace(F.regexp_extract("line", r"(?s)^\s*(?:[-*] |\d[^.]*\.|\d[^)]*\))(.*)\z", 1), r"^\p{Zs}+|\p{Zs}+\z", "")
     first = _lines(files).where(F.col("line").rlike(r"\S")).select("file_id", "at", point.alias("point")).where(F.length("point") > 0).groupBy("file_id", "point").agg(F.min("at").alias("at"))
     n = F.row_number().over(Window.partitionBy("file_id").orderBy("at"))
     return first.withColumn("ordinal", n.cast("long")).where(F.col("ordinal") <= limit).select("file_id", "ordinal", "point")

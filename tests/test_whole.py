@@ -115,3 +115,9 @@ def test_hunks_of_whole_documents(equals):
     """Long hunks, lines that look like headers, repeated ids, no text, no source."""
     long = "\n".join(f"line {i} " + "x" * 90 for i in range(300))
     equals("s21_diff_hunks", (1, long, "a"), (2, "++ b/x\n-- a/y\n@@ -1 +1 @@\n++ b/z", "a"), (3, "one", "a"), (3, "two\r\n\n", "b"), (4, None, "a"), (5, "x", None), (6, "", "a"))
+
+
+def test_points_of_all_lines(equals):
+    """Third lines that look like items, white space of all kinds, other line ends, repeated items and ids."""
+    odd = ["a", "- b", "121.220 c", "\t- d", "  7) e", "* f", "\t", "g\r", "1. h", "i\u2028j", "\u00a0k\u3000", "1.5", "a", "\u00a0", "l\u0085"]
+    equals("n30_points", (1, "\n".join(odd), "a"), (2, "\n".join(odd * 3 + ["1. z"] * 9), "a"), (3, "\n".join(odd[3:]), "a"), (4, "", "a"), (5, None, "a"), (6, "x\ny", None), (7, "x", "a"), (7, "x\nz", "b"))
