@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+import pyarrow.compute as pc
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from karstwell.operators.search import numbered
 from karstwell.sources.storage import cut
 
 
@@ -230,66 +234,258 @@ def density_clusters(points: DataFrame, id_: str, *, min_cluster_size: int, most
     return points.drop("label").join(labels, F.col(id_) == F.col("_point"), "left").withColumn("label", F.coalesce("label", F.lit(-1).cast("long"))).drop("_point")
 
 
-def _sizes(points: DataFrame) -> dict[int, int]:
-    return {r["cluster_id"]: r["t"] for r in points.groupBy("cluster_id").agg(F.sum("tokens").alias("t")).collect()}
+#: Components of the vectors of a cluster that one task divides, about; larger clusters are halved where their rows are.
+HELD = 1 << 19
+#: Rounds that move the centres of two halves, at most.
+MOVES = 20
+#: A half with under this share of the rows is not cut off alone, where another plane divides them more evenly.
+LEAST_HALF = 1 / 64
+
+
+def _matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of equal length as the rows of a matrix."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
+
+
+def _plane(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """The plane midway between two centres: ``b`` is where x @ normal is over the bias."""
+    return b - a, float((b @ b - a @ a) / 2)
+
+
+def _halves(x: np.ndarray, rng: np.random.Generator) -> np.ndarray | None:
+    """Which rows are in the second of two clusters of 2-means; None if all rows are the same."""
+    wide = np.ptp(x, axis=0)
+    if not wide.max() > 0:
+        return None
+    x = x - x.mean(axis=0)
+    along = x @ rng.normal(size=x.shape[1])
+    second = along > 0
+    if second.all() or not second.any():
+        axis = x[:, int(np.argmax(wide))]
+        second = axis > axis.min()
+    for _ in range(MOVES):
+        normal, bias = _plane(x[~second].mean(axis=0), x[second].mean(axis=0))
+        moved = x @ normal > bias
+        if moved.all() or not moved.any() or (moved == second).all():
+            break
+        second = moved
+    share = lambda side: min(side.mean(), 1 - side.mean())
+    even = along > np.median(along)
+    return even if share(second) < LEAST_HALF <= share(even) else second
+
+
+def _bins(tokens: np.ndarray, most: int) -> np.ndarray:
+    """Bins of at most ``most`` tokens: descending, each to the emptiest one with room, or to a new one."""
+    out = np.zeros(len(tokens), np.int64)
+    heap = [(0, b) for b in range(max(1, int(-(-tokens.sum() // most))))]
+    for i in np.argsort(-tokens, kind="stable").tolist():
+        load, b = heap[0]
+        if load and load + tokens[i] > most:
+            b = len(heap)
+            heapq.heappush(heap, (tokens[i], b))
+        else:
+            heapq.heapreplace(heap, (load + tokens[i], b))
+        out[i] = b
+    return out
 
 
-def _dealt(points: DataFrame, id_: str, bins: dict[int, int], fresh: int) -> DataFrame:
-    """Rows of each cluster of ``bins`` in as many new clusters: descending tokens go back and forth over them."""
-    for c, n in bins.items():
-        own = numbered(points.where(F.col("cluster_id") == c).select(F.col(id_).alias("_point"), "tokens"), [F.col("tokens").desc(), F.col("_point")], "_nth")
-        turn = F.col("_nth") % (2 * n)
-        place = F.when(turn < n, turn).otherwise(2 * n - 1 - turn)
-        points = points.join(own.select("_point", place.alias("_bin")), F.col(id_) == F.col("_point"), "left")
-        points = cut(points.withColumn("cluster_id", F.when(F.col("_bin") > 0, F.col("_bin") + fresh - 1).otherwise(F.col("cluster_id")).cast("int")).drop("_point", "_bin"))
-        fresh += n - 1
-    return points
+def _divided(id_: str, most: int, seed: int) -> Callable[[pa.Table], pa.Table]:
+    """Appends _part: the rows of one cluster, halved until a part has at most ``most`` tokens; copies are dealt out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [(id_, "ascending")]))
+        x, tokens = _matrix(table.column("embedding")), table.column("_t").to_numpy()
+        rng, part, fresh = np.random.default_rng(seed), np.zeros(len(x), np.int32), 0
+        todo = [np.arange(len(x))]
+        while todo:
+            own = todo.pop()
+            if tokens[own].sum() <= most or len(own) == 1:
+                part[own], fresh = fresh, fresh + 1
+            elif (second := _halves(x[own], rng)) is None:
+                bins = _bins(tokens[own], most)
+                part[own], fresh = fresh + bins, fresh + int(bins.max()) + 1
+            else:
+                todo += [own[~second], own[second]]
+        return table.append_column("_part", pa.array(part))
+
+    return run
+
+
+def _side_sums(rows: DataFrame, planes: dict[int, tuple[np.ndarray, float]]) -> dict[tuple[int, int], tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By cluster with a plane and side of it: rows, sum, least and largest of each component. Each task sums its rows first."""
+    ids = np.array(sorted(planes), np.int64)
+    normals, biases = np.stack([planes[c][0] for c in ids.tolist()]), np.array([planes[c][1] for c in ids.tolist()])
+    schema = "side long, n long, total array<double>, low array<double>, high array<double>"
+    folds = (("total", np.add), ("low", np.minimum), ("high", np.maximum))
+
+    def summed(side: np.ndarray, n: np.ndarray, of: list[np.ndarray]) -> pa.RecordBatch:
+        order = np.argsort(side, kind="stable")
+        keys, starts = np.unique(side[order], return_index=True)
+        columns = [pa.array(keys), pa.array(np.add.reduceat(n[order], starts))]
+        for x, (_, f) in zip(of, folds, strict=True):
+            x = f.reduceat(x[order], starts, axis=0)
+            columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())))
+        return pa.RecordBatch.from_arrays(columns, names=["side", "n", *(c for c, _ in folds)])
+
+    def again(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        return summed(t.column("side").to_numpy(), t.column("n").to_numpy(), [_matrix(t.column(c)) for c, _ in folds])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, at = _matrix(b.column("embedding")), np.searchsorted(ids, b.column("_c").to_numpy())
+            second = np.einsum("ij,ij->i", x, normals[at]) > biases[at]
+            new = summed(2 * at + second, np.ones(len(x), np.int64), [x, x, x])
+            held = new if held is None else again([held, new])
+        if held is not None:
+            yield held
+
+    found = rows.where(F.col("_c").isin(ids.tolist())).select("_c", "embedding").mapInArrow(run, schema)
+    found = found.groupBy("side").applyInArrow(lambda t: pa.Table.from_batches([again(t.to_batches())]), schema)
+    out = {}
+    for r in found.collect():
+        out[int(ids[r["side"] // 2]), r["side"] % 2] = (r["n"], *(np.array(r[c]) for c, _ in folds))
+    return out
+
+
+def _halving_planes(rows: DataFrame, large: list[int], dim: int, seed: int) -> dict[int, tuple[np.ndarray, float] | None]:
+    """The plane between the two clusters of 2-means of each large cluster, all of them at once; None where its rows are the same."""
+    rng = np.random.default_rng(seed)
+    planes: dict[int, tuple[np.ndarray, float] | None] = {}
+    across: dict[int, tuple[np.ndarray, float]] = {}
+    for (c, _), (n, total, low, high) in sorted(_side_sums(rows, {c: (np.zeros(dim), 0.0) for c in large}).items(), key=lambda e: e[0]):
+        normal, widest = rng.normal(size=dim), int(np.argmax(high - low))
+        across[c] = np.eye(dim)[widest], float(low[widest])
+        planes[c] = (normal, float(normal @ total) / n) if high[widest] > low[widest] else None
+    first, moving, even = dict(planes), {c: p for c, p in planes.items() if p is not None}, {}
+    for turn in range(MOVES + 1):
+        if not moving:
+            break
+        sums, still = _side_sums(rows, moving), {}
+        for c, plane in moving.items():
+            if (c, 0) not in sums or (c, 1) not in sums:
+                # rounding at the first plane; later ones go back to the plane before
+                planes[c] = planes[c] if turn else across[c]
+                continue
+            (n, total, *_), (m, other, *_) = sums[c, 0], sums[c, 1]
+            share = min(n, m) / (n + m)
+            if even.setdefault(c, share) >= LEAST_HALF > share:
+                planes[c] = first[c]
+                continue
+            planes[c] = plane
+            new = _plane(total / n, other / m)
+            size = np.linalg.norm(new[0])
+            if not turn or np.linalg.norm(new[0] - plane[0]) > 1e-2 * size or abs(new[1] - plane[1]) > 1e-2 * size * size:
+                still[c] = new
+        moving = still
+    return planes
+
+
+def _halved(rows: DataFrame, large: dict[int, int], dim: int, fresh: int, held: int, seed: int) -> DataFrame:
+    """``rows`` of large clusters (by number of rows) in about two new ones each, or, if all are the same, in as many as tasks can hold."""
+    planes = _halving_planes(rows, sorted(large), dim, seed)
+    to, normals, biases = {}, {}, {}
+    for c in sorted(large):
+        to[c] = fresh, (2 if planes[c] is not None else 2 * -(-large[c] // held))
+        normals[c], biases[c] = planes[c] if planes[c] is not None else (np.zeros(dim), 0.0)
+        fresh += to[c][1]
+    ids = np.array(sorted(large), np.int64)
+    first, count = (np.array([to[c][i] for c in ids.tolist()]) for i in (0, 1))
+    same = np.array([planes[c] is None for c in ids.tolist()])
+    normal, bias = np.stack([normals[c] for c in ids.tolist()]), np.array([biases[c] for c in ids.tolist()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, at = _matrix(b.column("embedding")), np.searchsorted(ids, b.column("_c").to_numpy())
+                second = np.einsum("ij,ij->i", x, normal[at]) > bias[at]
+                own = first[at] + np.where(same[at], b.column("_hash").to_numpy() % count[at], second)
+                yield b.set_column(b.schema.get_field_index("_c"), "_c", pa.array(own, pa.int64()))
+
+    dealt = rows.withColumn("_hash", F.xxhash64(F.lit(fresh), "_row").bitwiseAND(F.lit((1 << 62) - 1)))
+    return dealt.mapInArrow(run, dealt.schema).drop("_hash")
+
+
+def _totals(rows: DataFrame) -> dict[int, tuple[int, int]]:
+    return {r["_c"]: (r["t"], r["n"]) for r in rows.groupBy("_c").agg(F.sum("_t").alias("t"), F.count("*").alias("n")).collect()}
+
+
+def _small_to_nearest(sizes: dict[int, int], centre: dict[int, np.ndarray], least: int, most: int) -> dict[int, int]:
+    """Where clusters of under ``least`` tokens go: smallest first, to the nearest centroid that has room."""
+    ids = np.array(sorted(sizes), np.int64)
+    size, at = np.array([sizes[c] for c in ids.tolist()]), np.stack([centre[c] for c in ids.tolist()])
+    stays, goes = np.ones(len(ids), bool), {}
+    for i in np.lexsort((ids, size)).tolist():
+        room = stays & (size + size[i] <= most)
+        room[i] = False
+        if size[i] < least and room.any():
+            far = np.where(room, ((at - at[i]) ** 2).sum(axis=1), np.inf)
+            to = int(np.argmin(far))
+            stays[i], goes[i] = False, to
+            size[to] += size[i]
+    for i in goes:
+        while goes[i] in goes:
+            goes[i] = goes[goes[i]]
+    return {int(ids[i]): int(ids[j]) for i, j in goes.items()}
 
 
 def bounded_clusters(points: DataFrame, id_: str, least: int, most: int, *, seed: int = 42) -> DataFrame:
     """Clusters whose tokens are about ``least`` to ``most``: too large ones are bisected, small ones go to the nearest.
 
-    A cluster that bisecting does not divide (copies of one vector) is dealt out
-    by descending tokens. The loops are over clusters, not points, of which
-    there are about all tokens by ``most``; their sizes and centroids are on the
-    driver. A single point may have more tokens than ``most``.
+    Clusters of more rows than a task holds (``HELD``) are halved by 2-means all
+    at once, in jobs over all their rows, whose sums come to the driver; a
+    smaller one is halved on in a task of its own. A cluster that bisecting does
+    not divide (copies of one vector) is dealt out by descending tokens. The
+    number of jobs grows with the logarithm of the number of points; sizes and
+    centroids of the clusters, of which there are about all tokens by ``most``,
+    are on the driver. A single point may have more tokens than ``most``. Null
+    tokens count as none; vectors that are null, empty, of different lengths or
+    not finite are an error.
     """
-    out = points.withColumn("cluster_id", F.lit(0))
-    sizes, done = _sizes(out), set()
-    while large := {c: t for c, t in sizes.items() if t > most and c not in done}:
-        for c, t in large.items():
-            own = out.where(F.col("cluster_id") == c)
-            parts = min(-(-t // most), own.count())
-            fresh = max(sizes) + 1
-            if parts < 2:
-                done.add(c)
-                continue
-            model = BisectingKMeans(k=parts, seed=seed, featuresCol="_features", predictionCol="_part").fit(_features(own))
-            moved = model.transform(_features(out)).drop("_features")
-            new = F.when(F.col("_part") > 0, F.col("_part") + fresh - 1).otherwise(F.lit(c))
-            moved = cut(moved.withColumn("cluster_id", F.when(F.col("cluster_id") == c, new).otherwise(F.col("cluster_id")).cast("int")).drop("_part"))
-            after = _sizes(moved)
-            if after.get(c, 0) == t:  # not divided
-                moved, _ = _dealt(out, id_, {c: parts}, fresh), done.add(c)
-                after = _sizes(moved)
-                done |= set(after) - set(sizes)
-            out, sizes = moved, after
-    small = sorted((c for c, t in sizes.items() if t < least), key=lambda c: (sizes[c], c))
-    if not small or len(sizes) < 2:
-        return out
-    centre = {r["cluster_id"]: np.array(r["centroid"]) for r in centroids(out, "cluster_id").collect()}
-    goes: dict[int, int] = {}
-    for c in small:
-        others = [d for d in sizes if d != c and d not in goes and sizes[d] + sizes[c] <= most]
-        if sizes[c] < least and others:
-            far = np.linalg.norm(np.stack([centre[d] for d in others]) - centre[c], axis=1)
-            goes[c] = others[int(np.lexsort((others, far))[0])]
-            sizes[goes[c]] += sizes[c]
-    for c in list(goes):
-        while goes[c] in goes:
-            goes[c] = goes[goes[c]]
-    table = F.broadcast(out.sparkSession.createDataFrame([*goes.items()] or [(-1, -1)], "cluster_id int, _to int"))  # a row for each small cluster
-    return out.join(table, "cluster_id", "left").withColumn("cluster_id", F.coalesce("_to", "cluster_id")).drop("_to")
+    v = F.col("embedding")
+    rows = points.drop("cluster_id")
+    columns = rows.columns
+    rows = rows.withColumn("_t", F.coalesce("tokens", F.lit(0)).cast("long")).withColumn("_c", F.lit(0).cast("long")).withColumn("_row", F.monotonically_increasing_id())
+    fine = F.coalesce(F.size(v) > 0, F.lit(False)) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = cut(rows)
+    low, high, good, n = rows.agg(F.min(F.size(v)), F.max(F.size(v)), F.sum(F.coalesce(fine, F.lit(False)).cast("long")), F.count("*")).first()
+    if not n:
+        return points.withColumn("cluster_id", F.lit(0))
+    if good < n or low != high:
+        raise ValueError("vectors of one length with finite components are needed")
+    held = max(2, HELD // low)
+    parts, turn = [], 0
+    sizes = _totals(rows)
+    fresh = 1
+    while large := {c: k for c, (t, k) in sizes.items() if t > most and k > held}:
+        big = F.col("_c").isin(list(large))
+        parts.append(rows.where(~big))
+        rows = cut(_halved(rows.where(big), large, low, fresh, held, seed + turn))
+        fresh, turn = fresh + sum(max(2, 2 * -(-k // held)) for k in large.values()), turn + 1
+        sizes = _totals(rows)
+    parts.append(rows)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    # clusters with room are not gathered
+    totals = _totals(out)
+    over = F.broadcast(points.sparkSession.createDataFrame([(c, t > most) for c, (t, _) in totals.items()], "_c long, _over boolean"))
+    out = out.join(over, "_c")
+    split = out.where("_over").drop("_over")
+    split = split.groupBy("_c").applyInArrow(_divided(id_, most, seed), StructType([*split.schema, StructField("_part", IntegerType())]))
+    out = cut(split.unionByName(out.where("not _over").drop("_over").withColumn("_part", F.lit(0))))
+    found = sorted((r["_c"], r["_part"], r["t"]) for r in out.groupBy("_c", "_part").agg(F.sum("_t").alias("t")).collect())
+    goes, sizes = {}, {i: t for i, (_, _, t) in enumerate(found)}
+    number = lambda to: F.broadcast(points.sparkSession.createDataFrame([(c, p, to.get(i, i)) for i, (c, p, _) in enumerate(found)], "_c long, _part int, cluster_id int"))
+    if len(sizes) > 1 and any(t < least for t in sizes.values()):
+        own = centroids(out.join(number({}), ["_c", "_part"]), "cluster_id").collect()
+        goes = _small_to_nearest(sizes, {r["cluster_id"]: np.array(r["centroid"]) for r in own}, least, most)
+    return out.join(number(goes), ["_c", "_part"]).select(*columns, "cluster_id")
 
 
 #: Members of a group whose average linkage is computed at most: a task holds their distances.

@@ -1,5 +1,6 @@
 """Operators on hand-made rows."""
 
+import collections
 import datetime as dt
 import re
 
@@ -365,6 +366,40 @@ def test_clusters(spark):
     assert sum(r["n"] for r in dealt) == 9 and max(r["t"] for r in dealt) <= 35_000
 
 
+@pytest.mark.parametrize("held", [1 << 19, 4 * 60])
+def test_bounded_clusters_of_many_points(spark, monkeypatch, held):
+    """All bounds hold, copies and a far point included, in few jobs, whether tasks or jobs do the halving."""
+    monkeypatch.setattr(K, "HELD", held)
+    rng = np.random.default_rng(1)
+    vectors = [*rng.normal(size=(1200, 4)).round(4).tolist(), *[[5.0, 5.0, 5.0, 5.0]] * 300, [1e6, 0.0, 0.0, 0.0]]
+    pts = spark.createDataFrame([(i, v, 1000, "x") for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, tokens int, other string")
+    sc = spark.sparkContext
+    sc.setJobGroup("bounded", "bounded clusters")
+    try:
+        got = K.bounded_clusters(pts.repartition(3), "vec_id", 15_000, 50_000)
+        found = got.collect()
+        jobs = len(sc.statusTracker().getJobIdsForGroup("bounded"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got.columns == [*pts.columns, "cluster_id"]
+    assert sorted((r["vec_id"], tuple(r["embedding"]), r["tokens"], r["other"]) for r in found) == [(i, tuple(v), 1000, "x") for i, v in enumerate(vectors)]
+    sizes = collections.Counter(r["cluster_id"] for r in found)
+    assert 15 <= min(sizes.values()) and max(sizes.values()) <= 50 and len(sizes) < 75
+    # near points are together: the squares within clusters are a small part of all
+    inner = {c: np.array([r["embedding"] for r in found if r["cluster_id"] == c and r["vec_id"] < 1200]) for c in sizes}
+    assert sum(((x - x.mean(axis=0)) ** 2).sum() for x in inner.values() if len(x)) < 0.35 * 4 * 1200
+    assert jobs < (40 if held > 1000 else 500)
+
+
+def test_bounded_clusters_refuse_odd_vectors(spark):
+    for v in (None, [], [1.0], [1.0, None], [1.0, float("nan")]):
+        pts = spark.createDataFrame([(1, [1.0, 2.0], 10), (2, v, 10)], "vec_id long, embedding array<double>, tokens long")
+        with pytest.raises(ValueError):
+            K.bounded_clusters(pts, "vec_id", 5, 15)
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>, tokens long")
+    assert K.bounded_clusters(none, "vec_id", 5, 15).columns == ["vec_id", "embedding", "tokens", "cluster_id"]
+
+
 def test_spanning_tree():
     x = np.random.default_rng(0).normal(size=(40, 3))
     a, b, w = K._spanning(x)
