@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from karstwell.llm.forest import Forest
-from karstwell.llm.shared import cut
+from karstwell.llm.shared import cut, tidy
 
 #: Rows and queries of a cell, about.
 ROWS, BLOCK = 1024, 1024
@@ -317,17 +317,21 @@ _NEAR_SQL = "qkey long, query_id long, vec_id long, rid long, own boolean, score
 
 
 def _leaf_cell(keep: int) -> Callable:
+    """Each query's ``keep`` best rows of a cell, of those that reach its ``kth`` (the last score that it still needs)."""
+
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         nq, nr = queries.num_rows, rows.num_rows
         if not nq or not nr:
             return _NEAR.empty_table()
-        x, q = _matrix(rows.column("embedding")), _matrix(queries.column("query"))
+        x, q, kth = _matrix(rows.column("embedding")), _matrix(queries.column("query")), queries.column("kth").to_numpy()
         ids, qids = _ids(rows, "vec_id"), queries.column("query_id").to_numpy()
         rough = _unit(q) @ _unit(x).T
         n = min(keep, nr)
-        limit = -np.partition(-rough, n - 1, axis=1)[:, n - 1 : n] - 1e-9
+        limit = np.maximum(-np.partition(-rough, n - 1, axis=1)[:, n - 1 : n], kth[:, None]) - 1e-9
         qi, ri = np.nonzero(rough >= limit)
         score = _cosines(q[qi], x[ri])
+        needed = score >= kth[qi]
+        qi, ri, score = qi[needed], ri[needed], score[needed]
         best = _best(score, qi, ids[ri], nq, keep)
         qi, ri, score = qi[best], ri[best], score[best]
         own = (ids[ri] == qids[qi]) & (x[ri] == q[qi]).all(axis=1)
@@ -359,34 +363,56 @@ class _Index:
                 at = pa.array(np.arange(own.num_rows + 1) * self.trees, pa.int32())
                 yield own.append_column("leaves", pa.ListArray.from_arrays(at, pa.array(found.T.ravel(), pa.int64())))
 
-    def probe(self, sizes: np.ndarray, chunks: np.ndarray, keep: int, z: float | None) -> Callable:
-        """The cells that a query opens: at first those of its own leaves, then all others within reach."""
+    def probe(self, sizes: np.ndarray, first_cell: np.ndarray, keep: int, z: float | None) -> Callable:
+        """The cells that a query opens: at first those of its own leaves, then all others within reach, in waves.
+
+        A leaf's cells are numbered from ``first_cell``. Waves are in the order
+        of the queue; each brings at most ``WAVE`` times the rows before it.
+        """
+        kind = pa.list_(pa.list_(pa.int64()))
 
         def run(batches):
             for b in batches:
                 lengths = np.asarray(pc.list_value_length(b.column("query"))).tolist()
                 kth = b.column("kth").to_numpy(zero_copy_only=False) if z is not None else None
-                rows, cells = [], []
+                known = b.select(["qkey", "query_id", "query"])
+                waves, held, since = [], 0, 0
                 for i, dim in enumerate(lengths):
                     forest, first = self.forests[dim]
                     point = _unit(_matrix(b.column("query").slice(i, 1)))[0]
                     own = sizes[first : first + forest.leaves]
                     opened = forest.search(point, own, keep, 0.0)
+                    order = [opened]
                     if z is not None:
                         # distance of the kth row found, on the unit sphere; the share of it along a plane's normal is about 1 / sqrt(dimensions)
                         reach = z * math.sqrt(max(0.0, 2 - 2 * kth[i])) / math.sqrt(forest.spread)
-                        opened = set(forest.search(point, own, keep, reach)).difference(opened)
-                    for leaf in opened:
-                        cells += [(leaf + first, c) for c in range(chunks[leaf + first])]
-                        rows += [i] * int(chunks[leaf + first])
-                for s in range(0, len(rows), 20_000):
-                    part = np.array(cells[s : s + 20_000], np.int64)
-                    some = b.select(["qkey", "query_id", "query"]).take(pa.array(rows[s : s + 20_000]))
-                    yield some.append_column("leaf", pa.array(part[:, 0])).append_column("chunk", pa.array(part[:, 1]))
+                        seen = set(opened)
+                        order = _waves(float(own[opened].sum()), [leaf for leaf in forest.search(point, own, keep, reach) if leaf not in seen], own)
+                    waves.append([[c for leaf in w for c in range(first_cell[leaf + first], first_cell[leaf + first + 1])] for w in order])
+                    held += sum(map(len, waves[-1]))
+                    if held > 200_000:
+                        yield known.slice(since, len(waves)).append_column("waves", pa.array(waves, kind))
+                        waves, held, since = [], 0, i + 1
+                yield known.slice(since, len(waves)).append_column("waves", pa.array(waves, kind))
 
         return run
 
 
+#: Rows of a wave of leaves, as a multiple of the rows that were met before it.
+WAVE = 10
+
+
+def _waves(before: float, leaves: list[int], sizes: np.ndarray) -> list[list[int]]:
+    """``leaves`` in order, cut into the fewest waves that grow by a factor of at most about ``WAVE``, the same for all."""
+    if not leaves:
+        return []
+    before = max(1.0, before)
+    met = before + np.cumsum(sizes[leaves])
+    n = max(1, math.ceil(math.log(max(1.0, met[-1] / before)) / math.log(WAVE)))
+    ends = [int(np.searchsorted(met, before * (met[-1] / before) ** (w / n))) + 1 for w in range(1, n)]
+    return [w for a, b in zip([0, *ends], [*ends, len(leaves)], strict=True) if (w := leaves[a:b])]
+
+
 def forest_search(vectors: DataFrame, queries: Column, *, k: int = 5, trees: int = 4, leaf: int = 256, sample: int = 32_768, z: float = 1.0) -> DataFrame:
     """Nearest rows by cosine for each query, through a forest of random-projection trees.
 
@@ -400,8 +426,11 @@ def forest_search(vectors: DataFrame, queries: Column, *, k: int = 5, trees: int
     on the way to them, up to ``z`` standard deviations of such a distance along
     a plane's normal. So the work follows the data: few leaves where vectors
     form clusters, most of them where directions are uniform in many dimensions.
-    What the leaves hold is ranked by exact cosine. Leaves are cut into chunks
-    of about ``ROWS`` rows, so that a leaf full of copies meets in no single task.
+    What the leaves hold is ranked by exact cosine. The further leaves are opened
+    in waves, nearest first; a wave returns only rows that reach the k + 1 best
+    so far, so that the entries of a query grow with the logarithm of the rows
+    it meets. Leaves are cut into chunks of about ``ROWS`` rows, so that a leaf
+    full of copies meets in no single task.
 
     Returns query_id, rank, vec_id, score (double), ties to the smaller vec_id:
     always ``k`` rows if there are so many candidates (one tree's leaves are
@@ -434,18 +463,31 @@ def forest_search(vectors: DataFrame, queries: Column, *, k: int = 5, trees: int
     for r in rows.groupBy("leaf").count().collect():  # at most trees * sample / 2 leaves
         sizes[r["leaf"]] = r["count"]
     chunks = np.maximum(1, np.ceil(sizes / ROWS)).astype(np.int64)
-    table = F.broadcast(spark.createDataFrame([(i, int(c)) for i, c in enumerate(chunks)], "leaf long, chunks long"))
-    placed = rows.join(table, "leaf").withColumn("chunk", F.pmod(F.xxhash64("rid"), "chunks")).drop("chunks")
+    first_cell = np.concatenate([[0], np.cumsum(chunks)])
+    table = F.broadcast(spark.createDataFrame([(i, int(a), int(c)) for i, (a, c) in enumerate(zip(first_cell, chunks, strict=False))], "leaf long, first long, chunks long"))
+    placed = rows.join(table, "leaf").withColumn("cell", F.col("first") + F.pmod(F.xxhash64("rid"), "chunks")).drop("leaf", "first", "chunks")
     asked = cut(_query_rows(valid, queries).repartition(spark.sparkContext.defaultParallelism * 2, "qkey"))
     best = Window.partitionBy("qkey").orderBy(F.col("score").desc(), "vec_id", "rid")
-
-    def met(some: DataFrame, z_: float | None) -> DataFrame:
-        """Each query's best entries; the same row comes from several trees, at most ``trees`` times."""
-        cells = some.mapInArrow(index.probe(sizes, chunks, k + 1, z_), "qkey long, query_id long, query array<double>, leaf long, chunk long")
-        entries = placed.groupBy("leaf", "chunk").cogroup(cells.groupBy("leaf", "chunk")).applyInArrow(_leaf_cell(k + 1), _NEAR_SQL)
-        return entries.withColumn("n", F.row_number().over(best)).where(F.col("n") <= trees * (k + 1)).drop("n").dropDuplicates(["qkey", "rid"])
-
-    near = cut(met(asked, None))
-    kth = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).groupBy("qkey").agg(F.min("score").alias("kth"))
-    far = met(asked.join(kth, "qkey"), z)
-    return _ranked(near.unionByName(far).dropDuplicates(["qkey", "rid"]), k, [F.col("score").desc()], F.col("score"))
+    opens = "qkey long, query_id long, query array<double>, waves array<array<long>>"
+
+    def met(cells: DataFrame) -> DataFrame:
+        """Each query's best entries of some cells."""
+        return placed.groupBy("cell").cogroup(cells.groupBy("cell")).applyInArrow(_leaf_cell(k + 1), _NEAR_SQL)
+
+    def ahead(entries: DataFrame) -> DataFrame:
+        """The best rows; the same one comes from several trees, at most ``trees`` times."""
+        some = entries.withColumn("n", F.row_number().over(best)).where(F.col("n") <= 2 * trees * (k + 1)).drop("n").dropDuplicates(["qkey", "rid"])
+        return cut(some.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n"))
+
+    def wave(opened: DataFrame, w: int) -> DataFrame:
+        return opened.select("qkey", "query_id", "query", "kth", F.explode(F.get("waves", F.lit(w))).alias("cell"))
+
+    everything = F.lit(-float("inf"))
+    near = ahead(met(wave(asked.mapInArrow(index.probe(sizes, first_cell, k + 1, None), opens).withColumn("kth", everything), 0)))
+    opened = cut(asked.join(near.groupBy("qkey").agg(F.min("score").alias("kth")), "qkey").mapInArrow(index.probe(sizes, first_cell, k + 1, z), opens))
+    for w in range(opened.agg(F.max(F.size("waves"))).first()[0] or 0):
+        # a row below the last of k + 1 that are known is not among the best, wherever it lies
+        kth = near.groupBy("qkey").agg(F.when(F.count("*") > k, F.min("score")).otherwise(everything).alias("kth"))
+        near = ahead(near.unionByName(met(wave(opened.join(kth, "qkey"), w))))
+        tidy(spark)
+    return _ranked(near, k, [F.col("score").desc()], F.col("score"))

@@ -692,6 +692,39 @@ def test_small_tables_give_all_results(spark, n):
         assert all(s == pytest.approx(cosine(by[q], by[v]), abs=1e-12) for _, v, s in own)
 
 
+def test_forest_sends_few_entries(spark, monkeypatch, tmp_path):
+    """What the cells return for a query grows with the logarithm of the rows it meets; the results are those of a single wave."""
+    made, whole = str(tmp_path / "made"), knn._leaf_cell
+
+    def counted(keep):
+        cell = whole(keep)
+
+        def run(rows, queries):
+            out = cell(rows, queries)
+            with open(made, "a") as f:
+                f.write(f"{out.num_rows}\n")
+            return out
+
+        return run
+
+    monkeypatch.setattr(knn, "_leaf_cell", counted)
+    v = vectors(spark, some_vectors(4000)[:4000])
+    got = sorted(tuple(r) for r in knn.forest_search(v, F.col("vec_id") % 50 == 0, leaf=16).collect())
+    assert len(got) == 80 * 5
+    with open(made) as f:
+        assert sum(map(int, f)) < 300 * 80
+    monkeypatch.setattr(knn, "WAVE", 10**9)
+    assert got == sorted(tuple(r) for r in knn.forest_search(v, F.col("vec_id") % 50 == 0, leaf=16).collect())
+
+
+def test_waves_keep_all_leaves():
+    sizes = np.array([5.0, 0, 300, 2, 2, 40, 7, 9000, 1])
+    for before in (0, 1, 17, 10**6):
+        for leaves in ([], [3], list(range(9)), [7, 2, 0, 8]):
+            waves = knn._waves(before, leaves, sizes)
+            assert [x for w in waves for x in w] == leaves and all(waves)
+
+
 def test_threshold_sends_few_entries(spark, smoke):
     d = spark.read.parquet(smoke.replace("0.001", "0.1") + "/embeddings.parquet")
     valid = knn._valid(d, nonzero=False).select("vec_id", "embedding", F.xxhash64("vec_id", "embedding").alias("qkey"), F.size("embedding").alias("dim"), F.lit(False).alias("far"))
